@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, sharding, token_store, tokens
+from . import exact_dedup, jaccard_join, secrets, sharding, token_store, tokens
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(read(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"), shards=16)
 
@@ -29,7 +33,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op6_jump_shards, op8_exact_dedup, op9_secret_ownership)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_jaccard_join, op6_jump_shards, op8_exact_dedup, op9_secret_ownership)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, secrets, sharding, token_store, tokens
+from . import decontaminate, exact_dedup, jaccard_join, packing, secrets, sharding, token_store, tokens
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,10 +20,18 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(read(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"), end_id=1))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -33,7 +40,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_jaccard_join, op6_jump_shards, op8_exact_dedup, op9_secret_ownership)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_jaccard_join, op4_decontaminate, op6_jump_shards, op7_hilbert_packing, op8_exact_dedup, op9_secret_ownership)}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """

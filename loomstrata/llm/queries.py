@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, secrets, sharding, token_store, tokens
+from . import decontaminate, exact_dedup, jaccard_join, langid, packing, quality, secrets, sharding, token_store, tokens, toxicity
 from .common import read
+from .samples import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(read(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op2_string_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs, fold=3, held=1))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -24,6 +32,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    found = quality.score(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read(spark, sf_dir, "documents"), shards=16)
 
@@ -40,7 +55,28 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op3_jaccard_join, op4_decontaminate, op6_jump_shards, op7_hilbert_packing, op8_exact_dedup, op9_secret_ownership)}
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_string_kernels,
+        op3_jaccard_join,
+        op4_decontaminate,
+        op5_attention_quality,
+        op6_jump_shards,
+        op7_hilbert_packing,
+        op8_exact_dedup,
+        op9_secret_ownership,
+        op10_toxicity_grammar,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": """

@@ -33,12 +33,20 @@ def window_of(words: int) -> int:
     return w
 
 
-def running(words: np.ndarray) -> np.ndarray:
-    """Running sums of the words' hash bits as +1 and -1, wrapping in 16 bits; row i is before word i."""
-    bits = np.unpackbits(mix(words).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8) * 2 - 1
-    out = np.zeros((len(words) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
-    return out
+def running(words: np.ndarray, block: int = 16) -> np.ndarray:
+    """Running sums of the words' hash bits as +1 and -1, wrapping in 16 bits; row i is before word i. Sums are taken
+    within blocks of rows, for all blocks at once, and then over the blocks."""
+    n = len(words)
+    sums = np.zeros((-(-(n + 1) // block) * block, 64), np.int16)
+    bits = sums[1 : n + 1]
+    bits[:] = np.unpackbits(mix(words).view(np.uint8).reshape(-1, 8), axis=1)
+    bits *= 2
+    bits -= 1
+    by_block = sums.reshape(-1, block, 64)
+    for i in range(1, block):
+        by_block[:, i] += by_block[:, i - 1]
+    by_block[1:] += np.cumsum(by_block[:-1, -1], axis=0, dtype=np.int16)[:, None]
+    return sums[: n + 1]
 
 
 def fingerprints(sums: np.ndarray, w: int, stride: int) -> np.ndarray:

@@ -17,7 +17,7 @@ from .shingles import chunks, word_hashes
 #: Bytes of a passage; a document's last one may be shorter.
 PASSAGE = 512
 #: Labelled documents of each class that the model is fitted on, at most.
-EACH = 3000
+EACH = 2000
 HIDDEN, ATTENTION = 16, 8
 
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), range(128, 256), [32, 9], [10, 13], b".,;:", b"!?", b"|", b"%$&*#@^~", b"\"'()[]{}<>/\\=+-_`"]
@@ -125,8 +125,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, id
     got = texts_of(docs, chosen, id_col, text_col)
     if not got:
         return None
-    x, at = passages([t for t, _ in got])
-    return fit(x, at, np.array([float(y) for _, y in got]))
+    texts = [t for t, _ in got]
+    parts = [passages(texts[i:j]) for i, j in chunks(texts, 1 << 20)]
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
+    return fit(np.concatenate([x for x, _ in parts]), at, np.array([float(y) for _, y in got]))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,11 +6,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import special
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
     """The two-sided 95 % point of Student's t."""
     return df.map(lambda n: special.t_quantile(0.975, int(n)) if n and n > 0 else None)

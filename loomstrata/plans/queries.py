@@ -607,3 +607,69 @@ def judge_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws are a hash that SQL lacks; tests repeat them."""
     return statistics.bootstrap_mean(view(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"], ["s_suppkey"], 200)
+
+
+# --- judges, overlap, ground truth
+
+
+@query(
+    """WITH d AS (SELECT repo_name, count(*) AS n, string_agg(name, ', ' ORDER BY pos) FILTER (i <= 3) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo_name ORDER BY pos) AS i FROM external_deps) GROUP BY ALL),
+    m AS (SELECT repo_name, count(*) AS n FROM modules GROUP BY ALL)
+    SELECT r.repo_name, concat_ws(chr(10), 'Detected framework: ' || detected_framework || ' (version ' || framework_version || ')', 'Detected language: ' || detected_language,
+        'Counts: ' || coalesce(m.n, 0) || ' modules, 1 classes, 0 functions, 2 endpoints, 0 database entities',
+        'External dependencies: ' || coalesce(d.t || CASE WHEN d.n > 3 THEN ' (+' || (d.n - 3) || ' more)' ELSE '' END, '(none)'),
+        'API endpoints: GET /orders/:id, POST /orders/{id}/items', 'Classes: OrderService', 'Config files: package.json', 'Database entities: (none)') AS truth
+    FROM repositories r LEFT JOIN d ON r.repo_name = d.repo_name LEFT JOIN m ON r.repo_name = m.repo_name""",
+    "repositories",
+    "external_deps",
+    "modules",
+)
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-5, with lists capped at three names."""
+    v = lambda n: view(spark, sf_dir, n)
+    names = lambda t, c, to: t.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(c).alias("x"))))["x"].alias(to))
+    routes = v("routes").withColumn("x", F.concat_ws(" ", "method", "path"))
+    rows = v("repositories").select("repo_name", F.col("detected_framework").alias("framework"), "framework_version", F.col("detected_language").alias("language"))
+    for part in (names(v("external_deps"), "name", "dependencies"), names(routes, "x", "endpoints"), names(v("services"), "name", "classes"), v("config_files").groupBy("repo_name").agg(F.collect_list("path").alias("configs"))):
+        rows = rows.join(part, "repo_name", "left")
+    rows = rows.withColumn("entities", F.array().cast("array<string>"))
+    none = v("modules").limit(0)
+    counts = graph.entity_counts({"repositories": v("repositories"), "modules": v("modules"), "classes": v("services"), "functions": none, "endpoints": v("routes"), "db_entities": none})
+    return context.ground_truth(rows, counts.withColumnRenamed("classes", "classes_n"), most=3)
+
+
+@query("""WITH t AS (SELECT event_id, 0.5 + (event_id % 40) / 100.0 AS p4, CASE WHEN event_id % 3 = 0 THEN 0.05 END AS p5, event_id % 4 = 1 AS unweighted, event_id % 5 + 1 AS digit FROM events)
+    SELECT CASE WHEN NOT unweighted THEN 'logprob_weighted' WHEN event_id % 8 = 1 THEN 'sample_averaged' ELSE 'unparsed' END AS method, count(*) AS n,
+           round(avg(CASE WHEN NOT unweighted THEN (4 * p4 + 5 * coalesce(p5, 0)) / (p4 + coalesce(p5, 0)) WHEN event_id % 8 = 1 THEN digit ELSE 0 END), 6) AS score FROM t GROUP BY ALL""")
+def criterion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected digits by token probabilities, else sampled answers."""
+    from ..operators import judge
+
+    i = F.col("event_id")
+    alt = lambda t, p: F.struct(F.lit(t).alias("token"), F.log(p).alias("logprob"))
+    p4 = 0.5 + (i % 40) / 100.0
+    top = F.when(i % 3 == 0, F.array(alt("4", p4), alt("5", F.lit(0.05)), alt("x", F.lit(0.2)))).otherwise(F.array(alt("x", F.lit(0.2))))
+    tokens = F.when(i % 4 != 1, F.array(F.struct(F.lit(" 4 ").alias("token"), F.log(p4).alias("logprob"), top.alias("top"))))
+    samples = F.when(i % 8 == 1, F.array(F.concat(F.lit("Score: "), (i % 5 + 1).cast("string")), F.lit("no digit"))).otherwise(F.array(F.lit("?")))
+    rows = view(spark, sf_dir, "events").select(tokens.alias("tokens"), samples.alias("samples"))
+    return judge.criterion_score(rows).groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
+
+
+@query(None)
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether longer documents are better ones, as a confidence by language."""
+    from ..operators import judge
+
+    rows = view(spark, sf_dir, "labels").join(view(spark, sf_dir, "documents"), "doc_id")
+    return judge.calibration(rows.select("lang", (F.col("n_chars") / (F.col("n_chars") + 2000)).alias("confidence"), F.col("quality").alias("correct")), ["lang"])
+
+
+@query(None)
+def text_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation against the one before."""
+    from ..functions import overlap
+
+    turns = view(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    both = turns.join(before, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", *(overlap.column(f)("text", "reference").alias(n) for n, f in (("bleu4", overlap.bleu4), ("rouge_l", overlap.rouge_l), ("meteor", overlap.meteor))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrata.llm import decontaminate, exact_dedup, jaccard_join, packing, tokens, toxicity
-from loomstrata.llm.common import read, staged, without_ids
+from loomstrata.llm.common import read, staged, tuned, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,6 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences along the Hilbert curve."""
+    tuned(spark)
     return packing.digest(packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast by hint only when it was counted and has at most this many 8-byte ids (4 MB).
 BROADCAST_IDS = 500_000
+#: Rows and bytes of an Arrow batch while a table is staged: what a Python worker holds of long texts at once.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Rows of one key are spread over this many runs before they are joined with what was found for the key.
 SPREAD = 256
 
@@ -37,11 +40,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """ARROW_BATCH for the plans that are run within."""
+    old = {k: spark.conf.get(k) for k in ARROW_BATCH}
+    for k, v in ARROW_BATCH.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with ARROW_BATCH set for good, for plans that are run after a query has returned them."""
+    for k, v in ARROW_BATCH.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, and every executor can read it again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -84,4 +108,5 @@ def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the driver, in a tuned session."""
+    return tuned(spark).read.parquet(f"{sf_dir}/{table}.parquet")

@@ -91,7 +91,9 @@ class Reader:
         """Ids of the document at a position of the file."""
         a = int(self.start[position]) * self.width
         b = a + int(self.n_tokens[position]) * self.width
-        first, last = (int(np.searchsorted(self.raw_at, x, "right")) - 1 for x in (a, max(a, b - 1)))
+        if a == b:
+            return np.zeros(0, f"<u{self.width}")
+        first, last = (int(np.searchsorted(self.raw_at, x, "right")) - 1 for x in (a, b - 1))
         raw = b"".join(self.frame(k) for k in range(first, last + 1))
         return np.frombuffer(raw[a - int(self.raw_at[first]) : b - int(self.raw_at[first])], f"<u{self.width}")
 
@@ -104,12 +106,12 @@ class Reader:
         """(id, start in the file, ids) of all documents; each frame is decompressed once."""
         k, raw = -1, b""
         for p in range(len(self.doc_id)):
-            a = int(self.start[p]) * self.width
-            while k < 0 or a >= self.raw_at[k + 1]:
+            a, n = int(self.start[p]) * self.width, int(self.n_tokens[p])
+            while n and (k < 0 or a >= self.raw_at[k + 1]):
                 k += 1
                 raw = self.frame(k)
-            a -= int(self.raw_at[k])
-            yield None if self.null[p] else int(self.doc_id[p]), int(self.start[p]), np.frombuffer(raw, f"<u{self.width}", int(self.n_tokens[p]), a)
+            ids = np.frombuffer(raw, f"<u{self.width}", n, a - int(self.raw_at[k])) if n else np.zeros(0, f"<u{self.width}")
+            yield None if self.null[p] else int(self.doc_id[p]), int(self.start[p]), ids
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:

@@ -1,12 +1,13 @@
 """Token ids of whole texts with a public tokenizer, many texts at a time.
 
 A text is cut at single blanks, where both pre-tokenizers cut as well, and the ids of each piece are kept in a bounded
-table, so the library encodes a piece once. A text where such a cut could change the result goes to the library whole.
+table, so the library encodes a frequent piece once. A text where such a cut could change the result goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -22,6 +23,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: White space other than the blank and the line end, in any reading of the term.
+OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others in turn from
+    256 on. Keys are what bytes are read as in Latin-1."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Table(dict):
+    """Pieces and their ids; what is looked up in vain is noted and gives None."""
+
+    def __init__(self) -> None:
+        super().__init__({"": b""})
+        self.lacks: set[str] = set()
+
+    def __missing__(self, piece: str) -> None:
+        self.lacks.add(piece)
+        return None
+
+
 class Encoder:
     """Ids as little-endian unsigned 16-bit bytes. words: the tokenizer drops white space and folds case (no blank belongs
     to a token); otherwise a blank is the first character of the next token. most: pieces kept in the table."""
@@ -34,7 +59,9 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.words = self.library.normalizer is not None
-        self.most, self.table = most, {"": b""}
+        self.most, self.table, self.old = most, _Table(), {}
+        self.letters, self.model, self.tails = _byte_letters(), self.library.model, {}
+        self.pair = [k.to_bytes(2, "little") for k in range(self.library.get_vocab_size())]
         self.new_line = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
@@ -46,62 +73,106 @@ class Encoder:
             return None
         if self.words:
             return text.replace("\n", " ").split(" ")
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or not text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in OTHER_SPACE):
             return None
         return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Puts pieces into the table; marks at the end and (if words) ASCII case are handled apart, so fewer are encoded."""
-        table, parts, cores = self.table, {}, set()
+    def _word(self, word: str, head: str) -> bytes | None:
+        """The ids of letters alone, which are one pre-token, from the library's model; None: the library has to split
+        them. head: the letter of the blank before the word, if there is one."""
+        if not word.isascii():
+            if self.words and not (word.islower() and word.lower() == word and unicodedata.is_normalized("NFC", word)):
+                return None
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.pair[t.id] for t in self.model.tokenize(head + word)])
+
+    def _known(self, word: str, head: str) -> bytes | None:
+        """_word() through the tables, where the word stands behind a blank (head is "" there only if blanks drop)."""
+        found = self.table.get(word)
+        if found is None:
+            found = self.old.get(word)
+            if found is None:
+                found = self._word(word, head)
+            if found is not None:
+                self.table[word] = found
+        return found
+
+    def _learn(self) -> None:
+        """Puts the pieces that were looked up in vain into the table. Marks at the end and (if words) ASCII case are
+        handled apart, so fewer are encoded."""
+        table, old, hard = self.table, self.old, []
+        missing, table.lacks = table.lacks, set()
+        blank = "" if self.words else "\u0120"
+        pair, tokenize, words = self.pair, self.model.tokenize, self.words
         for w in missing:
-            core = w.rstrip(TAIL)
-            tail = w[len(core) :]
-            if tail and not core[-1:].isalnum():
-                core, tail = w, ""
-            if self.words and core.isascii():
-                core = core.lower()
-            parts[w] = (core, tail)
-            cores.add(core)
-            if tail:
-                cores.add("\0" + tail)
-        cores = list(cores - table.keys())
-        if cores:
-            head = "" if self.words else " "
-            e = self.library.encode([c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else head + c for c in cores], is_pretokenized=True, add_special_tokens=False)
+            ids = old.get(w)
+            if ids is None and w.isascii() and w.isalpha() and (not words or w.islower()):
+                ids = b"".join([pair[t.id] for t in tokenize(blank + w)])
+            elif ids is None:
+                core = w if w[-1].isalpha() else w.rstrip(TAIL)
+                tail = w[len(core) :]
+                line = core[:1] == "\n"
+                word = core[1:] if line else core
+                if word.isalpha():
+                    if self.words and word.isascii():
+                        word = word.lower()
+                    ids = self._word(word, "") if line else self._known(word, blank)
+                    if ids is not None:
+                        ids = (self.new_line if line else b"") + ids + (self._tail(tail) if tail else b"")
+            if ids is None:
+                hard.append(w)
+            else:
+                table[w] = ids
+        if hard:
+            e = self.library.encode([w if self.words or w[:1] == "\n" else " " + w for w in hard], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u2").tobytes()
-            ends = np.searchsorted(np.array([w for w in e.word_ids], np.int64), np.arange(len(cores)), "right") * 2
+            ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(hard)), "right") * 2
             at = 0
-            for c, end in zip(cores, ends.tolist()):
-                table[c] = ids[at:end]
+            for w, end in zip(hard, ends.tolist()):
+                table[w] = ids[at:end]
                 at = end
-        for w, (core, tail) in parts.items():
-            table[w] = table[core] + table["\0" + tail] if tail else table[core]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        table = self.table
-        if len(table) > self.most:
-            table.clear()
-            table[""] = b""
-        out: list[bytes] = []
-        for text in texts:
-            pieces = self._pieces(text)
-            if pieces is None:
-                out.append(self._whole(text))
-                continue
-            got = list(map(table.get, pieces))
-            if None in got:
-                self._learn({w for w, g in zip(pieces, got) if g is None})
-                got = list(map(table.__getitem__, pieces))
-            ids = b"".join(got)
-            out.append(ids if self.words else ids[len(self.new_line) :])
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self._whole(tail)
+            if len(self.tails) > 10_000:
+                self.tails = {tail: self.tails[tail]}
+        return self.tails[tail]
+
+    def encode(self, texts: Iterable[str], group: int = 64) -> list[bytes]:
+        """The ids of each text; pieces that the table lacks are encoded for a group of texts at once."""
+        texts, out = list(texts), []
+        for i in range(0, len(texts), group):
+            if len(self.table) > self.most:
+                self.old, self.table = self.table, _Table()
+            table = self.table
+            cut = [self._pieces(t) for t in texts[i : i + group]]
+            got = [None if p is None else list(map(table.__getitem__, p)) for p in cut]
+            if table.lacks:
+                self._learn()
+            for text, p, g in zip(texts[i : i + group], cut, got):
+                if p is None:
+                    out.append(self._whole(text))
+                    continue
+                at = -1
+                for _ in range(g.count(None)):
+                    at = g.index(None, at + 1)
+                    g[at] = table[p[at]]
+                ids = b"".join(g)
+                out.append(ids if self.words else ids[len(self.new_line) :])
         return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Gives back the tables of this worker process; later stages, which reuse it, don't need them."""
+    _encoders.clear()
+
+
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and path."""
+    """One encoder a worker process and path, until release()."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

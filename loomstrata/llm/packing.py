@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, staged
-from .tokens import encoder
+from .tokens import encoder, release
 
 #: Places of a hashed document vector, dimensions of the curve and bits of each.
 PLACES, DIMENSIONS, BITS = 256, 3, 16
@@ -139,6 +139,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        release()
         return _pieces(TaskContext.get().partitionId(), batches, length)
 
     out = dealt.mapInPandas(fill, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch_path, shuffle_partitions
-from .tokens import encoder
+from .tokens import encoder, release
 
 #: Fixed values of the format.
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A50, 0x184D2A5E, bytes.fromhex("b1ea928f")
@@ -147,6 +147,7 @@ def read_tokens(spark, path: str, summarise: Callable[[int, Iterable[tuple[int |
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             for content in b["content"]:
                 if len(content):

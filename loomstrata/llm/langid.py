@@ -29,27 +29,29 @@ for _c in range(1 << 16):
         _letter[_c] = (ord(chr(_c).lower()[0]) & 0xFFFF) or 1
 
 
+def _places(gram: np.ndarray, size: int) -> np.ndarray:
+    mixed = gram * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    return mixed & np.uint32(size - 1)
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """Texts by places, float32: each n's part has unit length, so a product of two rows is the sum over n of the
-    normalised presence kernels. Letters are folded to lower case, other characters part words. No letters: zeros."""
+    normalised presence kernels. Letters are folded to lower case; other characters, however many, part words. No
+    letters: zeros."""
     out = np.zeros((len(texts), WIDTH), np.float32)
     for row, text in enumerate(texts):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = _letter[np.minimum(code, (1 << 16) - 1)].astype(np.uint32)
-        code[code == 0] = 32
-        code = np.concatenate([[32], code, [32]]).astype(np.uint32)
-        base, gram = 0, np.zeros(len(code), np.uint32)
+        code = np.concatenate([[0], _letter[np.minimum(code, (1 << 16) - 1)], [0]])
+        code = code[(code != 0) | np.concatenate([[True], code[:-1] != 0])].astype(np.uint32)
+        if not code.any():
+            continue
+        base, gram = 0, code[code != 0]
         for n, size in SPECTRUM.items():
-            gram = code if n == 1 else gram[:-1] * np.uint32(0x01000193) + code[n - 1 :]
-            mixed = gram * np.uint32(0x9E3779B1)
-            mixed ^= mixed >> np.uint32(15)
-            out[row, base + (mixed & np.uint32(size - 1))] = 1
-            if n == 1:
-                out[row, base + int(((np.uint64(32) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) ^ (((np.uint64(32) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> np.uint64(15))) % size] = 0
-                if not out[row, :size].any():
-                    out[row] = 0
-                    break
+            if n > 1:
+                gram = (code[:-1] if n == 2 else gram[:-1]) * np.uint32(0x01000193) + code[n - 1 :]
             part = out[row, base : base + size]
+            part[_places(gram, size)] = 1
             part /= np.sqrt(max(part.sum(), 1))
             base += size
     return out

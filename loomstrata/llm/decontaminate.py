@@ -79,7 +79,7 @@ class Bench:
             for b in range(BLOCKS):
                 near = (prints.view(np.uint16).reshape(-1, BLOCKS)[:, b][:, None] ^ _ONE_OFF).ravel()
                 order = np.argsort(near, kind="stable")
-                tables.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int64), np.repeat(np.arange(len(prints)), 17)[order]))
+                tables.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int32), np.repeat(np.arange(len(prints), dtype=np.int32), 17)[order]))
             self.groups.append((w, stride, prints, of, shift, tables))
 
     def shingles(self, words: np.ndarray) -> dict[int, float]:
@@ -156,7 +156,7 @@ def _search(spark, items: list[tuple[int, str]], least: float, k: int):
         bench = Bench(*sent.value, k)
         for b in batches:
             texts, ids, out = b["text"].tolist(), b["id"].tolist(), []
-            for i, j in chunks(texts, 1 << 19):
+            for i, j in chunks(texts):
                 words, at = word_hashes(texts[i:j])
                 # windows over the whole chunk; those that cross documents fail when verified within their document
                 top: dict[tuple[int, int], tuple] = {}

@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, id
     if not got:
         return None
     texts = [t for t, _ in got]
-    parts = [passages(texts[i:j]) for i, j in chunks(texts, 1 << 20)]
+    parts = [passages(texts[i:j]) for i, j in chunks(texts)]
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
     return fit(np.concatenate([x for x, _ in parts]), at, np.array([float(y) for _, y in got]))
 
@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         m = sent.value
         for b in batches:
             texts = b["text"].tolist()
-            for i, j in chunks(texts, 1 << 20):
+            for i, j in chunks(texts):
                 if m is None:
                     y, top = np.full(j - i, 0.5), np.zeros(j - i, np.int64)
                 else:

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        n = max(n, 1 << 18)
+        n = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             up = np.cumprod(np.full(n, _BASE, np.uint64))
             down = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
@@ -105,7 +105,7 @@ def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return keys
 
 
-def chunks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about most characters each; a longer text is a range of its own."""
     begin = size = 0
     for i, t in enumerate(texts):

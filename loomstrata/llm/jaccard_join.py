@@ -10,13 +10,14 @@ Three orders are used, and a pair has to pass all of them:
    takes up prefix and generates nothing;
 3. by a second hash, tested for each candidate pair before its sets are compared.
 
-A large group of near copies has as many links as pairs. Its component is found without them: in each posting list all
-classes are compared with one of them, and only pairs whose classes are in different components after that are formed.
+A large group of near copies has about as many links as pairs. Its component is found without them: in each posting
+list all classes are compared with one of them, the pivot, and a pair is formed only if its classes are in different
+components after that and could be similar, given how far each is from the pivot: with D(x) the symmetric difference of
+x and the pivot and u(x) the tokens that x has alone, x and y differ in |D(y)| - |D(x)| + 2 u(x) tokens or more.
 """
 
 from __future__ import annotations
 
-import contextlib
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -30,22 +31,10 @@ from .common import attach, only_ids, shuffle_partitions, spread, staged
 from .components import components
 from .shingles import chunks, mix, set_keys, shingle_sets
 
-#: Text bytes for each bucket of the first order; a bucket's postings are in one task, about 7 bytes each.
+#: Text bytes for each bucket of the first order; a bucket's postings are in one task, seven bytes each.
 BUCKET_BYTES = 16 << 20
 #: A class has to share this part of its size, besides one token, in the first order.
-SHARE = Fraction(1, 10)
-
-
-@contextlib.contextmanager
-def _batches_of(spark, rows: int):
-    """Arrow batches of so many rows, for rows that carry whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, old)
+SHARE = Fraction(1, 4)
 
 
 def _least_shared(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -82,7 +71,7 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
             for x in b["text"]:
                 held.append(x)
                 size += len(x)
-                if size >= 8 << 20:
+                if size >= 4 << 20 or len(held) == 50_000:  # 16 bits number a batch's classes
                     yield packed(held)
                     held, size = [], 0
         if held:
@@ -107,17 +96,20 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
         here = np.bincount(local[shared], minlength=len(n)).astype(np.uint32)
         first = np.concatenate([[True], ~same]) if len(tokens) else np.zeros(0, bool)
         tokens, who = tokens[first], np.where(shared[first], 0, local[first] + 1).astype(np.uint32)  # 0: shared
-        # the k smallest values of a set lie low, so buckets are taken from other bits than the order
-        bucket = (mix(tokens) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        # a set's smallest values lie low, so buckets are taken from a second hash, whose upper 40 bits are sent
+        tokens = mix(tokens)
+        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+        tokens >>= np.uint64(24)
+        order = np.lexsort((tokens, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        tokens, who = (tokens[order] >> np.uint64(8)), who[order]
+        tokens, who = tokens[order], who[order]
         out = []
         for x in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[x], cuts[x + 1]
             named, to = np.unique(who[a:b], return_inverse=True)
-            refs = np.concatenate([[np.uint64(0)], keys])[named]
-            out.append((int(x), b - a, (tokens[a:b]).tobytes() + to.astype("<u4").tobytes() + refs.tobytes()))
+            refs = np.concatenate([np.zeros(1, np.uint64), keys])[named]
+            planes = tokens[a:b].view(np.uint8).reshape(-1, 8)[:, 4::-1].T  # sorted, so the first ones compress
+            out.append((int(x), b - a, planes.tobytes() + to.astype("<u2").tobytes() + refs.tobytes()))
         home = (mix(keys) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
         cuts = np.searchsorted(home[order], np.arange(buckets + 1))
@@ -130,8 +122,10 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
         tokens, whose, out = [], [], []
         for m, raw in zip(b["postings"].tolist(), b["packed"]):
             if m:
-                tokens.append(np.frombuffer(raw, "<u8", m))
-                whose.append(np.frombuffer(raw, "<u8", -1, 12 * m)[np.frombuffer(raw, "<u4", m, 8 * m)])
+                wide = np.zeros((m, 8), np.uint8)
+                wide[:, 4::-1] = np.frombuffer(raw, np.uint8, 5 * m).reshape(5, m).T
+                tokens.append(wide.view("<u8").ravel())
+                whose.append(np.frombuffer(raw, "<u8", -1, 7 * m)[np.frombuffer(raw, "<u2", m, 5 * m)])
             else:
                 m = len(raw) // 16
                 out.append(pd.DataFrame({"cls8": np.frombuffer(raw, "<i8", m), "n": np.frombuffer(raw, "<u4", m, 8 * m).astype(np.int64), "shared": np.frombuffer(raw, "<u4", m, 12 * m).astype(np.int64)}))
@@ -158,69 +152,86 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(token, id, n): prefixes by document frequency among sets, without tokens that one class has alone."""
+    """(token, id, n, alone): prefixes by document frequency among sets, without tokens that one class has alone, which
+    are counted."""
     each = sets.select("id", "n", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    known = each.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("known"))
+    known = each.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"))
     least = F.floor((F.col("n") * t.numerator + (t.denominator - 1)) / t.denominator)
-    left = (F.col("n") - least + 1 - (F.col("n") - F.size("known"))).cast("int")
-    return known.withColumn("left", left).filter("left > 0").select("id", "n", F.explode(F.slice("known", F.lit(1), F.col("left"))["token"]).alias("token"))
+    alone = F.col("n") - F.size("known")
+    left = (F.col("n") - least + 1 - alone).cast("int")
+    return known.withColumn("left", left).filter("left > 0").select("id", "n", alone.alias("alone"), F.explode(F.slice("known", F.lit(1), F.col("left"))["token"]).alias("token"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Pairs (u, v) that pass the third order and then have similarity t or more."""
+def _compared(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """pairs (u, v) with how many tokens they have in common, and whether they link: they pass the third order and then
+    have similarity t or more."""
     a = sets.select(F.col("id").alias("u"), F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("v"), F.col("tokens").alias("y"))
     num, den = t.numerator, t.denominator
 
-    @F.pandas_udf("boolean")
-    def similar(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    @F.pandas_udf("common long, link boolean")
+    def compare(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(xs, ys):
             p, q = (np.sort(mix(np.asarray(z, np.int64).view(np.uint64)))[: len(z) - -(-len(z) * num // den) + 1] for z in (x, y))
-            common = len(np.intersect1d(p, q, assume_unique=True)) and len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common > 0 and den * common >= num * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
+            met = len(np.intersect1d(p, q, assume_unique=True)) > 0
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append((common, met and den * common >= num * (len(x) + len(y) - common)))
+        return pd.DataFrame(out, columns=["common", "link"])
 
-    return pairs.join(a, "u").join(b, "v").filter(similar("x", "y")).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", compare("x", "y").alias("c")).select("u", "v", "c.*")
 
 
 def _sized(t: Fraction):
     return F.least("n1", "n2") * t.denominator >= F.greatest("n1", "n2") * t.numerator
 
 
-def links(prefixes: DataFrame, sets: DataFrame, t: Fraction, rounds: int = 6) -> DataFrame:
-    """(u, v): links of which every two sets of similarity t or more are in one component, and no others."""
-    spark = sets.sparkSession
-    found, label = None, None
-    volume = prefixes.count()
-    for k in range(rounds + 1):
-        lists = prefixes.select("token", F.col("id").alias("v"), F.col("n").alias("n2")).withColumn("c2", F.col("v"))
-        if label is not None:
-            lists = prefixes.join(label, F.col("id") == F.col("node"), "left").select("token", F.col("id").alias("v"), F.col("n").alias("n2"), F.coalesce("root", "id").alias("c2"))
-            parts = lists.groupBy("token", "c2").agg(F.count("*").alias("m"))
-            split = parts.groupBy("token").agg(F.count("*").alias("parts"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice")).filter("parts > 1")
-            split = staged(split, "split_lists")
-            lists = staged(lists.join(split.select("token"), "token", "left_semi"), "lists")
-            cross = split.agg(F.sum("twice")).first()[0]
-            if not cross:
-                break
-            if cross <= 4 * volume or k == rounds:
-                other = lists.select("token", F.col("v").alias("u"), F.col("n2").alias("n1"), F.col("c2").alias("c1"))
-                pairs = other.join(lists, "token").filter("c1 < c2")
-                k = rounds
-        if label is None or k < rounds:
-            pick = (F.min_by, F.max_by)[k % 2]
-            pivot = lists.groupBy("token").agg(pick(F.struct(F.col("v").alias("u"), F.col("n2").alias("n1"), F.col("c2").alias("c1")), F.struct("c2", F.xxhash64("v", F.lit(k)))).alias("p")).select("token", "p.*")
-            pairs = lists.join(pivot, "token").filter("c1 <> c2")
-        pairs = pairs.filter(_sized(t)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        with _batches_of(spark, 256):
-            new = staged(_linked(pairs, sets, t), "linked")
-        found = new if found is None else found.unionByName(new)
-        if k == rounds:
-            break
-        label = components(found)
-    return found
+def _one_of_each_list(prefixes: DataFrame) -> DataFrame:
+    """prefixes without the tokens that one class has alone, and with one token for each posting list (tokens that the
+    same classes have generate the same pairs)."""
+    lists = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("other"), "id")).alias("s2")).filter("m > 1")
+    return prefixes.join(lists.groupBy("m", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+
+
+def links(prefixes: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """(u, v): links, such that every two sets of similarity t or more are in one component of them."""
+    prefixes = staged(_one_of_each_list(prefixes), "posting_lists")
+    pivot = prefixes.groupBy("token").agg(F.min_by(F.struct(F.col("id").alias("u"), F.col("n").alias("n1")), F.struct("alone", "id")).alias("p")).select("token", "p.*")
+    lists = prefixes.select("token", F.col("id").alias("v"), F.col("n").alias("n2"), F.col("alone").alias("a2")).join(pivot, "token")
+    first = staged(_compared(staged(_unique(lists.filter("u <> v"), t), "pivot_pairs"), sets, t), "compared")
+    label = components(first.filter("link"))
+
+    # distances to the pivot; null where sizes alone kept the two from being compared
+    near = first.select(F.col("u").alias("x"), F.col("v").alias("y"), "common")
+    far = F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("n1") + F.col("n2") - 2 * F.col("common"))
+    placed = lists.join(near, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left").join(label, F.col("v") == F.col("node"), "left")
+    # lists of one pivot are one list from here on, so a pair is formed once for a pivot and not for each common token
+    placed = staged(placed.select(F.col("u").alias("token"), "v", "n2", "a2", far.alias("d2"), F.coalesce("root", "v").alias("c2")).distinct(), "placed")
+
+    parts = placed.groupBy("token", "c2").agg(F.count("*").alias("m"))
+    split = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("c2", F.struct("m", "c2")).alias("largest")).filter("parts > 1")
+    # the most that a partner in the list allows; a class beyond it has no partner there
+    most = placed.groupBy("token").agg(F.max("n2").alias("n_most"), F.max(F.coalesce(F.col("d2") - 2 * F.col("a2"), F.lit(1 << 40))).alias("reach"))
+    room = _room(F.col("n2") + F.least(F.col("n_most"), F.floor(F.col("n2") * t.denominator / t.numerator)), t)
+    lists = placed.join(split.join(most, "token"), "token").filter(F.col("d2").isNull() | (F.col("d2") - room <= F.col("reach")))
+    lists = staged(lists.select("token", "v", "n2", "a2", "d2", "c2", (F.col("c2") != F.col("largest")).alias("rest2")), "open_lists")
+    rest = lists.filter("rest2").select("token", *(F.col(c).alias(n) for c, n in (("v", "u"), ("n2", "n1"), ("a2", "a1"), ("d2", "d1"), ("c2", "c1"))))
+    gap = F.col("d2") - F.col("d1")
+    could = F.coalesce(F.greatest(gap + 2 * F.col("a1"), 2 * F.col("a2") - gap) <= _room(F.col("n1") + F.col("n2"), t), F.lit(True))
+    once = (F.col("c1") != F.col("c2")) & (~F.col("rest2") | (F.col("c1") < F.col("c2")))
+    pairs = staged(_unique(rest.join(lists, (rest["token"] == lists["token"]) & once & could & _sized(t)), t), "pairs")
+    second = staged(_compared(pairs.join(first, ["u", "v"], "left_anti"), sets, t), "compared_rest")
+    return first.filter("link").select("u", "v").unionByName(second.filter("link").select("u", "v"))
+
+
+def _room(sizes, t: Fraction):
+    """How many tokens two linked sets, of so many in all, differ in at most."""
+    return F.floor(sizes * (t.denominator - t.numerator) / (t.denominator + t.numerator) + 1e-9)
+
+
+def _unique(pairs: DataFrame, t: Fraction) -> DataFrame:
+    return pairs.filter(_sized(t)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: Fraction = Fraction(3, 4)) -> DataFrame:

@@ -17,6 +17,8 @@ from .tokens import encoder, release
 PLACES, DIMENSIONS, BITS = 256, 3, 16
 #: Bytes of ids that a task packs, about.
 TASK_BYTES = 64 << 20
+#: Pieces in a worker's tokenizer table.
+PIECES = 600_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -124,7 +126,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     end = end_id.to_bytes(2, "little")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        code, curve = encoder(tokenizer), Curve()
+        code, curve = encoder(tokenizer, PIECES), Curve()
         for b in batches:
             for i in range(0, len(b), 1000):
                 part = b.iloc[i : i + 1000]

@@ -27,6 +27,8 @@ HEADER = struct.Struct("<QBQ")  # ordinal, width, documents
 FRAME_BYTES = 1 << 20
 #: Text bytes a file is made of, about; a file's ids, compressed, are what a task holds.
 FILE_BYTES = 64 << 20
+#: Pieces in a worker's tokenizer table; this stage holds little else, so they may be many.
+PIECES = 1_200_000
 
 
 class Writer:
@@ -132,7 +134,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        out, code = Writer(TaskContext.get().partitionId()), encoder(tokenizer)
+        out, code = Writer(TaskContext.get().partitionId()), encoder(tokenizer, PIECES)
         for b in batches:
             for doc_id, ids in zip(b["id"].tolist(), code.encode(b["text"])):
                 out.add(None if doc_id is None or doc_id != doc_id else int(doc_id), ids + end)

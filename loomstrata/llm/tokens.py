@@ -171,8 +171,8 @@ def release() -> None:
     _encoders.clear()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process and path, until release()."""
+def encoder(path: str, most: int) -> Encoder:
+    """One encoder a worker process and path, until release(). A piece takes about 150 bytes, in up to two tables."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
     return _encoders[path]

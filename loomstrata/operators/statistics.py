@@ -115,11 +115,25 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
 
 
 def kendall(rows: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFrame:
-    """Tau-b within (small) groups, by a self-join of a group's rows."""
-    use = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, key, x, y)
-    a, b = use.withColumnsRenamed({key: "k1", x: "x1", y: "y1"}), use.withColumnsRenamed({key: "k2", x: "x2", y: "y2"})
-    s = F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))
-    c = a.join(b, by).filter("k1 < k2").groupBy(*by).agg(F.sum(s).alias("score"), F.count_if(F.col("x1") != F.col("x2")).alias("nx"), F.count_if(F.col("y1") != F.col("y2")).alias("ny"))
+    """Tau-b within groups of two rows or more, by counts: no two rows are paired. Ranks of y are compared by their
+    highest differing bit, so a row is read once for each bit of its group's highest rank."""
+    use = rows.dropna(subset=[x, y, *by]).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m"))
+    group = Window.partitionBy(*by)
+    ranked = use.withColumn("_r", F.dense_rank().over(group.orderBy("_y")).cast("long") - 1)
+    bits = ranked.withColumn("_bits", F.length(F.bin(F.max("_r").over(group)))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
+    bit, head = F.expr("shiftright(_r, _b) & 1"), F.expr("shiftright(_r, _b + 1)")
+    counts = bits.groupBy(*by, "_b", head.alias("_head"), "_x").agg(F.sum(F.when(bit == 0, F.col("_m")).otherwise(0)).alias("_low"), F.sum(F.when(bit == 1, F.col("_m")).otherwise(0)).alias("_high"))
+    part = Window.partitionBy(*by, "_b", "_head")
+    before = F.sum("_low").over(part.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_low")
+    scored = counts.withColumn("_s", F.col("_high") * (2 * before + F.col("_low") - F.sum("_low").over(part)))
+    score = scored.groupBy(*by).agg(F.sum("_s").cast("double").alias("score"))
+
+    def unequal(c: str, to: str) -> DataFrame:
+        n = use.groupBy(*by, c).agg(F.sum("_m").alias("_m"))
+        pairs = F.floor((F.sum("_m") * F.sum("_m") - F.sum(F.col("_m") * F.col("_m"))) / 2)
+        return n.groupBy(*by).agg(pairs.cast("long").alias(to), F.sum("_m").alias("_n"))
+
+    c = score.join(unequal("_x", "nx"), by).join(unequal("_y", "ny").drop("_n"), by).filter("_n > 1").drop("_n")
     return c.withColumn("tau", F.try_divide(F.col("score"), F.sqrt(F.col("nx")) * F.sqrt(F.col("ny"))))
 
 

@@ -41,6 +41,10 @@ VIEWS = {
                replace(p_brand, '#', '') AS name, concat('mod_', CAST(s_suppkey AS STRING)) AS module_id, p_partkey AS pos
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         WHERE p_size <= 3""",
+    "all_classes": """
+        SELECT DISTINCT n_name AS repo_name, concat('cls_', CAST(p_partkey AS STRING), '_', CAST(s_suppkey AS STRING)) AS id,
+               replace(p_brand, '#', '') AS name, concat('mod_', CAST(s_suppkey AS STRING)) AS module_id, p_partkey AS pos
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "functions": """
         SELECT DISTINCT n_name AS repo_name, concat('fn_', c_mktsegment) AS id, concat('handle', c_mktsegment) AS name, concat('mod_', CAST(s AS STRING)) AS module_id
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT s_nationkey, min(s_suppkey) AS s FROM supplier GROUP BY s_nationkey) AS x ON s_nationkey = n_nationkey""",
@@ -364,6 +368,16 @@ def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
 
 
+@query("""WITH stored AS (SELECT c_custkey, 0 AS gen, c_mktsegment AS state, TIMESTAMP '1990-01-01' AS changed FROM customer),
+    news AS (SELECT o_custkey, 1, o_orderstatus || CAST(o_orderkey AS VARCHAR), o_orderdate + o_orderkey * INTERVAL 1 MICROSECOND FROM orders)
+    SELECT c_custkey, arg_max(state, changed) AS state FROM (SELECT * FROM stored UNION ALL SELECT * FROM news) GROUP BY c_custkey""")
+def merge_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12 with all customers stored."""
+    old = view(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"))
+    new = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("state"), "o_orderdate", "o_orderkey")
+    return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uniqueness constraint as a check."""
@@ -425,6 +439,13 @@ def knowledge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.knowledge_text(graph.knowledge_view(*(view(spark, sf_dir, n) for n in names)))
 
 
+@query(ORACLE_SQL["knowledge_context"].replace(VIEWS["classes"], VIEWS["all_classes"]))
+def knowledge_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2, T-2 with all parts as classes."""
+    names = ("repositories", "modules", "import_edges", "all_classes", "endpoints", "functions", "external_deps", "config_files", "db_entities")
+    return context.knowledge_text(graph.knowledge_view(*(view(spark, sf_dir, n) for n in names)))
+
+
 @query(
     """WITH rows AS (
         SELECT repo_name, 1 AS s, id AS a, path AS b, '  ' || id || '["' || path || '"]' AS line FROM modules
@@ -480,6 +501,13 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_counts({n: view(spark, sf_dir, n) for n in ("repositories", "modules", "classes", "functions", "endpoints", "db_entities")})
 
 
+@query(ORACLE_SQL["entity_counts"].replace(VIEWS["classes"], VIEWS["all_classes"]))
+def entity_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1.1 with all parts as classes."""
+    kinds = {n: n for n in ("repositories", "modules", "classes", "functions", "endpoints", "db_entities")} | {"classes": "all_classes"}
+    return graph.entity_counts({n: view(spark, sf_dir, of) for n, of in kinds.items()})
+
+
 # --- statistics
 
 
@@ -551,6 +579,15 @@ def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.kendall(part, "p_size", "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", F.round("tau", 6).alias("tau"))
 
 
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part), c AS (
+        SELECT x.p_brand, sum(sign(x.p_size - y.p_size) * sign(x.p_retailprice - y.p_retailprice)) AS s, count(*) FILTER (x.p_size <> y.p_size) AS nx, count(*) FILTER (x.p_retailprice <> y.p_retailprice) AS ny
+        FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey GROUP BY ALL)
+    SELECT p_brand, round(CASE WHEN nx > 0 AND ny > 0 THEN s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau FROM c""")
+def kendall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A20 over all parts."""
+    return statistics.kendall(view(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", F.round("tau", 6).alias("tau"))
+
+
 @query("""WITH r AS (SELECT event_type, user_id % 2 = 0 AS f, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS r FROM events)
     SELECT event_type, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, round((sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0)::DOUBLE, 1) AS u FROM r GROUP BY ALL""")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,6 +607,17 @@ def graph_diff_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_name", "n_actual", "n_expected", "n_common", F.round("f1", 6).alias("f1"), F.array_join("missing", ",").alias("missing"))
 
 
+@query("""WITH b AS (SELECT DISTINCT n_name, p_brand, p_size % 2 AS odd FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+    j AS (SELECT coalesce(a.n_name, e.n_name) AS n_name, a.p_brand AS x, e.p_brand AS y FROM (SELECT * FROM b WHERE odd = 1) a FULL JOIN (SELECT * FROM b WHERE odd = 0) e ON a.n_name = e.n_name AND a.p_brand = e.p_brand)
+    SELECT n_name, count(x) AS n_actual, count(y) AS n_expected, count(*) FILTER (x = y) AS n_common, round(2 * count(*) FILTER (x = y) / (count(x) + count(y))::DOUBLE, 6) AS f1, coalesce(string_agg(y, ',' ORDER BY y) FILTER (x IS NULL), '') AS missing FROM j GROUP BY ALL""")
+def graph_diff_f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 over all parts: two sets a nation, of brands of odd and even sizes."""
+    v = lambda n: view(spark, sf_dir, n)
+    base = v("lineitem").join(v("part"), F.col("l_partkey") == F.col("p_partkey")).join(v("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(v("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", F.col("p_brand").alias("item"), "p_size")
+    out = statistics.graph_diff(base.filter("p_size % 2 = 1"), base.filter("p_size % 2 = 0"), ["n_name"])
+    return out.select("n_name", "n_actual", "n_expected", "n_common", F.round("f1", 6).alias("f1"), F.array_join("missing", ",").alias("missing"))
+
+
 @query("""WITH c AS (SELECT count(*) FILTER (t AND s) AS tp, count(*) FILTER (t AND NOT s) AS fn, count(*) FILTER (NOT t AND s) AS fp, count(*) FILTER (NOT t AND NOT s) AS tn FROM (SELECT quality = 1 AS t, n_chars > 1000 AS s FROM labels JOIN documents USING (doc_id)))
     SELECT tp, fn, fp, tn, round(tp / (tp + fn)::DOUBLE, 6) AS sensitivity, round(tn / (tn + fp)::DOUBLE, 6) AS specificity FROM c""")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,3 +252,25 @@ def test_streaming(spark, tmp_path):
         runs.append_scored(stream, lambda d: d.withColumn("s", F.col("v") * 2), str(tmp_path / "out"), str(tmp_path / "ck"), ["k"]).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int").write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_kendall_counts_every_pair(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": ["a"] * 70 + ["b"] * 40 + ["one"], "k": range(111), "x": rng.integers(0, 9, 111), "y": rng.integers(0, 30, 111)})
+    got = {r.g: r for r in statistics.kendall(spark.createDataFrame(pdf), "x", "y", "k", ["g"]).collect()}
+    assert set(got) == {"a", "b"}
+    for g, r in got.items():
+        p = pdf[pdf.g == g].to_numpy()
+        pairs = [(int(np.sign(a[2] - b[2])), int(np.sign(a[3] - b[3]))) for i, a in enumerate(p) for b in p[:i]]
+        s, nx, ny = sum(a * b for a, b in pairs), sum(a != 0 for a, _ in pairs), sum(b != 0 for _, b in pairs)
+        assert (r.score, r.nx, r.ny) == (s, nx, ny) and abs(r.tau - s / math.sqrt(nx * ny)) < 1e-12
+
+
+def test_whole_tables_are_read(spark, data):
+    from loomstrata.plans import queries as plans
+
+    read = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    pairs = read("lineitem").select("l_partkey", "l_suppkey").distinct().count()
+    assert sum(r.classes for r in plans.entity_counts_all(spark, data).collect()) == pairs
+    assert plans.merge_dedup_all(spark, data).count() == read("customer").count()
+    assert plans.kendall_all(spark, data).count() == read("part").groupBy("p_brand").count().filter("count > 1").count()

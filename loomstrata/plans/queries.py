@@ -654,7 +654,13 @@ def judge_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws are a hash that SQL lacks; tests repeat them."""
-    return statistics.bootstrap_mean(view(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"], ["s_suppkey"], 200)
+    return statistics.bootstrap_mean(view(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"], ["s_suppkey"], 10_000)
+
+
+@query(None)
+def bootstrap_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for Spearman's rho."""
+    return statistics.bootstrap_spearman(view(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"], ["s_suppkey"])
 
 
 # --- judges, overlap, ground truth

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrata.llm import decontaminate, exact_dedup, jaccard_join, packing, tokens, toxicity
-from loomstrata.llm.common import read, staged, tuned, without_ids
+from loomstrata.llm.common import ROW, numbered, read, staged, tuned, without_ids
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,20 +18,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id."""
+    """Of equal texts, one row with the smallest id."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by Jaccard similarity 0.75 or more of five-word shingles, the one with the smallest id."""
-    found = jaccard_join.jaccard_components(docs, k=5, t=Fraction(3, 4))
-    return without_ids(docs, staged(found.filter("doc_id <> component_id").select("doc_id"), "near_copies"))
+    """Of documents connected by Jaccard similarity 0.75 or more of five-word shingles, the one with the smallest id.
+    Stages decide by row: an id may be null or repeated."""
+    rows = numbered(docs)
+    found = jaccard_join.jaccard_components(rows, id_col=ROW, k=5, t=Fraction(3, 4)).join(rows.select(ROW, "doc_id"), ROW)
+    stays = found.groupBy("component_id").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW)).select(ROW)
+    gone = rows.select(ROW).join(stays, ROW, "left_anti")
+    return without_ids(rows, staged(gone, "near_copies"), ROW).drop(ROW)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontaminate.find_passages(docs, read(spark, sf_dir, "benchmark"))
-    return without_ids(docs, staged(found.select("doc_id"), "leaks"))
+    rows = numbered(docs)
+    found = decontaminate.find_passages(rows, read(spark, sf_dir, "benchmark"), id_col=ROW)
+    return without_ids(rows, staged(found.select(ROW), "leaks"), ROW).drop(ROW)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of numbered().
+ROW = "_loomstrata_row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df, staged with a number of each row in ROW, so that rows that share an id, or have none, can be told apart."""
+    return staged(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

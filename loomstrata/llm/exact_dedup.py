@@ -11,16 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPREAD, attach, spread, staged, without_ids
+from .common import ROW, SPREAD, attach, numbered, spread, staged, without_ids
 
 #: An entry's key. The second hash and the length verify the digest: texts that differ in any of them are kept apart.
 DIGEST = ["sha", "check", "n_bytes"]
 
 
 def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = SPREAD) -> DataFrame:
-    """(id, run, sha, check, n_bytes) of every row; a null text counts as empty."""
+    """(id, run, sha, check, n_bytes) of every row, and its number in a numbered table; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("id"), spread(F.col(id_col), runs=runs).alias("run"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("n_bytes"))
+    row = [F.col(ROW).alias("row")] if ROW in df.columns else []
+    return df.select(*row, F.col(id_col).alias("id"), spread(F.col(id_col), runs=runs).alias("run"), F.unhex(F.sha2(text, 256)).alias("sha"), F.xxhash64(text).alias("check"), F.octet_length(text).alias("n_bytes"))
 
 
 def merge_tree(rows: DataFrame, keep: str = "smallest", runs: int = SPREAD, fan_in: int = 16) -> DataFrame:
@@ -39,8 +40,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """For every row of df: id_col, keep_id, group_size, kept, text_sha256. Texts are equal when identical.
 
     Null texts count as empty, and empty texts are one group. Rows with a null id count in group_size; they are kept only
-    if no row of the group has an id (then nothing tells them apart, and all stay). Rows that repeat the id that stays are
-    all marked kept; drop_copies() leaves one of them. An empty table gives an empty result. Other columns are not read.
+    if no row of the group has an id (then nothing tells them apart, and all are). Rows that repeat the id that stays are
+    all marked kept; drop_copies() leaves one row of a group. An empty table gives an empty result. Other columns are not read.
     """
     rows = staged(digest_rows(df, id_col, text_col, runs), "digests")
     out = attach(rows, merge_tree(rows, keep, runs, fan_in), DIGEST)
@@ -48,6 +49,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """df without the rows that exact_dedup() does not keep; all columns stay. Ids are taken to name one text each."""
-    gone = staged(exact_dedup(df, id_col, text_col, keep).filter("not kept").filter(F.col(id_col).isNotNull()).select(id_col), "copies")
-    return without_ids(df, gone, id_col)
+    """One row of each group of equal texts: of the rows with the id that exact_dedup() keeps (without any id in the group,
+    of all its rows) one stays. Rows are told apart by a staged number, so an id may be null or name several texts."""
+    rows = numbered(df)
+    digests = staged(digest_rows(rows, id_col, text_col).withColumn("run", spread("row")), "digests")
+    marked = attach(digests, merge_tree(digests, keep), DIGEST)
+    stays = marked.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*DIGEST).agg(F.min("row").alias("row")).select("row")
+    gone = staged(digests.select("row").join(stays, "row", "left_anti").withColumnRenamed("row", ROW), "copies")
+    return without_ids(rows, gone, ROW).drop(ROW)

@@ -116,3 +116,15 @@ def test_oracles(spark, data):
         got, want = queries.QUERIES[name](spark, data).toPandas(), duckdb.sql(sql).df()
         c = sorted(want.columns)
         assert sorted(got.columns) == c and got[c].sort_values(c).astype(str).values.tolist() == want[c].sort_values(c).astype(str).values.tolist()
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_drop_copies_decides_by_row(odd, keep):
+    rows, left = odd.collect(), exact_dedup.drop_copies(odd, keep=keep).collect()
+    ids: dict[str, list] = {}
+    for r in rows:
+        ids.setdefault(r.text or "", []).append(r.doc_id)
+    assert Counter(r.text or "" for r in left) == Counter(ids.keys())
+    for r in left:
+        known = [i for i in ids[r.text or ""] if i is not None]
+        assert r.doc_id == ((min if keep == "smallest" else max)(known) if known else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from fractions import Fraction
@@ -70,3 +71,19 @@ def test_run_and_empty(spark, data):
     none = read(spark, data, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, data).count() == 0
+
+
+def test_stages_decide_by_row(spark, data):
+    from .conftest import prose
+
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    item = read(spark, data, "benchmark").orderBy("item_id").first().text
+    near = [(5, a), (None, a.upper()), (None, b), (None, b.upper()), (7, c), (7, a + " end")]
+    leaky = [(None, f"{c} {item} {c}"), (9, f"{a} {item}"), (9, b)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = Counter((r.doc_id, r.text.lower()) for r in stages["jaccard_join"](spark, frame(near), data).collect())
+    assert got == Counter([(5, a.lower()), (None, b.lower()), (7, c.lower())])
+    got = Counter((r.doc_id, r.text) for r in stages["decontaminate"](spark, frame(leaky), data).collect())
+    assert got == Counter([(9, b)])

@@ -1,5 +1,6 @@
 """Toxicity by a weighted finite-state pattern grammar. Transducers for negation, reported speech, targets and scores are
-composed to one machine that reads a clause's word classes and gives the clause a weight; isolated words have none.
+composed to one machine that reads a clause's word classes and gives the clause a weight; threats have none
+without a target, insults have their own.
 
 The lexicon of insults is learned from labels: words and word beginnings that toxic documents have and others lack, with
 their log odds. Function words and threats are fixed lists.
@@ -87,6 +88,25 @@ def grammar() -> Transducer:
     return composed.then(target, ALPHABET).then(threat, ALPHABET)
 
 
+def _aimed(before: int, after: int, weight: float) -> Transducer:
+    """A threat without a target in the `before` words ahead of it waits for one in the next `after`, which is rewritten to
+    K, an aimed threat. Weakened threats don't wait."""
+    arcs = {}
+    for g in range(before + 1):
+        for t in range(after + 1):
+            here, later = f"{g},{t}", f"{max(g - 1, 0)},{max(t - 1, 0)}"
+            arcs[here, "*"] = ("*", 1.0, later)
+            arcs[here, "G"] = ("K", weight, f"{before},0") if t else ("*", 1.0, f"{before},0")
+            if not g:
+                arcs[here, "T"] = ("*", 1.0, f"0,{after}")
+    return Transducer(arcs, "0,0")
+
+
+def machine() -> Transducer:
+    """The grammar with threats before their targets: what a Scorer reads clauses with."""
+    return grammar().then(_aimed(5, 4, 1.5), ALPHABET)
+
+
 @dataclass
 class Lexicon:
     """Weights of whole words and of word beginnings ("stem*")."""
@@ -168,7 +188,7 @@ class Scorer:
         if len(self.machine):
             self.machine.make_automaton()
         self.classes = dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T")
-        composed = grammar()
+        composed = machine()
         self.start, self.arcs = composed.start, composed.arcs
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
@@ -197,7 +217,7 @@ class Scorer:
             written, factor, state = self.arcs[state, kind]
             if written in "Ii":
                 total += value * factor
-            elif written in "Tt" and factor > 1:  # a threat counts with a target
+            elif written == "K" or written in "Tt" and factor > 1:  # a threat counts with a target, before or after it
                 total += 1.0 * factor
         return total
 

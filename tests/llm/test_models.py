@@ -152,3 +152,11 @@ def test_toxicity_odd_rows(odd, empty, spark):
     assert toxicity.score(odd, toxicity.train(odd, labels.limit(0))).filter("score > 0.3").count() == 0
     same = odd.filter("doc_id is not null and doc_id < 10").select("doc_id", toxicity.scores(model, F.col("text"), spark).alias("s")).join(toxicity.score(odd, model), "doc_id")
     assert all(r.s == pytest.approx(r.score) for r in same.collect())
+
+
+def test_threats_before_their_target_count():
+    c = toxicity.Scorer(toxicity.Lexicon({"scum": 5.0}, {}), [-4, 1, 2, 1, 0]).clause
+    assert c("kill you".split()) == c("I will kill you".split()) == c("you kill".split()) == 1.5
+    assert c("you kill you".split()) == 1.5 and c("kill all of the you".split()) == 1.5
+    assert c("kill one two three four you".split()) == 0 and c("never kill you".split()) == 0 and c("they said kill you".split()) == 0
+    assert c("kill".split()) == 0 and c("kill time you scum".split()) > c("time you scum".split())

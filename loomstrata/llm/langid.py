@@ -3,6 +3,7 @@ landmarks, one-versus-rest kernel ridge regression, scored by batched matrix pro
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +24,10 @@ MOST_LANGUAGES = 400
 #: Texts in a matrix product.
 BATCH = 64
 
-_letter = np.zeros(1 << 16, np.uint16)
-for _c in range(1 << 16):
+_letter = np.zeros(sys.maxunicode + 1, np.uint32)
+for _c in range(sys.maxunicode + 1):
     if chr(_c).isalpha():
-        _letter[_c] = (ord(chr(_c).lower()[0]) & 0xFFFF) or 1
+        _letter[_c] = ord(chr(_c).lower()[0])
 
 
 def _places(gram: np.ndarray, size: int) -> np.ndarray:
@@ -42,7 +43,7 @@ def presence(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), WIDTH), np.float32)
     for row, text in enumerate(texts):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.concatenate([[0], _letter[np.minimum(code, (1 << 16) - 1)], [0]])
+        code = np.concatenate([[0], _letter[code], [0]])
         code = code[(code != 0) | np.concatenate([[True], code[:-1] != 0])].astype(np.uint32)
         if not code.any():
             continue

@@ -160,3 +160,11 @@ def test_threats_before_their_target_count():
     assert c("you kill you".split()) == 1.5 and c("kill all of the you".split()) == 1.5
     assert c("kill one two three four you".split()) == 0 and c("never kill you".split()) == 0 and c("they said kill you".split()) == 0
     assert c("kill".split()) == 0 and c("kill time you scum".split()) > c("time you scum".split())
+
+
+def test_letters_of_all_planes(spark):
+    adlam, han = "\U0001e900\U0001e901 \U0001e902", "\U00020000\U00020001"
+    x = langid.presence([adlam, adlam.lower(), han, "\U0001f600 \U0010ffff"])
+    assert x[0].any() and np.allclose(x[0], x[1]) and x[2].any() and not x[3].any()
+    rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([(adlam, "ff"), (han, "zh"), ("plain words", "en")] * 6)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == n for r, n in zip(langid.predict(rows, langid.train(rows)).orderBy("doc_id").collect(), ["ff", "zh", "en"] * 6))

@@ -135,22 +135,41 @@ def find_passages(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     bench = items.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     passes = max(1, math.ceil(bench.count() / ITEMS))
     schema = "id long, item long, start_word long, n_words long, similarity double, n_passages long"
+    total, counts = (bench.count(), _shingle_counts(bench, k)) if passes > 1 else (None, None)
     out = None
     for p in range(passes):
         block = bench.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == p).orderBy("item", "text").collect()
-        got = rows.mapInPandas(_search(spark, [(r["item"], r["text"]) for r in block], least, k), schema)
+        got = rows.mapInPandas(_search(spark, [(r["item"], r["text"]) for r in block], least, k, total, counts), schema)
         out = got if out is None else out.unionByName(got)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity", "n_passages")
 
 
-def _search(spark, items: list[tuple[int, str]], least: float, k: int):
-    seen: Counter[int] = Counter()
-    for _, t in items:
-        w, _ = word_hashes([t])
-        if len(w):
-            seen.update(set(combine(w, min(k, len(w))).tolist()))
-    weights = {s: math.log1p(len(items) / n) for s, n in seen.items()}
-    sent = spark.sparkContext.broadcast((items, weights, math.log1p(len(items) or 1)))
+def _item_shingles(text: str, k: int) -> set[int]:
+    w, _ = word_hashes([text])
+    return set(combine(w, min(k, len(w))).tolist()) if len(w) else set()
+
+
+def _shingle_counts(bench: DataFrame, k: int) -> dict[int, int]:
+    """Shingles that two items or more have, and how many. One that a single item has weighs as much as one of no item."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [s for t in b["text"] for s in _item_shingles(t, k)]
+            yield pd.DataFrame({"s": np.array(found, np.uint64).view(np.int64)})
+
+    rows = bench.select("text").mapInPandas(each, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").collect()
+    return {r["s"] % 2**64: r["n"] for r in rows}
+
+
+def _search(spark, items: list[tuple[int, str]], least: float, k: int, total: int | None = None, counts: dict[int, int] | None = None):
+    """total and counts are of all items, where items is one block of them."""
+    if counts is None:
+        seen: Counter[int] = Counter()
+        for _, t in items:
+            seen.update(_item_shingles(t, k))
+        total, counts = len(items), seen
+    weights = {s: math.log1p(total / n) for s, n in counts.items()}
+    sent = spark.sparkContext.broadcast((items, weights, math.log1p(total or 1)))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bench = Bench(*sent.value, k)

@@ -131,3 +131,16 @@ def test_no_items(odd, empty, spark):
     assert decontaminate.find_passages(odd, none).count() == 0
     items = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
     assert decontaminate.find_passages(empty, items).count() == 0 and decontaminate.find_passages(odd, items).count() == 0
+
+
+def test_passes_share_weights(spark, monkeypatch):
+    rng = random.Random(9)
+    common = [prose(rng, 20) for _ in range(3)]
+    items = [(i, f"{prose(rng, 12)} {common[i % 3]} {prose(rng, 12)}") for i in range(30)]
+    docs = [(i, f"{prose(rng, 30)} {t[: -8 - i % 5]} {prose(rng, 30)}") for i, t in items]
+    make = lambda rows, names: spark.createDataFrame(rows, f"{names} long, text string")
+    find = lambda: sorted(tuple(r) for r in decontaminate.find_passages(make(docs, "doc_id"), make(items, "item_id")).collect())
+    want = find()
+    assert len(want) > 10 and any(r[4] < 1 for r in want)
+    monkeypatch.setattr(decontaminate, "ITEMS", 8)
+    assert find() == [(*r[:4], pytest.approx(r[4], abs=1e-12), r[5]) for r in want]

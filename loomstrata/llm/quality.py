@@ -98,9 +98,10 @@ def _gradients(p: dict, x: np.ndarray, at: np.ndarray, y: np.ndarray, weight: np
     return {"w": x.T @ dh, "b": dh.sum(axis=0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": tg.T @ de, "c": f["z"].T @ dy, "d": dy.sum()}
 
 
-def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
+def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 500, rate: float = 0.02, decay: float = 1e-4, seed: int = 3, prior: float | None = None) -> Model:
     """Adam on the weighted log loss over all documents at once. Document weights make classes count alike at first half;
-    the intercept is then moved to the labels' own share, so scores are probabilities. One class only: its constant."""
+    the intercept is then moved to the labels' own share (prior, or else that of y), so scores are probabilities. One class
+    only: its constant."""
     rng = np.random.default_rng(seed)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     p = {"w": rng.normal(size=(x.shape[1], HIDDEN)) / np.sqrt(x.shape[1]), "b": np.zeros(HIDDEN), "v": rng.normal(size=(HIDDEN, ATTENTION)) / 4, "u": rng.normal(size=(HIDDEN, ATTENTION)) / 4, "a": rng.normal(size=ATTENTION) / 3, "c": rng.normal(size=HIDDEN) / 4, "d": np.zeros(())}
@@ -116,19 +117,24 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, steps: int = 500, rate: fl
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    prior = share if prior is None or not 0 < prior < 1 else prior
+    p["d"] = p["d"] + np.log(prior / (1 - prior))
     return Model(mean, scale, p)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = EACH) -> Model | None:
     """The model of at most `each` labelled documents of each class; None where there is no label to learn from."""
-    chosen = by_label(labels.filter(F.col(label_col).isNotNull()), label_col, F.lit(True) if usable is None else usable, [0, 1], each, id_col)
+    usable = F.lit(True) if usable is None else usable
+    known = labels.filter(F.col(label_col).isNotNull())
+    prior = known.filter(usable).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
+    chosen = by_label(known, label_col, usable, [0, 1], each, id_col)
     got = texts_of(docs, chosen, id_col, text_col)
     if not got:
         return None
     texts = [t for t, _ in got]
     parts = [passages(texts[i:j]) for i, j in chunks(texts)]
     at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))])
-    return fit(np.concatenate([x for x, _ in parts]), at, np.array([float(y) for _, y in got]))
+    return fit(np.concatenate([x for x, _ in parts]), at, np.array([float(y) for _, y in got]), prior=prior)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -168,3 +168,11 @@ def test_letters_of_all_planes(spark):
     assert x[0].any() and np.allclose(x[0], x[1]) and x[2].any() and not x[3].any()
     rows = spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate([(adlam, "ff"), (han, "zh"), ("plain words", "en")] * 6)], "doc_id long, text string, lang string")
     assert all(r.lang_pred == n for r, n in zip(langid.predict(rows, langid.train(rows)).orderBy("doc_id").collect(), ["ff", "zh", "en"] * 6))
+
+
+def test_quality_scores_are_probabilities(spark, sf):
+    got, y, _ = _split(spark, sf, "op5_attention_quality", "quality", 5)
+    assert abs(np.mean([r.score for r in got]) - y.mean()) < 0.03
+    x, at, y = np.random.default_rng(1).normal(size=(40, quality.FEATURES)), np.arange(41), np.repeat([1.0, 0.0], [30, 10])
+    d = [float(quality.fit(x, at, y, steps=5, prior=p).p["d"]) for p in (0.5, 0.9, None)]
+    assert d[1] - d[0] == pytest.approx(np.log(9)) and d[2] - d[0] == pytest.approx(np.log(3))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import camel_words, canonical, category, json_object, mentions, position_reference, route_pattern, value
+from ..functions.text import camel_words, canonical, category, json_object, position_reference, route_pattern, value
+from ..functions.text import mentions as _mentions
 
 #: Facts of each category that count, at most.
 MOST = 40
@@ -32,6 +35,9 @@ CANDIDATES = [
     ("pascal", r"(?<![A-Za-z0-9_])((?:[A-Z][a-z0-9]+){2,})(?![A-Za-z0-9_])"),
 ]
 
+# Verbs that make a claim one about an endpoint.
+VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
+
 # Tags of missing facts by category.
 MISSED = {"Endpoint": "missed_endpoint", "Dependency": "missed_dependency", "Framework": "missed_framework_or_language", "Language": "missed_framework_or_language", "Class/Service": "missed_class_or_service", "Database entity": "missed_database_entity"}
 
@@ -60,8 +66,10 @@ def match_facts(facts: DataFrame, summaries: DataFrame, scope: str = "repo_name"
     lenient ones, and the first that holds counts.
     """
     f = facts.select(scope, *[c for c in facts.columns if c != scope], F.trim(category(F.col("fact"))).alias("category"), value(F.col("fact")).alias("_v"))
-    rows = summaries.join(f, scope).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    read = summaries.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_low", F.lower("_t"))
+    rows = read.join(f, scope)
     t, v = F.col("_t"), F.col("_v")
+    mentions = partial(_mentions, low=F.col("_low"))
     name = F.element_at(F.split(v, r"\s+"), 1)
     scoped = F.startswith(v, F.lit("@")) & F.contains(v, F.lit("/"))
     bare = F.substring(v, F.lit(2), F.length(v))
@@ -76,12 +84,12 @@ def match_facts(facts: DataFrame, summaries: DataFrame, scope: str = "repo_name"
         F.when(of == "Framework", F.when(mentions(t, name), "framework_name"))
         .when(of == "Language", F.when(mentions(t, v), "language_exact").when(abbreviated, "language_abbrev"))
         .when(of == "Dependency", F.when(mentions(t, v), "dep_exact").when(scoped & mentions(t, bare), "dep_unprefixed_scope").when(scoped & mentions(t, owner) & mentions(t, sub), "dep_scope_and_sub"))
-        .when(of == "Endpoint", F.when((path != "") & (at > 0), F.when((at > 1) & mentions(before, method), "endpoint_method_path").otherwise("endpoint_path_only")))
+        .when(of == "Endpoint", F.when((path != "") & (at > 0), F.when((at > 1) & _mentions(before, method), "endpoint_method_path").otherwise("endpoint_path_only")))
         .when(of == "Class/Service", F.when(mentions(t, v, any_case=False), "class_exact_cs").when(mentions(t, v), "class_exact_ci").when((words != F.lower(v)) & mentions(t, words), "class_camel_split"))
         .when(of == "Database entity", F.when(mentions(t, v, any_case=False), "entity_exact_cs").when(mentions(t, F.concat(v, F.lit("s")), any_case=False), "entity_plural_cs"))
     )
     strict = F.col("rule").isin("framework_name", "language_exact", "dep_exact", "dep_unprefixed_scope", "endpoint_method_path", "class_exact_cs", "entity_exact_cs")
-    return rows.withColumn("rule", rule).withColumn("lenient", F.col("rule").isNotNull()).withColumn("strict", F.coalesce(strict, F.lit(False))).drop("_t", "_v")
+    return rows.withColumn("rule", rule).withColumn("lenient", F.col("rule").isNotNull()).withColumn("strict", F.coalesce(strict, F.lit(False))).drop("_t", "_v", "_low")
 
 
 def coverage(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,18 +146,18 @@ def known_identifiers(tables: dict[str, DataFrame], scope: str = "repo_name") ->
 
 def unsupported(candidates: DataFrame, known: DataFrame, scope: str = "repo_name") -> DataFrame:
     """candidates with `supported`: equal to a known identifier (also without @), or one of more than three characters
-    contains it or lies in it. Equality is an equi-join; only what it leaves is compared by containment, within its own
-    repository."""
+    contains it or lies in it. Each form is judged once a repository, however many summaries have it. Equality is an
+    equi-join; only what it leaves is compared by containment, within its own repository."""
     low = F.lower("candidate")
     names = known.select(scope, F.col("known").alias("_name"))
-    exact = candidates.withColumn("_low", low).withColumn("_bare", F.regexp_replace(low, "^@+", ""))
-    hit = lambda c: exact.join(names.withColumnRenamed("_name", c), [scope, c], "left_semi")
-    sure = hit("_low").unionByName(hit("_bare"), allowMissingColumns=True).select(*candidates.columns).distinct()
-    open_ = candidates.join(sure, candidates.columns, "left_anti")
+    forms = candidates.select(scope, low.alias("_low")).distinct().withColumn("_bare", F.regexp_replace("_low", "^@+", ""))
+    hit = lambda c: forms.join(names.withColumnRenamed("_name", c), [scope, c], "left_semi").select(scope, "_low")
+    sure = hit("_low").unionByName(hit("_bare"))
+    open_ = forms.join(sure, [scope, "_low"], "left_anti")
     long = names.filter(F.length("_name") > 3)
-    near = open_.join(long, scope).filter(F.contains(F.col("_name"), low) | F.contains(low, F.col("_name"))).select(*candidates.columns).distinct()
-    some = sure.unionByName(near).withColumn("supported", F.lit(True))
-    return candidates.join(some, candidates.columns, "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
+    near = open_.join(long, scope).filter(F.contains("_name", F.col("_low")) | F.contains("_low", F.col("_name"))).select(scope, "_low")
+    some = sure.unionByName(near).distinct().withColumn("supported", F.lit(True))
+    return candidates.withColumn("_low", low).join(some, [scope, "_low"], "left").select(*candidates.columns, F.coalesce("supported", F.lit(False)).alias("supported"))
 
 
 def unsupported_rate(judged: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
@@ -170,7 +178,8 @@ def fact_index(facts: DataFrame, scope: str = "repo_name") -> DataFrame:
 def resolve_verdict(items: DataFrame, facts: DataFrame, keys: list[str], scope: str = "repo_name", item: str = "item") -> DataFrame:
     """items (keys, pos, item) with `fact`: by canonical form, else by position in the fact list; null: unmatched."""
     order = Window.partitionBy(scope).orderBy("section", "pos", "fact")
-    numbered = facts.select(scope, F.row_number().over(order).alias("_n"), F.col("fact").alias("_by_n"))
+    # a position has three digits at most; the filter lets each task pass on no more than that before rows are sorted
+    numbered = facts.select(scope, F.row_number().over(order).alias("_n"), F.col("fact").alias("_by_n")).filter("_n <= 999")
     index = fact_index(facts, scope).select(scope, F.col("key").alias("_key"), F.col("fact").alias("_by_key"))
     rows = items.withColumn("_key", canonical(F.col(item))).withColumn("_n", position_reference(F.col(item)))
     return rows.join(index, [scope, "_key"], "left").join(numbered, [scope, "_n"], "left").withColumn("fact", F.coalesce("_by_key", "_by_n")).drop("_key", "_n", "_by_key", "_by_n")
@@ -202,7 +211,7 @@ def judged_coverage(resolved: DataFrame, facts: DataFrame, verdicts: DataFrame,
 
 
 def claim_tag(claim: Column) -> Column:
-    endpoint = F.rlike(claim, F.lit(r"(?i)\b(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\b\s*[:\s]*/\S*"))
+    endpoint = F.rlike(claim, F.lit(rf"(?i)\b(?:{'|'.join(VERBS)})\b[:\s]*/"))
     return F.when(endpoint, "fabricated_endpoint").otherwise("fabricated_technology")
 
 
@@ -233,6 +242,29 @@ def tag_frequencies(tagged: DataFrame, by: list[str] | None = None) -> DataFrame
     return tagged.select(*(by or []), F.explode("tags").alias("tag")).groupBy(*(by or []), "tag").agg(F.count("*").alias("n")).orderBy(*(by or []), F.desc("n"), "tag")
 
 
+def unmatched_totals(rows: DataFrame, items: str = "unmatched", by: list[str] | None = None) -> DataFrame:
+    """Over rows with a list of unmatched items: rows, rows with any, items in all."""
+    n = F.coalesce(F.size(items), F.lit(0))
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n_rows"), F.count_if(n > 0).alias("rows_with_any"), F.sum(F.greatest(n, F.lit(0))).alias("n_items"))
+
+
+def unmatched_composition(rows: DataFrame, key: list[str], sample: int, items: str = "unmatched", seed: int = 11) -> DataFrame:
+    """(kind, n, share, estimate): kinds of the items in `sample` rows that have any, and what that makes of all items. The
+    sample is the first rows in the order of a hash of their key, so it is the same in every run; it is the feature."""
+    some = rows.filter(F.size(items) > 0)
+    chosen = some.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(sample)
+    kinds = chosen.select(F.explode(items).alias("x")).groupBy(unmatched_class(F.col("x")).alias("kind")).agg(F.count("*").alias("n"))
+    out = kinds.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return out.withColumn("estimate", F.round(F.col("share") * some.agg(F.sum(F.size(items))).scalar()).cast("long"))
+
+
+def all_index_rows(rows: DataFrame, key: list[str], items: str = "unmatched", most: int = 10) -> DataFrame:
+    """The rows whose unmatched items are all positions, those with most items first; `most` of them, a top list."""
+    none = ~F.exists(items, lambda x: F.coalesce(unmatched_class(x) != "index", F.lit(True)))
+    n = F.size(items)
+    return rows.filter((n > 0) & none).select(*key, n.alias("n_items")).orderBy(F.desc("n_items"), *key).limit(most)
+
+
 def unmatched_class(item: Column) -> Column:
     """index, fact-like or other."""
     bare = F.regexp_replace(F.trim(item), "^[`'\" ]+|[`'\" ]+$", "")

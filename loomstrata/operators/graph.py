@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_path
+from ..sources.staging import written
 
 #: Key of each node table; edges are keyed by both ends.
 KEYS = {"repositories": ["repo_name"], "modules": ["repo_name", "id"], "classes": ["repo_name", "id"], "functions": ["repo_name", "id"], "endpoints": ["repo_name", "id"], "db_entities": ["repo_name", "id"], "external_deps": ["repo_name", "name"], "config_files": ["repo_name", "path"]}
@@ -85,29 +86,37 @@ def diagram_rows(modules: DataFrame, edges: DataFrame, endpoints: DataFrame, fun
     return m.unionByName(e).unionByName(p)
 
 
-def mount_prefixes(own: DataFrame, mounts: DataFrame, scope: str = "repo_name", most_hops: int = 64) -> DataFrame:
+def mount_prefixes(own: DataFrame, mounts: DataFrame, scope: str = "repo_name") -> DataFrame:
     """(scope, id, prefix): the external prefix of every module with a prefix of its own or a mount.
 
     own: (scope, id, own_prefix); mounts: (scope, id, mounter, local_prefix), one row a mounted module. The prefix of a
-    module is its mounter's, the local one and its own, joined; a module that closes a cycle counts as ''. The chain is
-    followed upwards by a join a hop; a path of visited ids guards against cycles.
+    module is its mounter's, the local one and its own, joined; a module that closes a cycle counts as ''. Chains of any
+    length are followed by pointer doubling: each round joins every module with the one its pointer has reached, so a chain
+    of n mounts takes log(n) rounds, and each round is written out, so plans don't grow. When a round ends no chain, what
+    is left runs into cycles; those modules go on a mount a round, with the path that they have seen.
     """
-    from functools import reduce
-
-    ids = own.select(scope, "id").unionByName(mounts.select(scope, "id")).distinct()
-    own, mounts = (t.persist() for t in (own.select(scope, F.col("id").alias("at"), "own_prefix"), mounts.select(scope, F.col("id").alias("at"), "mounter", "local_prefix")))
-    live = ids.select(scope, "id", F.col("id").alias("at"), F.array("id").alias("seen"), F.lit("").alias("tail"))
-    done = []
-    for _ in range(most_hops):
-        step = live.join(own, [scope, "at"], "left").join(mounts, [scope, "at"], "left")
-        step = step.withColumn("tail", join_path(F.coalesce("local_prefix", F.lit("")), F.coalesce("own_prefix", F.lit("")), F.col("tail")))
-        ends = F.col("mounter").isNull() | F.array_contains("seen", F.col("mounter"))
-        step = step.persist()
-        done.append(step.filter(ends).select(scope, "id", F.col("tail").alias("prefix")))
-        live = step.filter(~ends).select(scope, "id", F.col("mounter").alias("at"), F.array_append("seen", F.col("mounter")).alias("seen"), "tail")
-        if live.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, done)
+    left = F.col("id")
+    known = own.select(scope, "id").unionByName(mounts.select(scope, "id")).distinct()
+    part = join_path(F.coalesce("local_prefix", F.lit("")), F.coalesce("own_prefix", F.lit("")))
+    steps = known.join(own, [scope, "id"], "left").join(mounts, [scope, "id"], "left").select(scope, "id", F.col("mounter").alias("to"), part.alias("prefix"))
+    # a mounter that has neither a prefix nor a mount ends its chains
+    alone = steps.filter("to is not null").select(scope, F.col("to").alias("id")).distinct().join(known, [scope, "id"], "left_anti")
+    steps = written(steps.unionByName(alone.select(scope, "id", F.lit(None).cast(known.schema["id"].dataType).alias("to"), F.lit("").alias("prefix"))), "mounts")
+    rows, before = steps, None
+    while (live := rows.filter("to is not null").count()) and live != before:
+        before = live
+        further = rows.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
+        rows = rows.join(further, [scope, "to"], "left").select(scope, "id", F.col("then").alias("to"), F.when(F.col("to").isNull(), F.col("prefix")).otherwise(join_path(F.col("above"), F.col("prefix"))).alias("prefix"))
+        rows = written(rows, "doubled")
+    done = rows.filter("to is null").select(scope, "id", "prefix")
+    if live:
+        at = steps.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
+        caught = rows.filter("to is not null").select(scope, "id").join(steps, [scope, "id"]).withColumn("seen", F.array(left))
+        while not (going := caught.filter(~F.array_contains("seen", F.col("to")))).isEmpty():
+            done = done.unionByName(caught.filter(F.array_contains("seen", F.col("to"))).select(scope, "id", "prefix"))
+            caught = written(going.join(at, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), join_path(F.col("above"), F.col("prefix")).alias("prefix"), F.array_append("seen", F.col("to")).alias("seen")), "caught")
+        done = done.unionByName(caught.select(scope, "id", "prefix"))
+    return known.join(done, [scope, "id"])
 
 
 def apply_prefixes(endpoints: DataFrame, prefixes: DataFrame, scope: str = "repo_name") -> DataFrame:
@@ -124,9 +133,3 @@ def entity_counts(tables: dict[str, DataFrame], scope: str = "repo_name") -> Dat
     for table, name in names.items():
         out = out.join(tables[table].groupBy(scope).agg(F.count("*").alias(name)), scope, "left")
     return out.fillna(0, list(names.values()))
-
-
-def first_by(table: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order (ties by all columns)."""
-    w = Window.partitionBy(*keys).orderBy(*order, *[F.col(c) for c in table.columns])
-    return table.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

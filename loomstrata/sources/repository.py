@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexer
 from ..functions.text import join_path
+from .staging import written
 
 # What is scanned.
 SKIP_DIRS = ["node_modules", ".git", "dist", "build", "coverage", ".next"]
@@ -234,7 +235,7 @@ def parse(files: DataFrame, framework: str) -> dict[str, DataFrame]:
     from ..operators import graph
 
     sources, skipped = source_files(files, framework)
-    found = lex(sources).cache()
+    found = written(lex(sources), "lexed")
     modules = found.filter("warning is null").select("repo_name", F.col("module_id").alias("id"), "path", F.lit("module").alias("kind"), "pos")
     if framework == "express":
         own, mounts = mount_tables(found)

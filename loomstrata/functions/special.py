@@ -59,22 +59,25 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
 
 
 def wilcoxon_p(d: np.ndarray) -> float | None:
-    """Two-sided signed-rank p. Zeros are dropped; exact without ties up to 50 differences, else normal without a
-    continuity correction. None where no difference is left."""
+    """Two-sided signed-rank p of differences; see signed_rank_p()."""
     kept = d[d != 0]
-    n = len(kept)
+    ranks = average_ranks(np.abs(kept))
+    _, ties = np.unique(np.abs(kept), return_counts=True)
+    return signed_rank_p(len(kept), min(ranks[kept > 0].sum(), ranks[kept < 0].sum()), float((ties**3 - ties).sum()), len(kept) == len(d))
+
+
+def signed_rank_p(n: int, low: float, tie_sum: float, no_zeros: bool) -> float | None:
+    """Two-sided p of n non-zero differences, low being the smaller rank sum. Exact without zeros and ties up to 50
+    differences, else normal without a continuity correction. None where there is no difference."""
     if not n:
         return None
-    ranks = average_ranks(np.abs(kept))
-    low = min(ranks[kept > 0].sum(), ranks[kept < 0].sum())
-    if n <= 50 and n == len(d) and len(np.unique(np.abs(kept))) == n:
+    if n <= 50 and no_zeros and not tie_sum:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for r in range(1, n + 1):
             ways[r:] = ways[r:] + ways[:-r].copy() if r < len(ways) else ways[r:]
         return float(min(1.0, 2 * ways[: int(low) + 1].sum() / 2.0**n))
-    _, ties = np.unique(np.abs(kept), return_counts=True)
-    var = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
+    var = n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48
     return float(min(1.0, 2 * normal_cdf((low - n * (n + 1) / 4) / math.sqrt(var)))) if var > 0 else 1.0
 
 

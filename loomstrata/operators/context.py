@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RAW_BUDGET = 24_000
+#: Parts of a repository's files in which the first ones are looked for.
+PARTS = 64
 
 
 def _listed(items: Column, none: str = "(none)") -> Column:
@@ -55,11 +57,13 @@ def knowledge_text(view: DataFrame, scope: str = "repo_name") -> DataFrame:
 
 def raw_text(files: DataFrame, order: list[Column], budget: int = RAW_BUDGET, scope: str = "repo_name", path: str = "path", text: str = "text") -> DataFrame:
     """(scope, context): files in order, each behind a header line, cut where the chunks reach the budget. Blank lines
-    between chunks are not counted; unreadable files (null text) are skipped. The running length decides which rows are
-    kept, so only rows within the budget are collected for a repository."""
+    between chunks are not counted; unreadable files (null text) are skipped. A chunk has 15 characters or more, so only
+    that many first files can matter: they are found in parts of a repository first, and no task sorts one as a whole."""
     chunk = F.concat(F.lit("// ---- "), F.col(path), F.lit(" ----\n"), F.col(text))
     w = Window.partitionBy(scope).orderBy(*order)
-    rows = files.filter(F.col(text).isNotNull()).withColumn("_chunk", chunk).withColumn("_before", F.coalesce(F.sum(F.length("_chunk")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_pos", F.row_number().over(w))
+    part = Window.partitionBy(scope, F.pmod(F.xxhash64(path, *order), F.lit(PARTS))).orderBy(*order)
+    first = files.filter(F.col(text).isNotNull()).withColumn("_pos", F.row_number().over(part)).filter(F.col("_pos") <= budget // 15 + 1)
+    rows = first.withColumn("_chunk", chunk).withColumn("_before", F.coalesce(F.sum(F.length("_chunk")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_pos", F.row_number().over(w))
     kept = rows.filter(F.col("_before") < budget).select(scope, "_pos", F.expr(f"substring(_chunk, 1, cast({budget} - _before as int))").alias("_part"))
     return kept.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("_pos", "_part"))).alias("_p")).select(scope, F.array_join(F.col("_p._part"), "\n\n").alias("context"))
 

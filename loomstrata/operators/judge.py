@@ -18,15 +18,17 @@ def confidence(rows: DataFrame, keys: list[str], logprobs: str = "logprobs") ->
     return each.groupBy(*keys).agg(F.exp(F.avg("lp")).alias("confidence"))
 
 
-def fit_platt(confidences: np.ndarray, correct: np.ndarray) -> tuple[float, float] | None:
+def fit_platt(confidences: np.ndarray, correct: np.ndarray, wrong: np.ndarray | None = None) -> tuple[float, float] | None:
     """(a, b) of 1 / (1 + exp(a s + b)) by maximum likelihood, with Nelder and Mead's simplex from (0, 0); None with under
-    four samples or one class only."""
-    if len(confidences) < 4 or correct.min() == correct.max():
+    four samples or one class only. correct and wrong: how many samples of each confidence are so; without wrong, a
+    confidence is one sample, which is correct or not."""
+    wrong = 1 - correct if wrong is None else wrong
+    if (correct + wrong).sum() < 4 or not correct.sum() or not wrong.sum():
         return None
 
     def cost(v: np.ndarray) -> float:
         p = np.clip(1 / (1 + np.exp(np.clip(v[0] * confidences + v[1], -500, 500))), 1e-12, 1 - 1e-12)
-        return float(-(correct * np.log(p) + (1 - correct) * np.log(1 - p)).sum())
+        return float(-(correct * np.log(p) + wrong * np.log(1 - p)).sum())
 
     points = [np.zeros(2), np.array([0.00025, 0.0]), np.array([0.0, 0.00025])]
     values = [cost(p) for p in points]
@@ -56,16 +58,17 @@ def fit_platt(confidences: np.ndarray, correct: np.ndarray) -> tuple[float, floa
 
 def calibration(rows: DataFrame, by: list[str], conf: str = "confidence", correct: str = "correct", bins: int = 5) -> DataFrame:
     """By group: Platt's a and b, and over calibrated probabilities the Brier score, its skill against the base rate and
-    the expected calibration error in equal bins. Groups are fitted apart, each in one task (they are result tables);
-    where nothing can be fitted, confidences are used as they are and a and b are null."""
+    the expected calibration error in equal bins. Groups are fitted apart, each from the numbers of samples by distinct
+    confidence, which are summed up before a task gets them; where nothing can be fitted, confidences are used as they are
+    and a and b are null."""
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        s, y = part[conf].to_numpy(float), part[correct].to_numpy(float)
-        ab = fit_platt(s, y)
+        ab = fit_platt(*(part[c].to_numpy(float) for c in (conf, "_right", "_wrong")))
         return part[by].head(1).assign(a=ab[0] if ab else None, b=ab[1] if ab else None)
 
     use = rows.filter(F.col(conf).isNotNull() & F.col(correct).isNotNull()).select(*by, F.col(conf).cast("double").alias(conf), F.col(correct).cast("int").alias(correct))
     kinds = ", ".join(f"{c} {use.schema[c].dataType.simpleString()}" for c in by)
-    fitted = use.groupBy(*by).applyInPandas(fit, f"{kinds}, a double, b double")
+    counts = use.groupBy(*by, conf).agg(F.sum(correct).alias("_right"), F.sum(1 - F.col(correct)).alias("_wrong"))
+    fitted = counts.groupBy(*by).applyInPandas(fit, f"{kinds}, a double, b double")
     p = F.when(F.col("a").isNull(), F.col(conf)).otherwise(1 / (1 + F.exp(F.col("a") * F.col(conf) + F.col("b"))))
     each = use.join(fitted, by).withColumn("_p", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
     binned = each.withColumn("_bin", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1))).groupBy(*by, "a", "b", "_bin").agg(F.count("*").alias("_n"), F.avg("_p").alias("_mp"), F.avg(correct).alias("_my"), F.sum((F.col("_p") - F.col(correct)) ** 2).alias("_sq"), F.sum(correct).alias("_ys"))

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from ..functions import special
 
+#: Ranges that smaller() cuts values into.
+RANGES = 256
+
 
 @F.pandas_udf(T.DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
@@ -41,21 +44,35 @@ def category_coverage(rows: DataFrame, totals: str, missing: str) -> DataFrame:
     return out.withColumn("coverage", F.when(F.col("total") > 0, (F.col("total") - F.col("missing")) / F.col("total")).otherwise(1.0))
 
 
-def pairs(rows: DataFrame, metric: str, factor: str, unit: list[str], a: str, b: str, order: Column | None = None) -> DataFrame:
-    """(unit, x, y): the metric of a unit at two levels of a factor; the last row of a key by `order` counts."""
-    use = rows.filter(F.col(factor).isin(a, b) & F.col(metric).isNotNull())
-    at = lambda level: F.max_by(F.when(F.col(factor) == level, F.col(metric)), F.struct(F.col(factor) == level, *([order] if order is not None else []), metric))
-    return use.groupBy(*unit).agg(at(a).alias("x"), at(b).alias("y")).filter("x is not null and y is not null")
+def smaller(counts: DataFrame, value: str, by: list[str], m: str = "_m", to: str = "_before") -> DataFrame:
+    """counts, rows with a number m for each value of a group, with the sum of m over the group's smaller values.
+
+    No window has a whole group: values are cut into ranges of about equal numbers by approximate quantiles of them all,
+    sums run within a range of a group, and over a group's ranges by another window of at most RANGES rows. Any cuts give
+    the same sums."""
+    at = F.col(value).cast("double")
+    cuts = counts.agg(F.coalesce(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("cuts"))
+    rows = counts.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    names = {c: f"_{i}_of_range" for i, c in enumerate(by)}
+    over = Window.partitionBy(*(names.values() if by else [F.lit(0)])).orderBy("_range_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*(F.col(c).alias(n) for c, n in names.items()), F.col("_range").alias("_range_of")).agg(F.sum(m).alias("_all"))
+    below = sums.withColumn("_below", F.coalesce(F.sum("_all").over(over), F.lit(0))).drop("_all")
+    same = F.col("_range") == F.col("_range_of")
+    for c, n in names.items():
+        same &= F.col(c).eqNullSafe(F.col(n))
+    out = rows.withColumn(to, F.coalesce(F.sum(m).over(within), F.lit(0))).join(below, same)
+    return out.withColumn(to, F.col(to) + F.col("_below")).drop("_range", "_range_of", "_below", *names.values())
 
 
 def signed_ranks(diffs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
-    """By group: n pairs, mean difference, non-zero pairs, W+, W- and the matched-pairs rank-biserial correlation. Average
-    ranks are a count of smaller values and half the ties, from one window by group."""
-    magnitude = Window.partitionBy(*by).orderBy(F.abs(d))
-    tie = Window.partitionBy(*by, F.abs(d))
-    ranked = diffs.filter(F.col(d) != 0).withColumn("_r", F.rank().over(magnitude) + (F.count("*").over(tie) - 1) / 2)
-    w = ranked.groupBy(*by).agg(F.count("*").alias("n_nonzero"), F.coalesce(F.sum(F.when(F.col(d) > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col(d) < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"))
-    out = diffs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_diff")).join(w, by, "left").fillna(0, ["n_nonzero"]).fillna(0.0, ["w_plus", "w_minus"])
+    """By group: n pairs, mean difference, non-zero pairs, W+, W-, the matched-pairs rank-biserial correlation and the tie
+    sum (of t**3 - t over equal magnitudes). Average ranks come from counts by magnitude."""
+    counts = diffs.filter(F.col(d) != 0).groupBy(*by, F.abs(d).alias("_v")).agg(F.count_if(F.col(d) > 0).alias("_p"), F.count("*").alias("_m"))
+    ranked = smaller(counts, "_v", by).withColumn("_r", F.col("_before") + (F.col("_m") + 1) / 2)
+    ties = F.sum(F.col("_m").cast("double") * F.col("_m") * F.col("_m") - F.col("_m"))
+    w = ranked.groupBy(*by).agg(F.sum("_m").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_m") - F.col("_p"))).alias("w_minus"), ties.alias("tie_sum"))
+    out = diffs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_diff")).join(w, by, "left").fillna(0, ["n_nonzero"]).fillna(0.0, ["w_plus", "w_minus", "tie_sum"])
     return out.withColumn("rank_biserial", F.when(F.col("n_nonzero") > 0, (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))))
 
 
@@ -68,15 +85,16 @@ def level_pairs(rows: DataFrame, metric: str, factor: str, unit: list[str], fixe
 
 
 def paired_tests(diffs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
-    """signed_ranks() with the two-sided p of the signed-rank test and a note where there is none."""
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        values = part[d].to_numpy(float)
-        p = special.wilcoxon_p(values) if len(values) >= 2 else None
-        note = "fewer than two pairs" if len(values) < 2 else "all differences are zero" if p is None else None
-        return part[by].head(1).assign(p_value=p, note=note)
+    """signed_ranks() with the two-sided p of the signed-rank test and a note where there is none. The p needs a group's
+    sums only: it is exact where up to 50 differences have neither zeros nor ties, else normal."""
 
-    kinds = ", ".join(f"{c} {diffs.schema[c].dataType.simpleString()}" for c in by)
-    return signed_ranks(diffs, by, d).join(diffs.groupBy(*by).applyInPandas(test, f"{kinds}, p_value double, note string"), by)
+    @F.pandas_udf("double")
+    def p_of(pairs: pd.Series, kept: pd.Series, plus: pd.Series, minus: pd.Series, ties: pd.Series) -> pd.Series:
+        each = zip(pairs, kept, plus, minus, ties)
+        return pd.Series([special.signed_rank_p(int(k), min(a, b), t, int(n) == int(k)) if n >= 2 else None for n, k, a, b, t in each], dtype="float64")
+
+    out = signed_ranks(diffs, by, d).withColumn("p_value", p_of("n_pairs", "n_nonzero", "w_plus", "w_minus", "tie_sum"))
+    return out.withColumn("note", F.when(F.col("n_pairs") < 2, "fewer than two pairs").when(F.col("n_nonzero") == 0, "all differences are zero"))
 
 
 def graph_diff(actual: DataFrame, expected: DataFrame, by: list[str], item: str = "item") -> DataFrame:
@@ -89,6 +107,23 @@ def graph_diff(actual: DataFrame, expected: DataFrame, by: list[str], item: str
     return out.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("n_common"), F.col("n_actual") + F.col("n_expected")), F.lit(1.0)))
 
 
+def diagram_f1(diffs: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """(by, one F1 for each of diffs, overall_f1) from graph_diff() of each kind of a diagram's parts: nodes, edges,
+    endpoints. A kind that a group lacks on both sides agrees in full; the overall F1 is the mean of the rounded ones."""
+    out, names = None, [f"{kind}_f1" for kind in diffs]
+    for name, d in zip(names, diffs.values()):
+        part = d.select(*by, F.round("f1", 4).alias(name))
+        out = part if out is None else out.join(part, by, "full_outer")
+    out = out.fillna(1.0, names)
+    return out.withColumn("overall_f1", F.round(sum((F.col(n) for n in names), F.lit(0.0)) / len(names), 4))
+
+
+def diagram_report(scores: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
+    """cell_summary() of several score columns at once: a row for each field and group."""
+    long = scores.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))).alias("x")).select(*by, "x.*")
+    return cell_summary(long, "value", ["field", *by])
+
+
 def holm(tests: DataFrame, p: str = "p_value", family: list[str] | None = None) -> DataFrame:
     """tests with `p_holm`: step-down Bonferroni within a family, a running maximum capped at 1. Null p-values stay null."""
     known = F.col(p).isNotNull()
@@ -100,11 +135,10 @@ def holm(tests: DataFrame, p: str = "p_value", family: list[str] | None = None)
 
 
 def with_average_rank(rows: DataFrame, c: str, to: str, by: list[str] | None = None) -> DataFrame:
-    """Average ranks of a column by group, without a window over all rows: counts by value are summed over values."""
+    """Average ranks of a column by group, from counts by value."""
     by = by or []
     counts = rows.groupBy(*by, c).agg(F.count("*").alias("_m"))
-    before = F.sum("_m").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(c))
-    ranks = counts.withColumn(to, before - (F.col("_m") - 1) / 2).select(*by, c, to)
+    ranks = smaller(counts, c, by).withColumn(to, F.col("_before") + (F.col("_m") + 1) / 2).select(*by, c, to)
     return rows.join(ranks, [*by, c])
 
 
@@ -119,14 +153,15 @@ def kendall(rows: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFra
     """Tau-b within groups of two rows or more, by counts: no two rows are paired. Ranks of y are compared by their
     highest differing bit, so a row is read once for each bit of its group's highest rank."""
     use = rows.dropna(subset=[x, y, *by]).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m"))
-    group = Window.partitionBy(*by)
-    ranked = use.withColumn("_r", F.dense_rank().over(group.orderBy("_y")).cast("long") - 1)
-    bits = ranked.withColumn("_bits", F.length(F.bin(F.max("_r").over(group)))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
+    values = smaller(use.select(*by, "_y").distinct().withColumn("_one", F.lit(1)), "_y", by, "_one", "_r").select(*by, "_y", F.col("_r").cast("long").alias("_r"))
+    highest = values.groupBy(*by).agg(F.length(F.bin(F.max("_r"))).alias("_bits"))
+    ranked = use.join(values, [*by, "_y"]).join(highest, by)
+    bits = ranked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
     bit, head = F.expr("shiftright(_r, _b) & 1"), F.expr("shiftright(_r, _b + 1)")
     counts = bits.groupBy(*by, "_b", head.alias("_head"), "_x").agg(F.sum(F.when(bit == 0, F.col("_m")).otherwise(0)).alias("_low"), F.sum(F.when(bit == 1, F.col("_m")).otherwise(0)).alias("_high"))
-    part = Window.partitionBy(*by, "_b", "_head")
-    before = F.sum("_low").over(part.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_low")
-    scored = counts.withColumn("_s", F.col("_high") * (2 * before + F.col("_low") - F.sum("_low").over(part)))
+    part = [*by, "_b", "_head"]
+    lows = counts.groupBy(*part).agg(F.sum("_low").alias("_lows"))
+    scored = smaller(counts, "_x", part, "_low").join(lows, part).withColumn("_s", F.col("_high") * (2 * F.col("_before") + F.col("_low") - F.col("_lows")))
     score = scored.groupBy(*by).agg(F.sum("_s").cast("double").alias("score"))
 
     def unequal(c: str, to: str) -> DataFrame:
@@ -144,8 +179,7 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, by: list[str] | Non
     by = by or []
     use = rows.filter(F.col(value).isNotNull() & first.isNotNull()).withColumn("_f", first)
     counts = use.groupBy(*by, value).agg(F.count_if("_f").alias("_n1"), F.count("*").alias("_m"))
-    before = F.sum("_m").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(value))
-    ranks = counts.withColumn("_r", before - (F.col("_m") - 1) / 2)
+    ranks = smaller(counts, value, by).withColumn("_r", F.col("_before") + (F.col("_m") + 1) / 2)
     out = ranks.groupBy(*by).agg(F.sum("_n1").alias("n1"), F.sum(F.col("_m") - F.col("_n1")).alias("n2"), F.sum(F.col("_r") * F.col("_n1")).alias("rank_sum"), F.sum(F.col("_m").cast("double") * F.col("_m") * F.col("_m") - F.col("_m")).alias("tie_sum"))
 
     @F.pandas_udf("double")
@@ -156,13 +190,19 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, by: list[str] | Non
     return out.withColumn("p_value", p("u", "n1", "n2", "tie_sum"))
 
 
+def _dealt(groups: DataFrame, by: list[str], resamples: int) -> DataFrame:
+    """groups with a row for each resample _b. Values are dealt to the tasks once for each hundred of them."""
+    some = groups.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 100)))).repartition(*by, "_c")
+    return some.withColumn("_b", F.explode(F.sequence(F.col("_c") * 100, F.least(F.col("_c") * 100 + 99, F.lit(resamples - 1))))).drop("_c")
+
+
 def bootstrap_mean(rows: DataFrame, value: str, by: list[str], key: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Mean and the 2.5 and 97.5 percentiles of resampled means by group. Draws are a hash of (seed, resample, place)
     modulo the group's size, so a run repeats whatever the partitioning; values are an array a group, which has to be of
     a size for that (result tables), and resamples are dealt to all tasks."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*key, F.col(value).cast("double").alias("v")))), lambda s: s["v"])
     groups = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(ordered.alias("_v"), F.avg(value).alias("mean"), F.count("*").alias("n"))
-    drawn = groups.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(*by, "_b")
+    drawn = _dealt(groups, by, resamples)
     place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), F.col("n")).cast("int") + 1
     means = drawn.select(*by, "mean", "n", (F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + F.element_at("_v", place(i))) / F.col("n")).alias("_m"))
     return means.groupBy(*by, "mean", "n").agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
@@ -175,7 +215,7 @@ def bootstrap_spearman(rows: DataFrame, x: str, y: str, by: list[str], key: list
     pair = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))), pair)
     groups = rows.dropna(subset=[x, y]).groupBy(*by).agg(ordered.alias("_v"), F.count("*").alias("n"))
-    drawn = groups.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(*by, "_b")
+    drawn = _dealt(groups, by, resamples)
     place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), F.col("n")).cast("int") + 1
     pairs = drawn.withColumn("_v", F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.element_at("_v", place(i))))
     out = pairs.select(*by, "n", _rho("_v.x", "_v.y").alias("_m")).groupBy(*by, "n").agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"), F.count("_m").alias("n_resamples"))

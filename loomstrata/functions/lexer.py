@@ -113,7 +113,7 @@ def imports(s: Source) -> list[str]:
         if s.text(i) != "import" or s.kind(i) != "id" or s.text(i - 1) == "." or s.text(i + 1) in ("(", ".", ":"):
             continue
         k = i + 1
-        while k < len(s.tokens) and k < i + 400 and s.kind(k) != "str" and s.text(k) not in (";", "="):
+        while k < len(s.tokens) and s.kind(k) != "str" and s.text(k) not in (";", "=", "import"):
             k = s.partner[k] + 1 if s.partner[k] > k else k + 1
         if s.kind(k) == "str":
             out.append(s.text(k)[1:-1])

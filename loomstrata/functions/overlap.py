@@ -1,4 +1,4 @@
-"""Overlap of a generated text with a reference: BLEU-4, ROUGE-L, METEOR (exact and stem stages), from their definitions.
+"""Overlap of a generated text with a reference: BLEU-4, ROUGE-L, METEOR (exact, stem and, given a thesaurus, synonym stages), from their definitions.
 
 Sequence alignment is no relational operation, so these run as Arrow-batched functions."""
 
@@ -126,8 +126,9 @@ def rouge_l(text: str, reference: str) -> float:
     return 2 * p * q / (p + q) if common else 0.0
 
 
-def meteor(text: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
-    """METEOR with its exact and stem stages; the synonym stage needs a thesaurus that is not there."""
+def meteor(text: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, senses: dict[str, set[str]] | None = None) -> float:
+    """METEOR with its exact and stem stages and, where a thesaurus is given (the senses of each word), the synonym stage:
+    what the others leave is matched, in order, where two words share a sense."""
     h, r = (_TOKEN.findall(t.lower()) for t in (text, reference))
     to: dict[int, int] = {}
     for form in (lambda w: w, stem):
@@ -137,6 +138,11 @@ def meteor(text: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gam
         for i in (i for i in range(len(h)) if i not in to):
             if free.get(form(h[i])):
                 to[i] = free[form(h[i])].pop()
+    for i in range(len(h)) if senses else ():
+        if i not in to and (mine := senses.get(h[i])):
+            j = next((j for j in range(len(r)) if j not in to.values() and mine & senses.get(r[j], set())), None)
+            if j is not None:
+                to[i] = j
     if not to:
         return 0.0
     m = len(to)

@@ -71,6 +71,29 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def text_report(sections: dict[str, DataFrame], most: int = 1000) -> str:
+    """Result tables as one text: a heading each, then aligned columns in the order of the table. For reports, so a table
+    shows `most` rows and says how many more there are."""
+    out = []
+    for title, table in sections.items():
+        rows = [[_shown(x) for x in r] for r in table.limit(most + 1).collect()]
+        cells = [table.columns, *rows[:most]]
+        width = [max(len(r[k]) for r in cells) for k in range(len(table.columns))]
+        out += [f"== {title}", *("  ".join(x.ljust(w) for x, w in zip(r, width)).rstrip() for r in cells)]
+        out += [f"({table.count() - most} more rows)"] * (len(rows) > most) + [""]
+    return "\n".join(out)
+
+
+def _shown(x: object) -> str:
+    return "-" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+
+def write_report(spark: SparkSession, sections: dict[str, DataFrame], path: str) -> None:
+    """text_report() as text under path, on any file system that Spark writes to."""
+    lines = spark.createDataFrame([(text_report(sections),)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
 def append_runs(rows: DataFrame, path: str, scope: str | None = None) -> None:
     """Appends, with run_at now where it is missing."""
     at = F.coalesce(F.col("run_at"), F.current_timestamp()) if "run_at" in rows.columns else F.current_timestamp()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical, join_path
 from ..operators import context, facts, graph, statistics
+from ..sources import results
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -37,11 +38,6 @@ VIEWS = {
         SELECT n_name AS repo_name, concat('mod_', CAST(a AS STRING)) AS from_module_id, concat('mod_', CAST(b AS STRING)) AS to_module_id
         FROM steps JOIN supplier ON a = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE b IS NOT NULL""",
     "classes": """
-        SELECT DISTINCT n_name AS repo_name, concat('cls_', CAST(p_partkey AS STRING), '_', CAST(s_suppkey AS STRING)) AS id,
-               replace(p_brand, '#', '') AS name, concat('mod_', CAST(s_suppkey AS STRING)) AS module_id, p_partkey AS pos
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-        WHERE p_size <= 3""",
-    "all_classes": """
         SELECT DISTINCT n_name AS repo_name, concat('cls_', CAST(p_partkey AS STRING), '_', CAST(s_suppkey AS STRING)) AS id,
                replace(p_brand, '#', '') AS name, concat('mod_', CAST(s_suppkey AS STRING)) AS module_id, p_partkey AS pos
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
@@ -358,21 +354,11 @@ def cross_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cross_scope(e.join(a, "a").join(b, "b").withColumn("kind", F.col("from_repo")), "from_repo", "to_repo", "kind").withColumnRenamed("kind", "from_repo")
 
 
-@query("""WITH stored AS (SELECT c_custkey, 0 AS gen, c_mktsegment AS state, TIMESTAMP '1990-01-01' AS changed FROM customer WHERE c_custkey % 2 = 0),
+@query("""WITH stored AS (SELECT c_custkey, 0 AS gen, c_mktsegment AS state, TIMESTAMP '1990-01-01' AS changed FROM customer),
     news AS (SELECT o_custkey, 1, o_orderstatus || CAST(o_orderkey AS VARCHAR), o_orderdate + o_orderkey * INTERVAL 1 MICROSECOND FROM orders)
     SELECT c_custkey, arg_max(state, changed) AS state FROM (SELECT * FROM stored UNION ALL SELECT * FROM news) GROUP BY c_custkey""")
 def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert by key, the newest of several new rows staying."""
-    old = view(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select("c_custkey", F.col("c_mktsegment").alias("state"))
-    new = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("state"), "o_orderdate", "o_orderkey")
-    return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
-
-
-@query("""WITH stored AS (SELECT c_custkey, 0 AS gen, c_mktsegment AS state, TIMESTAMP '1990-01-01' AS changed FROM customer),
-    news AS (SELECT o_custkey, 1, o_orderstatus || CAST(o_orderkey AS VARCHAR), o_orderdate + o_orderkey * INTERVAL 1 MICROSECOND FROM orders)
-    SELECT c_custkey, arg_max(state, changed) AS state FROM (SELECT * FROM stored UNION ALL SELECT * FROM news) GROUP BY c_custkey""")
-def merge_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S12 with all customers stored."""
     old = view(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"))
     new = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("state"), "o_orderdate", "o_orderkey")
     return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
@@ -388,7 +374,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left to do after what is done."""
     done = view(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("o_orderkey"))
-    return view(spark, sf_dir, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+    return results.to_do(view(spark, sf_dir, "orders"), done, ["o_orderkey"]).select("o_orderkey", "o_custkey")
 
 
 _IMPORTS_SQL = """
@@ -439,13 +425,6 @@ def knowledge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.knowledge_text(graph.knowledge_view(*(view(spark, sf_dir, n) for n in names)))
 
 
-@query(ORACLE_SQL["knowledge_context"].replace(VIEWS["classes"], VIEWS["all_classes"]))
-def knowledge_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2, T-2 with all parts as classes."""
-    names = ("repositories", "modules", "import_edges", "all_classes", "endpoints", "functions", "external_deps", "config_files", "db_entities")
-    return context.knowledge_text(graph.knowledge_view(*(view(spark, sf_dir, n) for n in names)))
-
-
 @query(
     """WITH rows AS (
         SELECT repo_name, 1 AS s, id AS a, path AS b, '  ' || id || '["' || path || '"]' AS line FROM modules
@@ -501,13 +480,6 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.entity_counts({n: view(spark, sf_dir, n) for n in ("repositories", "modules", "classes", "functions", "endpoints", "db_entities")})
 
 
-@query(ORACLE_SQL["entity_counts"].replace(VIEWS["classes"], VIEWS["all_classes"]))
-def entity_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1.1 with all parts as classes."""
-    kinds = {n: n for n in ("repositories", "modules", "classes", "functions", "endpoints", "db_entities")} | {"classes": "all_classes"}
-    return graph.entity_counts({n: view(spark, sf_dir, of) for n, of in kinds.items()})
-
-
 # --- statistics
 
 
@@ -569,22 +541,12 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.spearman(view(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", ["l_returnflag"]).select("l_returnflag", "n", F.round("rho", 5).alias("rho"))
 
 
-@query("""WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part WHERE p_type = 'ECONOMY'), c AS (
+@query("""WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part), c AS (
         SELECT x.p_brand, sum(sign(x.p_size - y.p_size) * sign(x.p_retailprice - y.p_retailprice)) AS s, count(*) FILTER (x.p_size <> y.p_size) AS nx, count(*) FILTER (x.p_retailprice <> y.p_retailprice) AS ny
         FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey GROUP BY ALL)
     SELECT p_brand, round(CASE WHEN nx > 0 AND ny > 0 THEN s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau FROM c""")
 def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A20."""
-    part = view(spark, sf_dir, "part").filter("p_type = 'ECONOMY'")
-    return statistics.kendall(part, "p_size", "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", F.round("tau", 6).alias("tau"))
-
-
-@query("""WITH p AS (SELECT p_brand, p_partkey, p_size, p_retailprice FROM part), c AS (
-        SELECT x.p_brand, sum(sign(x.p_size - y.p_size) * sign(x.p_retailprice - y.p_retailprice)) AS s, count(*) FILTER (x.p_size <> y.p_size) AS nx, count(*) FILTER (x.p_retailprice <> y.p_retailprice) AS ny
-        FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey GROUP BY ALL)
-    SELECT p_brand, round(CASE WHEN nx > 0 AND ny > 0 THEN s / (sqrt(nx) * sqrt(ny)) END, 6) AS tau FROM c""")
-def kendall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A20 over all parts."""
     return statistics.kendall(view(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_partkey", ["p_brand"]).select("p_brand", F.round("tau", 6).alias("tau"))
 
 
@@ -595,23 +557,11 @@ def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.mann_whitney(view(spark, sf_dir, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"]).select("event_type", "n1", "n2", F.round("u", 1).alias("u"))
 
 
-@query("""WITH a AS (SELECT DISTINCT n_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size = 1),
-    e AS (SELECT DISTINCT n_name, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE p_size = 2),
-    j AS (SELECT coalesce(a.n_name, e.n_name) AS n_name, a.p_brand AS x, e.p_brand AS y FROM a FULL JOIN e ON a.n_name = e.n_name AND a.p_brand = e.p_brand)
-    SELECT n_name, count(x) AS n_actual, count(y) AS n_expected, count(*) FILTER (x = y) AS n_common, round(2 * count(*) FILTER (x = y) / (count(x) + count(y))::DOUBLE, 6) AS f1, coalesce(string_agg(y, ',' ORDER BY y) FILTER (x IS NULL), '') AS missing FROM j GROUP BY ALL""")
-def graph_diff_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sets a nation, of brands of size 1 and 2."""
-    v = lambda n: view(spark, sf_dir, n)
-    base = v("lineitem").join(v("part"), F.col("l_partkey") == F.col("p_partkey")).join(v("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(v("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", F.col("p_brand").alias("item"), "p_size")
-    out = statistics.graph_diff(base.filter("p_size = 1"), base.filter("p_size = 2"), ["n_name"])
-    return out.select("n_name", "n_actual", "n_expected", "n_common", F.round("f1", 6).alias("f1"), F.array_join("missing", ",").alias("missing"))
-
-
 @query("""WITH b AS (SELECT DISTINCT n_name, p_brand, p_size % 2 AS odd FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
     j AS (SELECT coalesce(a.n_name, e.n_name) AS n_name, a.p_brand AS x, e.p_brand AS y FROM (SELECT * FROM b WHERE odd = 1) a FULL JOIN (SELECT * FROM b WHERE odd = 0) e ON a.n_name = e.n_name AND a.p_brand = e.p_brand)
     SELECT n_name, count(x) AS n_actual, count(y) AS n_expected, count(*) FILTER (x = y) AS n_common, round(2 * count(*) FILTER (x = y) / (count(x) + count(y))::DOUBLE, 6) AS f1, coalesce(string_agg(y, ',' ORDER BY y) FILTER (x IS NULL), '') AS missing FROM j GROUP BY ALL""")
-def graph_diff_f1_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7 over all parts: two sets a nation, of brands of odd and even sizes."""
+def graph_diff_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sets a nation, of brands of odd and even sizes."""
     v = lambda n: view(spark, sf_dir, n)
     base = v("lineitem").join(v("part"), F.col("l_partkey") == F.col("p_partkey")).join(v("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(v("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name", F.col("p_brand").alias("item"), "p_size")
     out = statistics.graph_diff(base.filter("p_size % 2 = 1"), base.filter("p_size % 2 = 0"), ["n_name"])
@@ -626,11 +576,14 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000).select("tp", "fn", "fp", "tn", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
 
 
-@query("SELECT model, round(avg(value) FILTER (variant = 'click'), 4) AS click, round(avg(value) FILTER (variant = 'view'), 4) AS view FROM runs GROUP BY ALL", "runs")
+_LEVELS = ["signup", "error", "click", "view", "purchase"]
+
+
+@query(f"SELECT model, {', '.join(f"round(avg(value) FILTER (variant = '{v}'), 4) AS {v}" for v in _LEVELS)} FROM runs GROUP BY ALL", "runs")
 def pivot_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16."""
-    out = statistics.pivot_means(view(spark, sf_dir, "runs"), "model", "variant", ["click", "view"], "value")
-    return out.select("model", F.round("click", 4).alias("click"), F.round("view", 4).alias("view"))
+    out = statistics.pivot_means(view(spark, sf_dir, "runs"), "model", "variant", _LEVELS, "value")
+    return out.select("model", *(F.round(v, 4).alias(v) for v in _LEVELS))
 
 
 @query("SELECT floor(p_size / 3)::BIGINT AS bin, count(*) AS n, floor(p_size / 3)::BIGINT * 3 AS low FROM part GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import camel_words, canonical, category, json_object, position_reference, route_pattern, value
 from ..functions.text import mentions as _mentions
+from .statistics import hash_sample
 
 #: Facts of each category that count, at most.
 MOST = 40
@@ -252,8 +253,7 @@ def unmatched_composition(rows: DataFrame, key: list[str], sample: int, items: s
     """(kind, n, share, estimate): kinds of the items in `sample` rows that have any, and what that makes of all items. The
     sample is the first rows in the order of a hash of their key, so it is the same in every run; it is the feature."""
     some = rows.filter(F.size(items) > 0)
-    chosen = some.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(sample)
-    kinds = chosen.select(F.explode(items).alias("x")).groupBy(unmatched_class(F.col("x")).alias("kind")).agg(F.count("*").alias("n"))
+    kinds = hash_sample(some, key, sample, seed).select(F.explode(items).alias("x")).groupBy(unmatched_class(F.col("x")).alias("kind")).agg(F.count("*").alias("n"))
     out = kinds.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
     return out.withColumn("estimate", F.round(F.col("share") * some.agg(F.sum(F.size(items))).scalar()).cast("long"))
 

@@ -3,43 +3,22 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from ..sources.staging import delete, discard, path_of, scratch_path, written  # noqa: F401  (some for other modules)
 
 #: A side is broadcast by hint only when it was counted and has at most this many 8-byte ids (4 MB).
 BROADCAST_IDS = 500_000
 #: Rows and bytes of an Arrow batch while a table is staged: what a Python worker holds of long texts at once.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+_record: list[str] | None = None
 #: Rows of one key are spread over this many runs before they are joined with what was found for the key.
 SPREAD = 256
 
-_fallback: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="loomstrata-")
-    return _fallback[app]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; the file system deletes it when the driver's JVM ends."""
-    path = f"{scratch_root(spark)}/loomstrata-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(hadoop_path.getParent())
-    return path
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """ARROW_BATCH for the plans that are run within."""
@@ -62,11 +41,22 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends there, and every executor can read it again."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    with small_batches(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(df.sparkSession):
+        out = written(df, name)
+    if _record is not None:
+        _record.append(path_of(out))
+    return out
+
+
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Notes in paths what is staged within."""
+    global _record
+    old, _record = _record, paths
+    try:
+        yield
+    finally:
+        _record = old
 
 
 #: The column of numbered().
@@ -78,6 +68,41 @@ def numbered(df: DataFrame) -> DataFrame:
     return staged(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def shielded(rows: DataFrame) -> DataFrame:
+    """rows with the flag no_id and an id that is never null: pandas would turn integers beside nulls to doubles, which
+    lose ids above 2**53."""
+    kind = rows.schema["id"].dataType
+    filled = F.coalesce("id", F.lit(0).cast(kind)) if isinstance(kind, NumericType) else F.col("id")
+    return rows.withColumn("no_id", F.col("id").isNull()).withColumn("id", filled)
+
+
+def restored(rows: DataFrame, id_col: str) -> DataFrame:
+    """What a function made of shielded() rows, with its nulls back."""
+    return rows.select(F.when(~F.col("no_id"), F.col("id")).alias(id_col), *[c for c in rows.columns if c not in ("id", "no_id")])
+
+
+def tidy(each: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """each, a function of a task's batches, which at its end gives freed memory back to the system: a worker process
+    lives on into other stages, and without this keeps the most that any of them took."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from each(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,13 +12,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, shielded, tidy
 from .shingles import chunks, combine, mix, word_hashes
 
 #: Fingerprints within this distance are all found: four blocks of 16 bits, each searched within distance 1, so one block
 #: of any fingerprint within 4 * 2 - 1 bits matches.
 RADIUS, BLOCKS = 7, 4
-#: Items whose tables are sent to the tasks at once; more items take more passes.
-ITEMS = 20_000
+#: Items, and bytes of their texts, whose tables are sent to the tasks at once, about; more take more passes.
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 _ONE_OFF = np.array([0, *(1 << b for b in range(16))], np.uint16)
 
 
@@ -128,20 +129,21 @@ def find_passages(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     Null and empty texts have no passages, and items without words match nothing. Items of fewer than k words are one
     shingle of all their words. Repeated rows and items get a row each; null ids stay null. Other columns are not read.
-    Items are read in blocks of ITEMS by id, each block a pass, so what is sent to the tasks has a fixed bound.
+    Items are read in blocks by a hash of their id and text, each block a pass, of about ITEMS items or ITEM_BYTES.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("length(text) > 0")
+    rows = shielded(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("length(text) > 0"))
     bench = items.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    passes = max(1, math.ceil(bench.count() / ITEMS))
-    schema = "id long, item long, start_word long, n_words long, similarity double, n_passages long"
-    total, counts = (bench.count(), _shingle_counts(bench, k)) if passes > 1 else (None, None)
+    n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(1, math.ceil(n / ITEMS), math.ceil(size / ITEM_BYTES))
+    schema = "id long, no_id boolean, item long, start_word long, n_words long, similarity double, n_passages long"
+    total, counts = (n, _shingle_counts(bench, k)) if passes > 1 else (None, None)
     out = None
     for p in range(passes):
-        block = bench.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == p).orderBy("item", "text").collect()
-        got = rows.mapInPandas(_search(spark, [(r["item"], r["text"]) for r in block], least, k, total, counts), schema)
+        block = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p).orderBy("item", "text").collect()
+        got = rows.mapInPandas(tidy(_search(spark, [(r["item"], r["text"]) for r in block], least, k, total, counts)), schema)
         out = got if out is None else out.unionByName(got)
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start_word", "n_words", "similarity", "n_passages")
+    return restored(out, id_col).withColumnRenamed("item", item_col)
 
 
 def _item_shingles(text: str, k: int) -> set[int]:
@@ -157,7 +159,7 @@ def _shingle_counts(bench: DataFrame, k: int) -> dict[int, int]:
             found = [s for t in b["text"] for s in _item_shingles(t, k)]
             yield pd.DataFrame({"s": np.array(found, np.uint64).view(np.int64)})
 
-    rows = bench.select("text").mapInPandas(each, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").collect()
+    rows = bench.select("text").mapInPandas(tidy(each), "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").collect()
     return {r["s"] % 2**64: r["n"] for r in rows}
 
 
@@ -174,7 +176,7 @@ def _search(spark, items: list[tuple[int, str]], least: float, k: int, total: in
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bench = Bench(*sent.value, k)
         for b in batches:
-            texts, ids, out = b["text"].tolist(), b["id"].tolist(), []
+            texts, ids, out = b["text"].tolist(), list(zip(b["id"].tolist(), b["no_id"].tolist())), []
             for i, j in chunks(texts):
                 words, at = word_hashes(texts[i:j])
                 # windows over the whole chunk; those that cross documents fail when verified within their document
@@ -192,7 +194,7 @@ def _search(spark, items: list[tuple[int, str]], least: float, k: int, total: in
                             apart = not old[2] or all(abs(a - x) >= size for x in old[3])
                             places = [*(old[3] if old[2] else ()), *([a] if apart else ())]
                             top[d, item] = (*max((value, a), old[:2], key=lambda x: x[0]), len(places), places)
-                out += [(ids[i + d], bench.ids[item], a, len(bench.words[item]), float(v), m) for (d, item), (v, a, m, _) in top.items()]
-            yield pd.DataFrame(out, columns=["id", "item", "start_word", "n_words", "similarity", "n_passages"])
+                out += [(*ids[i + d], bench.ids[item], a, len(bench.words[item]), float(v), m) for (d, item), (v, a, m, _) in top.items()]
+            yield pd.DataFrame(out, columns=["id", "no_id", "item", "start_word", "n_words", "similarity", "n_passages"]).assign(item=pd.array([x[2] for x in out], dtype="Int64"))
 
     return search

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import shielded, shuffle_partitions, staged, tidy
 from .tokens import encoder, release
 
 #: Places of a hashed document vector, dimensions of the curve and bits of each.
@@ -18,7 +18,7 @@ PLACES, DIMENSIONS, BITS = 256, 3, 16
 #: Bytes of ids that a task packs, about.
 TASK_BYTES = 64 << 20
 #: Pieces in a worker's tokenizer table.
-PIECES = 600_000
+PIECES = 550_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -65,12 +65,11 @@ class Curve:
 def _pieces(part: int, batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Cuts a task's run of documents every length ids. What is left at the end is cut by the binary digits of its length,
     so its sequences have a power of two and are not padded."""
-    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     first, used, held, k = part << 32, 0, [], 0
     for b in batches:
         out = []
-        for doc, raw in zip(b["id"], b["ids"]):
-            doc = None if pd.isna(doc) else int(doc)
+        for doc, no_id, raw in zip(b["id"].tolist(), b["no_id"].tolist(), b["ids"]):
+            doc = None if no_id else doc
             n, at = len(raw) // 2, 0
             while at < n:
                 m = min(n - at, length - used)
@@ -80,7 +79,7 @@ def _pieces(part: int, batches: Iterator[pd.DataFrame], length: int) -> Iterator
                     out += _laid(held, first + k)
                     held, used, k = [], 0, k + 1
         if out:
-            yield _wide(pd.DataFrame(out, columns=names))
+            yield _wide(out)
     out = []
     for size in (1 << s for s in range(length.bit_length(), -1, -1)):
         if used & size:
@@ -95,7 +94,7 @@ def _pieces(part: int, batches: Iterator[pd.DataFrame], length: int) -> Iterator
             out += _laid(mine, first + k)
             k += 1
     if out:
-        yield _wide(pd.DataFrame(out, columns=names))
+        yield _wide(out)
 
 
 def _laid(held: list[tuple], sequence: int) -> list[tuple]:
@@ -106,10 +105,10 @@ def _laid(held: list[tuple], sequence: int) -> list[tuple]:
     return out
 
 
-def _wide(out: pd.DataFrame) -> pd.DataFrame:
-    out["id"] = out["id"].astype("Int64")
-    out["ids"] = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out["ids"]]
-    return out
+def _wide(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+    ids = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in out["ids"]]
+    return out.assign(id=pd.array([r[0] for r in rows], dtype="Int64"), ids=ids)
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = 2048) -> DataFrame:
@@ -131,12 +130,12 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             for i in range(0, len(b), 1000):
                 part = b.iloc[i : i + 1000]
                 ids = [x + end for x in code.encode(part["text"])]
-                yield pd.DataFrame({"id": part["id"], "curve": curve.keys([np.frombuffer(x, "<u2") for x in ids]), "ids": ids})
+                yield pd.DataFrame({"id": part["id"], "no_id": part["no_id"], "curve": curve.keys([np.frombuffer(x, "<u2") for x in ids]), "ids": ids})
 
-    coded = staged(rows.mapInPandas(encode, "id long, curve long, ids binary"), "coded")
+    coded = staged(shielded(rows).mapInPandas(tidy(encode), "id long, no_id boolean, curve long, ids binary"), "coded")
     total = coded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-total // TASK_BYTES))
-    dealt = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "curve", "tie", "id").sortWithinPartitions("curve", "tie", "id").select("id", "ids")
+    dealt = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "curve", "tie", "id").sortWithinPartitions("curve", "tie", "id").select("id", "no_id", "ids")
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -144,7 +143,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         release()
         return _pieces(TaskContext.get().partitionId(), batches, length)
 
-    out = dealt.mapInPandas(fill, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    out = dealt.mapInPandas(tidy(fill), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 

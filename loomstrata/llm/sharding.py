@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import restored, shielded, shuffle_partitions, staged, tidy
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), key.alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     order = ["id", "text_crc32", "size"]
-    dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = shielded(rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -60,9 +60,9 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             yield b.drop(columns="key").assign(shard=shard, slot=slot, grown_shard=jump_hash(b["key"].to_numpy(), shards + 1), part=part)
 
     kind = rows.schema["id"].dataType.simpleString()
-    numbered = staged(dealt.mapInPandas(number, f"id {kind}, size long, text_crc32 long, shard int, slot long, grown_shard int, part int"), "slots")
+    numbered = staged(dealt.mapInPandas(tidy(number), f"id {kind}, size long, text_crc32 long, no_id boolean, shard int, slot long, grown_shard int, part int"), "slots")
     begins = _begins(numbered)
-    return numbered.join(begins, ["part", "shard"]).select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("begin")).alias("slot"), "grown_shard")
+    return restored(numbered.join(begins, ["part", "shard"]), id_col).select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("slot") + F.col("begin")).alias("slot"), "grown_shard")
 
 
 def _begins(numbered: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, shuffle_partitions
+from .common import scratch_path, shielded, shuffle_partitions, tidy
 from .tokens import encoder, release
 
 #: Fixed values of the format.
@@ -28,7 +28,7 @@ FRAME_BYTES = 1 << 20
 #: Text bytes a file is made of, about; a file's ids, compressed, are what a task holds.
 FILE_BYTES = 64 << 20
 #: Pieces in a worker's tokenizer table; this stage holds little else, so they may be many.
-PIECES = 1_200_000
+PIECES = 1_100_000
 
 
 class Writer:
@@ -129,6 +129,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(shuffle_partitions(spark), -(-total // file_bytes))
     dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    dealt = shielded(dealt)
     end = end_id.to_bytes(2, "little")
 
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,12 +137,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
 
         out, code = Writer(TaskContext.get().partitionId()), encoder(tokenizer, PIECES)
         for b in batches:
-            for doc_id, ids in zip(b["id"].tolist(), code.encode(b["text"])):
-                out.add(None if doc_id is None or doc_id != doc_id else int(doc_id), ids + end)
+            for doc_id, no_id, ids in zip(b["id"].tolist(), b["no_id"].tolist(), code.encode(b["text"])):
+                out.add(None if no_id else doc_id, ids + end)
         if out.docs:
             yield pd.DataFrame({"content": [out.done()[: -len(SEEKABLE)]]})
 
-    dealt.mapInPandas(files, "content binary").select(F.col("content").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", SEEKABLE.decode("latin-1")).text(path)
+    dealt.mapInPandas(tidy(files), "content binary").select(F.col("content").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", SEEKABLE.decode("latin-1")).text(path)
 
 
 def read_tokens(spark, path: str, summarise: Callable[[int, Iterable[tuple[int | None, int, np.ndarray]]], pd.DataFrame], schema: str) -> DataFrame:
@@ -156,13 +157,13 @@ def read_tokens(spark, path: str, summarise: Callable[[int, Iterable[tuple[int |
                     r = Reader.of(content)
                     yield summarise(r.ordinal, r.every())
 
-    return files.mapInPandas(each, schema)
+    return files.mapInPandas(tidy(each), schema)
 
 
 def _digest(ordinal: int, documents: Iterable[tuple[int | None, int, np.ndarray]]) -> pd.DataFrame:
     rows = [(ordinal, d, s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in documents]
     out = pd.DataFrame(rows, columns=["part", "doc_id", "at", "n_tokens", "ids_crc32"])
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
+    return out.assign(doc_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
 
 def token_digest(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:

@@ -1,17 +1,21 @@
 """Exact duplicates by a tree-merge of digest runs, in DataFrame functions only.
 
-Every row goes to a run by a hash of its id. A run holds one entry for each digest: the identifier that stays so far and
-the number of rows. In each round, fan_in neighbouring runs exchange their entries and are merged by digest; after
-log(runs) / log(fan_in) rounds one run is left, spread over tasks by digest. What it found then goes down the tree to the
+Every row goes to a run by a hash of its id. A run is a table sorted by digest with one entry for each: the identifier that
+stays so far and the number of rows. In each round, a binomial tree of order fan_in sends fan_in neighbouring runs to the
+first of them: their entries are range-partitioned by (parent run, digest), merged in that order, and equal neighbours
+become one entry in a streaming pass over the merged run, which is written sorted for the next round. After log(runs) /
+log(fan_in) rounds one run is left, spread over tasks by ranges of digests. What it found then goes down the tree to the
 rows of the first runs. A group of copies has at most one entry a run, so no task or join key gets all its rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPREAD, attach, numbered, spread, staged, without_ids
+from .common import ROW, SPREAD, attach, discard, numbered, shuffle_partitions, spread, staged, without_ids
 
 #: An entry's key. The second hash and the length verify the digest: texts that differ in any of them are kept apart.
 DIGEST = ["sha", "check", "n_bytes"]
@@ -25,17 +29,35 @@ def digest_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 
 def merge_tree(rows: DataFrame, keep: str = "smallest", runs: int = SPREAD, fan_in: int = 16) -> DataFrame:
-    """One entry for each digest: (sha, check, n_bytes, keep_id, group_size)."""
+    """One entry for each digest: (sha, check, n_bytes, keep_id, group_size), sorted by ranges of digests."""
     best = {"smallest": F.min, "largest": F.max}[keep]
     level = rows.groupBy("run", *DIGEST).agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
-    left = runs
-    while left > 1:
-        left = -(-left // fan_in)
-        parent = F.col("run") if left == 1 else F.floor(F.col("run") / fan_in).cast("int")
-        level = level.groupBy((F.lit(0) if left == 1 else parent).alias("run"), *DIGEST).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    last = None
+    while runs > 1:
+        runs = -(-runs // fan_in)
+        below, last = last, _sorted_run(level)
+        if below is not None:
+            discard(below)
+        level = _merged(last, F.floor(F.col("run") / fan_in).cast("int"), best)
     return level.drop("run")
 
 
+def _sorted_run(level: DataFrame) -> DataFrame:
+    """level written as sorted runs: each task's file holds neighbouring runs, or a range of one run's digests."""
+    n = shuffle_partitions(level.sparkSession)
+    return staged(level.repartitionByRange(n, "run", "sha").sortWithinPartitions("run", *DIGEST), "run")
+
+
+def _merged(level: DataFrame, parent: Column, best: Callable[[Column], Column]) -> DataFrame:
+    """The runs of one parent as one: a range exchange by (parent, digest) and a merge of what arrives, then entries of one
+    digest, which are neighbours now, become one. The identifier is aggregated as a struct, which Spark does by a pass over
+    sorted rows and not by a hash table; ranges never part a digest, so that pass needs no exchange of its own."""
+    n = shuffle_partitions(level.sparkSession)
+    dealt = level.withColumn("run", parent).repartitionByRange(n, "run", "sha").sortWithinPartitions("run", *DIGEST)
+    out = dealt.groupBy("run", *DIGEST).agg(best(F.when(F.col("keep_id").isNotNull(), F.struct("keep_id"))).alias("best"), F.sum("group_size").alias("group_size"))
+    return out.select("run", *DIGEST, F.col("best.keep_id").alias("keep_id"), "group_size")
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", runs: int = SPREAD, fan_in: int = 16) -> DataFrame:
     """For every row of df: id_col, keep_id, group_size, kept, text_sha256. Texts are equal when identical.
 

@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomstrata.llm import exact_dedup, queries, secrets, sharding
 
 
@@ -128,3 +130,29 @@ def test_drop_copies_decides_by_row(odd, keep):
     for r in left:
         known = [i for i in ids[r.text or ""] if i is not None]
         assert r.doc_id == ((min if keep == "smallest" else max)(known) if known else None)
+
+
+def test_runs_are_merged_in_order(odd):
+    """The merge is a pass over range-partitioned, sorted runs: no hash table, no second exchange."""
+    rows = exact_dedup.digest_rows(odd)
+    level = rows.groupBy("run", *exact_dedup.DIGEST).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    plan = exact_dedup._merged(exact_dedup._sorted_run(level), F.floor(F.col("run") / 16).cast("int"), F.min)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan") :]
+    assert physical.count("SortAggregate") == 2 and physical.count("HashAggregate") == 0 and physical.count("Exchange") == physical.count("rangepartitioning") == 1
+
+
+def test_verdicts_by_row_and_repository(spark):
+    shared = "Zk3mQp9XvT7rLw2NcB8sYd5H"
+    rows = [(None, f"a {shared}{k:04d}", "en", "s") for k in range(50)] + [(7, f"b {shared}{k:04d}", "en", "t") for k in range(50, 90)]
+    rows += [(100 + i, f"c {LIVE}x{LIVE}", f"l{i}", "one") for i in range(9)] + [(200 + i, f"d {EXAMPLE}", f"l{i}", f"o{i % 2}") for i in range(9)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = secrets.find_secrets(table).collect()
+    assert all([s.live for s in r.spans] == [True] for r in got if r.doc_id is None or r.doc_id < 200)  # one owner, nine repositories
+    assert all(r.spans == [] and r.n_dropped == 1 for r in got if (r.doc_id or 0) >= 200)  # two owners, nine repositories
+
+
+def test_many_spans_in_one_text(spark):
+    text = "".join(f"é token=abcdef{k} " + "0123456789abcdef01234567" * (k % 2) for k in range(3000))
+    got = secrets.digest(secrets.find_secrets(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string"))).first()
+    want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute_base(text))
+    assert got.n_assign == 3000 and got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()

@@ -8,7 +8,8 @@ Three orders are used, and a pair has to pass all of them:
    k of them, so a class whose prefix meets others in fewer tokens goes;
 2. by document frequency among those, rarest first, which generates the candidates. A token that one class has alone
    takes up prefix and generates nothing;
-3. by a second hash, tested for each candidate pair before its sets are compared.
+3. by a second hash. Each class carries its prefix under it as 256 bits, and where those of two have none in common no
+   pair is formed; sets are only fetched for pairs that both orders leave, and only compared if the prefixes do meet.
 
 A large group of near copies has about as many links as pairs. Its component is found without them: in each posting
 list all classes are compared with one of them, the pivot, and a pair is formed only if its classes are in different
@@ -27,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, only_ids, shuffle_partitions, spread, staged
+from .common import attach, discard, only_ids, restored, shielded, shuffle_partitions, spread, staged, tidy
 from .components import components
 from .shingles import chunks, mix, set_keys, shingle_sets
 
 #: Text bytes for each bucket of the first order; a bucket's postings are in one task, seven bytes each.
 BUCKET_BYTES = 16 << 20
+#: Rows of a posting list that one task pairs with others, about.
+SALT_ROWS = 2000
 #: A class has to share this part of its size, besides one token, in the first order.
 SHARE = Fraction(1, 4)
 
@@ -45,6 +48,27 @@ def _extra(n: np.ndarray) -> np.ndarray:
     return 1 + n * SHARE.numerator // SHARE.denominator
 
 
+def _third(tokens: np.ndarray, t: Fraction) -> np.ndarray:
+    """A set's prefix under the third order."""
+    n = len(tokens)
+    return np.sort(mix(tokens))[: n - -(-n * t.numerator // t.denominator) + 1]
+
+
+def _bits(prefix: np.ndarray) -> list[int]:
+    """A prefix as 256 bits, in four longs."""
+    on = np.zeros(256, np.uint8)
+    on[(mix(prefix) >> np.uint64(56)).astype(np.int64)] = 1
+    return np.packbits(on).view(np.int64).tolist()
+
+
+def _meet(a: str, b: str):
+    """Whether the bits of two third prefixes do; without, the prefixes have no token in common."""
+    some = F.lit(0).cast("long")
+    for k in range(4):
+        some = some.bitwiseOR(F.col(f"{a}.b{k}").bitwiseAND(F.col(f"{b}.b{k}")))
+    return some != 0
+
+
 def _signatures(rows: DataFrame, k: int) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -52,9 +76,9 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
             for i, j in chunks(texts):
                 values, at = shingle_sets(texts[i:j], k)
                 keys = set_keys(values, at)
-                yield pd.DataFrame({"id": b["id"].iloc[i:j], "n": np.diff(at), "cls": [r.tobytes() for r in keys], "cls8": keys[:, 0].view(np.int64)})
+                yield pd.DataFrame({"id": b["id"].iloc[i:j], "no_id": b["no_id"].iloc[i:j], "n": np.diff(at), "cls": [r.tobytes() for r in keys], "cls8": keys[:, 0].view(np.int64)})
 
-    return rows.mapInPandas(each, "id long, n long, cls binary, cls8 long")
+    return restored(shielded(rows).mapInPandas(tidy(each), "id long, no_id boolean, n long, cls binary, cls8 long"), "id")
 
 
 def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
@@ -142,7 +166,7 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
             out.append(pd.DataFrame({"cls8": who.view(np.int64), "n": np.zeros(len(who), np.int64), "shared": m.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"cls8": [], "n": [], "shared": []}).astype(np.int64)
 
-    sent = rows.select("text").mapInPandas(send, "bucket int, postings int, packed binary")
+    sent = rows.select("text").mapInPandas(tidy(send), "bucket int, postings int, packed binary")
     met = sent.groupBy("bucket").applyInPandas(meet, "cls8 long, n long, shared long")
     counts = met.groupBy("cls8").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"))
     # a partner has at least t n tokens, and shares as many as the shorter of the two longer prefixes asks for
@@ -151,21 +175,23 @@ def _may_match(rows: DataFrame, k: int, t: Fraction, buckets: int) -> DataFrame:
     return counts.filter(F.col("shared") >= need).select("cls8")
 
 
-def _prefixes(sets: DataFrame, t: Fraction) -> DataFrame:
-    """(token, id, n, alone): prefixes by document frequency among sets, without tokens that one class has alone, which
+def _prefixes(sets: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(result, staged table that it reads), the result being (token, id, n, alone): prefixes by document frequency among sets, without tokens that one class has alone, which
     are counted."""
     each = sets.select("id", "n", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    # tables to join with are written first: a join of two plain scans is split by adaptive execution where a key is hot
+    often = staged(each.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     known = each.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("known"))
     least = F.floor((F.col("n") * t.numerator + (t.denominator - 1)) / t.denominator)
     alone = F.col("n") - F.size("known")
     left = (F.col("n") - least + 1 - alone).cast("int")
-    return known.withColumn("left", left).filter("left > 0").select("id", "n", alone.alias("alone"), F.explode(F.slice("known", F.lit(1), F.col("left"))["token"]).alias("token"))
+    out = known.withColumn("left", left).filter("left > 0").select("id", "n", alone.alias("alone"), F.explode(F.slice("known", F.lit(1), F.col("left"))["token"]).alias("token"))
+    return out, often
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """pairs (u, v) with how many tokens they have in common, and whether they link: they pass the third order and then
-    have similarity t or more."""
+    """pairs (u, v) with how many tokens they have in common, null if the third order keeps them from being compared, and
+    whether they link: their similarity is t or more."""
     a = sets.select(F.col("id").alias("u"), F.col("tokens").alias("x"))
     b = sets.select(F.col("id").alias("v"), F.col("tokens").alias("y"))
     num, den = t.numerator, t.denominator
@@ -174,11 +200,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     def compare(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(xs, ys):
-            p, q = (np.sort(mix(np.asarray(z, np.int64).view(np.uint64)))[: len(z) - -(-len(z) * num // den) + 1] for z in (x, y))
-            met = len(np.intersect1d(p, q, assume_unique=True)) > 0
+            x, y = (np.asarray(z, np.int64).view(np.uint64) for z in (x, y))
+            if not len(np.intersect1d(_third(x, t), _third(y, t), assume_unique=True)):
+                out.append((None, False))
+                continue
             common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append((common, met and den * common >= num * (len(x) + len(y) - common)))
-        return pd.DataFrame(out, columns=["common", "link"])
+            out.append((common, den * common >= num * (len(x) + len(y) - common)))
+        return pd.DataFrame({"common": pd.array([c for c, _ in out], dtype="Int64"), "link": [bool(k) for _, k in out]})
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", compare("x", "y").alias("c")).select("u", "v", "c.*")
 
@@ -187,41 +215,50 @@ def _sized(t: Fraction):
     return F.least("n1", "n2") * t.denominator >= F.greatest("n1", "n2") * t.numerator
 
 
-def _one_of_each_list(prefixes: DataFrame) -> DataFrame:
-    """prefixes without the tokens that one class has alone, and with one token for each posting list (tokens that the
+def _one_of_each_list(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(result, staged table that it reads): prefixes without the tokens that one class has alone, and with one token for each posting list (tokens that the
     same classes have generate the same pairs)."""
     lists = prefixes.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("other"), "id")).alias("s2")).filter("m > 1")
-    return prefixes.join(lists.groupBy("m", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+    one = staged(lists.groupBy("m", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "list_tokens")
+    return prefixes.join(one, "token", "left_semi"), one
 
 
 def links(prefixes: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
     """(u, v): links, such that every two sets of similarity t or more are in one component of them."""
-    prefixes = staged(_one_of_each_list(prefixes), "posting_lists")
-    pivot = prefixes.groupBy("token").agg(F.min_by(F.struct(F.col("id").alias("u"), F.col("n").alias("n1")), F.struct("alone", "id")).alias("p")).select("token", "p.*")
-    lists = prefixes.select("token", F.col("id").alias("v"), F.col("n").alias("n2"), F.col("alone").alias("a2")).join(pivot, "token")
-    first = staged(_compared(staged(_unique(lists.filter("u <> v"), t), "pivot_pairs"), sets, t), "compared")
+    one, tokens = _one_of_each_list(prefixes)
+    prefixes = staged(one.join(sets.select("id", "third"), "id"), "posting_lists")
+    discard(tokens)
+    pivot = prefixes.groupBy("token").agg(F.min_by(F.struct(F.col("id").alias("u"), F.col("n").alias("n1"), F.col("third").alias("t1")), F.struct("alone", "id")).alias("p")).select("token", "p.*")
+    lists = prefixes.select("token", F.col("id").alias("v"), F.col("n").alias("n2"), F.col("alone").alias("a2"), F.col("third").alias("t2")).join(pivots := staged(pivot, "pivots"), "token")
+    first = staged(_compared(pairs := staged(_unique(lists.filter((F.col("u") != F.col("v")) & _meet("t1", "t2")), t), "pivot_pairs"), sets, t), "compared")
+    discard(pairs)
     label = components(first.filter("link"))
 
-    # distances to the pivot; null where sizes alone kept the two from being compared
+    # distances to the pivot; null where sizes or the third order kept the two from being compared
     near = first.select(F.col("u").alias("x"), F.col("v").alias("y"), "common")
     far = F.when(F.col("u") == F.col("v"), 0).otherwise(F.col("n1") + F.col("n2") - 2 * F.col("common"))
     placed = lists.join(near, (F.least("u", "v") == F.col("x")) & (F.greatest("u", "v") == F.col("y")), "left").join(label, F.col("v") == F.col("node"), "left")
     # lists of one pivot are one list from here on, so a pair is formed once for a pivot and not for each common token
-    placed = staged(placed.select(F.col("u").alias("token"), "v", "n2", "a2", far.alias("d2"), F.coalesce("root", "v").alias("c2")).distinct(), "placed")
+    placed = staged(placed.select(F.col("u").alias("token"), "v", "n2", "a2", "t2", far.alias("d2"), F.coalesce("root", "v").alias("c2")).distinct(), "placed")
+    discard(prefixes, pivots)
 
     parts = placed.groupBy("token", "c2").agg(F.count("*").alias("m"))
-    split = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("c2", F.struct("m", "c2")).alias("largest")).filter("parts > 1")
+    split = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max_by("c2", F.struct("m", "c2")).alias("largest"), F.ceil(F.sum("m") / SALT_ROWS).cast("int").alias("salts")).filter("parts > 1")
     # the most that a partner in the list allows; a class beyond it has no partner there
     most = placed.groupBy("token").agg(F.max("n2").alias("n_most"), F.max(F.coalesce(F.col("d2") - 2 * F.col("a2"), F.lit(1 << 40))).alias("reach"))
     room = _room(F.col("n2") + F.least(F.col("n_most"), F.floor(F.col("n2") * t.denominator / t.numerator)), t)
-    lists = placed.join(split.join(most, "token"), "token").filter(F.col("d2").isNull() | (F.col("d2") - room <= F.col("reach")))
-    lists = staged(lists.select("token", "v", "n2", "a2", "d2", "c2", (F.col("c2") != F.col("largest")).alias("rest2")), "open_lists")
-    rest = lists.filter("rest2").select("token", *(F.col(c).alias(n) for c, n in (("v", "u"), ("n2", "n1"), ("a2", "a1"), ("d2", "d1"), ("c2", "c1"))))
+    lists = placed.join(heads := staged(split.join(most, "token"), "split_lists"), "token").filter(F.col("d2").isNull() | (F.col("d2") - room <= F.col("reach")))
+    salt = F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")
+    lists = staged(lists.select("token", "v", "n2", "a2", "t2", "d2", "c2", (F.col("c2") != F.col("largest")).alias("rest2"), "salts", salt.alias("salt")), "open_lists")
+    discard(placed, heads)
+    # a long list lies in several tasks, and the rows outside its largest component go to each
+    rest = lists.filter("rest2").select("token", *(F.col(c).alias(n) for c, n in (("v", "u"), ("n2", "n1"), ("a2", "a1"), ("t2", "t1"), ("d2", "d1"), ("c2", "c1"))), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     gap = F.col("d2") - F.col("d1")
     could = F.coalesce(F.greatest(gap + 2 * F.col("a1"), 2 * F.col("a2") - gap) <= _room(F.col("n1") + F.col("n2"), t), F.lit(True))
     once = (F.col("c1") != F.col("c2")) & (~F.col("rest2") | (F.col("c1") < F.col("c2")))
-    pairs = staged(_unique(rest.join(lists, (rest["token"] == lists["token"]) & once & could & _sized(t)), t), "pairs")
+    pairs = staged(_unique(rest.join(lists, (rest["token"] == lists["token"]) & (rest["salt"] == lists["salt"]) & once & could & _sized(t) & _meet("t1", "t2")), t), "pairs")
     second = staged(_compared(pairs.join(first, ["u", "v"], "left_anti"), sets, t), "compared_rest")
+    discard(lists, pairs)
     return first.filter("link").select("u", "v").unionByName(second.filter("link").select("u", "v"))
 
 
@@ -256,12 +293,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i, j in chunks(texts):
                 values, at = shingle_sets(texts[i:j], k)
                 keys = set_keys(values, at)
-                yield pd.DataFrame({"id": b["id"].iloc[i:j], "cls": [r.tobytes() for r in keys], "n": np.diff(at), "tokens": [values[p:q].view(np.int64) for p, q in zip(at[:-1], at[1:])]})
-
-    read_again = only_ids(rows, chosen, "id").mapInPandas(whole, "id long, cls binary, n long, tokens array<long>")
-    sets = staged(read_again.join(chosen, ["id", "cls"], "left_semi").select("id", "n", "tokens"), "sets")
-    prefixes = staged(_prefixes(sets, t), "prefixes")
+                sets = [values[p:q] for p, q in zip(at[:-1], at[1:])]
+                third = [dict(zip(("b0", "b1", "b2", "b3"), _bits(_third(s, t)))) for s in sets]
+                yield pd.DataFrame({"id": b["id"].iloc[i:j].tolist(), "cls": [r.tobytes() for r in keys], "n": np.diff(at), "third": third, "tokens": [s.view(np.int64) for s in sets]})
+
+    read_again = only_ids(rows, chosen, "id").mapInPandas(tidy(whole), "id long, cls binary, n long, third struct<b0:long,b1:long,b2:long,b3:long>, tokens array<long>")
+    sets = staged(read_again.join(chosen, ["id", "cls"], "left_semi").select("id", "n", "third", "tokens"), "sets")
+    prefixes, often = _prefixes(sets, t)
+    prefixes = staged(prefixes, "prefixes")
+    discard(often)
     roots = components(links(prefixes, sets, t))
+    discard(chosen, sets, prefixes)
     found = classes.join(roots, F.col("id") == F.col("node"), "left").select("cls", F.coalesce("root", "id").alias("component"))
     out = attach(signed.select("id", "n", "cls", "run"), found, ["cls"])
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))

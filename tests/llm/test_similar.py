@@ -144,3 +144,51 @@ def test_passes_share_weights(spark, monkeypatch):
     assert len(want) > 10 and any(r[4] < 1 for r in want)
     monkeypatch.setattr(decontaminate, "ITEMS", 8)
     assert find() == [(*r[:4], pytest.approx(r[4], abs=1e-12), r[5]) for r in want]
+
+
+def test_edits_in_the_middle_are_found(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, n)) for i, n in enumerate([30, 37, 45, 52, 60, 75, 90, 120] * 5)]
+    sets = [shingle_set(t) for _, t in items]
+    df = Counter(s for x in sets for s in x)
+    weigh = lambda xs: sum(math.log1p(len(items) / df.get(s, 1)) for s in xs)
+    docs, want = [], set()
+    for k in range(400):
+        i, text = items[k % len(items)]
+        w = text.split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w) // 4, 3 * len(w) // 4)] = prose(rng, 1)
+        have = shingle_set(" ".join(w))
+        docs.append((k, f"{prose(rng, rng.randint(20, 90))} {' '.join(w)} {prose(rng, 60)}"))
+        if weigh(have & sets[i]) >= 0.75 * weigh(have | sets[i]):
+            want.add((k, i))
+    got = decontaminate.find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert len(want) > 150 and len(found & want) >= 0.9 * len(want) and found <= {(k, items[k % len(items)][0]) for k in range(400)}
+
+
+def test_long_lists_are_split(spark, monkeypatch):
+    """Posting lists dealt to many tasks, with groups that one line joins in a list."""
+    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 3)
+    rng = random.Random(13)
+    line = prose(rng, 14)
+    rows: list[tuple[int, str]] = []
+    for _ in range(9):
+        words = (line + " " + prose(rng, 30)).split()
+        for _ in range(6):
+            w = list(words)
+            w[rng.randrange(14, len(w))] = prose(rng, 1)
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), t=Fraction(1, 2)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows, Fraction(1, 2))
+
+
+def test_third_order_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+        b = np.unique(np.concatenate([a[:36], rng.integers(0, 1 << 62, 3).astype(np.uint64)]))
+        x, y = (jaccard_join._third(np.unique(z), Fraction(3, 4)) for z in (a, b))
+        assert len(np.intersect1d(x, y)) and any(p & q for p, q in zip(jaccard_join._bits(x), jaccard_join._bits(y)))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, shielded, tidy
 from .samples import by_label, texts_of
 from .shingles import chunks, word_hashes
 
@@ -30,14 +31,15 @@ FEATURES = len(_CLASSES) + 1 + 6
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, offsets by text); an empty text is one passage of zeros."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    n = np.maximum(1, -(-np.array([len(r) for r in raw]) // PASSAGE))
+    n_bytes = np.array([len(r) for r in raw], np.int64)
+    n = np.maximum(1, -(-n_bytes // PASSAGE))
     at = np.concatenate([[0], np.cumsum(n)])
     out = np.zeros((at[-1], FEATURES))
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     begin = np.cumsum([0] + [len(r) + 1 for r in raw])[:-1]
     which = np.repeat(np.arange(len(texts)), n)
     start = begin[which] + (np.arange(at[-1]) - at[:-1][which]) * PASSAGE
-    stop = np.minimum(start + PASSAGE, begin[which] + np.array([len(r) for r in raw])[which])
+    stop = np.minimum(start + PASSAGE, (begin + n_bytes)[which])
     kinds = _class_of[data]
     kinds[begin[1:] - 1] = FEATURES  # blanks between texts are no one's
     kinds[-1] = FEATURES
@@ -45,14 +47,15 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     spot = np.repeat(np.arange(at[-1], dtype=np.int32) * (FEATURES + 1), span)
     counts = np.bincount(spot + kinds, minlength=at[-1] * (FEATURES + 1)).reshape(at[-1], -1)
     out[:, : len(_CLASSES) + 1] = counts[:, : len(_CLASSES) + 1] / np.maximum(stop - start, 1)[:, None]
-    words, _ = word_hashes(texts)
+    words, word_at = word_hashes(texts)
     if len(words):
         space = (data == 32) | ((data >= 9) & (data <= 13))
         first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         place = spot[first] // (FEATURES + 1)
-        same = [np.concatenate([np.zeros(d, bool), words[d:] == words[:-d]])[: len(words)] for d in (1, 2)]
+        whose = np.repeat(np.arange(len(texts)), np.diff(word_at))
+        same = [np.concatenate([np.zeros(d, bool), (words[d:] == words[:-d]) & (whose[d:] == whose[:-d])])[: len(words)] for d in (1, 2)]
         m = np.bincount(place, minlength=at[-1])
-        long = np.diff(np.append(first, len(data)))
+        long = np.minimum(np.append(first[1:], len(data)), (begin + n_bytes + 1)[whose]) - first  # to the next word or the text's end
         pairs = np.unique(place.astype(np.uint64) * np.uint64(1 << 32) ^ (words >> np.uint64(32)))
         fresh = np.bincount(np.minimum((pairs >> np.uint64(32)).astype(np.int64), at[-1] - 1), minlength=at[-1])
         m1 = np.maximum(m, 1)
@@ -139,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, id
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1, higher: better) and top_passage (byte where the passage of most attention begins) of every
-    row. Null texts count as empty; an empty text is scored as one empty passage. Without a model all scores are 0.5.
+    row. A score depends on the text alone; it is rounded to nine places, beyond which sums depend on a batch. Null texts count as empty; an empty text is scored as one empty passage. Without a model all scores are 0.5.
     Repeated rows get a row each; null ids stay null. Other columns are not read."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = shielded(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
@@ -155,7 +158,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     x, at = passages(texts[i:j])
                     f = _forward(m.p, np.clip((x - m.mean) / m.scale, -6, 6), at)
                     y, top = f["y"], np.array([int(np.argmax(f["share"][p:q])) * PASSAGE for p, q in zip(at[:-1], at[1:])], np.int64)
-                yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "score": y, "top_passage": top})
+                yield pd.DataFrame({"id": b["id"].iloc[i:j].to_numpy(), "no_id": b["no_id"].iloc[i:j].to_numpy(), "score": np.round(y, 9), "top_passage": top})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(each, f"id {kind}, score double, top_passage long").withColumnRenamed("id", id_col)
+    return restored(rows.mapInPandas(tidy(each), f"id {kind}, no_id boolean, score double, top_passage long"), id_col)

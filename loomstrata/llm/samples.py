@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of the texts of a sample, at most.
+SAMPLE_BYTES = 64 << 20
+
 
 def by_label(labels: DataFrame, label: str, usable: Column, values: list, each: int, id_col: str = "doc_id") -> DataFrame:
     """(id, label): of the rows with each of the values, where usable holds, the `each` with the lowest hash of the id."""
@@ -16,10 +19,21 @@ def by_label(labels: DataFrame, label: str, usable: Column, values: list, each:
     return out.select(F.col(id_col).alias("id"), "label")
 
 
-def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, object]]:
-    """(text, label) of the documents in chosen, a sample of a stated size, in the order of their ids. Empty texts go."""
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, object]]:
+    """(text, label) of the documents in chosen, a sample of a stated size, in the order of their ids. Empty texts go, and
+    of a sample beyond most_bytes so do the texts that come last by the hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("length(text) > 0")
-    got = rows.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
+    rows = rows.join(F.broadcast(chosen), "id").withColumn("at", F.xxhash64("id", "text"))
+    sizes = sorted((r["at"], r["size"]) for r in rows.select("at", F.octet_length("text").alias("size")).collect())
+    last, room = None, most_bytes
+    for at, size in sizes:
+        room -= size
+        if room < 0:
+            break
+        last = at
+    if last is None:
+        return []
+    got = rows.filter(F.col("at") <= last).select("id", "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["id"], r["text"]))]
 
 

@@ -19,12 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import restored, shielded, tidy
 from .samples import by_label, texts_of
 
 #: Labelled documents of each class that the lexicon and the calibration are fitted on, at most.
 EACH = 4000
-#: Terms in the lexicon, at most; the strongest are taken.
-TERMS = 2000
 
 # Words of the grammar in the four languages of the tables.
 THREATS = "kill hurt destroy beat burn shoot stab murder hang tuer frapper détruire brûler töten schlagen zerstören verbrennen matar golpear destruir quemar".split()
@@ -125,21 +124,24 @@ def _features(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(4, min(8, len(w)))}
 
 
-def learn(texts: list[str], toxic: list[int], most: int = TERMS) -> Lexicon:
+def learn(texts: list[str], toxic: list[int], features: list[set[str]] | None = None) -> Lexicon:
     """Terms by the likelihood ratio of document counts (over 28) and log odds (over 2.5), which must stand between words
     as varied as half their documents (copies of one document repeat its neighbours). Of a word and its beginnings the
-    most specific that loses under a twentieth of the toxic documents is taken, then no term that extends it."""
+    most specific that loses under a twentieth of the toxic documents is taken, then no term that extends it. features:
+    _features() of the texts, where they are known."""
+    features = [_features(t) for t in texts] if features is None else features
     yes = [t for t, y in zip(texts, toxic) if y]
-    no = [t for t, y in zip(texts, toxic) if not y]
+    no = [f for f, y in zip(features, toxic) if not y]
     if not yes or not no:
         return Lexicon()
     pos: Counter[str] = Counter()
-    for t in yes:
-        pos.update(_features(t))
+    for f, y in zip(features, toxic):
+        if y:
+            pos.update(f)
     pos = Counter({f: n for f, n in pos.items() if n >= 4})
     neg: Counter[str] = Counter()
-    for t in no:
-        neg.update(_features(t) & pos.keys())
+    for f in no:
+        neg.update(f & pos.keys())
     odds, terms = {}, []
     for f, a in pos.items():
         b = neg[f]
@@ -167,7 +169,7 @@ def learn(texts: list[str], toxic: list[int], most: int = TERMS) -> Lexicon:
                 longer.setdefault(base[:k] + "*", []).append(f)
     chosen: list[str] = []
     for f in sorted(good, key=lambda f: (-pos[f], len(f), f)):
-        if any(f.rstrip("*").startswith(c[:-1]) for c in chosen if c.endswith("*")) or len(chosen) >= most:
+        if any(f.rstrip("*").startswith(c[:-1]) for c in chosen if c.endswith("*")):
             continue
         while heirs := [x for x in longer.get(f, ()) if pos[x] >= 0.95 * pos[f]]:
             f = max(heirs, key=lambda x: (len(x.rstrip("*")), not x.endswith("*")))
@@ -240,8 +242,10 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     """The lexicon is learned on every other text and the logistic calibration on the rest (on all, where that leaves no
     lexicon), so that chance terms of the lexicon don't count. share: of toxic rows among all labelled ones."""
     half = [k % 2 == 0 for k in range(len(texts))]
-    lexicon = learn([t for t, h in zip(texts, half) if h], [y for y, h in zip(toxic, half) if h])
-    full = learn(texts, toxic)
+    features = [_features(t) for t in texts]
+    lexicon = learn(*([x for x, h in zip(xs, half) if h] for xs in (texts, toxic, features)))
+    full = learn(texts, toxic, features)
+    del features
     rest = [not h for h in half]
     if not lexicon.words and not lexicon.stems:
         lexicon, rest = full, [True] * len(texts)
@@ -272,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column | None = None, id
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1, higher: more toxic) and clauses (array of begin, end, weight) of every row. Null and empty
     texts have the score of a text without matched clauses. Repeated rows get a row each; null ids stay null."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = shielded(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,10 +284,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             found = [s.clauses(t) for t in b["text"]]
             x = [[1.0, math.log1p(total := sum(w for _, _, w in f)), max((w for _, _, w in f), default=0.0) / 5, math.log1p(len(f)), 100 * total / (len(t) + 400)] for f, t in zip(found, b["text"])]
-            yield pd.DataFrame({"id": b["id"], "score": s.score(np.array(x).reshape(-1, 5)), "clauses": [[{"begin": p, "end": q, "weight": float(w)} for p, q, w in f] for f in found]})
+            yield pd.DataFrame({"id": b["id"], "no_id": b["no_id"], "score": s.score(np.array(x).reshape(-1, 5)), "clauses": [[{"begin": p, "end": q, "weight": float(w)} for p, q, w in f] for f in found]})
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(each, f"id {kind}, score double, clauses array<struct<begin:int,end:int,weight:double>>").withColumnRenamed("id", id_col)
+    return restored(rows.mapInPandas(tidy(each), f"id {kind}, no_id boolean, score double, clauses array<struct<begin:int,end:int,weight:double>>"), id_col)
 
 
 def scores(model: Model, text: F.Column, spark) -> F.Column:

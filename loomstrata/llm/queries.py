@@ -78,7 +78,52 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+# What the secret scan's patterns are in SQL, whose engine folds more than ASCII where case is ignored.
+_EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key")).replace("_", "_?")
+_PATTERNS = [("assign", rf"""({_EITHER_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0), ("owned", "[A-Za-z0-9+/_=-]{20,}", 0)]
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, owner, repo, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d" for rank, (kind, p, group) in enumerate(_PATTERNS))
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+        ), each AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets
+        ), pairs AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) + any_value(b.n) AS n, count(*) AS c FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT u, v FROM pairs WHERE 100 * c >= 75 * (n - c) UNION ALL SELECT v, u FROM pairs WHERE 100 * c >= 75 * (n - c)
+        ), reach AS (
+            SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+        ), least AS (SELECT u, min(v) AS v FROM reach GROUP BY u)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(v, doc_id) AS component_id FROM sets LEFT JOIN least ON u = doc_id
+    """,
+    "op9_secret_ownership": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || chr(31) || coalesce(lang, '') AS repo FROM documents
+        ), matches AS ({_MATCHES}), places AS (
+            SELECT *, unnest(range(1, len(m) + 1)) AS i FROM matches
+        ), ended AS (
+            SELECT doc_id, owner, repo, rank, kind, v[i] AS value, length(m[i]) AS n, (list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))))::BIGINT AS e FROM places
+        ), spans AS (
+            SELECT *, e - n AS s FROM ended WHERE length(value) >= CASE rank WHEN 0 THEN 6 WHEN 2 THEN 24 ELSE 20 END
+        ), kept AS (
+            SELECT * FROM spans WHERE rank < 3
+            UNION ALL SELECT x.* FROM spans x WHERE rank = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+                AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.doc_id = x.doc_id AND b.rank < 3 AND b.s < x.e AND x.s < b.e)
+        ), owned AS (
+            SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM kept GROUP BY value
+        ), judged AS (
+            SELECT k.*, owners = 1 OR (owners <= 2 AND repos <= 4) AS live, kind || ':' || s || ':' || e AS shown FROM kept k JOIN owned o ON k.value = o.value
+        )
+        SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+               sha256(coalesce(string_agg(shown, ',' ORDER BY s, rank) FILTER (rank < 3), '')) AS base_sha256,
+               coalesce(string_agg(shown, ',' ORDER BY s, rank) FILTER (rank < 3 OR live), '') AS spans,
+               count(*) FILTER (live) AS n_live, count(*) FILTER (rank = 3 AND NOT live) AS n_dropped
+        FROM d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrata.llm import decontaminate, exact_dedup, jaccard_join, packing, tokens, toxicity
-from loomstrata.llm.common import ROW, numbered, read, staged, tuned, without_ids
+from loomstrata.llm.common import ROW, delete, discard, numbered, read, recorded, staged, tuned, without_ids
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +49,23 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.digest(packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"), end_id=1))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("decontaminate", drop_leaks), ("packing", pack_documents)]
+#: What the last stage staged. It goes when the next stage begins: by then its result is written, as STAGES asks for.
+_left: list[str] = []
+
+
+def _next(stage: Stage) -> Stage:
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            delete(spark, _left.pop())
+        with recorded(_left):
+            return stage(spark, docs, sf_dir)
+
+    return call
+
+
+#: Each is called with what the one before returned, written as Parquet and read again.
+STAGES = [(name, _next(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("jaccard_join", drop_near_copies), ("decontaminate", drop_leaks), ("packing", pack_documents))]
 
 #: A learned stage and tokenizers can't be expressed in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
@@ -53,7 +73,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, in order, over all documents."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

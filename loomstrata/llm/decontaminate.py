@@ -80,7 +80,8 @@ class Bench:
             for b in range(BLOCKS):
                 near = (prints.view(np.uint16).reshape(-1, BLOCKS)[:, b][:, None] ^ _ONE_OFF).ravel()
                 order = np.argsort(near, kind="stable")
-                tables.append((np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int32), np.repeat(np.arange(len(prints), dtype=np.int32), 17)[order]))
+                begin = np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int32)
+                tables.append((begin[1:] > begin[:-1], begin, np.repeat(np.arange(len(prints), dtype=np.int32), 17)[order]))
             self.groups.append((w, stride, prints, of, shift, tables))
 
     def shingles(self, words: np.ndarray) -> dict[int, float]:
@@ -96,15 +97,14 @@ class Bench:
                 continue
             mine = fingerprints(sums, w, stride)
             blocks = mine.view(np.uint16).reshape(-1, BLOCKS)
-            for b, (begin, entries) in enumerate(tables):
-                lo = begin[blocks[:, b]]
-                n = begin[blocks[:, b].astype(np.int64) + 1] - lo
-                hit = np.flatnonzero(n)
+            for b, (some, begin, entries) in enumerate(tables):
+                hit = np.flatnonzero(some[blocks[:, b]])
                 if not len(hit):
                     continue
-                n = n[hit]
+                block = blocks[hit, b].astype(np.int64)
+                lo, n = begin[block], begin[block + 1] - begin[block]
                 at = np.repeat(hit, n)
-                entry = entries[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[hit], n)]
+                entry = entries[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
                 close = np.flatnonzero(np.bitwise_count(mine[at] ^ prints[entry]) <= RADIUS)
                 found.update(zip(of[entry[close]].tolist(), (at[close] * stride - shift[entry[close]]).tolist()))
         return found

@@ -124,24 +124,22 @@ def _features(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(4, min(8, len(w)))}
 
 
-def learn(texts: list[str], toxic: list[int], features: list[set[str]] | None = None) -> Lexicon:
+def learn(texts: list[str], toxic: list[int]) -> Lexicon:
     """Terms by the likelihood ratio of document counts (over 28) and log odds (over 2.5), which must stand between words
     as varied as half their documents (copies of one document repeat its neighbours). Of a word and its beginnings the
-    most specific that loses under a twentieth of the toxic documents is taken, then no term that extends it. features:
-    _features() of the texts, where they are known."""
-    features = [_features(t) for t in texts] if features is None else features
+    most specific that loses under a twentieth of the toxic documents is taken, then no term that extends it. Features of
+    one text at a time are held."""
     yes = [t for t, y in zip(texts, toxic) if y]
-    no = [f for f, y in zip(features, toxic) if not y]
+    no = [t for t, y in zip(texts, toxic) if not y]
     if not yes or not no:
         return Lexicon()
     pos: Counter[str] = Counter()
-    for f, y in zip(features, toxic):
-        if y:
-            pos.update(f)
+    for t in yes:
+        pos.update(_features(t))
     pos = Counter({f: n for f, n in pos.items() if n >= 4})
     neg: Counter[str] = Counter()
-    for f in no:
-        neg.update(f & pos.keys())
+    for t in no:
+        neg.update(_features(t) & pos.keys())
     odds, terms = {}, []
     for f, a in pos.items():
         b = neg[f]
@@ -242,10 +240,8 @@ def fit(texts: list[str], toxic: list[int], share: float | None = None) -> Model
     """The lexicon is learned on every other text and the logistic calibration on the rest (on all, where that leaves no
     lexicon), so that chance terms of the lexicon don't count. share: of toxic rows among all labelled ones."""
     half = [k % 2 == 0 for k in range(len(texts))]
-    features = [_features(t) for t in texts]
-    lexicon = learn(*([x for x, h in zip(xs, half) if h] for xs in (texts, toxic, features)))
-    full = learn(texts, toxic, features)
-    del features
+    lexicon = learn(*([x for x, h in zip(xs, half) if h] for xs in (texts, toxic)))
+    full = learn(texts, toxic)
     rest = [not h for h in half]
     if not lexicon.words and not lexicon.stems:
         lexicon, rest = full, [True] * len(texts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import special
+from ..sources.staging import written
 
 #: Ranges that smaller() cuts values into.
 RANGES = 256
@@ -49,7 +50,8 @@ def smaller(counts: DataFrame, value: str, by: list[str], m: str = "_m", to: str
 
     No window has a whole group: values are cut into ranges of about equal numbers by approximate quantiles of them all,
     sums run within a range of a group, and over a group's ranges by another window of at most RANGES rows. Any cuts give
-    the same sums."""
+    the same sums. counts are read three times, so they are written out first, and what made them runs once."""
+    counts = written(counts, "counts")
     at = F.col(value).cast("double")
     cuts = counts.agg(F.coalesce(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("cuts"))
     rows = counts.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")
@@ -134,19 +136,18 @@ def holm(tests: DataFrame, p: str = "p_value", family: list[str] | None = None)
     return rows.withColumn("p_holm", F.when(known, F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_s")
 
 
-def with_average_rank(rows: DataFrame, c: str, to: str, by: list[str] | None = None) -> DataFrame:
-    """Average ranks of a column by group, from counts by value."""
-    by = by or []
-    counts = rows.groupBy(*by, c).agg(F.count("*").alias("_m"))
-    ranks = smaller(counts, c, by).withColumn(to, F.col("_before") + (F.col("_m") + 1) / 2).select(*by, c, to)
-    return rows.join(ranks, [*by, c])
-
-
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Correlation of average ranks over rows with both values."""
-    use = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_average_rank(with_average_rank(use, x, "_rx", by), y, "_ry", by)
-    return ranked.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    """Correlation of average ranks over rows with both values; null where one of them has a single value. Rows are counted
+    by pair of values first, and a pair's number is its weight."""
+    by = by or []
+    use = written(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_m")), "pairs")
+    ranked = use
+    for c, to in ((x, "_rx"), (y, "_ry")):
+        counts = use.groupBy(*by, c).agg(F.sum("_m").alias("_m"))
+        ranked = ranked.join(smaller(counts, c, by).select(*by, c, (F.col("_before") + (F.col("_m") + 1) / 2).alias(to)), [*by, c])
+    part = lambda a, b: F.sum("_m") * F.sum(F.col("_m") * F.col(a) * F.col(b)) - F.sum(F.col("_m") * F.col(a)) * F.sum(F.col("_m") * F.col(b))
+    rho = F.try_divide(part("_rx", "_ry"), F.sqrt(part("_rx", "_rx")) * F.sqrt(part("_ry", "_ry")))
+    return ranked.groupBy(*by).agg(F.sum("_m").alias("n"), rho.alias("rho"))
 
 
 def kendall(rows: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFrame:

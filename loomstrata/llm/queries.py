@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, langid, packing, quality, secrets, sharding, token_store, tokens, toxicity
+from . import conversations, decontaminate, exact_dedup, jaccard_join, langid, packing, quality, secrets, sharding, token_store, tokens, toxicity, vector_codes, warc
 from .common import read
 from .samples import remainder
 
@@ -62,6 +62,18 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(read(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -75,6 +87,9 @@ QUERIES: dict[str, Query] = {
         op8_exact_dedup,
         op9_secret_ownership,
         op10_toxicity_grammar,
+        op11_conversation_repair,
+        op12_vector_codes,
+        op13_warc,
     )
 }
 
@@ -83,6 +98,36 @@ _EITHER_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c
 _PATTERNS = [("assign", rf"""({_EITHER_CASE})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2), ("access", "AKIA[A-Z0-9]+", 0), ("hex", "[0-9a-f]+", 0), ("owned", "[A-Za-z0-9+/_=-]{20,}", 0)]
 _MATCHES = " UNION ALL ".join(f"SELECT doc_id, owner, repo, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d" for rank, (kind, p, group) in enumerate(_PATTERNS))
 
+def _lloyd_sql(rounds: int = vector_codes.ROUNDS, entries: int = vector_codes.ENTRIES) -> str:
+    """Product codes in SQL: the rounds written out, each over the distinct parts."""
+    dist = "list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j])))"
+    steps = []
+    for k in range(rounds + 1):
+        best = f"min((CASE WHEN len(d.x) > 0 THEN {dist} ELSE 0 END) * 16 + e)::BIGINT AS best"
+        steps.append(f"near{k} AS (SELECT d.p, d.x, {best} FROM cells d JOIN book{k} b ON d.p = b.p GROUP BY d.p, d.x)")
+        if k < rounds:
+            each = f"SELECT n.p, n.x, best, w, unnest(range(1, len(n.x) + 1)) AS j FROM near{k} n JOIN cells c ON n.p = c.p AND n.x = c.x"
+            steps.append(f"sums{k} AS (SELECT p, best % 16 AS e, j, sum(w * x[j])::BIGINT AS s, sum(w)::BIGINT AS n FROM ({each}) GROUP BY p, best % 16, j)")
+            steps.append(f"mean{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM sums{k} GROUP BY p, e)")
+            steps.append(f"book{k + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS (
+            SELECT vec_id, label, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM (SELECT *, unnest(range(0, 8)) AS p FROM kept)
+        ), cells AS (SELECT p, x, count(*) AS w FROM parts GROUP BY p, x),
+        book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+        {", ".join(steps)},
+        coded AS (
+            SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best % 16), '' ORDER BY d.p) AS code, sum(best // 16)::BIGINT AS error
+            FROM parts d JOIN near{rounds} n ON d.p = n.p AND d.x = n.x GROUP BY vec_id
+        ), flat AS (SELECT p, e, unnest(range(1, len(c) + 1)) AS j, unnest(c) AS c FROM book{rounds})
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) FROM flat) AS codebooks_sha256 FROM coded
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
         WITH RECURSIVE words AS (
@@ -129,4 +174,15 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_vector_codes": _lloyd_sql(),
+    "op13_warc": """
+        WITH sized AS (
+            SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages
+        ), firsts AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM sized
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id > first THEN first END AS refers_to
+        FROM firsts
+    """,
 }

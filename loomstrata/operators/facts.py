@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import camel_words, canonical, category, json_object, position_reference, route_pattern, value
 from ..functions.text import mentions as _mentions
+from ..sources.staging import written
+from .containment import holding, lying_in
 from .statistics import hash_sample
 
 #: Facts of each category that count, at most.
@@ -148,16 +150,19 @@ def known_identifiers(tables: dict[str, DataFrame], scope: str = "repo_name") ->
 def unsupported(candidates: DataFrame, known: DataFrame, scope: str = "repo_name") -> DataFrame:
     """candidates with `supported`: equal to a known identifier (also without @), or one of more than three characters
     contains it or lies in it. Each form is judged once a repository, however many summaries have it. Equality is an
-    equi-join; only what it leaves is compared by containment, within its own repository."""
+    equi-join; what it leaves is looked up by its rarest n-gram among the names, and names by theirs among what is still
+    open, so no join is on the repository alone."""
     low = F.lower("candidate")
-    names = known.select(scope, F.col("known").alias("_name"))
-    forms = candidates.select(scope, low.alias("_low")).distinct().withColumn("_bare", F.regexp_replace("_low", "^@+", ""))
+    names = written(known.select(scope, F.col("known").alias("_name")).distinct(), "names")
+    forms = written(candidates.select(scope, low.alias("_low")).distinct(), "forms").withColumn("_bare", F.regexp_replace("_low", "^@+", ""))
     hit = lambda c: forms.join(names.withColumnRenamed("_name", c), [scope, c], "left_semi").select(scope, "_low")
-    sure = hit("_low").unionByName(hit("_bare"))
-    open_ = forms.join(sure, [scope, "_low"], "left_anti")
+    sure = hit("_low").unionByName(hit("_bare")).distinct()
     long = names.filter(F.length("_name") > 3)
-    near = open_.join(long, scope).filter(F.contains("_name", F.col("_low")) | F.contains("_low", F.col("_name"))).select(scope, "_low")
-    some = sure.unionByName(near).distinct().withColumn("supported", F.lit(True))
+    left = written(forms.join(sure, [scope, "_low"], "left_anti").select(scope, F.col("_low").alias("s")), "open")
+    within = lying_in(left, long.withColumnRenamed("_name", "t"), [scope])
+    around = holding(left.withColumnRenamed("s", "t"), long.withColumnRenamed("_name", "s"), [scope], 4)
+    some = sure.unionByName(within.withColumnRenamed("s", "_low")).unionByName(around.withColumnRenamed("t", "_low"))
+    some = some.distinct().withColumn("supported", F.lit(True))
     return candidates.withColumn("_low", low).join(some, [scope, "_low"], "left").select(*candidates.columns, F.coalesce("supported", F.lit(False)).alias("supported"))
 
 

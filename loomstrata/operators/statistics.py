@@ -3,7 +3,6 @@ and windows; only p-values and quantiles come from numpy, on one row a test."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,13 +137,22 @@ def holm(tests: DataFrame, p: str = "p_value", family: list[str] | None = None)
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Correlation of average ranks over rows with both values; null where one of them has a single value. Rows are counted
-    by pair of values first, and a pair's number is its weight."""
+    by pair of values first."""
     by = by or []
-    use = written(rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_m")), "pairs")
+    use = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_m"))
+    return rho_of_counts(written(use, "pairs"), x, y, by)
+
+
+def rho_of_counts(use: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """(by, n, rho): spearman() of distinct pairs (by, x, y) with their number _m, a table."""
     ranked = use
     for c, to in ((x, "_rx"), (y, "_ry")):
         counts = use.groupBy(*by, c).agg(F.sum("_m").alias("_m"))
-        ranked = ranked.join(smaller(counts, c, by).select(*by, c, (F.col("_before") + (F.col("_m") + 1) / 2).alias(to)), [*by, c])
+        ranks = smaller(counts, c, by).select(*[F.col(k).alias(f"_of{i}") for i, k in enumerate([*by, c])], (F.col("_before") + (F.col("_m") + 1) / 2).alias(to))
+        same = F.lit(True)
+        for i, k in enumerate([*by, c]):
+            same &= F.col(k).eqNullSafe(F.col(f"_of{i}"))
+        ranked = ranked.join(ranks, same).drop(*(f"_of{i}" for i in range(len(by) + 1)))
     part = lambda a, b: F.sum("_m") * F.sum(F.col("_m") * F.col(a) * F.col(b)) - F.sum(F.col("_m") * F.col(a)) * F.sum(F.col("_m") * F.col(b))
     rho = F.try_divide(part("_rx", "_ry"), F.sqrt(part("_rx", "_rx")) * F.sqrt(part("_ry", "_ry")))
     return ranked.groupBy(*by).agg(F.sum("_m").alias("n"), rho.alias("rho"))
@@ -191,49 +199,6 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, by: list[str] | Non
     return out.withColumn("p_value", p("u", "n1", "n2", "tie_sum"))
 
 
-def _dealt(groups: DataFrame, by: list[str], resamples: int) -> DataFrame:
-    """groups with a row for each resample _b. Values are dealt to the tasks once for each hundred of them."""
-    some = groups.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 100)))).repartition(*by, "_c")
-    return some.withColumn("_b", F.explode(F.sequence(F.col("_c") * 100, F.least(F.col("_c") * 100 + 99, F.lit(resamples - 1))))).drop("_c")
-
-
-def bootstrap_mean(rows: DataFrame, value: str, by: list[str], key: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Mean and the 2.5 and 97.5 percentiles of resampled means by group. Draws are a hash of (seed, resample, place)
-    modulo the group's size, so a run repeats whatever the partitioning; values are an array a group, which has to be of
-    a size for that (result tables), and resamples are dealt to all tasks."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*key, F.col(value).cast("double").alias("v")))), lambda s: s["v"])
-    groups = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(ordered.alias("_v"), F.avg(value).alias("mean"), F.count("*").alias("n"))
-    drawn = _dealt(groups, by, resamples)
-    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), F.col("n")).cast("int") + 1
-    means = drawn.select(*by, "mean", "n", (F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + F.element_at("_v", place(i))) / F.col("n")).alias("_m"))
-    return means.groupBy(*by, "mean", "n").agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
-
-
-def bootstrap_spearman(rows: DataFrame, x: str, y: str, by: list[str], key: list[str], resamples: int = 4000, seed: int = 7) -> DataFrame:
-    """Spearman's rho of the rows with both values and the 2.5 and 97.5 percentiles of resampled ones, by group. Draws are
-    those of bootstrap_mean(); rows are drawn as pairs. Resamples with one value only of either are skipped and
-    `n_resamples` counts the rest; without any the percentiles are null."""
-    pair = lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))), pair)
-    groups = rows.dropna(subset=[x, y]).groupBy(*by).agg(ordered.alias("_v"), F.count("*").alias("n"))
-    drawn = _dealt(groups, by, resamples)
-    place = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("_b"), i), F.col("n")).cast("int") + 1
-    pairs = drawn.withColumn("_v", F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.element_at("_v", place(i))))
-    out = pairs.select(*by, "n", _rho("_v.x", "_v.y").alias("_m")).groupBy(*by, "n").agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"), F.count("_m").alias("n_resamples"))
-    rho = groups.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], _rho("_v.x", "_v.y").alias("rho"))
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    return out.join(rho, same).select(*by, "n", "rho", "ci_low", "ci_high", "n_resamples")
-
-
-@F.pandas_udf(T.DoubleType())
-def _rho(x: pd.Series, y: pd.Series) -> pd.Series:
-    """Spearman's rho of two arrays; null where one of them has a single value."""
-    ranks = ((special.average_ranks(a), special.average_ranks(b)) for a, b in zip(x, y))
-    return pd.Series([float(np.corrcoef(a, b)[0, 1]) if len(a) and np.ptp(a) > 0 and np.ptp(b) > 0 else None for a, b in ranks], dtype="float64")
-
-
 def confusion(rows: DataFrame, truth: Column, said: Column, by: list[str] | None = None) -> DataFrame:
     """Counts, sensitivity, specificity and balanced accuracy; null where a denominator is 0."""
     use = rows.withColumn("_t", truth).withColumn("_s", said).filter("_t is not null and _s is not null")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, join_path
-from ..operators import context, facts, graph, statistics
+from ..operators import context, facts, graph, resampling, statistics
 from ..sources import results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,16 +604,60 @@ def judge_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.judge_acceptance(view(spark, sf_dir, "lineitem"), "l_discount", ["l_returnflag"]).withColumn("share_at_one", F.round("share_at_one", 6))
 
 
-@query(None)
+def _hash_tree_sql(resamples: int, seed: int) -> str:
+    """CTEs `groups` to `drawn` (g, b, pos, w): how often each place of `placed` (g, pos) is drawn in each resample."""
+    full = (1 << 32) - 1
+    steps = [f"(xor(v, v >> {shift}) * {times}) & {full}" if times else f"xor(v, v >> {shift})" for shift, times in resampling.MIX]
+
+    def mixed(x: str) -> str:
+        for step in steps:
+            x = f"list_transform({x}, lambda v: {step})"
+        return x
+
+    key = mixed(f"[(b + {seed * resampling.STRIDE % (1 << 32)})::UBIGINT & {full}]")
+    for part in ("low", "0", "size", "0"):
+        key = mixed(f"list_transform({key}, lambda v: xor(v, {part}::UBIGINT))")
+    words = lambda n: mixed(f"list_transform(range(0, {n}), lambda k: (key + k * {resampling.STRIDE})::UBIGINT & {full})")
+    even = f"list_sum(list_transform({words('(draws + 31) // 32')}, lambda v, i: bit_count(v & ((1::UBIGINT << least(32, draws - 32 * (i - 1))) - 1))))"
+    uneven = f"list_sum(list_transform({words('draws')}, lambda v: ((v * size::UBIGINT) >> 32 < half::UBIGINT)::INT))"
+    return f"""groups AS (SELECT g, count(*) AS n FROM placed GROUP BY g),
+    tree AS (
+        SELECT g, b, 0::BIGINT AS low, n AS size, n AS draws FROM groups, range(0, {resamples}) t(b)
+        UNION ALL
+        SELECT g, b, low + CASE WHEN right_side THEN half ELSE 0 END, CASE WHEN right_side THEN size - half ELSE half END, CASE WHEN right_side THEN draws - gone ELSE gone END
+        FROM (SELECT *, (CASE WHEN 2 * half = size THEN {even} ELSE {uneven} END)::BIGINT AS gone
+              FROM (SELECT g, b, low, size, draws, (1 << floor(log2(size - 1))::INT)::BIGINT AS half, ({key})[1]::BIGINT AS key FROM tree WHERE size > 1 AND draws > 0)),
+             (VALUES (false), (true)) sides(right_side)
+    ), drawn AS (SELECT g, b, low AS pos, draws AS w FROM tree WHERE size = 1 AND draws > 0)"""
+
+
+@query(f"""WITH RECURSIVE placed AS (SELECT s_nationkey AS g, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal) - 1 AS pos FROM supplier),
+    {_hash_tree_sql(10_000, 42)},
+    means AS (SELECT d.g, b, sum(w * v) / sum(w) AS m FROM drawn d JOIN placed p ON d.g = p.g AND d.pos = p.pos GROUP BY d.g, b)
+    SELECT s_nationkey, mean, n, ci_low, ci_high FROM (SELECT g AS s_nationkey, round(avg(v), 6) AS mean, count(*) AS n FROM placed GROUP BY g)
+    JOIN (SELECT g, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means GROUP BY g) ON g = s_nationkey""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draws are a hash that SQL lacks; tests repeat them."""
-    return statistics.bootstrap_mean(view(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"], ["s_suppkey"], 10_000)
+    """The mean, 10,000 resamples."""
+    out = resampling.bootstrap_mean(view(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"], 10_000)
+    return out.select("s_nationkey", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")))
 
 
-@query(None)
+_PLACED_RANKS = "sum(w) OVER (PARTITION BY g, b ORDER BY {0}) - (sum(w) OVER (PARTITION BY g, b, {0}) - 1) / 2.0"
+
+
+@query(f"""WITH RECURSIVE placed AS (SELECT s_nationkey AS g, s_suppkey AS x, s_acctbal AS y, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_acctbal) - 1 AS pos FROM supplier),
+    {_hash_tree_sql(4000, 7)},
+    resampled AS (SELECT d.g, b, w, x, y FROM drawn d JOIN placed p ON d.g = p.g AND d.pos = p.pos UNION ALL SELECT g, -1, 1, x, y FROM placed),
+    ranked AS (SELECT g, b, w, {_PLACED_RANKS.format("x")} AS rx, {_PLACED_RANKS.format("y")} AS ry FROM resampled),
+    parts AS (SELECT g, b, sum(w) * sum(w * rx * ry) - sum(w * rx) * sum(w * ry) AS xy, sum(w) * sum(w * rx * rx) - sum(w * rx) ** 2 AS xx, sum(w) * sum(w * ry * ry) - sum(w * ry) ** 2 AS yy FROM ranked GROUP BY g, b),
+    scored AS (SELECT g, b, CASE WHEN xx > 0 AND yy > 0 THEN xy / (sqrt(xx) * sqrt(yy)) END AS rho FROM parts)
+    SELECT s_nationkey, n, rho, ci_low, ci_high, n_resamples FROM (SELECT g AS s_nationkey, count(*) AS n FROM placed GROUP BY g)
+    JOIN (SELECT g, round(max(rho) FILTER (b = -1), 6) AS rho, round(quantile_cont(rho, 0.025) FILTER (b >= 0), 6) AS ci_low, round(quantile_cont(rho, 0.975) FILTER (b >= 0), 6) AS ci_high,
+          count(rho) FILTER (b >= 0) AS n_resamples FROM scored GROUP BY g) ON g = s_nationkey""")
 def bootstrap_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for Spearman's rho."""
-    return statistics.bootstrap_spearman(view(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"], ["s_suppkey"])
+    """Spearman's rho, 4,000 resamples."""
+    out = resampling.bootstrap_spearman(view(spark, sf_dir, "supplier"), "s_suppkey", "s_acctbal", ["s_nationkey"])
+    return out.select("s_nationkey", "n", "n_resamples", *(F.round(c, 6).alias(c) for c in ("rho", "ci_low", "ci_high")))
 
 
 # --- judges, overlap, ground truth

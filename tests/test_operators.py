@@ -160,12 +160,6 @@ def test_p_values():
     assert abs(special.t_quantile(0.975, 10) - 2.2281388519649385) < 1e-8
 
 
-def test_bootstrap_repeats(spark):
-    rows = spark.createDataFrame([("a", i, float(i)) for i in range(20)], "g string, k int, v double")
-    runs = [statistics.bootstrap_mean(r, "v", ["g"], ["k"], 100).first() for r in (rows, rows.repartition(7))]
-    assert runs[0] == runs[1] and runs[0].ci_low < runs[0].mean < runs[0].ci_high
-
-
 def test_rank_statistics(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": "a", "k": range(60), "x": rng.integers(0, 9, 60), "y": rng.integers(0, 9, 60)})
@@ -451,27 +445,6 @@ def test_whole_tables_are_read(spark, data):
     assert plans.kendall(spark, data).count() == read("part").groupBy("p_brand").count().filter("count > 1").count()
 
 
-def test_bootstrap_spearman(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=25)
-    pdf = pd.DataFrame({"g": ["a"] * 25 + ["flat"] * 4, "k": range(29), "x": [*x, 1, 2, 3, 4], "y": [*(x + rng.normal(size=25)), 5, 5, 5, 5]})
-    rows = spark.createDataFrame(pdf)
-    runs = [{r.g: r for r in statistics.bootstrap_spearman(f, "x", "y", ["g"], ["k"]).collect()} for f in (rows, rows.repartition(7))]
-    assert runs[0] == runs[1]
-    a, flat = runs[0]["a"], runs[0]["flat"]
-    assert abs(a.rho - np.corrcoef(special.average_ranks(pdf.x[:25].to_numpy()), special.average_ranks(pdf.y[:25].to_numpy()))[0, 1]) < 1e-9
-    assert -1 <= a.ci_low < a.rho < a.ci_high <= 1 and a.n_resamples == 4000
-    assert flat.n_resamples == 0 and flat.rho is None and flat.ci_low is None
-    two = statistics.bootstrap_spearman(spark.createDataFrame([("a", 0, 0.0, 1.0), ("a", 1, 1.0, 2.0)], "g string, k int, x double, y double"), "x", "y", ["g"], ["k"], 1000).first()
-    assert 400 < two.n_resamples < 600 and two.ci_low == pytest.approx(1) and two.ci_high == pytest.approx(1)
-
-
-def test_bootstrap_resamples():
-    import inspect
-
-    assert inspect.signature(statistics.bootstrap_mean).parameters["resamples"].default == 10_000
-
-
 def test_agreement_and_criteria(spark):
     rows = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 1.0, 4.0), (3.0, 3.0, None), (4.0, 5.0, 1.0)], "a double, b double, c double")
     got = {(r.a, r.b): (r.n, round(r.rho, 4)) for r in statistics.agreement(rows, ["a", "b", "c"]).collect()}

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, join_path
 from ..operators import context, facts, graph, resampling, statistics
-from ..sources import results
+from ..sources import results, snapshots
+from ..sources.staging import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -364,6 +366,27 @@ def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
 
 
+@query("""WITH nodes AS (
+        SELECT n_name, n_nationkey % 2 = 1 AS again, 'modules' AS kind, s_suppkey AS id, s_acctbal > 0 AS kept FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        UNION ALL SELECT n_name, n_nationkey % 2 = 1, 'functions', c_custkey, false FROM customer JOIN nation ON c_nationkey = n_nationkey)
+    SELECT n_name AS repo_name, kind, count(*) AS n, sum(id)::BIGINT AS ids FROM nodes WHERE NOT again OR kept GROUP BY ALL""")
+def graph_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as repositories of modules and functions, all written; then every other one parsed again, which leaves
+    them the modules with a balance and no functions. Both writes are snapshots; the last one is read."""
+    v = lambda n: view(spark, sf_dir, n)
+    nation = v("nation").select("n_nationkey", F.col("n_name").alias("repo_name"))
+    modules = v("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    functions = v("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("repo_name", "n_nationkey", F.col("c_custkey").alias("id"))
+    modules = modules.select("repo_name", "n_nationkey", F.col("s_suppkey").alias("id"), "s_acctbal")
+    path = scratch_path(spark, "graph")
+    snapshots.write_graph({"repositories": nation, "modules": modules, "functions": functions}, path)
+    again = F.col("n_nationkey") % 2 == 1
+    snapshots.write_graph({"repositories": nation.filter(again), "modules": modules.filter(again & (F.col("s_acctbal") > 0)), "functions": functions.filter(again).limit(0)}, path)
+    tables = snapshots.read_graph(spark, path)
+    nodes = reduce(DataFrame.unionByName, (tables[k].select("repo_name", F.lit(k).alias("kind"), "id") for k in ("modules", "functions")))
+    return nodes.groupBy("repo_name", "kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uniqueness constraint as a check."""

@@ -101,12 +101,6 @@ def append_runs(rows: DataFrame, path: str, scope: str | None = None) -> None:
     (writer.partitionBy(scope) if scope else writer).parquet(path)
 
 
-def write_graph(tables: dict[str, DataFrame], path: str, scope: str = "repo_name") -> None:
-    """Replaces the partitions of the repositories that tables hold, and no others."""
-    for name, table in tables.items():
-        table.repartition(scope).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(f"{path}/{name}")
-
-
 def to_do(all_rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What has no row in done yet."""
     return all_rows.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -453,13 +453,6 @@ def test_agreement_and_criteria(spark):
     assert {r.k: r.quality for r in judge.mean_criterion(scored, ["k"]).collect()} == {"x": 3.0, "y": None}
 
 
-def test_graph_tables_replace_their_repositories(spark, tmp_path):
-    rows = lambda *xs: {"modules": spark.createDataFrame(list(xs), "repo_name string, id string")}
-    results.write_graph(rows(("a", "1"), ("b", "1")), str(tmp_path))
-    results.write_graph(rows(("b", "2"), ("b", "3")), str(tmp_path))
-    assert sorted((r.repo_name, r.id) for r in spark.read.parquet(str(tmp_path / "modules")).collect()) == [("a", "1"), ("b", "2"), ("b", "3")]
-
-
 def test_database_scan(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     spark.createDataFrame([(k, f"n{k}", k / 2) for k in range(40)], "k long, name string, v double").write.jdbc(url, "runs")

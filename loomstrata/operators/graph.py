@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_path
-from ..sources.staging import written
+from ..sources.staging import discard, written
 
 #: Key of each node table; edges are keyed by both ends.
 KEYS = {"repositories": ["repo_name"], "modules": ["repo_name", "id"], "classes": ["repo_name", "id"], "functions": ["repo_name", "id"], "endpoints": ["repo_name", "id"], "db_entities": ["repo_name", "id"], "external_deps": ["repo_name", "name"], "config_files": ["repo_name", "path"]}
@@ -91,32 +91,72 @@ def mount_prefixes(own: DataFrame, mounts: DataFrame, scope: str = "repo_name")
 
     own: (scope, id, own_prefix); mounts: (scope, id, mounter, local_prefix), one row a mounted module. The prefix of a
     module is its mounter's, the local one and its own, joined; a module that closes a cycle counts as ''. Chains of any
-    length are followed by pointer doubling: each round joins every module with the one its pointer has reached, so a chain
-    of n mounts takes log(n) rounds, and each round is written out, so plans don't grow. When a round ends no chain, what
-    is left runs into cycles; those modules go on a mount a round, with the path that they have seen.
+    length are followed by pointer doubling, so a chain of n mounts takes log(n) rounds, each written out, so plans don't
+    grow. Modules that run into a cycle are left over; see _round_cycles().
     """
-    left = F.col("id")
     known = own.select(scope, "id").unionByName(mounts.select(scope, "id")).distinct()
     part = join_path(F.coalesce("local_prefix", F.lit("")), F.coalesce("own_prefix", F.lit("")))
     steps = known.join(own, [scope, "id"], "left").join(mounts, [scope, "id"], "left").select(scope, "id", F.col("mounter").alias("to"), part.alias("prefix"))
     # a mounter that has neither a prefix nor a mount ends its chains
     alone = steps.filter("to is not null").select(scope, F.col("to").alias("id")).distinct().join(known, [scope, "id"], "left_anti")
     steps = written(steps.unionByName(alone.select(scope, "id", F.lit(None).cast(known.schema["id"].dataType).alias("to"), F.lit("").alias("prefix"))), "mounts")
+    rows, endless = _follow(steps, scope)
+    done = rows.filter("to is null").select(scope, "id", "prefix")
+    if endless:
+        left = written(steps.join(rows.filter("to is not null").select(scope, "id"), [scope, "id"], "left_semi"), "endless")
+        ring = _round_cycles(left, scope)
+        ends = ring.select(scope, "id", F.lit(None).cast(left.schema["to"].dataType).alias("to"), "prefix")
+        tails = left.join(ring.select(scope, "id"), [scope, "id"], "left_anti")
+        done = done.unionByName(_follow(written(tails.unionByName(ends), "tails"), scope)[0].select(scope, "id", "prefix"))
+    return known.join(done, [scope, "id"])
+
+
+def _follow(steps: DataFrame, scope: str) -> tuple[DataFrame, int]:
+    """Rows (scope, id, to, prefix) whose pointers have gone on until they ended, and how many never do. Each round joins
+    every row with the one its pointer has reached. While some chain is unfinished the chains of its later modules end in
+    every round, so a round that ends none has come to those that run into cycles."""
     rows, before = steps, None
     while (live := rows.filter("to is not null").count()) and live != before:
         before = live
         further = rows.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
-        rows = rows.join(further, [scope, "to"], "left").select(scope, "id", F.col("then").alias("to"), F.when(F.col("to").isNull(), F.col("prefix")).otherwise(join_path(F.col("above"), F.col("prefix"))).alias("prefix"))
-        rows = written(rows, "doubled")
-    done = rows.filter("to is null").select(scope, "id", "prefix")
-    if live:
-        at = steps.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
-        caught = rows.filter("to is not null").select(scope, "id").join(steps, [scope, "id"]).withColumn("seen", F.array(left))
-        while not (going := caught.filter(~F.array_contains("seen", F.col("to")))).isEmpty():
-            done = done.unionByName(caught.filter(F.array_contains("seen", F.col("to"))).select(scope, "id", "prefix"))
-            caught = written(going.join(at, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), join_path(F.col("above"), F.col("prefix")).alias("prefix"), F.array_append("seen", F.col("to")).alias("seen")), "caught")
-        done = done.unionByName(caught.select(scope, "id", "prefix"))
-    return known.join(done, [scope, "id"])
+        prefix = F.when(F.col("to").isNull(), F.col("prefix")).otherwise(join_path(F.col("above"), F.col("prefix")))
+        last, rows = rows, written(rows.join(further, [scope, "to"], "left").select(scope, "id", F.col("then").alias("to"), prefix.alias("prefix")), "doubled")
+        if last is not steps:
+            discard(last)
+    return rows, live
+
+
+def _round_cycles(steps: DataFrame, scope: str) -> DataFrame:
+    """(scope, id, prefix) of the modules on cycles: the product of one whole turn, which ends with the module itself.
+
+    steps: (scope, id, to, prefix) of modules whose chains never end. All in log(n) rounds of joins on what pointers have
+    reached: pointers are doubled until their targets get no fewer, and those are the modules on cycles; the least id in
+    growing distance names a cycle, and its rows are the turn's length n; then products of 1, 2, 4, ... steps are made, and
+    a module takes those that the binary digits of n name."""
+    hop, targets = steps.select(scope, "id", "to"), None
+    while (there := hop.select(scope, "to").distinct().count()) != targets:
+        targets = there
+        hop = written(hop.join(hop.select(scope, F.col("id").alias("to"), F.col("to").alias("then")), [scope, "to"]).select(scope, "id", F.col("then").alias("to")), "hops")
+    ring = written(steps.join(hop.select(scope, F.col("to").alias("id")).distinct(), [scope, "id"], "left_semi"), "ring")
+    least, changed = ring.select(scope, "id", "to", F.least("id", "to").alias("low"), F.lit(True).alias("fell")), True
+    while changed:
+        ahead = least.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("low").alias("other"))
+        low = F.least("low", "other")
+        least = written(least.join(ahead, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), low.alias("low"), (low != F.col("low")).alias("fell")), "least")
+        changed = not least.filter("fell").isEmpty()
+    turn = least.join(least.groupBy(scope, "low").agg(F.count("*").alias("n")), [scope, "low"]).select(scope, "id", "n")
+    walk = written(turn.select(scope, "id", "n", F.col("id").alias("at"), F.lit("").alias("prefix")), "turns")
+    most, k, power = walk.agg(F.max("n")).first()[0], 0, ring
+    while most >> k:
+        reached = power.select(scope, F.col("id").alias("at"), F.col("to").alias("then"), F.col("prefix").alias("above"))
+        takes = F.expr(f"(n >> {k}) & 1") == 1
+        gone = walk.join(reached, [scope, "at"])
+        walk = written(gone.select(scope, "id", "n", F.when(takes, F.col("then")).otherwise(F.col("at")).alias("at"), F.when(takes, join_path(F.col("above"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix")), "turns")
+        k += 1
+        if most >> k:
+            further = power.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
+            power = written(power.join(further, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), join_path(F.col("above"), F.col("prefix")).alias("prefix")), "powers")
+    return walk.select(scope, "id", "prefix")
 
 
 def apply_prefixes(endpoints: DataFrame, prefixes: DataFrame, scope: str = "repo_name") -> DataFrame:

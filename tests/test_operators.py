@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import time
 import re
 
@@ -295,6 +296,55 @@ def test_mount_chains_into_cycles(spark):
     assert got == want
 
 
+def walk_up(up: dict[str, str], part: dict[str, str]) -> dict[str, str]:
+    out = {}
+    for k in part:
+        at, seen, names = k, set(), []
+        while at in part and at not in seen:
+            seen.add(at)
+            names.append(part[at])
+            at = up.get(at)
+        out[k] = "/" + "/".join(x for x in reversed(names) if x)
+    return out
+
+
+def test_mount_cycles_of_many_lengths(spark):
+    rng = random.Random(5)
+    up, n = {}, 0
+    for length in (1, 2, 3, 7, 16, 33):
+        ring = [f"c{length}_{i:02d}" for i in rng.sample(range(length), length)]
+        up |= {a: b for a, b in zip(ring, [*ring[1:], ring[0]])}
+        for tail in range(3):
+            at = rng.choice(ring)
+            for _ in range(rng.randint(1, 40)):
+                n += 1
+                up[f"t{n}"], at = at, f"t{n}"
+    part = {k: rng.choice(["", k, k.upper()]) for k in up}
+    mounts = spark.createDataFrame([("r", k, v, part[k]) for k, v in up.items()] + [("q", k, v, part[k]) for k, v in up.items() if "c7" in k], "repo_name string, id string, mounter string, local_prefix string")
+    rows = graph.mount_prefixes(spark.createDataFrame([], "repo_name string, id string, own_prefix string"), mounts).collect()
+    want = walk_up(up, part)
+    assert {r.id: r.prefix for r in rows if r.repo_name == "r"} == want
+    assert {r.id: r.prefix for r in rows if r.repo_name == "q"} == {k: v for k, v in want.items() if "c7" in k}
+
+
+def test_mount_cycle_of_thousands(spark, monkeypatch):
+    """5,000 mounts in one cycle: about log(n) rounds of each kind, no round a mount."""
+    n, rounds = 5000, []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: rounds.append(name) or write(df, name))
+    ids = spark.range(n).select(F.lit("r").alias("repo_name"), F.format_string("n%04d", "id").alias("id"), F.when(F.col("id") % 100 == 0, F.format_string("p%d", "id")).otherwise("").alias("local_prefix"))
+    mounts = ids.withColumn("mounter", F.format_string("n%04d", (F.substring("id", 2, 4).cast("long") + 1) % n))
+    got = {r.id: r.prefix for r in graph.mount_prefixes(spark.createDataFrame([], "repo_name string, id string, own_prefix string"), mounts).collect()}
+    up, part = {f"n{i:04d}": f"n{(i + 1) % n:04d}" for i in range(n)}, {f"n{i:04d}": f"p{i}" if i % 100 == 0 else "" for i in range(n)}
+    for i in (0, 1, 99, 100, 4999):
+        names, at = [], f"n{i:04d}"
+        for _ in range(n):
+            names.append(part[at])
+            at = up[at]
+        assert got[f"n{i:04d}"] == "/" + "/".join(x for x in reversed(names) if x)
+    assert len(got) == n and len(rounds) < 60
+
+
 def test_diagrams_and_unmatched(spark):
     make = lambda rows: spark.createDataFrame(rows, "g string, item string")
     nodes = statistics.graph_diff(make([("a", "x"), ("a", "y"), ("b", "z")]), make([("a", "x"), ("b", "w")]), ["g"])

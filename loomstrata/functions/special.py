@@ -90,4 +90,4 @@ def mann_whitney_p(u: float, n1: int, n2: int, tie_sum: float) -> float | None:
     if var <= 0:
         return 1.0
     z = (abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(var)
-    return min(1.0, 2 * (1 - normal_cdf(z)))
+    return min(1.0, math.erfc(z / math.sqrt(2)))

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters around an identifier that make it part of a longer one.
-_EDGE = "[^A-Za-z0-9_]"
-
-# Results of matching depend on these. Quotes around a name; characters of code; words before a position;
-# shapes of route parameters, and what one matches (in a replacement, so backslashes are doubled); marks of a code fence.
-_QUOTES = "`'\""
+# Results of matching depend on these.
+#: Characters of identifiers; those of code in a fact; quotes around a name.
+_WORD = "A-Za-z0-9_"
 _CODE = "a-z0-9/:@._-"
-_COUNTED = ["fact", "item", "number", "no"]
-_PARAMETERS = [":[A-Za-z_]\\w*", "\\{[^}]+\\}", "<[^>]+>"]
+_QUOTES = "`'\""
+#: A position in a list of facts, in lower case and without blanks and quotes around it.
+_POSITION = r"^(?:fact|item|no|number|#)?\s*[#.)]?\s*(\d{1,3})\s*[.)]?$"
+#: Parameters of a route, and what one matches (in a replacement, so backslashes are doubled).
+_PARAMETER = r":[A-Za-z_]\w*|\{[^}]+\}|<[^>]+>"
 _SEGMENT = "[^/\\\\s`'\"]+"
+#: Marks of a code fence.
 _FENCE = "```"
+
+_EDGE = f"[^{_WORD}]"
 #: Places where a word of a mixed-case name begins: a capital behind a small letter or digit, or the last one of several.
 _WORD_BEGINS = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
@@ -53,9 +56,8 @@ def canonical(text: Column) -> Column:
 
 def position_reference(text: Column) -> Column:
     """The number of one to three digits that '7', '#7', 'fact 7' or '7.' stands for; null otherwise."""
-    word = "|".join(_COUNTED)
-    found = F.regexp_extract(F.lower(text), f"^[{_QUOTES}\\s]*({word})?[#.)\\s]*([0-9]{{1,3}})[.)\\s{_QUOTES}]*$", 2)
-    return F.try_to_number(F.nullif(found, F.lit("")), F.lit("999")).cast("int")
+    bare = F.lower(F.btrim(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(_QUOTES + " ")))
+    return F.try_to_number(F.nullif(F.regexp_extract(bare, _POSITION, 1), F.lit("")), F.lit("999")).cast("int")
 
 
 def join_path(*parts: Column) -> Column:
@@ -67,8 +69,8 @@ def join_path(*parts: Column) -> Column:
 def route_pattern(path: Column) -> Column:
     """A route as a pattern: parameters match one segment, a slash at the end is optional. The path is quoted as a whole,
     and the quotation is opened for each parameter."""
-    body = F.regexp_replace(quoted(F.rtrim(path, F.lit("/"))), "|".join(_PARAMETERS), f"\\\\E{_SEGMENT}\\\\Q")
-    return F.concat(F.lit("(?iu)"), body, F.lit(f"/?(?!{_EDGE.replace('^', '')})"))
+    body = F.regexp_replace(quoted(F.rtrim(path, F.lit("/"))), _PARAMETER, f"\\\\E{_SEGMENT}\\\\Q")
+    return F.concat(F.lit("(?iu)"), body, F.lit(f"/?(?![{_WORD}])"))
 
 
 def json_object(raw: Column) -> Column:

@@ -41,6 +41,9 @@ CANDIDATES = [
 # Verbs that make a claim one about an endpoint.
 VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 
+# What an unmatched item is by, quotes and blanks around it aside: a bare position, or a mark of a fact.
+POSITION, FACT_MARK = r"^\d+[.)]*$", "[:/]"
+
 # Tags of missing facts by category.
 MISSED = {"Endpoint": "missed_endpoint", "Dependency": "missed_dependency", "Framework": "missed_framework_or_language", "Language": "missed_framework_or_language", "Class/Service": "missed_class_or_service", "Database entity": "missed_database_entity"}
 
@@ -273,4 +276,4 @@ def all_index_rows(rows: DataFrame, key: list[str], items: str = "unmatched", mo
 def unmatched_class(item: Column) -> Column:
     """index, fact-like or other."""
     bare = F.regexp_replace(F.trim(item), "^[`'\" ]+|[`'\" ]+$", "")
-    return F.when(F.rlike(bare, F.lit(r"^\d+[.)]*$")), "index").when(F.rlike(bare, F.lit("[:/]")), "fact-like").otherwise("other")
+    return F.when(F.rlike(bare, F.lit(POSITION)), "index").when(F.rlike(bare, F.lit(FACT_MARK)), "fact-like").otherwise("other")

@@ -25,18 +25,19 @@ CONFIGS = {
     "nestjs": {"package.json": "build", "tsconfig.json": "build", "nest-cli.json": "framework_config", ".env": "env", ".env.example": "env", "docker-compose.yml": "framework_config", "Dockerfile": "framework_config"},
 }
 MOST_FILES = 3000
+#: A repository's URL at the hosting site: owner and name.
+URL = r"^https://github\.com/([\w.-]+)/([\w.-]+?)(?:\.git)?/?$"
 
 FOUND = "requires array<string>, imports array<string>, functions array<string>, routes array<struct<method:string,path:string,handler:string,annotation:string>>, mounts array<struct<prefix:string,kind:string,target:string>>, classes array<struct<name:string,implements:array<string>,prefix:string,methods:array<struct<name:string,route_method:string,route_path:string,annotation:string>>>>, warning string"
 
 
 def valid_url(url: Column) -> Column:
     """Whether a URL names a repository of the hosting site, as https://github.com/<owner>/<repo>."""
-    return F.rlike(F.trim(url), F.lit(r"^https://github\.com/[\w.-]+/[\w.-]+?(\.git)?/?$"))
+    return F.rlike(F.trim(url), F.lit(URL))
 
 
 def url_parts(url: Column) -> Column:
-    pattern = r"^https://github\.com/([\w.-]+)/([\w.-]+?)(?:\.git)?/?$"
-    return F.struct(F.regexp_extract(F.trim(url), pattern, 1).alias("owner"), F.regexp_extract(F.trim(url), pattern, 2).alias("repo"))
+    return F.struct(F.regexp_extract(F.trim(url), URL, 1).alias("owner"), F.regexp_extract(F.trim(url), URL, 2).alias("repo"))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -81,8 +82,11 @@ def source_files(files: DataFrame, framework: str) -> tuple[DataFrame, DataFrame
     skipped = mine.filter(test).select("repo_name", "path")
     if other:
         skipped = skipped.unionByName(seen.filter(F.rlike(name, F.lit(rf"\.{other}$"))).select("repo_name", "path"))
+    # ranked by path alone, and the rank cut as it is, so a task passes on no more than the files that stay; contents come after
     order = Window.partitionBy("repo_name").orderBy("path")
-    kept = mine.filter(~test).withColumn("pos", F.row_number().over(order) - 1).filter(F.col("pos") < MOST_FILES)
+    first = mine.filter(~test).select("repo_name", "path").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST_FILES)
+    numbered = first.select("repo_name", "path", (F.col("rank") - 1).alias("pos"))
+    kept = mine.join(numbered, ["repo_name", "path"])
     return kept.withColumn("module_id", F.concat(F.lit("mod_"), F.col("pos").cast("string"))), skipped
 
 

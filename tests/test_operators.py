@@ -17,7 +17,7 @@ from loomstrata import model
 from loomstrata.functions import overlap, special, text
 from loomstrata.operators import context, facts, graph, judge, statistics
 from loomstrata.plans import lifecycle
-from loomstrata.sources import providers, results
+from loomstrata.sources import providers, repository, results
 
 
 @pytest.fixture(scope="module")
@@ -525,3 +525,26 @@ def test_windows_and_keys_of_a_stream(spark, tmp_path):
     assert sorted(r.k for r in first) == ["a", "b"]
     found = {(r.k, r.window.start.minute): (r.n, r.total, r["mean"]) for r in run(lambda s: runs.windowed(s, "at", "10 minutes", ["k"], "v"), "windows") if r.window.start.hour == 0}
     assert found == {("a", 0): (2, 4.0, 2.0), ("b", 10): (1, 5.0, 5.0)}
+
+
+def test_positions(spark):
+    cases = {"7": 7, "#7": 7, "fact 7": 7, "7.": 7, " `No 12)` ": 12, "number7": 7, "item #3.": 3, "fact.4": 4, "'999'": 999, "#.) 7 ).": None, "..7": None, "7...": None, "1000": None, "x7": None, "": None, "fact": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.position_reference(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == cases
+
+
+def test_far_tail_of_mann_whitney():
+    assert 0 < special.mann_whitney_p(0.0, 400, 400, 0.0) < 1e-100
+
+
+def test_source_files_beyond_the_cap(spark, monkeypatch):
+    """The first files by path stay; contents are not in the sort, and the plan cuts each task's ranks."""
+    monkeypatch.setattr(repository, "MOST_FILES", 5)
+    names = [f"src/f{i:02d}.js" for i in range(12)]
+    rows = [(r, p, f"// {r} {p}".encode()) for r in ("a", "b") for p in names] + [("b", "test/x.js", b""), ("c", "one.js", b"1")]
+    kept, skipped = repository.source_files(spark.createDataFrame(rows, "repo_name string, path string, content binary"), "express")
+    got = sorted((r.repo_name, r.path, r.module_id, bytes(r.content).decode()) for r in kept.collect())
+    assert got == [(r, p, f"mod_{i}", f"// {r} {p}") for r in ("a", "b") for i, p in enumerate(names[:5])] + [("c", "one.js", "mod_0", "1")]
+    assert [tuple(r) for r in skipped.collect()] == [("b", "test/x.js")]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and not any("Sort" in x and "content" in x and "row_number" in x for x in plan.splitlines())

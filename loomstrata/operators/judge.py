@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import json_object, without_fence
+from ..sources.staging import written
 
 REQUIRED_KEYS = ["overview", "tech_stack", "services", "dependencies"]
 
@@ -18,61 +19,91 @@ def confidence(rows: DataFrame, keys: list[str], logprobs: str = "logprobs") ->
     return each.groupBy(*keys).agg(F.exp(F.avg("lp")).alias("confidence"))
 
 
-def fit_platt(confidences: np.ndarray, correct: np.ndarray, wrong: np.ndarray | None = None) -> tuple[float, float] | None:
-    """(a, b) of 1 / (1 + exp(a s + b)) by maximum likelihood, with Nelder and Mead's simplex from (0, 0); None with under
-    four samples or one class only. correct and wrong: how many samples of each confidence are so; without wrong, a
-    confidence is one sample, which is correct or not."""
-    wrong = 1 - correct if wrong is None else wrong
-    if (correct + wrong).sum() < 4 or not correct.sum() or not wrong.sum():
-        return None
-
-    def cost(v: np.ndarray) -> float:
-        p = np.clip(1 / (1 + np.exp(np.clip(v[0] * confidences + v[1], -500, 500))), 1e-12, 1 - 1e-12)
-        return float(-(correct * np.log(p) + wrong * np.log(1 - p)).sum())
-
-    points = [np.zeros(2), np.array([0.00025, 0.0]), np.array([0.0, 0.00025])]
-    values = [cost(p) for p in points]
-    for _ in range(2000):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        if max(np.abs(p - points[0]).max() for p in points[1:]) <= 1e-6 and max(abs(v - values[0]) for v in values[1:]) <= 1e-8:
+#: Newton steps between two writes of the fits, and in all. A group is done when the gradient, a sample, is below NIL.
+STEPS, MOST_STEPS, NIL = 4, 100, 1e-11
+
+
+def platt(counts: DataFrame, by: list[str], conf: str = "confidence", right: str = "right", wrong: str = "wrong") -> DataFrame:
+    """(by, a, b) of 1 / (1 + exp(a s + b)) by maximum likelihood for every group at once; both null with under four
+    samples or one class only. counts: for each distinct confidence of a group the number of right and wrong samples.
+
+    Each Newton step is one aggregation of gradient, second derivatives and loss by group, which Spark combines before it
+    shuffles; groups that are done don't take part in further ones. A step that raised the loss is halved. Where confidence
+    parts the classes without fail there is no maximum: a and b are those at which the mean loss fell below 1e-7."""
+    table = written(counts.select(*by, F.col(conf).cast("double").alias("_s"), F.col(right).cast("double").alias("_r"), F.col(wrong).cast("double").alias("_w")), "counts")
+    sizes = table.groupBy(*by).agg(F.sum("_r").alias("_right"), F.sum("_w").alias("_wrong"))
+    fits = F.col("_right") + F.col("_wrong") >= 4
+    able = fits & (F.col("_right") > 0) & (F.col("_wrong") > 0)
+    zero = F.lit(0.0)
+    state = written(sizes.select(*by, (F.col("_right") + F.col("_wrong")).alias("_n"), able.alias("able"), (~able).alias("done"), zero.alias("a"), zero.alias("b"), zero.alias("a0"), zero.alias("b0"), F.lit(None).cast("double").alias("loss0")), "fits")
+    ended = []
+    for _ in range(MOST_STEPS // STEPS):
+        for _ in range(STEPS):
+            state = _newton(state, table, by)
+        state = written(state, "fits")
+        ended.append(state.filter("done"))
+        state = state.filter("not done")
+        if state.isEmpty():
             break
-        mid = (points[0] + points[1]) / 2
-        tries = {k: mid + k * (mid - points[2]) for k in (1.0, 2.0, 0.5, -0.5)}
-        at = cost(tries[1.0])
-        if values[0] <= at < values[1]:
-            points[2], values[2] = tries[1.0], at
-        elif at < values[0]:
-            further = cost(tries[2.0])
-            points[2], values[2] = (tries[2.0], further) if further < at else (tries[1.0], at)
-        else:
-            k = 0.5 if at < values[2] else -0.5
-            inner = cost(tries[k])
-            if inner < min(at, values[2]):
-                points[2], values[2] = tries[k], inner
-            else:
-                points[1:] = [points[0] + (p - points[0]) / 2 for p in points[1:]]
-                values[1:] = [cost(p) for p in points[1:]]
-    return float(points[0][0]), float(points[0][1])
+    every = reduce(DataFrame.unionByName, [*ended, state])
+    return every.select(*by, F.when(F.col("able"), F.col("a")).alias("a"), F.when(F.col("able"), F.col("b")).alias("b"))
+
+
+STATE = ("_n", "able", "done", "a", "b", "a0", "b0", "loss0")
+
+
+def _newton(state: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """The fits one step on: from (a0, b0), the last accepted place with loss0, to (a, b), which is judged now."""
+    names = {c: f"_of{i}" for i, c in enumerate(by)}
+    same = F.lit(True)
+    for c, to in names.items():
+        same &= F.col(c).eqNullSafe(F.col(to))
+    z = F.col("a") * F.col("_s") + F.col("b")
+    up = lambda x: F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))  # noqa: E731  log(1 + exp(x))
+    miss = 1 / (1 + F.exp(-z))
+    n = F.col("_r") + F.col("_w")
+    slope, bend = n * miss - F.col("_w"), n * miss * (1 - miss)
+    s = F.col("_s")
+    sums = {"loss": F.col("_r") * up(z) + F.col("_w") * up(-z), "ga": s * slope, "gb": slope, "haa": s * s * bend, "hab": s * bend, "hbb": bend}
+    each = table.join(state.withColumnsRenamed(names), same)
+    rows = each.groupBy(*by).agg(*(F.any_value(c).alias(c) for c in STATE), *(F.sum(x).alias(f"_{c}") for c, x in sums.items()))
+    worse = F.coalesce(F.col("_loss") > F.col("loss0") * (1 + 1e-14), F.lit(False))
+    det = F.col("_haa") * F.col("_hbb") - F.col("_hab") ** 2
+    both = det > 1e-13 * F.col("_haa") * F.col("_hbb")
+    da = F.when(both, (F.col("_hbb") * F.col("_ga") - F.col("_hab") * F.col("_gb")) / det).otherwise(0.0)
+    db = F.when(both, (F.col("_haa") * F.col("_gb") - F.col("_hab") * F.col("_ga")) / det).otherwise(F.coalesce(F.try_divide(F.col("_gb"), F.col("_hbb")), F.lit(0.0)))
+    flat = (F.greatest(F.abs("_ga"), F.abs("_gb")) <= NIL * F.col("_n")) | (F.col("_loss") <= 1e-7 * F.col("_n"))
+    still = F.abs(F.col("a") - F.col("a0")) + F.abs(F.col("b") - F.col("b0")) < 1e-13
+    ends = F.col("done") | (~worse & flat) | (worse & still)
+    moved = {"a": (F.col("a") - da, (F.col("a") + F.col("a0")) / 2), "b": (F.col("b") - db, (F.col("b") + F.col("b0")) / 2)}
+    new = {c: F.when(ends, F.col(c)).when(worse, back).otherwise(on) for c, (on, back) in moved.items()}
+    kept = {c0: F.when(ends | worse, F.col(c0)).otherwise(F.col(c)) for c, c0 in (("a", "a0"), ("b", "b0"), ("_loss", "loss0"))}
+    return rows.select(*by, "_n", "able", ends.alias("done"), *(x.alias(c) for c, x in (new | kept).items()))
 
 
 def calibration(rows: DataFrame, by: list[str], conf: str = "confidence", correct: str = "correct", bins: int = 5) -> DataFrame:
     """By group: Platt's a and b, and over calibrated probabilities the Brier score, its skill against the base rate and
-    the expected calibration error in equal bins. Groups are fitted apart, each from the numbers of samples by distinct
-    confidence, which are summed up before a task gets them; where nothing can be fitted, confidences are used as they are
-    and a and b are null."""
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        ab = fit_platt(*(part[c].to_numpy(float) for c in (conf, "_right", "_wrong")))
-        return part[by].head(1).assign(a=ab[0] if ab else None, b=ab[1] if ab else None)
-
-    use = rows.filter(F.col(conf).isNotNull() & F.col(correct).isNotNull()).select(*by, F.col(conf).cast("double").alias(conf), F.col(correct).cast("int").alias(correct))
-    kinds = ", ".join(f"{c} {use.schema[c].dataType.simpleString()}" for c in by)
-    counts = use.groupBy(*by, conf).agg(F.sum(correct).alias("_right"), F.sum(1 - F.col(correct)).alias("_wrong"))
-    fitted = counts.groupBy(*by).applyInPandas(fit, f"{kinds}, a double, b double")
-    p = F.when(F.col("a").isNull(), F.col(conf)).otherwise(1 / (1 + F.exp(F.col("a") * F.col(conf) + F.col("b"))))
-    each = use.join(fitted, by).withColumn("_p", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
-    binned = each.withColumn("_bin", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1))).groupBy(*by, "a", "b", "_bin").agg(F.count("*").alias("_n"), F.avg("_p").alias("_mp"), F.avg(correct).alias("_my"), F.sum((F.col("_p") - F.col(correct)) ** 2).alias("_sq"), F.sum(correct).alias("_ys"))
-    out = binned.groupBy(*by, "a", "b").agg(F.sum("_n").alias("n"), (F.sum("_sq") / F.sum("_n")).alias("brier"), (F.sum(F.abs(F.col("_mp") - F.col("_my")) * F.col("_n")) / F.sum("_n")).alias("ece"), (F.sum("_ys") / F.sum("_n")).alias("base_rate"))
+    the expected calibration error in equal bins. All of it works on the numbers of samples by distinct confidence; where
+    nothing can be fitted, confidences are used as they are and a and b are null."""
+    use = rows.filter(F.col(conf).isNotNull() & F.col(correct).isNotNull()).select(*by, F.col(conf).cast("double").alias("_c"), F.col(correct).cast("int").alias("_y"))
+    counts = written(use.groupBy(*by, "_c").agg(F.sum("_y").alias("_right"), F.sum(1 - F.col("_y")).alias("_wrong")), "confidences")
+    return calibration_at(counts, platt(counts, by, "_c", "_right", "_wrong"), by, bins)
+
+
+def calibration_at(counts: DataFrame, fitted: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
+    """calibration() of counts (by, _c, _right, _wrong) at given (by, a, b)."""
+    names = {c: f"_of{i}" for i, c in enumerate(by)}
+    same = F.lit(True)
+    for c, to in names.items():
+        same &= F.col(c).eqNullSafe(F.col(to))
+    p = F.when(F.col("a").isNull(), F.col("_c")).otherwise(1 / (1 + F.exp(F.col("a") * F.col("_c") + F.col("b"))))
+    each = counts.join(fitted.withColumnsRenamed(names), same).withColumn("_p", F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0)))
+    n, square = F.col("_right") + F.col("_wrong"), F.col("_right") * (1 - F.col("_p")) ** 2 + F.col("_wrong") * F.col("_p") ** 2
+    binned = each.withColumn("_bin", F.least(F.floor(F.col("_p") * bins), F.lit(bins - 1))).groupBy(*by, "a", "b", "_bin")
+    binned = binned.agg(F.sum(n).alias("_n"), F.sum(F.col("_p") * n).alias("_ps"), F.sum("_right").alias("_ys"), F.sum(square).alias("_sq"))
+    total = F.sum("_n")
+    ece = F.sum(F.abs(F.col("_ps") - F.col("_ys"))) / total
+    out = binned.groupBy(*by, "a", "b").agg(total.alias("n"), (F.sum("_sq") / total).alias("brier"), ece.alias("ece"), (F.sum("_ys") / total).alias("base_rate"))
     return out.withColumn("skill", 1 - F.try_divide(F.col("brier"), F.col("base_rate") * (1 - F.col("base_rate"))))
 
 

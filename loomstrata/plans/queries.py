@@ -729,13 +729,31 @@ def criterion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.criterion_score(rows).groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
-@query(None)
+def _platt_sql(steps: int = 14) -> str:
+    """Newton's steps from (0, 0), written out: CTEs fit0 to fit<steps> over `samples` (lang, s, y)."""
+    out = ["fit0 AS (SELECT lang, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM samples GROUP BY lang)"]
+    for k in range(steps):
+        out.append(f"""sums{k} AS (SELECT lang, any_value(a) AS a, any_value(b) AS b, sum(s * (m - 1 + y)) AS ga, sum(m - 1 + y) AS gb, sum(s * s * m * (1 - m)) AS haa, sum(s * m * (1 - m)) AS hab, sum(m * (1 - m)) AS hbb
+            FROM (SELECT x.lang, s, y, a, b, 1 / (1 + exp(-(a * s + b))) AS m FROM samples x JOIN fit{k} f ON x.lang = f.lang) GROUP BY lang)""")
+        out.append(f"fit{k + 1} AS (SELECT lang, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM sums{k})")
+    return ", ".join(out)
+
+
+@query(f"""WITH samples AS (SELECT lang, n_chars / (n_chars + 2000.0)::DOUBLE AS s, quality AS y FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+    {_platt_sql()},
+    able AS (SELECT lang FROM samples GROUP BY lang HAVING count(*) >= 4 AND min(y) = 0 AND max(y) = 1),
+    scored AS (SELECT x.lang, CASE WHEN t.lang IS NOT NULL THEN a END AS a, CASE WHEN t.lang IS NOT NULL THEN b END AS b, y, CASE WHEN t.lang IS NOT NULL THEN 1 / (1 + exp(a * s + b)) ELSE s END AS p
+               FROM samples x JOIN fit14 f ON x.lang = f.lang LEFT JOIN able t ON x.lang = t.lang),
+    binned AS (SELECT lang, a, b, least(floor(p * 5), 4) AS bin, sum(p) AS ps, sum(y) AS ys, sum((p - y) ** 2) AS sq, count(*) AS n FROM scored GROUP BY ALL)
+    SELECT lang, round(a, 4) AS a, round(b, 4) AS b, sum(n)::BIGINT AS n, round(sum(sq) / sum(n), 6) AS brier, round(sum(abs(ps - ys)) / sum(n), 6) AS ece, round(sum(ys) / sum(n), 6) AS base_rate,
+           round(1 - (sum(sq) / sum(n)) / nullif((sum(ys) / sum(n)) * (1 - sum(ys) / sum(n)), 0), 6) AS skill FROM binned GROUP BY lang, a, b""")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether longer documents are better ones, as a confidence by language."""
     from ..operators import judge
 
     rows = view(spark, sf_dir, "labels").join(view(spark, sf_dir, "documents"), "doc_id")
-    return judge.calibration(rows.select("lang", (F.col("n_chars") / (F.col("n_chars") + 2000)).alias("confidence"), F.col("quality").alias("correct")), ["lang"])
+    out = judge.calibration(rows.select("lang", (F.col("n_chars") / (F.col("n_chars") + 2000)).alias("confidence"), F.col("quality").alias("correct")), ["lang"])
+    return out.select("lang", "n", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), *(F.round(c, 6).alias(c) for c in ("brier", "ece", "base_rate", "skill")))
 
 
 @query(None)

@@ -1,6 +1,9 @@
-"""Toxicity by a weighted finite-state pattern grammar. Transducers for negation, reported speech, targets and scores are
-composed to one machine that reads a clause's word classes and gives the clause a weight; threats have none
-without a target, insults have their own.
+"""Toxicity by a weighted finite-state pattern grammar. Transducers for negation, reported speech, targets, threats and
+insults are composed to one machine that reads a clause's word classes and adds up a clause's weight.
+
+A threat weighs something only with a target: an object pronoun near it, or, for verbs that hardly mean anything else, a
+subject; negated and reported ones weigh less. An insult that is aimed at someone, or introduced as one, has its full weight
+and more; a lone one half of it, on a transition of its own.
 
 The lexicon of insults is learned from labels: words and word beginnings that toxic documents have and others lack, with
 their log odds. Function words and threats are fixed lists.
@@ -10,8 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,85 +29,171 @@ from .samples import by_label, texts_of
 #: Labelled documents of each class that the lexicon and the calibration are fitted on, at most.
 EACH = 4000
 
-# Words of the grammar in the four languages of the tables.
-THREATS = "kill hurt destroy beat burn shoot stab murder hang tuer frapper détruire brûler töten schlagen zerstören verbrennen matar golpear destruir quemar".split()
-TARGETS = "you he she they them him her these those this that your vous tu il elle ils elles ces du er sie ihr diese dieser usted tú él ella ellos ellas estos".split()
-NEGATIONS = "not never no isn't aren't wasn't don't doesn't neither nor pas jamais ni nicht kein keine nie nunca tampoco".split()
+# Words of the grammar in the four languages of the tables. Verbs of threats are beginnings, with the endings
+# that each kind of verb has; AIMED forms end in their object. PLAIN ones are said of much else, too.
+ENGLISH = ["", "s", "ed", "ing", "en"]
+FRENCH_ER = "e es ons ez ent er era erai eras erez erons eront é ée és ant".split()
+FRENCH_RE = "s t re rai ras ra rons rez ront sons sez sent".split()
+GERMAN = "e est st et t en ete eten te ten".split()
+SPANISH_AR = "o as a amos áis an ar aré arás ará aremos arán ando ado é".split()
+SPANISH_IR = "ir iré irá irán irás iremos yo yes ye yen yendo ido".split()
+SPANISH_AIMED = "arte aros arlo arla arlos arlas arle".split()
+THREATS = [
+    ("kill murder destroy shoot", ENGLISH),
+    ("hurt", ["", "s", "ing"]),
+    ("stab", ["", "s", "bed", "bing"]),
+    ("tu massacr", FRENCH_ER),
+    ("détrui", FRENCH_RE),
+    ("töt erschieß ermord zerstör", GERMAN),
+    ("mat asesin", SPANISH_AR),
+    ("destru", SPANISH_IR),
+]
+PLAIN = [("beat burn hang", ENGLISH), ("frapp brûl", FRENCH_ER), ("schlag schläg verbrenn häng", GERMAN), ("golpe quem", SPANISH_AR)]
+AIMED = [("mat asesin golpe quem", SPANISH_AIMED)]
+OBJECTS = "him them te toi lui leur dich dir euch ihn ihm ihnen ti os".split()
+BOTH = "you your her vous sie ihr ihre usted ustedes".split()
+SUBJECTS = "he she they tu il elle ils elles er tú él ella ellos ellas".split()
+INTRODUCED = "what such espèce quel quelle welch qué vaya".split()
+NEGATIONS = "not never no isn't aren't wasn't don't doesn't won't neither nor pas jamais ni nicht kein keine nie nunca tampoco".split()
 REPORTS = "said says say quoted quote quotes wrote writes reported according called dit écrit selon sagte sagt schrieb laut dijo dice escribió según".split()
 
+#: Terms of the lexicon: their false discovery rate, and the least log odds.
+RATE, ODDS = 1e-4, 1.5
+
 CLAUSE = re.compile(r"[.!?;:\n]+(?=\s|$)|\n+")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 
-@dataclass
+def _forms(kinds: list[tuple[str, list[str]]]) -> list[str]:
+    return [stem + end for stems, ends in kinds for stem in stems.split() for end in ends]
+
+
+#: Word classes: T threat, U threat by a plain verb, V one that ends in its object, O, B and S targets (objects, both,
+#: subjects), P what introduces an insult, N negation, R reported speech, I insult, - any other.
+CLASSES = {
+    word: kind
+    for kind, words in (
+        ("T", _forms(THREATS)),
+        ("U", _forms(PLAIN)),
+        ("V", _forms(AIMED)),
+        ("O", OBJECTS),
+        ("B", BOTH),
+        ("S", SUBJECTS),
+        ("P", INTRODUCED),
+        ("N", NEGATIONS),
+        ("R", REPORTS),
+    )
+    for word in words
+}
+MENACES = sorted(w for w, kind in CLASSES.items() if kind in "TUV")
+
+#: Weights: what negation and report leave of threats and of insults; an aimed threat, one with a subject only; an insult
+#: that is aimed or introduced, a lone one.
+LEFT = {"T": {"n": 0.4, "r": 0.6}, "I": {"n": 0.6, "r": 0.8}}
+AT_OBJECT, BY_SUBJECT, AT_SOMEONE, LONE = 1.5, 0.75, 1.25, 0.5
+#: Words that negation, report, a target before and an introduction reach; that threats and insults wait for a target.
+REACH_N, REACH_R, REACH_G, REACH_P, WAIT_T, WAIT_I = 3, 12, 5, 3, 4, 3
+
+#: Points of a step: of a threat; of the word itself as an insult, and of the last insult once more (both times its weight).
+Points = tuple[float, float, float]
+NONE: Points = (0.0, 0.0, 0.0)
+
+
 class Transducer:
-    """Deterministic, weighted, letter to letter. arcs: (state, read) -> (written, weight, next); "*" reads any other
-    symbol and, if written, copies it."""
-
-    arcs: dict[tuple[str, str], tuple[str, float, str]]
-    start: str = "0"
-
-    def step(self, state: str, symbol: str) -> tuple[str, float, str]:
-        written, weight, to = self.arcs.get((state, symbol)) or self.arcs[state, "*"]
-        return (symbol if written == "*" else written), weight, to
-
-    def then(self, other: Transducer, alphabet: str) -> Transducer:
-        """The composition: what this one writes the other reads; weights multiply."""
-        arcs, todo, seen = {}, [(self.start, other.start)], set()
-        while todo:
-            a, b = pair = todo.pop()
-            if pair in seen:
-                continue
-            seen.add(pair)
-            for symbol in alphabet:
-                mid, w1, a2 = self.step(a, symbol)
-                out, w2, b2 = other.step(b, mid)
-                arcs[f"{a}|{b}", symbol] = (out, w1 * w2, f"{a2}|{b2}")
-                todo.append((a2, b2))
-        return Transducer(arcs, f"{self.start}|{other.start}")
-
-
-def _fading(trigger: str, last: int, on: dict[str, tuple[str, float]]) -> Transducer:
-    """After trigger, for the next `last` words, symbols in `on` are rewritten and weighted; otherwise all is copied."""
-    arcs = {("0", "*"): ("*", 1.0, "0"), ("0", trigger): ("*", 1.0, str(last))}
-    for k in range(last, 0, -1):
-        to = str(k - 1)
-        arcs[str(k), "*"] = ("*", 1.0, to)
-        arcs[str(k), trigger] = ("*", 1.0, str(last))
-        arcs |= {(str(k), s): (w, x, to) for s, (w, x) in on.items()}
-    return Transducer(arcs)
-
-
-#: Word classes: I insult, T threat, G target, N negation, R reported speech, o other. A weakened i or t was negated or reported.
-ALPHABET = "ITGNRo"
-
-
-def grammar() -> Transducer:
-    negation = _fading("N", 3, {"I": ("i", 0.6), "T": ("t", 0.4)})
-    report = _fading("R", 12, {"I": ("i", 0.8), "T": ("t", 0.6), "i": ("i", 0.8), "t": ("t", 0.6)})
-    target = _fading("G", 5, {"I": ("I", 1.25), "T": ("T", 1.5), "i": ("i", 1.25), "t": ("t", 1.5)})
-    threat = _fading("T", 4, {"G": ("*", 1.0), "I": ("I", 1.25)})  # a threat before an insult strengthens it
-    composed = negation.then(report, ALPHABET)
-    return composed.then(target, ALPHABET).then(threat, ALPHABET)
-
-
-def _aimed(before: int, after: int, weight: float) -> Transducer:
-    """A threat without a target in the `before` words ahead of it waits for one in the next `after`, which is rewritten to
-    K, an aimed threat. Weakened threats don't wait."""
-    arcs = {}
-    for g in range(before + 1):
-        for t in range(after + 1):
-            here, later = f"{g},{t}", f"{max(g - 1, 0)},{max(t - 1, 0)}"
-            arcs[here, "*"] = ("*", 1.0, later)
-            arcs[here, "G"] = ("K", weight, f"{before},0") if t else ("*", 1.0, f"{before},0")
-            if not g:
-                arcs[here, "T"] = ("*", 1.0, f"0,{after}")
-    return Transducer(arcs, "0,0")
+    """Deterministic, letter to letter, weighted: step(state, symbol) -> (written, points, next). A symbol is a word class
+    and the marks that transducers before gave it."""
+
+    def __init__(self, start, step: Callable) -> None:
+        self.start, self._step, self._arcs = start, step, {}
+
+    def step(self, state, symbol: str) -> tuple[str, Points, object]:
+        """Arcs are made when they are first taken: of a composition few states are ever reached."""
+        arc = self._arcs.get((state, symbol))
+        if arc is None:
+            arc = self._arcs[state, symbol] = self._step(state, symbol)
+        return arc
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one writes the other reads; points add up."""
+
+        def step(state, symbol: str):
+            mid, p, a = self.step(state[0], symbol)
+            out, q, b = other.step(state[1], mid)
+            return out, tuple(x + y for x, y in zip(p, q)), (a, b)
+
+        return Transducer((self.start, other.start), step)
+
+
+def _marker(trigger: str, reach: int, mark: str) -> Transducer:
+    """Threats and insults get the mark within `reach` words after the trigger."""
+
+    def step(left: int, symbol: str):
+        marked = symbol + mark if left and symbol[0] in "TUVI" else symbol
+        return marked, NONE, reach if symbol[0] == trigger else max(0, left - 1)
+
+    return Transducer(0, step)
+
+
+def _targets() -> Transducer:
+    """Threats and insults get the last target or introduction that reaches them: its class in lower case."""
+
+    def step(state: tuple[str, int], symbol: str):
+        kind, left = state
+        marked = symbol + kind.lower() if left and symbol[0] in "TUVI" else symbol
+        if symbol[0] in "OBSP":
+            return marked, NONE, (symbol[0], REACH_P if symbol[0] == "P" else REACH_G)
+        return marked, NONE, (kind, left - 1) if left > 1 else ("", 0)
+
+    return Transducer(("", 0), step)
+
+
+def _left(symbol: str) -> float:
+    out = LEFT["I" if symbol[0] == "I" else "T"]
+    return math.prod(x for mark, x in out.items() if mark in symbol[1:])
+
+
+def _threats() -> Transducer:
+    """A threat has points with an object before it, or the first object after it that it waits for; some with a subject
+    before it, unless its verb is a plain one. Another threat ends the waiting."""
+
+    def step(state: tuple[float, int], symbol: str):
+        due, left = state
+        kind, marks = symbol[0], symbol[1:]
+        if kind in "TUV":
+            weak = _left(symbol)
+            if kind == "V" or "o" in marks:
+                return symbol, (AT_OBJECT * weak, 0.0, 0.0), (0.0, 0)
+            some = BY_SUBJECT * weak if kind == "T" and ("b" in marks or "s" in marks) else 0.0
+            return symbol, (some, 0.0, 0.0), (AT_OBJECT * weak - some, WAIT_T)
+        if kind in "OB" and left:
+            return symbol, (due, 0.0, 0.0), (0.0, 0)
+        return symbol, NONE, (due, left - 1) if left > 1 else (0.0, 0)
+
+    return Transducer((0.0, 0), step)
+
+
+def _insults() -> Transducer:
+    """An insult with a target or an introduction before it is aimed; a lone one has less, and the rest if a target comes
+    soon. Another insult ends the waiting."""
+
+    def step(state: tuple[float, int], symbol: str):
+        due, left = state
+        kind, marks = symbol[0], symbol[1:]
+        if kind == "I":
+            weak = _left(symbol)
+            if any(m in marks for m in "obsp"):
+                return symbol, (0.0, AT_SOMEONE * weak, 0.0), (0.0, 0)
+            return symbol, (0.0, LONE * weak, 0.0), ((AT_SOMEONE - LONE) * weak, WAIT_I)
+        if kind in "OBS" and left:
+            return symbol, (0.0, 0.0, due), (0.0, 0)
+        return symbol, NONE, (due, left - 1) if left > 1 else (0.0, 0)
+
+    return Transducer((0.0, 0), step)
 
 
 def machine() -> Transducer:
-    """The grammar with threats before their targets: what a Scorer reads clauses with."""
-    return grammar().then(_aimed(5, 4, 1.5), ALPHABET)
+    """The grammar that a Scorer reads clauses with."""
+    return _marker("N", REACH_N, "n").then(_marker("R", REACH_R, "r")).then(_targets()).then(_threats()).then(_insults())
 
 
 @dataclass
@@ -124,8 +214,17 @@ def _features(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(4, min(8, len(w)))}
 
 
+def discoveries(ratios: dict[str, float], tested: int, rate: float = RATE) -> set[str]:
+    """The features whose likelihood ratios stand out of `tested` ones at a false discovery rate (Benjamini and Hochberg);
+    a ratio's p is that of chi-square with one degree of freedom."""
+    order = sorted(ratios, key=lambda f: -ratios[f])
+    p = [math.erfc(math.sqrt(max(0.0, ratios[f]) / 2)) for f in order]
+    last = max((k + 1 for k, x in enumerate(p) if x <= rate * (k + 1) / tested), default=0)
+    return set(order[:last])
+
+
 def learn(texts: list[str], toxic: list[int]) -> Lexicon:
-    """Terms by the likelihood ratio of document counts (over 28) and log odds (over 2.5), which must stand between words
+    """Terms by the likelihood ratio of document counts (at a false discovery rate) and log odds, which must stand between words
     as varied as half their documents (copies of one document repeat its neighbours). Of a word and its beginnings the
     most specific that loses under a twentieth of the toxic documents is taken, then no term that extends it. Features of
     one text at a time are held."""
@@ -136,11 +235,11 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
     pos: Counter[str] = Counter()
     for t in yes:
         pos.update(_features(t))
-    pos = Counter({f: n for f, n in pos.items() if n >= 4})
+    tested, pos = len(pos), Counter({f: n for f, n in pos.items() if n >= 4})
     neg: Counter[str] = Counter()
     for t in no:
         neg.update(_features(t) & pos.keys())
-    odds, terms = {}, []
+    odds, ratios = {}, {}
     for f, a in pos.items():
         b = neg[f]
         share = (a + b) / (len(yes) + len(no))
@@ -148,9 +247,9 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
             continue
         ratio = 2 * sum(x * math.log(x / e) for x, e in ((a, share * len(yes)), (b, share * len(no)), (len(yes) - a, (1 - share) * len(yes)), (len(no) - b, (1 - share) * len(no))) if x > 0)
         odds[f] = math.log((a + 0.5) / (len(yes) + 1)) - math.log((b + 0.5) / (len(no) + 1))
-        if ratio >= 28 and odds[f] >= 2.5:
-            terms.append(f)
-    good = set(terms)
+        if odds[f] >= ODDS:
+            ratios[f] = ratio
+    good = discoveries(ratios, tested)
     between: dict[str, set[tuple[str, str]]] = {f: set() for f in good}
     for t in yes:
         words = WORD.findall(t.lower())
@@ -176,55 +275,55 @@ def learn(texts: list[str], toxic: list[int]) -> Lexicon:
 
 
 class Scorer:
-    """Clause weights of texts. Clauses are only cut out around lexicon words and threats, found by one automaton."""
+    """Clause weights of texts. Only clauses with a lexicon word or a threat in them are read, found by one automaton."""
 
     def __init__(self, lexicon: Lexicon, coefficients: list[float]) -> None:
         import ahocorasick
 
         self.lexicon, self.coefficients = lexicon, np.array(coefficients)
-        self.machine = ahocorasick.Automaton()
-        for term in {*lexicon.words, *lexicon.stems, *THREATS}:
-            self.machine.add_word(term, len(term))
-        if len(self.machine):
-            self.machine.make_automaton()
-        self.classes = dict.fromkeys(TARGETS, "G") | dict.fromkeys(NEGATIONS, "N") | dict.fromkeys(REPORTS, "R") | dict.fromkeys(THREATS, "T")
-        composed = machine()
-        self.start, self.arcs = composed.start, composed.arcs
+        self.finder = ahocorasick.Automaton()
+        for term in {*lexicon.words, *lexicon.stems, *MENACES}:
+            self.finder.add_word(term, len(term))
+        self.finder.make_automaton()
+        self.machine = machine()
 
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(begin, end, weight) of the clauses with a weight, in the lower-cased text."""
         low = text.lower()
-        if not len(self.machine):
+        hits = sorted(end + 1 - n for end, n in self.finder.iter(low) if end + 1 == n or not low[end - n].isalpha())
+        if not hits:
             return []
-        hits = [end + 1 - n for end, n in self.machine.iter(low) if end + 1 - n == 0 or not low[end - n].isalpha()]
+        ends = [(m.start(), m.end()) for m in CLAUSE.finditer(low)]
+        stops = [a for a, _ in ends]
         out, done = [], -1
         for at in hits:
             if at < done:
                 continue
-            begin = max((m for m in (low.rfind(c, 0, at) for c in ".!?;:\n")), default=-1) + 1
-            stop = CLAUSE.search(low, at)
-            done = stop.start() if stop else len(low)
-            weight = self.clause(WORD.findall(low[begin:done]))
+            k = bisect_right(stops, at)
+            begin, done = ends[k - 1][1] if k else 0, stops[k] if k < len(ends) else len(low)
+            weight = self.clause(WORD.findall(low, begin, done))
             if weight:
                 out.append((begin, done, weight))
         return out
 
     def clause(self, words: list[str]) -> float:
-        state, total = self.start, 0.0
+        state, total, last = self.machine.start, 0.0, 0.0
         for w in words:
             value = self.lexicon.weight(w)
-            kind = "I" if value else self.classes.get(w, "o")
-            written, factor, state = self.arcs[state, kind]
-            if written in "Ii":
-                total += value * factor
-            elif written == "K" or written in "Tt" and factor > 1:  # a threat counts with a target, before or after it
-                total += 1.0 * factor
+            _, (threat, now, once_more), state = self.machine.step(state, "I" if value else CLASSES.get(w, "-"))
+            total += threat + value * now + last * once_more
+            if value:
+                last = value
         return total
 
-    def features(self, text: str) -> list[float]:
-        found = self.clauses(text)
+    @staticmethod
+    def numbers(found: list[tuple[int, int, float]], length: int) -> list[float]:
+        """What the calibration sees of a text of some length with these clauses."""
         total = sum(w for _, _, w in found)
-        return [1.0, math.log1p(total), max((w for _, _, w in found), default=0.0) / 5, math.log1p(len(found)), 100 * total / (len(text) + 400)]
+        return [1.0, math.log1p(total), max((w for _, _, w in found), default=0.0) / 5, math.log1p(len(found)), 100 * total / (length + 400)]
+
+    def features(self, text: str) -> list[float]:
+        return self.numbers(self.clauses(text), len(text))
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.coefficients, -30, 30)))
@@ -279,8 +378,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         s = Scorer(sent.value.lexicon, sent.value.coefficients)
         for b in batches:
             found = [s.clauses(t) for t in b["text"]]
-            x = [[1.0, math.log1p(total := sum(w for _, _, w in f)), max((w for _, _, w in f), default=0.0) / 5, math.log1p(len(f)), 100 * total / (len(t) + 400)] for f, t in zip(found, b["text"])]
-            yield pd.DataFrame({"id": b["id"], "no_id": b["no_id"], "score": s.score(np.array(x).reshape(-1, 5)), "clauses": [[{"begin": p, "end": q, "weight": float(w)} for p, q, w in f] for f in found]})
+            x = np.array([s.numbers(f, len(t)) for f, t in zip(found, b["text"])]).reshape(-1, 5)
+            shown = [[{"begin": p, "end": q, "weight": float(w)} for p, q, w in f] for f in found]
+            yield pd.DataFrame({"id": b["id"], "no_id": b["no_id"], "score": s.score(x), "clauses": shown})
 
     kind = rows.schema["id"].dataType.simpleString()
     return restored(rows.mapInPandas(tidy(each), f"id {kind}, no_id boolean, score double, clauses array<struct<begin:int,end:int,weight:double>>"), id_col)

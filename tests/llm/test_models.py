@@ -78,7 +78,7 @@ def test_passages():
 
 
 def _split(spark, sf, name, label, other):
-    got = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", label).collect()
+    got = queries.QUERIES[name](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("doc_id", "score", "predicted", label).collect()
     return got, np.array([r[label] for r in got]), np.array([r.predicted for r in got])
 
 
@@ -98,31 +98,97 @@ def test_quality_odd_rows(odd, empty, spark):
 
 
 def test_composition():
-    composed, rng = toxicity.grammar(), random.Random(0)
-    negation = toxicity._fading("N", 3, {"I": ("i", 0.6), "T": ("t", 0.4)})
-    report = toxicity._fading("R", 12, {"I": ("i", 0.8), "T": ("t", 0.6), "i": ("i", 0.8), "t": ("t", 0.6)})
-    target = toxicity._fading("G", 5, {"I": ("I", 1.25), "T": ("T", 1.5), "i": ("i", 1.25), "t": ("t", 1.5)})
-    threat = toxicity._fading("T", 4, {"G": ("*", 1.0), "I": ("I", 1.25)})
+    """The composed machine against its parts, run one behind the other."""
+    parts = [toxicity._marker("N", 3, "n"), toxicity._marker("R", 12, "r"), toxicity._targets(), toxicity._threats(), toxicity._insults()]
+    composed, rng = toxicity.machine(), random.Random(0)
     for _ in range(300):
-        states, at = [m.start for m in (negation, report, target, threat)], composed.start
-        for symbol in rng.choices(toxicity.ALPHABET, k=30):
-            out, weight = symbol, 1.0
-            for i, m in enumerate((negation, report, target, threat)):
-                out, w, states[i] = m.step(states[i], out)
-                weight *= w
+        states, at = [m.start for m in parts], composed.start
+        for symbol in rng.choices("TUVOBSPNRI-", k=30):
+            out, points = symbol, [0.0, 0.0, 0.0]
+            for i, m in enumerate(parts):
+                out, p, states[i] = m.step(states[i], out)
+                points = [x + y for x, y in zip(points, p)]
             got = composed.step(at, symbol)
             at = got[2]
-            assert got[0] == out and got[1] == pytest.approx(weight)
-
-
-def test_clauses_count_and_words_alone_do_not():
-    lexicon = toxicity.Lexicon({"scum": 5.0}, {"lowei": 4.0})
-    s = toxicity.Scorer(lexicon, [-4, 1, 2, 1, 0])
-    c = s.clause
-    assert c("you are scum".split()) > c("scum".split()) > c("the paper wrote scum".split()) and c("never scum".split()) < c("scum".split())
-    assert c("kill time".split()) == 0 and c("you kill".split()) > 0 and c("the loweischaft".split()) == 4.0
+            assert got[0] == out and got[1] == pytest.approx(points)
+
+
+def plain_clause(words: list[str], lexicon: toxicity.Lexicon) -> float:
+    """A clause's weight by looking around each word, without machines."""
+    kinds = ["I" if lexicon.weight(w) else toxicity.CLASSES.get(w, "-") for w in words]
+    total = 0.0
+    for i, kind in enumerate(kinds):
+        if kind not in "TUVI":
+            continue
+        negated, reported = "N" in kinds[max(0, i - 3) : i], "R" in kinds[max(0, i - 12) : i]
+        weak = (0.6 if kind == "I" else 0.4) ** negated * (0.8 if kind == "I" else 0.6) ** reported
+        before = next(((k, i - j) for j, k in reversed([*enumerate(kinds[:i])]) if k in "OBSP"), ("", 99))
+        near = before[0] if before[1] <= (3 if before[0] == "P" else 5) else ""
+        if kind == "I":
+            value = lexicon.weight(words[i])
+            if near:
+                total += 1.25 * weak * value
+                continue
+            total += 0.5 * weak * value
+            for j in range(i + 1, min(i + 4, len(kinds))):
+                if kinds[j] == "I":
+                    break
+                if kinds[j] in "OBS":
+                    total += 0.75 * weak * value
+                    break
+            continue
+        if kind == "V" or near == "O":
+            total += 1.5 * weak
+            continue
+        some = 0.75 * weak if kind == "T" and near in ("B", "S") else 0.0
+        total += some
+        for j in range(i + 1, min(i + 5, len(kinds))):
+            if kinds[j] in "TUV":
+                break
+            if kinds[j] in "OB":
+                total += 1.5 * weak - some
+                break
+    return total
+
+
+LEXICON = toxicity.Lexicon({"scum": 5.0}, {"lowei": 4.0})
+
+
+def test_clauses_against_looking_around():
+    rng = random.Random(1)
+    s = toxicity.Scorer(LEXICON, [0] * 5)
+    words = ["kill", "matarte", "beat", "him", "te", "you", "vous", "she", "tu", "what", "never", "said", "scum", "loweix", "tree", "and", "the", "of"]
+    for _ in range(5000):
+        clause = rng.choices(words, k=rng.randint(0, 16))
+        assert s.clause(clause) == pytest.approx(plain_clause(clause, LEXICON)), clause
+
+
+def test_threats_in_four_languages():
+    w = lambda text: toxicity.Scorer(LEXICON, [0] * 5).clause(text.lower().split())
+    plain = ["te voy a matar", "ich werde dich schlagen", "je vais te tuer", "I am killing you", "kills you", "she kills him", "kill you", "quiero matarte", "wir töten euch", "ils vont te frapper"]
+    assert {t: w(t) for t in plain} == dict.fromkeys(plain, 1.5)
+    assert w("I will kill you") > w("he said he will kill you") > w("he said he will not kill you") > 0
+    assert w("I will kill you") > w("you will kill") > w("he said you will kill") > 0
+    for t in ("this beat is great", "those beat sticks", "you can burn calories this week", "kill", "kill time", "le prix du pain tue", "beat the drum", "never kill"):
+        assert w(t) == 0, t
+
+
+def test_insults_alone_count_less():
+    s = toxicity.Scorer(LEXICON, [0] * 5)
+    w = lambda text: s.clause(text.split())
+    assert w("you scum") == w("scum like you") == w("what a scum") == 6.25 > w("scum") == w("isolated scum word") == 2.5
+    assert w("scum") > w("the paper wrote scum") > w("the paper never wrote scum") > 0 and w("the loweischaft") == 2.0
+
+
+def test_clause_borders():
+    """Both ends of a clause are cut alike: marks within times, numbers and host names end nothing."""
+    s = toxicity.Scorer(LEXICON, [0] * 5)
+    for text in ("never at 10:30 scum", "never x.y scum", "never 2.5 scum", "you www.a.b scum"):
+        ((_, _, weight),) = s.clauses(text)
+        assert weight == plain_clause(toxicity.WORD.findall(text), LEXICON) != 2.5
+    assert [w for _, _, w in s.clauses("never. scum")] == [2.5] and [w for _, _, w in s.clauses("you:\nscum; scum")] == [2.5, 2.5]
     found = s.clauses("Fine here. But YOU, scum; end\nlast loweix!")
-    assert [(a, b) for a, b, _ in found] == [(10, 20), (30, 42)] or len(found) == 2
+    assert [(a, b) for a, b, _ in found] == [(10, 24), (30, 41)]
     assert s.clauses("") == [] and s.clauses("scummy") == []
 
 
@@ -139,10 +205,15 @@ def test_lexicon_learns_stems_and_skips_copies():
 
 
 def test_toxicity_accuracy(spark, data):
+    """On held-out rows, and of each language by itself: a rate over all would hide a language that is missed."""
     sf = data.replace("sf0.001", "sf0.1")
     got, y, p = _split(spark, sf, "op10_toxicity_grammar", "toxic", 4)
     assert (y == p).mean() > 0.97 and p[y == 0].mean() < 0.01 and p[y == 1].mean() > 0.75
     assert all(0 <= r.score <= 1 for r in got)
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    of = np.array([lang[r.doc_id] for r in got])
+    for name in ("en", "fr", "de", "es"):
+        assert p[(y == 1) & (of == name)].mean() > 0.75 and p[(y == 0) & (of == name)].mean() < 0.03, name
 
 
 def test_toxicity_odd_rows(odd, empty, spark):
@@ -154,14 +225,6 @@ def test_toxicity_odd_rows(odd, empty, spark):
     assert all(r.s == pytest.approx(r.score) for r in same.collect())
 
 
-def test_threats_before_their_target_count():
-    c = toxicity.Scorer(toxicity.Lexicon({"scum": 5.0}, {}), [-4, 1, 2, 1, 0]).clause
-    assert c("kill you".split()) == c("I will kill you".split()) == c("you kill".split()) == 1.5
-    assert c("you kill you".split()) == 1.5 and c("kill all of the you".split()) == 1.5
-    assert c("kill one two three four you".split()) == 0 and c("never kill you".split()) == 0 and c("they said kill you".split()) == 0
-    assert c("kill".split()) == 0 and c("kill time you scum".split()) > c("time you scum".split())
-
-
 def test_letters_of_all_planes(spark):
     adlam, han = "\U0001e900\U0001e901 \U0001e902", "\U00020000\U00020001"
     x = langid.presence([adlam, adlam.lower(), han, "\U0001f600 \U0010ffff"])

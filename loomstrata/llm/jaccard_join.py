@@ -282,10 +282,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = staged(_signatures(rows, k).withColumn("run", spread("id")), "signatures")
-    classes = staged(signed.filter("n > 0").groupBy("cls", "cls8").agg(F.min("id").alias("id"), F.max("n").alias("n")).filter("id is not null"), "classes")
+    # the rows of one id are counted first, so it is known which class has its id, and so its set, more than once
+    each = signed.filter("n > 0 and id is not null").groupBy("cls", "cls8", "id").agg(F.max("n").alias("n"), F.count("*").alias("times"))
+    classes = staged(each.groupBy("cls", "cls8").agg(F.min(F.struct("id", "n", "times")).alias("x")).select("cls", "cls8", "x.*"), "classes")
     total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     may = _may_match(rows, k, t, max(shuffle_partitions(spark), math.ceil(total / BUCKET_BYTES)))
-    chosen = staged(classes.join(may, "cls8").select("id", "cls"), "chosen")
+    chosen = staged(classes.join(may, "cls8").select("id", "cls", "times"), "chosen")
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -298,7 +300,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pd.DataFrame({"id": b["id"].iloc[i:j].tolist(), "cls": [r.tobytes() for r in keys], "n": np.diff(at), "third": third, "tokens": [s.view(np.int64) for s in sets]})
 
     read_again = only_ids(rows, chosen, "id").mapInPandas(tidy(whole), "id long, cls binary, n long, third struct<b0:long,b1:long,b2:long,b3:long>, tokens array<long>")
-    sets = staged(read_again.join(chosen, ["id", "cls"], "left_semi").select("id", "n", "third", "tokens"), "sets")
+    sets = staged(read_again.join(chosen, ["id", "cls"]).select("id", "times", "n", "third", "tokens"), "sets")
+    if not chosen.filter("times > 1").isEmpty():
+        repeated = sets.filter("times > 1").groupBy("id", "times", "n").agg(F.any_value(F.struct("third", "tokens")).alias("x")).select("id", "times", "n", "x.*")
+        sets, with_repeats = staged(sets.filter("times = 1").unionByName(repeated), "sets"), sets
+        discard(with_repeats)
     prefixes, often = _prefixes(sets, t)
     prefixes = staged(prefixes, "prefixes")
     discard(often)

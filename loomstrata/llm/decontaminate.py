@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restored, shielded, tidy
+from .common import restored, shielded, staged, tidy
 from .shingles import chunks, combine, mix, word_hashes
 
 #: Fingerprints within this distance are all found: four blocks of 16 bits, each searched within distance 1, so one block
@@ -137,11 +137,14 @@ def find_passages(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     n, size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, math.ceil(n / ITEMS), math.ceil(size / ITEM_BYTES))
     schema = "id long, no_id boolean, item long, start_word long, n_words long, similarity double, n_passages long"
-    total, counts = (n, _shingle_counts(bench, k)) if passes > 1 else (None, None)
+    shared = _shared_shingles(bench, k) if passes > 1 else None
     out = None
     for p in range(passes):
-        block = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p).orderBy("item", "text").collect()
-        got = rows.mapInPandas(tidy(_search(spark, [(r["item"], r["text"]) for r in block], least, k, total, counts)), schema)
+        block = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == p)
+        # of the counts over all items a pass gets those of its own items' shingles
+        mine = None if shared is None else {r["s"] % 2**64: r["n"] for r in shared.join(_shingles_of(block, k).distinct(), "s").collect()}
+        texts = [(r["item"], r["text"]) for r in block.orderBy("item", "text").collect()]
+        got = rows.mapInPandas(tidy(_search(spark, texts, least, k, n if passes > 1 else None, mine)), schema)
         out = got if out is None else out.unionByName(got)
     return restored(out, id_col).withColumnRenamed("item", item_col)
 
@@ -151,20 +154,25 @@ def _item_shingles(text: str, k: int) -> set[int]:
     return set(combine(w, min(k, len(w))).tolist()) if len(w) else set()
 
 
-def _shingle_counts(bench: DataFrame, k: int) -> dict[int, int]:
-    """Shingles that two items or more have, and how many. One that a single item has weighs as much as one of no item."""
+def _shingles_of(bench: DataFrame, k: int) -> DataFrame:
+    """(s): the distinct shingles of each item."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [s for t in b["text"] for s in _item_shingles(t, k)]
             yield pd.DataFrame({"s": np.array(found, np.uint64).view(np.int64)})
 
-    rows = bench.select("text").mapInPandas(tidy(each), "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").collect()
-    return {r["s"] % 2**64: r["n"] for r in rows}
+    return bench.select("text").mapInPandas(tidy(each), "s long")
+
+
+def _shared_shingles(bench: DataFrame, k: int) -> DataFrame:
+    """(s, n), staged: shingles that two items or more have, and how many. One that a single item has weighs as much as one
+    of no item."""
+    return staged(_shingles_of(bench, k).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1"), "shared_shingles")
 
 
 def _search(spark, items: list[tuple[int, str]], least: float, k: int, total: int | None = None, counts: dict[int, int] | None = None):
-    """total and counts are of all items, where items is one block of them."""
+    """total and counts are of all items, where items is one block of them; counts has the block's shingles."""
     if counts is None:
         seen: Counter[int] = Counter()
         for _, t in items:

@@ -65,7 +65,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     if no row of the group has an id (then nothing tells them apart, and all are). Rows that repeat the id that stays are
     all marked kept; drop_copies() leaves one row of a group. An empty table gives an empty result. Other columns are not read.
     """
-    rows = staged(digest_rows(df, id_col, text_col, runs), "digests")
+    # runs by row: rows without an id, or with one id, are spread as well
+    rows = staged(digest_rows(df, id_col, text_col, runs).withColumn("run", spread(F.monotonically_increasing_id(), runs=runs)), "digests")
     out = attach(rows, merge_tree(rows, keep, runs, fan_in), DIGEST)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of the texts of a sample, at most.
 SAMPLE_BYTES = 64 << 20
@@ -20,21 +21,23 @@ def by_label(labels: DataFrame, label: str, usable: Column, values: list, each:
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, object]]:
-    """(text, label) of the documents in chosen, a sample of a stated size, in the order of their ids. Empty texts go, and
-    of a sample beyond most_bytes so do the texts that come last by the hash of the id."""
+    """(text, label) of the documents in chosen, a sample of a stated size, in the order of their ids. Empty texts go; of an
+    id with several rows the text with the lowest hash counts, once. Of a sample beyond most_bytes those texts go that come
+    last by the hash of id and text. The driver gets a number for each chosen id, and then the texts that stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("length(text) > 0")
     rows = rows.join(F.broadcast(chosen), "id").withColumn("at", F.xxhash64("id", "text"))
-    sizes = sorted((r["at"], r["size"]) for r in rows.select("at", F.octet_length("text").alias("size")).collect())
-    last, room = None, most_bytes
-    for at, size in sizes:
-        room -= size
+    firsts = rows.groupBy("id").agg(F.min(F.struct("at", F.octet_length("text").alias("size"))).alias("x")).collect()
+    stay, room = [], most_bytes
+    for r in sorted(firsts, key=lambda r: (r["x"]["at"], r["id"])):
+        room -= r["x"]["size"]
         if room < 0:
             break
-        last = at
-    if last is None:
+        stay.append((r["id"], r["x"]["at"]))
+    if not stay:
         return []
-    got = rows.filter(F.col("at") <= last).select("id", "text", "label").collect()
-    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["id"], r["text"]))]
+    kept = docs.sparkSession.createDataFrame(stay, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("at", T.LongType())]))
+    got = rows.join(F.broadcast(kept), ["id", "at"]).groupBy("id").agg(F.any_value("text").alias("text"), F.max("label").alias("label")).collect()
+    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: r["id"])]
 
 
 def remainder(id_col: str, by: int) -> Column:

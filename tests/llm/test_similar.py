@@ -10,6 +10,7 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomstrata.llm import components, decontaminate, jaccard_join, shingles
 
@@ -192,3 +193,34 @@ def test_third_order_bits():
         b = np.unique(np.concatenate([a[:36], rng.integers(0, 1 << 62, 3).astype(np.uint64)]))
         x, y = (jaccard_join._third(np.unique(z), Fraction(3, 4)) for z in (a, b))
         assert len(np.intersect1d(x, y)) and any(p & q for p, q in zip(jaccard_join._bits(x), jaccard_join._bits(y)))
+
+
+def test_many_rows_of_one_id_and_text(spark, monkeypatch):
+    """Two near copies of 10,000 rows each are compared once; each row gets the component."""
+    rng = random.Random(6)
+    base = prose(rng, 60)
+    rows = spark.createDataFrame([(1, base), (2, base + " end"), (3, prose(rng, 60))], "doc_id long, text string")
+    rows = rows.crossJoin(spark.range(10_000).select(F.col("id").alias("k"))).filter("doc_id < 3 or k < 2").drop("k").repartition(6)
+    seen = []
+    links = jaccard_join.links
+
+    def watched(prefixes, sets, t):
+        seen.append((sets.count(), sets.select("id").distinct().count()))
+        return links(prefixes, sets, t)
+
+    monkeypatch.setattr(jaccard_join, "links", watched)
+    got = jaccard_join.jaccard_components(rows).groupBy("doc_id", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(1, 1, 10_000), (2, 1, 10_000), (3, 3, 2)}
+    assert seen == [(2, 2)]
+
+
+def test_sample_of_an_id_with_many_rows(spark):
+    """A labelled id in 10,000 rows, of one text and of several: one text of it in the sample, within the byte limit."""
+    from loomstrata.llm import samples
+
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd number").alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(8, "eight"), (9, ""), (9, None), (10, "ten")], "doc_id long, text string"))
+    chosen = spark.createDataFrame([(7, 1), (8, 0), (9, 1), (10, 0)], "id long, label int")
+    got = samples.texts_of(rows.repartition(5), chosen)
+    assert len(got) == 3 and got[0][0] in ("even", "odd number") and got[1:] == [("eight", 0), ("ten", 0)]
+    assert samples.texts_of(rows, chosen, most_bytes=3) == [("ten", 0)] or len(samples.texts_of(rows, chosen, most_bytes=3)) <= 1

@@ -1,22 +1,10 @@
-"""Overlap of a generated text with a reference: BLEU-4, ROUGE-L, METEOR (exact, stem and, given a thesaurus, synonym stages), from their definitions.
-
-Sequence alignment is no relational operation, so these run as Arrow-batched functions."""
+"""The Porter stemmer, a word at a time."""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
-from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-
-_WORD = re.compile(r"[a-z0-9]+")
-_TOKEN = re.compile(r"\w+|[^\w\s]")
-
-
 # Suffixes of the Porter stemmer with what replaces them, longest first in each step.
 _STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
 _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
@@ -79,84 +67,3 @@ def stem(word: str) -> str:
     if word.endswith("e") and (_m(word[:-1]) > 1 or (_m(word[:-1]) == 1 and not _short_end(word[:-1]))):
         word = word[:-1]
     return word[:-1] if word.endswith("ll") and _m(word) > 1 else word
-
-
-def bleu4(text: str, reference: str) -> float:
-    """Sentence BLEU to 4-grams with smoothing method 4 (Chen and Cherry, 2014)."""
-    h, r = _TOKEN.findall(text.lower()), _TOKEN.findall(reference.lower())
-    if not h or not r:
-        return 0.0
-    logs, k = 0.0, 1
-    for n in range(1, 5):
-        mine, theirs = (Counter(zip(*(w[i:] for i in range(n)))) for w in (h, r))
-        hits, all_ = sum((mine & theirs).values()), max(1, sum(mine.values()))
-        if n == 1 and not hits:
-            return 0.0
-        if hits:
-            p = hits / all_
-        elif len(h) > 1:
-            p = 1 / (2**k * 5 / math.log(len(h))) / all_
-            k += 1
-        else:
-            return 0.0
-        logs += math.log(p) / 4
-    brevity = 1.0 if len(h) > len(r) else math.exp(1 - len(r) / len(h))
-    return brevity * math.exp(logs)
-
-
-def _common_length(a: list[str], b: list[str]) -> int:
-    """The longest common subsequence's length, a bit for each position of a (Allison and Dix, 1986)."""
-    places: dict[str, int] = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    row, full = 0, (1 << len(a)) - 1
-    for y in b:
-        x = row | places.get(y, 0)
-        row = x & ~(x - ((row << 1) | 1)) & full
-    return row.bit_count()
-
-
-def rouge_l(text: str, reference: str) -> float:
-    """The F-measure of the longest common subsequence of stems (words over 3 letters are stemmed)."""
-    h, r = ([stem(w) if len(w) > 3 else w for w in _WORD.findall(t.lower())] for t in (text, reference))
-    if not h or not r:
-        return 0.0
-    common = _common_length(h, r)
-    p, q = common / len(h), common / len(r)
-    return 2 * p * q / (p + q) if common else 0.0
-
-
-def meteor(text: str, reference: str, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5, senses: dict[str, set[str]] | None = None) -> float:
-    """METEOR with its exact and stem stages and, where a thesaurus is given (the senses of each word), the synonym stage:
-    what the others leave is matched, in order, where two words share a sense."""
-    h, r = (_TOKEN.findall(t.lower()) for t in (text, reference))
-    to: dict[int, int] = {}
-    for form in (lambda w: w, stem):
-        free: dict[str, list[int]] = {}
-        for j in reversed([j for j in range(len(r)) if j not in to.values()]):
-            free.setdefault(form(r[j]), []).append(j)
-        for i in (i for i in range(len(h)) if i not in to):
-            if free.get(form(h[i])):
-                to[i] = free[form(h[i])].pop()
-    for i in range(len(h)) if senses else ():
-        if i not in to and (mine := senses.get(h[i])):
-            j = next((j for j in range(len(r)) if j not in to.values() and mine & senses.get(r[j], set())), None)
-            if j is not None:
-                to[i] = j
-    if not to:
-        return 0.0
-    m = len(to)
-    pairs = sorted(to.items())
-    parts = 1 + sum(b[0] != a[0] + 1 or b[1] != a[1] + 1 for a, b in zip(pairs, pairs[1:]))
-    p, q = m / len(h), m / len(r)
-    return p * q / (alpha * p + (1 - alpha) * q) * (1 - gamma * (parts / m) ** beta)
-
-
-def column(score: Callable[[str, str], float]):
-    """score as a function of two columns; null where either is null."""
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series, references: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else score(a, b) for a, b in zip(texts, references)], dtype="float64")
-
-    return run

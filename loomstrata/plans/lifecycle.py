@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import overlap
-from ..operators import context, facts, graph, judge, statistics
+from ..operators import context, facts, graph, judge, overlap, statistics
 from ..sources.providers import Provider, ask, prompt_from
 from ..sources.staging import written
 
@@ -73,7 +72,7 @@ def score(runs: DataFrame, tables: dict[str, DataFrame], judge_model: str, provi
     out = out.join(terms, "repo_name", "left")
     if references is not None:
         out = out.join(references.select("repo_name", F.col("overview").alias("reference")), "repo_name", "left")
-        out = out.withColumns({n: overlap.column(f)("summary_text", "reference") for n, f in (("bleu4", overlap.bleu4), ("rouge_l", overlap.rouge_l), ("meteor", overlap.meteor))})
+        out = out.join(overlap.overlap_scores(written(out.select(*keys, "summary_text", "reference"), "overlap"), keys, "summary_text", "reference"), keys, "left")
     judged = F.coalesce("coverage_judged", F.lit(False)) & F.coalesce("hallucination_judged", F.lit(False))
     return facts.failure_tags(out, overview="summary_text", judged=judged)
 

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical, join_path
-from ..operators import context, facts, graph, resampling, statistics
+from ..operators import context, facts, graph, overlap, resampling, statistics
 from ..sources import results, snapshots
-from ..sources.staging import scratch_path
+from ..sources.staging import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -756,12 +756,45 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "n", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), *(F.round(c, 6).alias(c) for c in ("brier", "ece", "base_rate", "skill")))
 
 
-@query(None)
-def text_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation against the one before."""
-    from ..functions import overlap
-
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, text, reference): each turn of a conversation and the one before."""
     turns = view(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
-    both = turns.join(before, ["conv_id", "turn"])
-    return both.select("conv_id", "turn", *(overlap.column(f)("text", "reference").alias(n) for n, f in (("bleu4", overlap.bleu4), ("rouge_l", overlap.rouge_l), ("meteor", overlap.meteor))))
+    return turns.join(before, ["conv_id", "turn"])
+
+
+@query(None)
+def text_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against the one before. Stems are more than SQL can follow; tests compare all three scores."""
+    return overlap.overlap_scores(_turn_pairs(spark, sf_dir), ["conv_id", "turn"], "text", "reference")
+
+
+_WORDS_SQL = r"list_filter(string_split_regex({0}, '[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]+'), lambda w: w <> '')"
+
+
+@query(f"""WITH turns AS (SELECT conv_id, turn, min(text) AS t FROM conversations GROUP BY ALL),
+    sides AS (SELECT a.conv_id, a.turn, {_WORDS_SQL.format("a.t")} AS h, {_WORDS_SQL.format("b.t")} AS r FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.t IS NOT NULL AND b.t IS NOT NULL),
+    grams AS (
+        SELECT conv_id, turn, n, array_to_string(h[i:i + n - 1], ' ') AS g, 1 AS a, 0 AS b FROM (SELECT *, unnest(range(1, len(h) - n + 2)) AS i FROM sides, range(1, 5) t(n))
+        UNION ALL SELECT conv_id, turn, n, array_to_string(r[i:i + n - 1], ' '), 0, 1 FROM (SELECT *, unnest(range(1, len(r) - n + 2)) AS i FROM sides, range(1, 5) t(n))
+    ), counted AS (SELECT conv_id, turn, n, g, sum(a) AS a, sum(b) AS b FROM grams GROUP BY ALL),
+    hits AS (SELECT conv_id, turn, n, sum(least(a, b)) AS hits, sum(a) AS total FROM counted GROUP BY ALL),
+    every AS (SELECT s.conv_id, s.turn, n, len(h) AS nh, len(r) AS nr, coalesce(hits, 0) AS hits, greatest(coalesce(total, 0), 1) AS total FROM sides s CROSS JOIN range(1, 5) t(n) LEFT JOIN hits x USING (conv_id, turn, n)),
+    graded AS (SELECT *, sum((hits = 0)::INT) OVER (PARTITION BY conv_id, turn ORDER BY n) AS missed, max(CASE WHEN n = 1 THEN hits END) OVER (PARTITION BY conv_id, turn) AS first FROM every),
+    logs AS (SELECT *, CASE WHEN hits > 0 THEN ln(hits / total::DOUBLE) WHEN nh > 1 THEN ln(1 / (2.0 ** missed * 5 / ln(nh)) / total) ELSE 0 END / 4 AS part FROM graded),
+    nth AS (SELECT conv_id, turn, i, lower(h[i]) AS w, row_number() OVER (PARTITION BY conv_id, turn, lower(h[i]) ORDER BY i DESC) AS k FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM sides)),
+    nth_r AS (SELECT conv_id, turn, i, lower(r[i]) AS w, row_number() OVER (PARTITION BY conv_id, turn, lower(r[i]) ORDER BY i DESC) AS k FROM (SELECT *, unnest(range(1, len(r) + 1)) AS i FROM sides)),
+    pairs AS (SELECT a.conv_id, a.turn, a.i, b.i AS j FROM nth a JOIN nth_r b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.w = b.w AND a.k = b.k),
+    chunks AS (SELECT conv_id, turn, count(*) AS matched, count(*) FILTER (NOT coalesce(i = pi + 1 AND j = pj + 1, false)) AS chunks FROM (SELECT *, lag(i) OVER o AS pi, lag(j) OVER o AS pj FROM pairs WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)) GROUP BY ALL)
+    SELECT l.conv_id, l.turn, sum(hits)::BIGINT AS hits, round(CASE WHEN any_value(first) > 0 THEN CASE WHEN any_value(nh) > any_value(nr) THEN 1 ELSE exp(1 - any_value(nr) / any_value(nh)::DOUBLE) END * exp(sum(part)) ELSE 0 END, 6) AS bleu4,
+           coalesce(any_value(c.matched), 0) AS matched, coalesce(any_value(c.chunks), 0) AS chunks
+    FROM logs l LEFT JOIN chunks c USING (conv_id, turn) GROUP BY l.conv_id, l.turn""")
+def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU-4 with its hits, and the matches and chunks of METEOR's exact stage."""
+    keys = ["conv_id", "turn"]
+    both = _turn_pairs(spark, sf_dir).filter("text IS NOT NULL AND reference IS NOT NULL")
+    cased = written(both.select(*keys, overlap.words(F.col("text")).alias("h"), overlap.words(F.col("reference")).alias("r")), "tokens")
+    lowered = cased.select(*keys, *(F.transform(c, lambda w: F.lower(w)).alias(c) for c in ("h", "r")))
+    hits = overlap.clipped_counts(cased, keys).groupBy(*keys).agg(F.sum("hits").alias("hits"))
+    out = overlap.bleu4(cased, keys).join(hits, keys, "left").join(overlap.chunk_counts(overlap.alignment(lowered, keys, stemmed=False), keys), keys, "left")
+    return out.select(*keys, F.round("bleu4", 6).alias("bleu4"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "matched", "chunks")))

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from ..functions import special
 from ..sources.staging import written
 
-#: Ranges that smaller() cuts values into.
-RANGES = 256
-
 
 @F.pandas_udf(T.DoubleType())
 def t_critical(df: pd.Series) -> pd.Series:
@@ -47,13 +44,10 @@ def category_coverage(rows: DataFrame, totals: str, missing: str) -> DataFrame:
 def smaller(counts: DataFrame, value: str, by: list[str], m: str = "_m", to: str = "_before") -> DataFrame:
     """counts, rows with a number m for each value of a group, with the sum of m over the group's smaller values.
 
-    No window has a whole group: values are cut into ranges of about equal numbers by approximate quantiles of them all,
-    sums run within a range of a group, and over a group's ranges by another window of at most RANGES rows. Any cuts give
-    the same sums. counts are read three times, so they are written out first, and what made them runs once."""
-    counts = written(counts, "counts")
-    at = F.col(value).cast("double")
-    cuts = counts.agg(F.coalesce(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 10_000), F.array().cast("array<double>")).alias("cuts"))
-    rows = counts.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < at))).drop("_cuts")
+    No window has a whole group: rows are dealt to tasks by ranges of (group, value), and written with the number of their
+    range; sums run within a range of a group, and over a group's ranges by another window, of a row a range."""
+    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(counts.repartitionByRange(n, *by, value).withColumn("_range", F.spark_partition_id()), "ranges")
     within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     names = {c: f"_{i}_of_range" for i, c in enumerate(by)}
     over = Window.partitionBy(*(names.values() if by else [F.lit(0)])).orderBy("_range_of").rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import facts, graph, judge, statistics
+from ..sources import parse_cache as cached
 from ..sources import repository, results
+from ..sources.staging import scratch_path
 from .queries import query, statement, view
 
 
@@ -68,6 +70,21 @@ def express_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t["endpoints"].join(modules, ["repo_name", "module_id"]).join(named, ["repo_name", "handler_function_id"], "left").select("repo_name", "module", "method", "path", "handler")
 
 
+@query(f"""WITH s AS ({_SUPPLIERS}), n AS (SELECT repo_name, r % 2 = 0 AS changed, count(*) AS n FROM s GROUP BY ALL)
+    SELECT repo_name, n + 1 + changed::INT AS modules, 2 * n + 1 + changed::INT AS endpoints, changed AS parsed_again FROM n""")
+def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories parsed into a graph; then a router more in those of some regions, whose digests are others now, so
+    that they alone are parsed again."""
+    path, files = scratch_path(spark, "parsed"), express_tree(spark, sf_dir)
+    before = cached.parsed_graph(files, "express", path)["repositories"].select("repo_name", F.col("digest").alias("old"))
+    more = statement(spark, sf_dir, _SUPPLIERS).filter("r % 2 = 0").select("repo_name").distinct()
+    extra = _files(more, F.lit("routes/more.js"), F.lit("const router = require('express').Router();\nrouter.get('/more', (req, res) => {});\nmodule.exports = router;\n"))
+    graph_now = cached.parsed_graph(files.unionByName(extra), "express", path)
+    n = lambda table, name: graph_now[table].groupBy("repo_name").agg(F.count("*").alias(name))
+    again = graph_now["repositories"].join(before, "repo_name").select("repo_name", (F.col("digest") != F.col("old")).alias("parsed_again"))
+    return again.join(n("modules", "modules"), "repo_name").join(n("endpoints", "endpoints"), "repo_name").select("repo_name", "modules", "endpoints", "parsed_again")
+
+
 @query(f"""WITH s AS ({_SUPPLIERS})
     SELECT repo_name, 'app.js' AS from_path, 'routes/s' || k || '.js' AS to_path FROM s
     UNION ALL SELECT repo_name, 'routes/s' || k || '.js', 'routes/s' || next || '.js' FROM s WHERE next IS NOT NULL""")

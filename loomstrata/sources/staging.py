@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scope: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,9 +36,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(hadoop_path.getParent())
+    if (inside := _scope.get()) is not None:
+        inside.append((spark, path))
     return path
 
 
+@contextmanager
+def scoped() -> Iterator[None]:
+    """Deletes at its end what operators wrote within, on this thread: for services that live on. Results have to be
+    collected or written within, since they may read those tables; scopes can be nested."""
+    inside: list[tuple[SparkSession, str]] = []
+    token = _scope.set(inside)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for spark, path in inside:
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and what made it runs once."""
     path = scratch_path(df.sparkSession, name)

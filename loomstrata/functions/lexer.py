@@ -256,7 +256,12 @@ def classes(s: Source) -> list[dict]:
         end = s.partner[k] if k < len(s.tokens) else -1
         if end < 0:
             continue
-        out.append({"name": s.text(i + 1), "implements": implements, "prefix": _decorator_path(s, _decorators_before(s, i), "Controller"), "methods": _methods(s, k + 1, end)})
+        out.append({
+            "name": s.text(i + 1),
+            "implements": implements,
+            "prefix": _decorator_path(s, _decorators_before(s, i), "Controller"),
+            "methods": _methods(s, k + 1, end),
+        })
     return out
 
 
@@ -288,7 +293,12 @@ def _methods(s: Source, k: int, end: int) -> list[dict]:
         if s.kind(m) in ("id", "str") and body > 0 and s.text(body) == "{" and s.partner[body] > 0:
             if s.text(m) != "constructor":
                 route = next((n for n, b in pending if n in DECORATORS and b >= 0), None)
-                out.append({"name": s.text(m), "route_method": DECORATORS.get(route), "route_path": (_decorator_path(s, [x for x in pending if x[0] == route], route) or "") if route else None, "annotation": f"@{route}" if route else None})
+                out.append({
+                    "name": s.text(m),
+                    "route_method": DECORATORS.get(route),
+                    "route_path": (_decorator_path(s, [x for x in pending if x[0] == route], route) or "") if route else None,
+                    "annotation": f"@{route}" if route else None,
+                })
             pending, k = [], s.partner[body] + 1
             continue
         pending = []

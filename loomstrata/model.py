@@ -11,7 +11,15 @@ def _fields(spec: str) -> T.StructType:
 
 def _field(spec: str) -> tuple[str, T.DataType]:
     name, kind = spec.split()
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampType(), "s[]": T.ArrayType(T.StringType())}
+    kinds = {
+        "s": T.StringType(),
+        "i": T.IntegerType(),
+        "l": T.LongType(),
+        "d": T.DoubleType(),
+        "b": T.BooleanType(),
+        "t": T.TimestampType(),
+        "s[]": T.ArrayType(T.StringType()),
+    }
     return name, kinds[kind]
 
 
@@ -43,4 +51,14 @@ HTTP_METHODS = ["GET", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "HEAD", "UNK
 DEPENDENCY_TYPES = ["runtime", "dev", "peer"]
 CONFIG_TYPES = ["build", "env", "framework_config"]
 CONTEXT_VARIANTS = ["raw", "dependency_graph", "knowledge_graph"]
-FAILURE_TAGS = ["fabricated_endpoint", "fabricated_technology", "missed_endpoint", "missed_dependency", "missed_framework_or_language", "missed_class_or_service", "missed_database_entity", "over_generic", "malformed_output"]
+FAILURE_TAGS = [
+    "fabricated_endpoint",
+    "fabricated_technology",
+    "missed_endpoint",
+    "missed_dependency",
+    "missed_framework_or_language",
+    "missed_class_or_service",
+    "missed_database_entity",
+    "over_generic",
+    "malformed_output",
+]

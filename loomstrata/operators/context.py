@@ -20,7 +20,16 @@ def dependency_text(view: DataFrame, scope: str = "repo_name") -> DataFrame:
     line = F.concat(F.lit("- "), F.col("module_path"), F.lit(" imports: "), _listed(F.col("imports")))
     deps = F.array_sort(F.array_distinct(F.flatten(F.collect_list("external_dependencies"))))
     rows = view.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("module_path", line.alias("line")))).alias("lines"), deps.alias("deps"))
-    return rows.select(scope, F.concat_ws("\n", F.lit("Module dependency graph:"), F.array_join(F.col("lines.line"), "\n"), F.lit(""), F.concat(F.lit("External dependencies: "), _listed(F.col("deps")))).alias("context"))
+    return rows.select(
+        scope,
+        F.concat_ws(
+            "\n",
+            F.lit("Module dependency graph:"),
+            F.array_join(F.col("lines.line"), "\n"),
+            F.lit(""),
+            F.concat(F.lit("External dependencies: "), _listed(F.col("deps"))),
+        ).alias("context"),
+    )
 
 
 def knowledge_text(view: DataFrame, scope: str = "repo_name") -> DataFrame:
@@ -29,9 +38,22 @@ def knowledge_text(view: DataFrame, scope: str = "repo_name") -> DataFrame:
     modules = F.coalesce("modules", F.array().cast("array<struct<path:string,imports:array<string>,classes:array<string>>>"))
     classes = F.array_sort(F.array_distinct(F.flatten(F.transform(modules, lambda m: m["classes"]))))
     endpoints = F.coalesce("endpoints", F.array().cast("array<struct<path:string,method:string,handler:string>>"))
-    block = F.transform(modules, lambda m: F.concat(F.lit("- "), m["path"], F.lit("\n    imports: "), _listed(m["imports"]), F.when(F.size(m["classes"]) > 0, F.concat(F.lit("\n    defines: "), F.array_join(m["classes"], ", "))).otherwise("")))
+    block = F.transform(modules, lambda m: F.concat(
+        F.lit("- "),
+        m["path"],
+        F.lit("\n    imports: "),
+        _listed(m["imports"]),
+        F.when(F.size(m["classes"]) > 0, F.concat(F.lit("\n    defines: "), F.array_join(m["classes"], ", "))).otherwise(""),
+    ))
     lines = lambda items: F.when(F.size(items) > 0, F.array_join(items, "\n")).otherwise("(none)")
-    served = F.transform(endpoints, lambda e: F.concat(F.lit("- "), e["method"], F.lit(" "), e["path"], F.lit(" -> "), F.coalesce(e["handler"], F.lit("(inline handler, no stable function reference)"))))
+    served = F.transform(endpoints, lambda e: F.concat(
+        F.lit("- "),
+        e["method"],
+        F.lit(" "),
+        e["path"],
+        F.lit(" -> "),
+        F.coalesce(e["handler"], F.lit("(inline handler, no stable function reference)")),
+    ))
     count = lambda items: F.size(items).cast("string")
     return view.select(
         scope,
@@ -63,9 +85,15 @@ def raw_text(files: DataFrame, order: list[Column], budget: int = RAW_BUDGET, sc
     w = Window.partitionBy(scope).orderBy(*order)
     part = Window.partitionBy(scope, F.pmod(F.xxhash64(path, *order), F.lit(PARTS))).orderBy(*order)
     first = files.filter(F.col(text).isNotNull()).withColumn("_pos", F.row_number().over(part)).filter(F.col("_pos") <= budget // 15 + 1)
-    rows = first.withColumn("_chunk", chunk).withColumn("_before", F.coalesce(F.sum(F.length("_chunk")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_pos", F.row_number().over(w))
+    rows = first.withColumn("_chunk", chunk).withColumn(
+        "_before",
+        F.coalesce(F.sum(F.length("_chunk")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    ).withColumn("_pos", F.row_number().over(w))
     kept = rows.filter(F.col("_before") < budget).select(scope, "_pos", F.expr(f"substring(_chunk, 1, cast({budget} - _before as int))").alias("_part"))
-    return kept.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("_pos", "_part"))).alias("_p")).select(scope, F.array_join(F.col("_p._part"), "\n\n").alias("context"))
+    return kept.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("_pos", "_part"))).alias("_p")).select(
+        scope,
+        F.array_join(F.col("_p._part"), "\n\n").alias("context"),
+    )
 
 
 def mermaid(rows: DataFrame, repos: DataFrame, scope: str = "repo_name") -> DataFrame:
@@ -74,11 +102,24 @@ def mermaid(rows: DataFrame, repos: DataFrame, scope: str = "repo_name") -> Data
     line = (
         F.when(F.col("section") == 1, F.concat(F.lit("  "), F.col("a"), F.lit('["'), label, F.lit('"]')))
         .when(F.col("section") == 2, F.concat(F.lit("  "), F.col("a"), F.lit(" --> "), F.col("b")))
-        .otherwise(F.concat(F.lit("  "), F.col("a"), F.lit('{{"'), label, F.lit('"}}'), F.when(F.col("c").isNotNull(), F.concat(F.lit("\n  "), F.col("c"), F.lit(" -.-> "), F.col("a"))).otherwise("")))
+        .otherwise(F.concat(
+            F.lit("  "),
+            F.col("a"),
+            F.lit('{{"'),
+            label,
+            F.lit('"}}'),
+            F.when(F.col("c").isNotNull(), F.concat(F.lit("\n  "), F.col("c"), F.lit(" -.-> "), F.col("a"))).otherwise(""),
+        ))
+    )
+    lines = rows.select(scope, "section", "a", "b", line.alias("line")).groupBy(scope).agg(
+        F.sort_array(F.collect_list(F.struct("section", "a", "b", "line"))).alias("lines"),
+        F.max((F.col("section") == 1).cast("int")).alias("some"),
     )
-    lines = rows.select(scope, "section", "a", "b", line.alias("line")).groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("section", "a", "b", "line"))).alias("lines"), F.max((F.col("section") == 1).cast("int")).alias("some"))
     empty = F.lit('graph TD\n  empty["No modules found for this repository"]')
-    return repos.select(scope).join(lines, scope, "left").select(scope, F.when(F.col("some") == 1, F.concat(F.lit("graph TD\n"), F.array_join(F.col("lines.line"), "\n"))).otherwise(empty).alias("diagram"))
+    return repos.select(scope).join(lines, scope, "left").select(
+        scope,
+        F.when(F.col("some") == 1, F.concat(F.lit("graph TD\n"), F.array_join(F.col("lines.line"), "\n"))).otherwise(empty).alias("diagram"),
+    )
 
 
 def capped(names: Column, most: int = 40) -> Column:
@@ -96,9 +137,20 @@ def ground_truth(view: DataFrame, counts: DataFrame, scope: str = "repo_name", m
         scope,
         F.concat_ws(
             "\n",
-            F.concat(F.lit("Detected framework: "), F.coalesce("framework", F.lit("unknown")), F.coalesce(F.concat(F.lit(" (version "), F.col("framework_version"), F.lit(")")), F.lit(""))),
+            F.concat(
+                F.lit("Detected framework: "),
+                F.coalesce("framework", F.lit("unknown")),
+                F.coalesce(F.concat(F.lit(" (version "), F.col("framework_version"), F.lit(")")), F.lit("")),
+            ),
             F.concat(F.lit("Detected language: "), F.coalesce("language", F.lit("None"))),
-            F.format_string("Counts: %d modules, %d classes, %d functions, %d endpoints, %d database entities", "modules", "classes_n", "functions", "api_endpoints", "database_entities"),
+            F.format_string(
+                "Counts: %d modules, %d classes, %d functions, %d endpoints, %d database entities",
+                "modules",
+                "classes_n",
+                "functions",
+                "api_endpoints",
+                "database_entities",
+            ),
             F.concat(F.lit("External dependencies: "), names("dependencies")),
             F.concat(F.lit("API endpoints: "), names("endpoints")),
             F.concat(F.lit("Classes: "), names("classes")),

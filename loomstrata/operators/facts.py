@@ -45,15 +45,41 @@ VERBS = ["GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS"]
 POSITION, FACT_MARK = r"^\d+[.)]*$", "[:/]"
 
 # Tags of missing facts by category.
-MISSED = {"Endpoint": "missed_endpoint", "Dependency": "missed_dependency", "Framework": "missed_framework_or_language", "Language": "missed_framework_or_language", "Class/Service": "missed_class_or_service", "Database entity": "missed_database_entity"}
-
-
-def coverable_facts(repos: DataFrame, deps: DataFrame, endpoints: DataFrame, classes: DataFrame, entities: DataFrame, scope: str = "repo_name", most: int = MOST) -> DataFrame:
+MISSED = {
+    "Endpoint": "missed_endpoint",
+    "Dependency": "missed_dependency",
+    "Framework": "missed_framework_or_language",
+    "Language": "missed_framework_or_language",
+    "Class/Service": "missed_class_or_service",
+    "Database entity": "missed_database_entity",
+}
+
+
+def coverable_facts(
+    repos: DataFrame,
+    deps: DataFrame,
+    endpoints: DataFrame,
+    classes: DataFrame,
+    entities: DataFrame,
+    scope: str = "repo_name",
+    most: int = MOST,
+) -> DataFrame:
     """(scope, section, pos, fact): framework, language, then up to `most` of each category in source order, repeats kept.
     deps, classes and entities have (scope, name, pos); endpoints (scope, method, path, pos)."""
     framework = F.concat_ws(" ", F.concat(F.lit("Framework: "), F.col("detected_framework")), F.when(F.col("framework_version") != "", F.col("framework_version")))
-    head = repos.select(scope, F.posexplode(F.array(F.when(F.col("detected_framework") != "", framework), F.when(F.col("detected_language") != "", F.concat(F.lit("Language: "), F.col("detected_language"))))).alias("section", "fact")).filter("fact is not null").select(scope, F.col("section").cast("int"), F.lit(1).alias("pos"), "fact")
-    parts = [(deps, F.concat(F.lit("Dependency: "), F.col("name"))), (endpoints, F.concat(F.lit("Endpoint: "), F.col("method"), F.lit(" "), F.col("path"))), (classes, F.concat(F.lit("Class/Service: "), F.col("name"))), (entities, F.concat(F.lit("Database entity: "), F.col("name")))]
+    head = repos.select(
+        scope,
+        F.posexplode(F.array(
+            F.when(F.col("detected_framework") != "", framework),
+            F.when(F.col("detected_language") != "", F.concat(F.lit("Language: "), F.col("detected_language"))),
+        )).alias("section", "fact"),
+    ).filter("fact is not null").select(scope, F.col("section").cast("int"), F.lit(1).alias("pos"), "fact")
+    parts = [
+        (deps, F.concat(F.lit("Dependency: "), F.col("name"))),
+        (endpoints, F.concat(F.lit("Endpoint: "), F.col("method"), F.lit(" "), F.col("path"))),
+        (classes, F.concat(F.lit("Class/Service: "), F.col("name"))),
+        (entities, F.concat(F.lit("Database entity: "), F.col("name"))),
+    ]
     out = head
     for k, (table, fact) in enumerate(parts):
         w = Window.partitionBy(scope).orderBy("pos", fact)
@@ -89,10 +115,25 @@ def match_facts(facts: DataFrame, summaries: DataFrame, scope: str = "repo_name"
     rule = (
         F.when(of == "Framework", F.when(mentions(t, name), "framework_name"))
         .when(of == "Language", F.when(mentions(t, v), "language_exact").when(abbreviated, "language_abbrev"))
-        .when(of == "Dependency", F.when(mentions(t, v), "dep_exact").when(scoped & mentions(t, bare), "dep_unprefixed_scope").when(scoped & mentions(t, owner) & mentions(t, sub), "dep_scope_and_sub"))
+        .when(
+            of == "Dependency",
+            F.when(mentions(t, v), "dep_exact").when(scoped & mentions(t, bare), "dep_unprefixed_scope").when(
+                scoped & mentions(t, owner) & mentions(t, sub),
+                "dep_scope_and_sub",
+            ),
+        )
         .when(of == "Endpoint", F.when((path != "") & (at > 0), F.when((at > 1) & _mentions(before, method), "endpoint_method_path").otherwise("endpoint_path_only")))
-        .when(of == "Class/Service", F.when(mentions(t, v, any_case=False), "class_exact_cs").when(mentions(t, v), "class_exact_ci").when((words != F.lower(v)) & mentions(t, words), "class_camel_split"))
-        .when(of == "Database entity", F.when(mentions(t, v, any_case=False), "entity_exact_cs").when(mentions(t, F.concat(v, F.lit("s")), any_case=False), "entity_plural_cs"))
+        .when(
+            of == "Class/Service",
+            F.when(mentions(t, v, any_case=False), "class_exact_cs").when(mentions(t, v), "class_exact_ci").when(
+                (words != F.lower(v)) & mentions(t, words),
+                "class_camel_split",
+            ),
+        )
+        .when(
+            of == "Database entity",
+            F.when(mentions(t, v, any_case=False), "entity_exact_cs").when(mentions(t, F.concat(v, F.lit("s")), any_case=False), "entity_plural_cs"),
+        )
     )
     strict = F.col("rule").isin("framework_name", "language_exact", "dep_exact", "dep_unprefixed_scope", "endpoint_method_path", "class_exact_cs", "entity_exact_cs")
     return rows.withColumn("rule", rule).withColumn("lenient", F.col("rule").isNotNull()).withColumn("strict", F.coalesce(strict, F.lit(False))).drop("_t", "_v", "_low")
@@ -100,7 +141,15 @@ def match_facts(facts: DataFrame, summaries: DataFrame, scope: str = "repo_name"
 
 def coverage(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Facts covered at both tiers for each key."""
-    return matches.groupBy(*keys).agg(F.count("*").alias("total_facts"), F.count_if("strict").alias("covered_strict"), F.count_if("lenient").alias("covered_lenient"), F.avg(F.col("strict").cast("int")).alias("coverage_strict"), F.avg(F.col("lenient").cast("int")).alias("coverage_lenient"), F.array_sort(F.collect_list(F.when(~F.col("strict"), F.col("fact")))).alias("missing_strict"), F.array_sort(F.collect_list(F.when(~F.col("lenient"), F.col("fact")))).alias("missing_lenient"))
+    return matches.groupBy(*keys).agg(
+        F.count("*").alias("total_facts"),
+        F.count_if("strict").alias("covered_strict"),
+        F.count_if("lenient").alias("covered_lenient"),
+        F.avg(F.col("strict").cast("int")).alias("coverage_strict"),
+        F.avg(F.col("lenient").cast("int")).alias("coverage_lenient"),
+        F.array_sort(F.collect_list(F.when(~F.col("strict"), F.col("fact")))).alias("missing_strict"),
+        F.array_sort(F.collect_list(F.when(~F.col("lenient"), F.col("fact")))).alias("missing_lenient"),
+    )
 
 
 def with_empty(scores: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +163,12 @@ def identifier_candidates(summaries: DataFrame, keys: list[str], text: str = "su
         return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("raw")))
 
     found = F.concat(*(of_kind(k, p) for k, (_, p) in enumerate(CANDIDATES)))
-    rows = summaries.filter(F.col(text).isNotNull()).select(*keys, F.posexplode(found).alias("pos", "x")).select(*keys, "pos", F.col("x.kind").alias("kind"), F.regexp_replace(F.regexp_replace(F.trim(F.col("x.raw")), "^[`'\"]+|[`'\"]+$", ""), "[.,;:)]+$", "").alias("candidate"))
+    rows = summaries.filter(F.col(text).isNotNull()).select(*keys, F.posexplode(found).alias("pos", "x")).select(
+        *keys,
+        "pos",
+        F.col("x.kind").alias("kind"),
+        F.regexp_replace(F.regexp_replace(F.trim(F.col("x.raw")), "^[`'\"]+|[`'\"]+$", ""), "[.,;:)]+$", "").alias("candidate"),
+    )
     low = F.lower("candidate")
     stem = F.regexp_replace(low, r"\.(ts|js|tsx|jsx|json|yml|yaml)$", "")
     generic = low.isin(STOPLIST) | stem.isin(STOPLIST) | F.rlike(F.col("candidate"), F.lit(r"^[A-Z][a-z]+\.(js|ts)$"))
@@ -147,7 +201,10 @@ def known_identifiers(tables: dict[str, DataFrame], scope: str = "repo_name") ->
     for p in parts[1:]:
         out = out.unionByName(p)
     low = F.lower("known")
-    return out.filter("known is not null and known <> ''").select(scope, F.explode(F.array(low, F.regexp_replace(low, "^@+", ""))).alias("known")).filter("known <> ''").distinct()
+    return out.filter("known is not null and known <> ''").select(
+        scope,
+        F.explode(F.array(low, F.regexp_replace(low, "^@+", ""))).alias("known"),
+    ).filter("known <> ''").distinct()
 
 
 def unsupported(candidates: DataFrame, known: DataFrame, scope: str = "repo_name") -> DataFrame:
@@ -171,7 +228,11 @@ def unsupported(candidates: DataFrame, known: DataFrame, scope: str = "repo_name
 
 def unsupported_rate(judged: DataFrame, summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates, supported ones and the unsupported share for every summary; 0 without candidates; up to 10 samples."""
-    scores = judged.groupBy(*keys).agg(F.count("*").alias("total_candidates"), F.count_if("supported").alias("supported"), F.slice(F.array_sort(F.collect_list(F.when(~F.col("supported"), F.struct("pos", "candidate")))), 1, 10)["candidate"].alias("unsupported_samples"))
+    scores = judged.groupBy(*keys).agg(
+        F.count("*").alias("total_candidates"),
+        F.count_if("supported").alias("supported"),
+        F.slice(F.array_sort(F.collect_list(F.when(~F.col("supported"), F.struct("pos", "candidate")))), 1, 10)["candidate"].alias("unsupported_samples"),
+    )
     out = summaries.select(*keys).join(scores, keys, "left").fillna(0, ["total_candidates", "supported"])
     return out.withColumn("unsupported_identifier_rate", F.coalesce(F.try_divide(F.col("total_candidates") - F.col("supported"), F.col("total_candidates")), F.lit(0.0)))
 
@@ -179,7 +240,10 @@ def unsupported_rate(judged: DataFrame, summaries: DataFrame, keys: list[str]) -
 def fact_index(facts: DataFrame, scope: str = "repo_name") -> DataFrame:
     """(scope, key, fact): canonical forms of each whole fact and of its value; the first writer keeps a key."""
     ranked = facts.withColumn("_at", F.struct("section", "pos"))
-    keys = F.array(F.struct(F.lit(0).alias("k"), canonical(F.col("fact")).alias("key")), F.struct(F.lit(1).alias("k"), F.when(F.contains("fact", F.lit(":")), canonical(value(F.col("fact")))).alias("key")))
+    keys = F.array(
+        F.struct(F.lit(0).alias("k"), canonical(F.col("fact")).alias("key")),
+        F.struct(F.lit(1).alias("k"), F.when(F.contains("fact", F.lit(":")), canonical(value(F.col("fact")))).alias("key")),
+    )
     rows = ranked.select(scope, "fact", "_at", F.explode(keys).alias("x")).filter("x.key is not null")
     return rows.groupBy(scope, F.col("x.key").alias("key")).agg(F.min_by("fact", F.struct("_at", "x.k")).alias("fact"))
 
@@ -238,7 +302,14 @@ def over_generic(overview: Column, terms: Column, least: int = 12) -> Column:
     return (F.size(words) < least) | ~F.coalesce(named, F.lit(False))
 
 
-def failure_tags(rows: DataFrame, claims: str = "unsupported_claims", facts: str = "missing_facts", overview: str = "overview", terms: str = "known_terms", judged: Column | None = None) -> DataFrame:
+def failure_tags(
+    rows: DataFrame,
+    claims: str = "unsupported_claims",
+    facts: str = "missing_facts",
+    overview: str = "overview",
+    terms: str = "known_terms",
+    judged: Column | None = None,
+) -> DataFrame:
     """rows with `tags`: malformed output, then a tag a claim, a tag a missing fact, then over-generic. Repeats count."""
     none = F.array().cast("array<string>")
     malformed = F.when(~judged, F.array(F.lit("malformed_output"))).otherwise(none) if judged is not None else none

@@ -9,7 +9,16 @@ from ..functions.text import join_path
 from ..sources.staging import discard, written
 
 #: Key of each node table; edges are keyed by both ends.
-KEYS = {"repositories": ["repo_name"], "modules": ["repo_name", "id"], "classes": ["repo_name", "id"], "functions": ["repo_name", "id"], "endpoints": ["repo_name", "id"], "db_entities": ["repo_name", "id"], "external_deps": ["repo_name", "name"], "config_files": ["repo_name", "path"]}
+KEYS = {
+    "repositories": ["repo_name"],
+    "modules": ["repo_name", "id"],
+    "classes": ["repo_name", "id"],
+    "functions": ["repo_name", "id"],
+    "endpoints": ["repo_name", "id"],
+    "db_entities": ["repo_name", "id"],
+    "external_deps": ["repo_name", "name"],
+    "config_files": ["repo_name", "path"],
+}
 
 
 def upsert(old: DataFrame | None, new: DataFrame, keys: list[str], newest: list[Column]) -> DataFrame:
@@ -30,7 +39,16 @@ def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def edges_between(edges: DataFrame, left: DataFrame, right: DataFrame, from_col: str, to_col: str, left_id: str = "id", right_id: str = "id", scope: str = "repo_name") -> DataFrame:
+def edges_between(
+    edges: DataFrame,
+    left: DataFrame,
+    right: DataFrame,
+    from_col: str,
+    to_col: str,
+    left_id: str = "id",
+    right_id: str = "id",
+    scope: str = "repo_name",
+) -> DataFrame:
     """Distinct edges whose two ends exist within their repository; dangling ones go."""
     a = left.select(scope, F.col(left_id).alias(from_col))
     b = right.select(scope, F.col(right_id).alias(to_col))
@@ -55,22 +73,48 @@ def dependency_view(modules: DataFrame, edges: DataFrame, deps: DataFrame, scope
     imports = path_edges(edges, modules, scope).groupBy(scope, F.col("from_path").alias("path")).agg(F.sort_array(F.collect_set("to_path")).alias("imports"))
     names = deps.groupBy(scope).agg(F.sort_array(F.collect_set("name")).alias("external_dependencies"))
     none = F.array().cast("array<string>")
-    return modules.select(scope, "path").join(imports, [scope, "path"], "left").join(names, scope, "left").select(scope, F.col("path").alias("module_path"), F.coalesce("imports", none).alias("imports"), F.coalesce("external_dependencies", none).alias("external_dependencies"))
-
-
-def knowledge_view(repos: DataFrame, modules: DataFrame, edges: DataFrame, classes: DataFrame, endpoints: DataFrame, functions: DataFrame, deps: DataFrame, configs: DataFrame, entities: DataFrame, scope: str = "repo_name") -> DataFrame:
+    return modules.select(scope, "path").join(imports, [scope, "path"], "left").join(names, scope, "left").select(
+        scope,
+        F.col("path").alias("module_path"),
+        F.coalesce("imports", none).alias("imports"),
+        F.coalesce("external_dependencies", none).alias("external_dependencies"),
+    )
+
+
+def knowledge_view(
+    repos: DataFrame,
+    modules: DataFrame,
+    edges: DataFrame,
+    classes: DataFrame,
+    endpoints: DataFrame,
+    functions: DataFrame,
+    deps: DataFrame,
+    configs: DataFrame,
+    entities: DataFrame,
+    scope: str = "repo_name",
+) -> DataFrame:
     """One row a repository: framework, version, modules with imports and classes, endpoints with handlers, dependencies,
     config files, database entities; all distinct and sorted. A superset of dependency_view()."""
     imports = path_edges(edges, modules, scope).groupBy(scope, F.col("from_path").alias("path")).agg(F.sort_array(F.collect_set("to_path")).alias("imports"))
     defines = classes.groupBy(scope, F.col("module_id").alias("id")).agg(F.sort_array(F.collect_set("name")).alias("classes"))
     none = F.array().cast("array<string>")
     rows = modules.select(scope, "id", "path").join(imports, [scope, "path"], "left").join(defines, [scope, "id"], "left")
-    of_modules = rows.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("path", F.coalesce("imports", none).alias("imports"), F.coalesce("classes", none).alias("classes")))).alias("modules"))
+    of_modules = rows.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct(
+        "path",
+        F.coalesce("imports", none).alias("imports"),
+        F.coalesce("classes", none).alias("classes"),
+    ))).alias("modules"))
     handlers = functions.select(scope, F.col("id").alias("handler_function_id"), F.col("name").alias("handler"))
     of_endpoints = endpoints.filter("path is not null").join(handlers, [scope, "handler_function_id"], "left").groupBy(scope).agg(F.sort_array(F.collect_set(F.struct("path", "method", "handler"))).alias("endpoints"))
     named = lambda t, c, to: t.filter(F.col(c).isNotNull()).groupBy(scope).agg(F.sort_array(F.collect_set(c)).alias(to))
     out = repos.select(scope, F.col("detected_framework").alias("framework"), "framework_version")
-    for part in (of_modules, of_endpoints, named(deps, "name", "external_dependencies"), named(configs, "path", "config_files"), named(entities, "name", "database_entities")):
+    for part in (
+        of_modules,
+        of_endpoints,
+        named(deps, "name", "external_dependencies"),
+        named(configs, "path", "config_files"),
+        named(entities, "name", "database_entities"),
+    ):
         out = out.join(part, scope, "left")
     return out
 
@@ -82,7 +126,13 @@ def diagram_rows(modules: DataFrame, edges: DataFrame, endpoints: DataFrame, fun
     kept = edges_between(edges, modules, modules, "from_module_id", "to_module_id", scope=scope)
     e = kept.select(scope, F.lit(2).alias("section"), F.col("from_module_id").alias("a"), F.col("to_module_id").alias("b"), F.lit(None).cast("string").alias("c"))
     handlers = functions.select(scope, F.col("id").alias("handler_function_id"), F.col("module_id").alias("c"))
-    p = endpoints.join(handlers, [scope, "handler_function_id"], "left").select(scope, F.lit(3).alias("section"), F.col("id").alias("a"), F.concat_ws(" ", "method", "path").alias("b"), "c")
+    p = endpoints.join(handlers, [scope, "handler_function_id"], "left").select(
+        scope,
+        F.lit(3).alias("section"),
+        F.col("id").alias("a"),
+        F.concat_ws(" ", "method", "path").alias("b"),
+        "c",
+    )
     return m.unionByName(e).unionByName(p)
 
 
@@ -136,7 +186,10 @@ def _round_cycles(steps: DataFrame, scope: str) -> DataFrame:
     hop, targets = steps.select(scope, "id", "to"), None
     while (there := hop.select(scope, "to").distinct().count()) != targets:
         targets = there
-        hop = written(hop.join(hop.select(scope, F.col("id").alias("to"), F.col("to").alias("then")), [scope, "to"]).select(scope, "id", F.col("then").alias("to")), "hops")
+        hop = written(
+            hop.join(hop.select(scope, F.col("id").alias("to"), F.col("to").alias("then")), [scope, "to"]).select(scope, "id", F.col("then").alias("to")),
+            "hops",
+        )
     ring = written(steps.join(hop.select(scope, F.col("to").alias("id")).distinct(), [scope, "id"], "left_semi"), "ring")
     least, changed = ring.select(scope, "id", "to", F.least("id", "to").alias("low"), F.lit(True).alias("fell")), True
     while changed:
@@ -151,11 +204,23 @@ def _round_cycles(steps: DataFrame, scope: str) -> DataFrame:
         reached = power.select(scope, F.col("id").alias("at"), F.col("to").alias("then"), F.col("prefix").alias("above"))
         takes = F.expr(f"(n >> {k}) & 1") == 1
         gone = walk.join(reached, [scope, "at"])
-        walk = written(gone.select(scope, "id", "n", F.when(takes, F.col("then")).otherwise(F.col("at")).alias("at"), F.when(takes, join_path(F.col("above"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix")), "turns")
+        walk = written(
+            gone.select(
+                scope,
+                "id",
+                "n",
+                F.when(takes, F.col("then")).otherwise(F.col("at")).alias("at"),
+                F.when(takes, join_path(F.col("above"), F.col("prefix"))).otherwise(F.col("prefix")).alias("prefix"),
+            ),
+            "turns",
+        )
         k += 1
         if most >> k:
             further = power.select(scope, F.col("id").alias("to"), F.col("to").alias("then"), F.col("prefix").alias("above"))
-            power = written(power.join(further, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), join_path(F.col("above"), F.col("prefix")).alias("prefix")), "powers")
+            power = written(
+                power.join(further, [scope, "to"]).select(scope, "id", F.col("then").alias("to"), join_path(F.col("above"), F.col("prefix")).alias("prefix")),
+                "powers",
+            )
     return walk.select(scope, "id", "prefix")
 
 
@@ -163,7 +228,10 @@ def apply_prefixes(endpoints: DataFrame, prefixes: DataFrame, scope: str = "repo
     """Paths of `router.` routes behind their module's prefix; routes of `app.` are absolute already."""
     found = prefixes.select(scope, F.col("id").alias("module_id"), "prefix")
     moved = F.col("prefix").isNotNull() & (F.col("prefix") != "") & F.startswith(F.col("framework_annotation"), F.lit("router."))
-    return endpoints.join(found, [scope, "module_id"], "left").withColumn("path", F.when(moved, join_path(F.col("prefix"), F.col("path"))).otherwise(F.col("path"))).drop("prefix")
+    return endpoints.join(found, [scope, "module_id"], "left").withColumn(
+        "path",
+        F.when(moved, join_path(F.col("prefix"), F.col("path"))).otherwise(F.col("path")),
+    ).drop("prefix")
 
 
 def entity_counts(tables: dict[str, DataFrame], scope: str = "repo_name") -> DataFrame:

@@ -30,12 +30,28 @@ def platt(counts: DataFrame, by: list[str], conf: str = "confidence", right: str
     Each Newton step is one aggregation of gradient, second derivatives and loss by group, which Spark combines before it
     shuffles; groups that are done don't take part in further ones. A step that raised the loss is halved. Where confidence
     parts the classes without fail there is no maximum: a and b are those at which the mean loss fell below 1e-7."""
-    table = written(counts.select(*by, F.col(conf).cast("double").alias("_s"), F.col(right).cast("double").alias("_r"), F.col(wrong).cast("double").alias("_w")), "counts")
+    table = written(
+        counts.select(*by, F.col(conf).cast("double").alias("_s"), F.col(right).cast("double").alias("_r"), F.col(wrong).cast("double").alias("_w")),
+        "counts",
+    )
     sizes = table.groupBy(*by).agg(F.sum("_r").alias("_right"), F.sum("_w").alias("_wrong"))
     fits = F.col("_right") + F.col("_wrong") >= 4
     able = fits & (F.col("_right") > 0) & (F.col("_wrong") > 0)
     zero = F.lit(0.0)
-    state = written(sizes.select(*by, (F.col("_right") + F.col("_wrong")).alias("_n"), able.alias("able"), (~able).alias("done"), zero.alias("a"), zero.alias("b"), zero.alias("a0"), zero.alias("b0"), F.lit(None).cast("double").alias("loss0")), "fits")
+    state = written(
+        sizes.select(
+            *by,
+            (F.col("_right") + F.col("_wrong")).alias("_n"),
+            able.alias("able"),
+            (~able).alias("done"),
+            zero.alias("a"),
+            zero.alias("b"),
+            zero.alias("a0"),
+            zero.alias("b0"),
+            F.lit(None).cast("double").alias("loss0"),
+        ),
+        "fits",
+    )
     ended = []
     for _ in range(MOST_STEPS // STEPS):
         for _ in range(STEPS):
@@ -113,8 +129,14 @@ def weighted_digit(tokens: Column) -> Column:
     digit = lambda t: F.rlike(F.trim(t), F.lit("^[1-5]$"))
     first = F.try_element_at(F.filter(tokens, lambda x: digit(x["token"])), F.lit(1))
     own = F.trim(first["token"])
-    others = F.filter(F.transform(F.coalesce(first["top"], F.array().cast("array<struct<token:string,logprob:double>>")), lambda x: F.struct(F.trim(x["token"]).alias("token"), x["logprob"].alias("logprob"))), lambda x: digit(x["token"]) & x["logprob"].isNotNull())
-    seen = F.when(F.exists(others, lambda x: x["token"] == own), others).otherwise(F.array_append(others, F.struct(own.alias("token"), F.coalesce(first["logprob"], F.lit(0.0)).alias("logprob"))))
+    others = F.filter(F.transform(F.coalesce(
+        first["top"],
+        F.array().cast("array<struct<token:string,logprob:double>>"),
+    ), lambda x: F.struct(F.trim(x["token"]).alias("token"), x["logprob"].alias("logprob"))), lambda x: digit(x["token"]) & x["logprob"].isNotNull())
+    seen = F.when(F.exists(others, lambda x: x["token"] == own), others).otherwise(F.array_append(
+        others,
+        F.struct(own.alias("token"), F.coalesce(first["logprob"], F.lit(0.0)).alias("logprob")),
+    ))
     total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + F.exp(x["logprob"]))
     return F.when(first.isNotNull(), F.aggregate(seen, F.lit(0.0), lambda a, x: a + F.exp(x["logprob"]) * x["token"].cast("double")) / total)
 

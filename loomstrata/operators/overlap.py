@@ -50,12 +50,18 @@ def clipped_counts(sides: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, hits, total) for n up to GRAMS: n-grams of h, and how many of them r has as often. Only for rows where h
     has any."""
     def grams(c: str, side: int) -> DataFrame:
-        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(c, i, F.lit(n)), " ").alias("gram")))
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.struct(
+            F.lit(n).alias("n"),
+            F.array_join(F.slice(c, i, F.lit(n)), " ").alias("gram"),
+        ))
         none = F.array().cast("array<struct<n:int,gram:string>>")
         each = F.concat(*(F.when(F.size(c) >= n, of(n)).otherwise(none) for n in range(1, GRAMS + 1)))
         return sides.select(*keys, F.lit(side).alias("side"), F.explode(each).alias("x")).select(*keys, "side", "x.*")
 
-    counts = grams("h", 0).unionByName(grams("r", 1)).groupBy(*keys, "n", "gram").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    counts = grams("h", 0).unionByName(grams("r", 1)).groupBy(*keys, "n", "gram").agg(
+        F.count_if(F.col("side") == 0).alias("a"),
+        F.count_if(F.col("side") == 1).alias("b"),
+    )
     return counts.groupBy(*keys, "n").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("a").alias("total")).filter("total > 0")
 
 

@@ -21,7 +21,11 @@ def t_critical(df: pd.Series) -> pd.Series:
 def cell_summary(rows: DataFrame, metric: str, by: list[str]) -> DataFrame:
     """n, mean, sample deviation and the 95 % interval of a metric by group. Null metrics are skipped; a group of one has
     deviation 0 and its mean as both ends. The interval isn't clipped."""
-    cells = rows.filter(F.col(metric).isNotNull()).groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(F.count("*").alias("n"), F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("sd"))
+    cells = rows.filter(F.col(metric).isNotNull()).groupBy(*[F.col(c).cast("string").alias(c) for c in by]).agg(
+        F.count("*").alias("n"),
+        F.avg(metric).alias("mean"),
+        F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("sd"),
+    )
     half = F.when(F.col("n") > 1, t_critical(F.col("n") - 1) * F.col("sd") / F.sqrt("n")).otherwise(0.0)
     return cells.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
@@ -66,7 +70,12 @@ def signed_ranks(diffs: DataFrame, by: list[str], d: str = "d") -> DataFrame:
     counts = diffs.filter(F.col(d) != 0).groupBy(*by, F.abs(d).alias("_v")).agg(F.count_if(F.col(d) > 0).alias("_p"), F.count("*").alias("_m"))
     ranked = smaller(counts, "_v", by).withColumn("_r", F.col("_before") + (F.col("_m") + 1) / 2)
     ties = F.sum(F.col("_m").cast("double") * F.col("_m") * F.col("_m") - F.col("_m"))
-    w = ranked.groupBy(*by).agg(F.sum("_m").alias("n_nonzero"), F.sum(F.col("_r") * F.col("_p")).alias("w_plus"), F.sum(F.col("_r") * (F.col("_m") - F.col("_p"))).alias("w_minus"), ties.alias("tie_sum"))
+    w = ranked.groupBy(*by).agg(
+        F.sum("_m").alias("n_nonzero"),
+        F.sum(F.col("_r") * F.col("_p")).alias("w_plus"),
+        F.sum(F.col("_r") * (F.col("_m") - F.col("_p"))).alias("w_minus"),
+        ties.alias("tie_sum"),
+    )
     out = diffs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.avg(d).alias("mean_diff")).join(w, by, "left").fillna(0, ["n_nonzero"]).fillna(0.0, ["w_plus", "w_minus", "tie_sum"])
     return out.withColumn("rank_biserial", F.when(F.col("n_nonzero") > 0, (F.col("w_plus") - F.col("w_minus")) / (F.col("w_plus") + F.col("w_minus"))))
 
@@ -97,9 +106,18 @@ def graph_diff(actual: DataFrame, expected: DataFrame, by: list[str], item: str
     a = actual.select(*by, item).distinct().withColumn("_a", F.lit(True))
     e = expected.select(*by, item).distinct().withColumn("_e", F.lit(True))
     both = a.join(e, [*by, item], "full_outer")
-    out = both.groupBy(*by).agg(F.count_if("_a").alias("n_actual"), F.count_if("_e").alias("n_expected"), F.count_if(F.col("_a") & F.col("_e")).alias("n_common"), F.array_sort(F.collect_list(F.when(F.col("_a").isNull(), F.col(item)))).alias("missing"), F.array_sort(F.collect_list(F.when(F.col("_e").isNull(), F.col(item)))).alias("extra"))
+    out = both.groupBy(*by).agg(
+        F.count_if("_a").alias("n_actual"),
+        F.count_if("_e").alias("n_expected"),
+        F.count_if(F.col("_a") & F.col("_e")).alias("n_common"),
+        F.array_sort(F.collect_list(F.when(F.col("_a").isNull(), F.col(item)))).alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("_e").isNull(), F.col(item)))).alias("extra"),
+    )
     p, r = F.coalesce(F.try_divide("n_common", "n_actual"), F.lit(0.0)), F.coalesce(F.try_divide("n_common", "n_expected"), F.lit(0.0))
-    return out.withColumn("precision", p).withColumn("recall", r).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("n_common"), F.col("n_actual") + F.col("n_expected")), F.lit(1.0)))
+    return out.withColumn("precision", p).withColumn("recall", r).withColumn(
+        "f1",
+        F.coalesce(F.try_divide(2 * F.col("n_common"), F.col("n_actual") + F.col("n_expected")), F.lit(1.0)),
+    )
 
 
 def diagram_f1(diffs: dict[str, DataFrame], by: list[str]) -> DataFrame:
@@ -115,7 +133,10 @@ def diagram_f1(diffs: dict[str, DataFrame], by: list[str]) -> DataFrame:
 
 def diagram_report(scores: DataFrame, fields: list[str], by: list[str]) -> DataFrame:
     """cell_summary() of several score columns at once: a row for each field and group."""
-    long = scores.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))).alias("x")).select(*by, "x.*")
+    long = scores.select(
+        *by,
+        F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields))).alias("x"),
+    ).select(*by, "x.*")
     return cell_summary(long, "value", ["field", *by])
 
 
@@ -161,7 +182,10 @@ def kendall(rows: DataFrame, x: str, y: str, key: str, by: list[str]) -> DataFra
     ranked = use.join(values, [*by, "_y"]).join(highest, by)
     bits = ranked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_bits") - 1)))
     bit, head = F.expr("shiftright(_r, _b) & 1"), F.expr("shiftright(_r, _b + 1)")
-    counts = bits.groupBy(*by, "_b", head.alias("_head"), "_x").agg(F.sum(F.when(bit == 0, F.col("_m")).otherwise(0)).alias("_low"), F.sum(F.when(bit == 1, F.col("_m")).otherwise(0)).alias("_high"))
+    counts = bits.groupBy(*by, "_b", head.alias("_head"), "_x").agg(
+        F.sum(F.when(bit == 0, F.col("_m")).otherwise(0)).alias("_low"),
+        F.sum(F.when(bit == 1, F.col("_m")).otherwise(0)).alias("_high"),
+    )
     part = [*by, "_b", "_head"]
     lows = counts.groupBy(*part).agg(F.sum("_low").alias("_lows"))
     scored = smaller(counts, "_x", part, "_low").join(lows, part).withColumn("_s", F.col("_high") * (2 * F.col("_before") + F.col("_low") - F.col("_lows")))
@@ -183,7 +207,12 @@ def mann_whitney(rows: DataFrame, value: str, first: Column, by: list[str] | Non
     use = rows.filter(F.col(value).isNotNull() & first.isNotNull()).withColumn("_f", first)
     counts = use.groupBy(*by, value).agg(F.count_if("_f").alias("_n1"), F.count("*").alias("_m"))
     ranks = smaller(counts, value, by).withColumn("_r", F.col("_before") + (F.col("_m") + 1) / 2)
-    out = ranks.groupBy(*by).agg(F.sum("_n1").alias("n1"), F.sum(F.col("_m") - F.col("_n1")).alias("n2"), F.sum(F.col("_r") * F.col("_n1")).alias("rank_sum"), F.sum(F.col("_m").cast("double") * F.col("_m") * F.col("_m") - F.col("_m")).alias("tie_sum"))
+    out = ranks.groupBy(*by).agg(
+        F.sum("_n1").alias("n1"),
+        F.sum(F.col("_m") - F.col("_n1")).alias("n2"),
+        F.sum(F.col("_r") * F.col("_n1")).alias("rank_sum"),
+        F.sum(F.col("_m").cast("double") * F.col("_m") * F.col("_m") - F.col("_m")).alias("tie_sum"),
+    )
 
     @F.pandas_udf("double")
     def p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
@@ -198,7 +227,10 @@ def confusion(rows: DataFrame, truth: Column, said: Column, by: list[str] | None
     use = rows.withColumn("_t", truth).withColumn("_s", said).filter("_t is not null and _s is not null")
     counts = {"tp": "_t and _s", "fn": "_t and not _s", "fp": "not _t and _s", "tn": "not _t and not _s"}
     out = use.groupBy(*(by or [])).agg(*(F.count_if(F.expr(e)).alias(n) for n, e in counts.items()))
-    out = out.withColumn("sensitivity", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("specificity", F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")))
+    out = out.withColumn(
+        "sensitivity",
+        F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")),
+    ).withColumn("specificity", F.try_divide(F.col("tn"), F.col("tn") + F.col("fp")))
     return out.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
 
 
@@ -214,7 +246,11 @@ def agreement(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def judge_acceptance(rows: DataFrame, score: str, by: list[str], distinct: int = 15, share: float = 0.60) -> DataFrame:
     """Distinct scores, the share at 1.0 and whether the judge tells texts apart."""
-    out = rows.filter(F.col(score).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(score).alias("distinct_scores"), F.avg((F.col(score) == 1.0).cast("int")).alias("share_at_one"))
+    out = rows.filter(F.col(score).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.count_distinct(score).alias("distinct_scores"),
+        F.avg((F.col(score) == 1.0).cast("int")).alias("share_at_one"),
+    )
     return out.withColumn("accepted", (F.col("distinct_scores") > distinct) & (F.col("share_at_one") < share))
 
 

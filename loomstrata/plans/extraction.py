@@ -40,21 +40,46 @@ def express_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package, an application that mounts a router a supplier, the routers, each requiring the next one, and a test."""
     s = statement(spark, sf_dir, _SUPPLIERS).withColumn("after", F.when(F.col("next").isNotNull(), _filled("const other = require('./s{next}');\n")).otherwise(""))
     router = _filled("const router = require('express').Router();\n{after}function list{k}(req, res) {{}}\n// router.get('/no', list{k})\nrouter.get('/:id', list{k});\nrouter.post('/', (req, res) => {{ res.send(`a ${{'}}'}}`); }});\nmodule.exports = router;\n")
-    mounts = s.groupBy("repo_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(F.lit("app.use('/api/s"), k.cast("string"), F.lit("', require('./routes/s"), k.cast("string"), F.lit("'));"))), "\n").alias("uses"), F.first("r").alias("r"))
+    mounts = s.groupBy("repo_name").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list("k")), lambda k: F.concat(
+                F.lit("app.use('/api/s"),
+                k.cast("string"),
+                F.lit("', require('./routes/s"),
+                k.cast("string"),
+                F.lit("'));"),
+            )),
+            "\n",
+        ).alias("uses"),
+        F.first("r").alias("r"),
+    )
     app = _filled("const express = require('express');\nconst app = express();\napp.set('port', 1);\n{uses}\napp.get('/health', (req, res) => {{}});\n")
     package = _filled('{{"dependencies": {{"express": "^4.{r}", "left": "1"}}, "devDependencies": {{"jest": "29"}}}}')
-    trees = [_files(s, _filled("routes/s{k}.js"), router), _files(s, _filled("tests/s{k}.test.js"), router), _files(mounts, F.lit("app.js"), app), _files(mounts, F.lit("package.json"), package)]
+    trees = [
+        _files(s, _filled("routes/s{k}.js"), router),
+        _files(s, _filled("tests/s{k}.test.js"), router),
+        _files(mounts, F.lit("app.js"), app),
+        _files(mounts, F.lit("package.json"), package),
+    ]
     return trees[0].unionByName(trees[1]).unionByName(trees[2]).unionByName(trees[3])
 
 
 def nest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package, path aliases with comments, and a controller a supplier that imports the next one by its alias."""
-    s = statement(spark, sf_dir, _SUPPLIERS).withColumn("after", F.when(F.col("next").isNotNull(), _filled("import {{ Other }} from '@app/s{next}.controller';\n")).otherwise(""))
+    s = statement(spark, sf_dir, _SUPPLIERS).withColumn(
+        "after",
+        F.when(F.col("next").isNotNull(), _filled("import {{ Other }} from '@app/s{next}.controller';\n")).otherwise(""),
+    )
     source = _filled("import {{ Controller, Get }} from '@nestjs/common';\n{after}@Controller({{ path: 's{k}' }})\nexport class S{k}Controller implements OnModuleInit {{\n  constructor(private readonly x: Service) {{}}\n  @Get(':id')\n  async find{k}(@Param('id') id: string): Promise<{{ a: number }}> {{ return this.x.get(id); }}\n  helper(): void {{}}\n}}\nfunction free{k}() {{}}\n")
     repos = s.groupBy("repo_name").agg(F.first("r").alias("r"))
     package = _filled('{{"dependencies": {{"@nestjs/core": "^10.{r}", "express": "4"}}}}')
     config = _filled('{{ // paths\n "compilerOptions": {{"baseUrl": ".", "paths": {{"@app/*": ["src/*"],}} }} }}')
-    trees = [_files(s, _filled("src/s{k}.controller.ts"), source), _files(s, _filled("src/s{k}.controller.spec.ts"), source), _files(repos, F.lit("package.json"), package), _files(repos, F.lit("tsconfig.json"), config)]
+    trees = [
+        _files(s, _filled("src/s{k}.controller.ts"), source),
+        _files(s, _filled("src/s{k}.controller.spec.ts"), source),
+        _files(repos, F.lit("package.json"), package),
+        _files(repos, F.lit("tsconfig.json"), config),
+    ]
     return trees[0].unionByName(trees[1]).unionByName(trees[2]).unionByName(trees[3])
 
 
@@ -78,7 +103,11 @@ def parse_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, files = scratch_path(spark, "parsed"), express_tree(spark, sf_dir)
     before = cached.parsed_graph(files, "express", path)["repositories"].select("repo_name", F.col("digest").alias("old"))
     more = statement(spark, sf_dir, _SUPPLIERS).filter("r % 2 = 0").select("repo_name").distinct()
-    extra = _files(more, F.lit("routes/more.js"), F.lit("const router = require('express').Router();\nrouter.get('/more', (req, res) => {});\nmodule.exports = router;\n"))
+    extra = _files(
+        more,
+        F.lit("routes/more.js"),
+        F.lit("const router = require('express').Router();\nrouter.get('/more', (req, res) => {});\nmodule.exports = router;\n"),
+    )
     graph_now = cached.parsed_graph(files.unionByName(extra), "express", path)
     n = lambda table, name: graph_now[table].groupBy("repo_name").agg(F.count("*").alias(name))
     again = graph_now["repositories"].join(before, "repo_name").select("repo_name", (F.col("digest") != F.col("old")).alias("parsed_again"))
@@ -111,7 +140,10 @@ def detected_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Framework, version and packages of both kinds of repository."""
     out = None
     for files in (express_tree(spark, sf_dir), nest_tree(spark, sf_dir)):
-        listed = repository.packages(files).groupBy("repo_name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", "dep_type"))), ",").alias("packages"))
+        listed = repository.packages(files).groupBy("repo_name").agg(F.array_join(
+            F.array_sort(F.collect_list(F.concat_ws("=", "name", "dep_type"))),
+            ",",
+        ).alias("packages"))
         part = repository.detect(files).join(listed, "repo_name").select("repo_name", "framework", "language", "version", "packages")
         out = part if out is None else out.unionByName(part)
     return out
@@ -169,7 +201,12 @@ _URLS = """
 def repository_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2."""
     rows = statement(spark, sf_dir, _URLS)
-    return rows.select("s_suppkey", repository.valid_url(F.col("url")).alias("valid"), repository.url_parts(F.col("url"))["owner"].alias("owner"), repository.url_parts(F.col("url"))["repo"].alias("repo"))
+    return rows.select(
+        "s_suppkey",
+        repository.valid_url(F.col("url")).alias("valid"),
+        repository.url_parts(F.col("url"))["owner"].alias("owner"),
+        repository.url_parts(F.col("url"))["repo"].alias("repo"),
+    )
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN true ELSE false END AS valid, CASE WHEN doc_id % 4 IN (0, 1) THEN lang WHEN doc_id % 4 = 2 THEN '{\"overview\": \"\"}' ELSE 'plain ' || lang END AS overview FROM documents")
@@ -177,7 +214,10 @@ def summary_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an answer is a summary with its four keys, in or out of a code fence, and its overview."""
     k, lang = F.col("doc_id") % 4, F.col("lang")
     whole = F.concat(F.lit('{"overview": "'), lang, F.lit('", "tech_stack": [], "services": [], "dependencies": []}'))
-    raw = F.when(k == 0, F.concat(F.lit('Here: {"overview": "'), lang, F.lit('"}'))).when(k == 1, F.when(F.col("doc_id") % 8 == 1, F.concat(F.lit("x\n```json\n"), whole, F.lit("\n```\n"))).otherwise(whole)).when(k == 2, F.lit('{"overview": ""}')).otherwise(F.concat(F.lit("plain "), lang))
+    raw = F.when(k == 0, F.concat(F.lit('Here: {"overview": "'), lang, F.lit('"}'))).when(
+        k == 1,
+        F.when(F.col("doc_id") % 8 == 1, F.concat(F.lit("x\n```json\n"), whole, F.lit("\n```\n"))).otherwise(whole),
+    ).when(k == 2, F.lit('{"overview": ""}')).otherwise(F.concat(F.lit("plain "), lang))
     rows = view(spark, sf_dir, "documents").withColumn("raw", raw)
     return rows.select("doc_id", judge.valid_summary(F.col("raw")).alias("valid"), judge.overview(F.col("raw")).alias("overview"))
 
@@ -197,12 +237,22 @@ def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = view(spark, sf_dir, "part").withColumnRenamed("p_brand", "repo_name")
     listed = part.select("repo_name", F.lit(0).alias("section"), F.lit(0).alias("pos"), F.col("p_name").alias("fact")).distinct()
     kind = F.col("p_partkey") % 3
-    raw = F.when(kind == 0, F.concat(F.lit('{"missing_facts": ["`'), F.upper("p_name"), F.lit('`"]}'))).when(kind == 1, '{"missing_facts": ["no such fact here"]}').otherwise("none, I think")
+    raw = F.when(
+        kind == 0,
+        F.concat(F.lit('{"missing_facts": ["`'), F.upper("p_name"), F.lit('`"]}')),
+    ).when(kind == 1, '{"missing_facts": ["no such fact here"]}').otherwise("none, I think")
     answers = part.select("repo_name", "p_partkey", raw.alias("raw_text"))
     verdicts = answers.withColumn("items", facts.missing_facts(answers)).withColumn("judged", F.col("items").isNotNull())
     resolved = facts.resolve_verdict(verdicts.select("repo_name", "p_partkey", F.posexplode("items").alias("pos", "item")), listed, ["repo_name", "p_partkey"])
     out = facts.judged_coverage(resolved, listed, verdicts.select("repo_name", "p_partkey", "judged"), ["repo_name", "p_partkey"])
-    return out.select("p_partkey", "judged", "total_facts", F.col("missing").cast("int").alias("missing"), F.col("unmatched").cast("int").alias("unmatched"), F.round("score", 6).alias("score"))
+    return out.select(
+        "p_partkey",
+        "judged",
+        "total_facts",
+        F.col("missing").cast("int").alias("missing"),
+        F.col("unmatched").cast("int").alias("unmatched"),
+        F.round("score", 6).alias("score"),
+    )
 
 
 _NATION_PARTS = "SELECT DISTINCT n_name, n_regionkey, p_brand, p_type, p_size % 2 AS odd FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
@@ -240,7 +290,10 @@ def diagram_by_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    items = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 4 == 1, F.transform(F.sequence(F.lit(1), (k % 9 + 1).cast("int")), lambda i: F.concat(i.cast("string"), F.lit(".")))).when(k % 4 == 2, F.array(F.lit("3"), F.lit("GET /x"), F.lit("odd one")))
+    items = F.when(k % 4 == 0, F.array().cast("array<string>")).when(
+        k % 4 == 1,
+        F.transform(F.sequence(F.lit(1), (k % 9 + 1).cast("int")), lambda i: F.concat(i.cast("string"), F.lit("."))),
+    ).when(k % 4 == 2, F.array(F.lit("3"), F.lit("GET /x"), F.lit("odd one")))
     return view(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", items.alias("unmatched"))
 
 
@@ -260,8 +313,16 @@ def all_index_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parsed repository as a document, taken apart into entity tables."""
     part = view(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    body = F.to_json(F.struct(F.struct(F.col("p_partkey").cast("string").alias("name")).alias("metadata"), F.array(F.struct(F.lit("c").alias("id"), F.col("p_name").alias("name"), F.lit("m").alias("module_id"))).alias("classes"), F.array(F.struct(F.lit("m").alias("id"), F.col("p_size").cast("string").alias("path"))).alias("modules")))
+    body = F.to_json(F.struct(
+        F.struct(F.col("p_partkey").cast("string").alias("name")).alias("metadata"),
+        F.array(F.struct(F.lit("c").alias("id"), F.col("p_name").alias("name"), F.lit("m").alias("module_id"))).alias("classes"),
+        F.array(F.struct(F.lit("m").alias("id"), F.col("p_size").cast("string").alias("path"))).alias("modules"),
+    ))
     parsed = part.select(F.from_json(body, T.StructType.fromDDL(results.PARSED)).alias("d")).select("d.*")
     t = results.parsed_tables(parsed)
-    classes, modules = t["classes"].select("repo_name", "module_id", F.col("name").alias("a")), t["modules"].select("repo_name", F.col("id").alias("module_id"), F.col("path").cast("int").alias("b"))
+    classes, modules = t["classes"].select("repo_name", "module_id", F.col("name").alias("a")), t["modules"].select(
+        "repo_name",
+        F.col("id").alias("module_id"),
+        F.col("path").cast("int").alias("b"),
+    )
     return classes.join(modules, ["repo_name", "module_id"]).select(F.lit("part").alias("doc"), F.col("repo_name").cast("long").alias("k"), "a", "b")

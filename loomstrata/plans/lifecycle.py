@@ -52,18 +52,39 @@ def score(runs: DataFrame, tables: dict[str, DataFrame], judge_model: str, provi
     candidates = facts.identifier_candidates(runs, keys)
     rate = facts.unsupported_rate(facts.unsupported(candidates, facts.known_identifiers(tables)), runs, keys)
 
-    numbered = listed.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("section", "pos", "fact"))).alias("f")).select("repo_name", F.array_join(F.transform(F.col("f.fact"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n").alias("numbered"))
+    numbered = listed.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("section", "pos", "fact"))).alias("f")).select(
+        "repo_name",
+        F.array_join(F.transform(F.col("f.fact"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n").alias("numbered"),
+    )
     asked = runs.select(*keys, "summary_text").join(numbered, "repo_name").withColumnRenamed("model", "writer").withColumn("model", F.lit(judge_model))
-    answers = ask(asked.withColumn("prompt", prompt_from(COVERAGE_PROMPT, ["numbered", "summary_text"])), provider).select("repo_name", F.col("writer").alias("model"), "context_variant", "raw_text")
+    answers = ask(
+        asked.withColumn("prompt", prompt_from(COVERAGE_PROMPT, ["numbered", "summary_text"])),
+        provider,
+    ).select("repo_name", F.col("writer").alias("model"), "context_variant", "raw_text")
     answers = written(answers, "coverage_answers")
     verdicts = answers.withColumn("items", facts.missing_facts(answers)).withColumn("judged", F.col("items").isNotNull())
     resolved = facts.resolve_verdict(verdicts.select(*keys, F.posexplode("items").alias("pos", "item")), listed, keys)
-    coverage_judged = facts.judged_coverage(resolved, listed, verdicts.select(*keys, "judged"), keys).select(*keys, F.col("score").alias("judge_coverage"), F.col("judged").alias("coverage_judged"), "unmatched")
+    coverage_judged = facts.judged_coverage(resolved, listed, verdicts.select(*keys, "judged"), keys).select(
+        *keys,
+        F.col("score").alias("judge_coverage"),
+        F.col("judged").alias("coverage_judged"),
+        "unmatched",
+    )
     lost = resolved.filter("fact is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("fact")).alias("missing_facts"))
 
-    claims = ask(asked.withColumn("prompt", prompt_from(CLAIMS_PROMPT, ["numbered", "summary_text"])), provider).select("repo_name", F.col("writer").alias("model"), "context_variant", facts.hallucination_verdict(F.col("raw_text")).alias("v"))
+    claims = ask(asked.withColumn("prompt", prompt_from(CLAIMS_PROMPT, ["numbered", "summary_text"])), provider).select(
+        "repo_name",
+        F.col("writer").alias("model"),
+        "context_variant",
+        facts.hallucination_verdict(F.col("raw_text")).alias("v"),
+    )
     claims = written(claims, "claim_answers")
-    claimed = claims.select(*keys, F.try_divide(F.size("v.unsupported"), F.col("v.total")).alias("judge_hallucination"), F.col("v").isNotNull().alias("hallucination_judged"), F.col("v.unsupported").alias("unsupported_claims"))
+    claimed = claims.select(
+        *keys,
+        F.try_divide(F.size("v.unsupported"), F.col("v.total")).alias("judge_hallucination"),
+        F.col("v").isNotNull().alias("hallucination_judged"),
+        F.col("v.unsupported").alias("unsupported_claims"),
+    )
 
     terms = tables["external_deps"].groupBy("repo_name").agg(F.collect_set("name").alias("known_terms"))
     out = every
@@ -77,7 +98,14 @@ def score(runs: DataFrame, tables: dict[str, DataFrame], judge_model: str, provi
     return facts.failure_tags(out, overview="summary_text", judged=judged)
 
 
-def scored_ablation(tables: dict[str, DataFrame], models: list[str], judge_model: str, provider: Provider, files: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+def scored_ablation(
+    tables: dict[str, DataFrame],
+    models: list[str],
+    judge_model: str,
+    provider: Provider,
+    files: DataFrame | None = None,
+    references: DataFrame | None = None,
+) -> DataFrame:
     """The flagship: representations, runs, scores."""
     check_judge(models, judge_model)
     return score(generate(representations(tables, files), models, provider), tables, judge_model, provider, references)
@@ -86,5 +114,14 @@ def scored_ablation(tables: dict[str, DataFrame], models: list[str], judge_model
 def report(scored: DataFrame, metric: str = "coverage_strict") -> dict[str, DataFrame]:
     """Runs and how many of them failed, cell means with intervals, paired contrasts between representations with Holm's correction, failure counts."""
     pairs = statistics.level_pairs(scored, metric, "context_variant", ["repo_name"], ["model"])
-    runs = scored.groupBy("model", "context_variant").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status") != "success").alias("failed"))
-    return {"runs": runs, "cells": statistics.cell_summary(scored, metric, ["model", "context_variant"]), "contrasts": statistics.holm(statistics.paired_tests(pairs, ["model", "a", "b"])), "failures": facts.tag_frequencies(scored, ["model"])}
+    runs = scored.groupBy("model", "context_variant").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status") == "success").alias("succeeded"),
+        F.count_if(F.col("status") != "success").alias("failed"),
+    )
+    return {
+        "runs": runs,
+        "cells": statistics.cell_summary(scored, metric, ["model", "context_variant"]),
+        "contrasts": statistics.holm(statistics.paired_tests(pairs, ["model", "a", "b"])),
+        "failures": facts.tag_frequencies(scored, ["model"]),
+    }

@@ -180,19 +180,35 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.coverable_facts(*(view(spark, sf_dir, n) for n in ("repositories", "external_deps", "routes", "services", "db_entities")))
 
 
-@query(f"WITH {_FACTS_SQL}, {_MATCH_SQL} SELECT category, coalesce(rule, '') AS rule, count(*) AS n, count(*) FILTER (strict) AS n_strict FROM tiers GROUP BY ALL", *_FACT_VIEWS, "summaries")
+@query(
+    f"WITH {_FACTS_SQL}, {_MATCH_SQL} SELECT category, coalesce(rule, '') AS rule, count(*) AS n, count(*) FILTER (strict) AS n_strict FROM tiers GROUP BY ALL",
+    *_FACT_VIEWS,
+    "summaries",
+)
 def fact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """how often each matching rule decides."""
     m = facts.match_facts(_facts(spark, sf_dir), view(spark, sf_dir, "summaries"))
     return m.groupBy("category", F.coalesce("rule", F.lit("")).alias("rule")).agg(F.count("*").alias("n"), F.count_if("strict").alias("n_strict"))
 
 
-@query(f"WITH {_FACTS_SQL}, {_MATCH_SQL} SELECT c_custkey, count(*) AS total_facts, count(*) FILTER (strict) AS covered_strict, count(*) FILTER (lenient) AS covered_lenient, round(avg(strict::INT), 4) AS coverage_strict, round(avg(lenient::INT), 4) AS coverage_lenient, string_agg(CASE WHEN NOT strict THEN fact END, '|' ORDER BY fact COLLATE C) AS missing FROM tiers GROUP BY c_custkey", *_FACT_VIEWS, "summaries")
+@query(
+    f"WITH {_FACTS_SQL}, {_MATCH_SQL} SELECT c_custkey, count(*) AS total_facts, count(*) FILTER (strict) AS covered_strict, count(*) FILTER (lenient) AS covered_lenient, round(avg(strict::INT), 4) AS coverage_strict, round(avg(lenient::INT), 4) AS coverage_lenient, string_agg(CASE WHEN NOT strict THEN fact END, '|' ORDER BY fact COLLATE C) AS missing FROM tiers GROUP BY c_custkey",
+    *_FACT_VIEWS,
+    "summaries",
+)
 def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: coverage of every summary at both tiers, with what it misses."""
     m = facts.match_facts(_facts(spark, sf_dir), view(spark, sf_dir, "summaries"))
     c = facts.coverage(m, ["c_custkey"])
-    return c.select("c_custkey", "total_facts", "covered_strict", "covered_lenient", F.round("coverage_strict", 4).alias("coverage_strict"), F.round("coverage_lenient", 4).alias("coverage_lenient"), F.array_join("missing_strict", "|").alias("missing"))
+    return c.select(
+        "c_custkey",
+        "total_facts",
+        "covered_strict",
+        "covered_lenient",
+        F.round("coverage_strict", 4).alias("coverage_strict"),
+        F.round("coverage_lenient", 4).alias("coverage_lenient"),
+        F.array_join("missing_strict", "|").alias("missing"),
+    )
 
 
 @query(f"WITH {_FACTS_SQL} SELECT repo_name, split_part(fact, ':', 1) AS category, count(*) AS n FROM facts GROUP BY ALL", *_FACT_VIEWS)
@@ -221,7 +237,10 @@ _CANDIDATES_SQL = f"""
     )"""
 
 
-@query(f"WITH {_CANDIDATES_SQL} SELECT c_custkey, candidate, CASE k WHEN 1 THEN 'backticked' WHEN 2 THEN 'path' WHEN 3 THEN 'scoped_pkg' WHEN 4 THEN 'file' ELSE 'pascal' END AS kind FROM candidates", "summaries")
+@query(
+    f"WITH {_CANDIDATES_SQL} SELECT c_custkey, candidate, CASE k WHEN 1 THEN 'backticked' WHEN 2 THEN 'path' WHEN 3 THEN 'scoped_pkg' WHEN 4 THEN 'file' ELSE 'pascal' END AS kind FROM candidates",
+    "summaries",
+)
 def identifier_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F14, F15."""
     return facts.identifier_candidates(view(spark, sf_dir, "summaries"), ["c_custkey"]).select("c_custkey", "candidate", "kind")
@@ -252,11 +271,25 @@ def unsupported_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda n: view(spark, sf_dir, n)
     none = lambda t, *cs: t.select("repo_name", *(F.lit(None).cast("string").alias(c) for c in cs)).limit(0)
     repos = v("repositories")
-    tables = {"repositories": repos, "modules": none(repos, "path", "id"), "classes": v("services"), "functions": none(repos, "name"), "endpoints": v("routes"), "db_entities": v("db_entities").withColumn("source_path", F.lit(None).cast("string")), "external_deps": v("external_deps"), "config_files": v("config_files")}
+    tables = {
+        "repositories": repos,
+        "modules": none(repos, "path", "id"),
+        "classes": v("services"),
+        "functions": none(repos, "name"),
+        "endpoints": v("routes"),
+        "db_entities": v("db_entities").withColumn("source_path", F.lit(None).cast("string")),
+        "external_deps": v("external_deps"),
+        "config_files": v("config_files"),
+    }
     summaries = v("summaries")
     c = facts.identifier_candidates(summaries, ["repo_name", "c_custkey"])
     judged = facts.unsupported(c, facts.known_identifiers(tables))
-    return facts.unsupported_rate(judged, summaries, ["repo_name", "c_custkey"]).select("c_custkey", "total_candidates", "supported", F.round("unsupported_identifier_rate", 4).alias("unsupported_identifier_rate"))
+    return facts.unsupported_rate(judged, summaries, ["repo_name", "c_custkey"]).select(
+        "c_custkey",
+        "total_candidates",
+        "supported",
+        F.round("unsupported_identifier_rate", 4).alias("unsupported_identifier_rate"),
+    )
 
 
 _NOISY = """
@@ -275,7 +308,12 @@ _NOISY = """
 def canonical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy renderings of facts, and positions, resolved to the facts."""
     part = view(spark, sf_dir, "part")
-    names = part.select(F.lit("all").alias("repo_name"), F.col("p_name").alias("fact")).distinct().select("repo_name", F.lit(0).alias("section"), F.lit(0).alias("pos"), "fact")
+    names = part.select(F.lit("all").alias("repo_name"), F.col("p_name").alias("fact")).distinct().select(
+        "repo_name",
+        F.lit(0).alias("section"),
+        F.lit(0).alias("pos"),
+        "fact",
+    )
     noisy = statement(spark, sf_dir, _NOISY).select(F.lit("all").alias("repo_name"), "p_partkey", "item")
     got = facts.resolve_verdict(noisy, names, ["repo_name", "p_partkey"])
     return got.groupBy("fact").agg(F.count("*").alias("n_items"), F.count_distinct("item").alias("n_forms"))
@@ -306,7 +344,12 @@ def hallucination_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = statement(spark, sf_dir, _VERDICTS)
     got = raw.withColumn("v", facts.hallucination_verdict(F.col("raw_text")))
     n = F.size("v.unsupported")
-    return got.select("c_custkey", "v.total", F.when(F.col("v").isNotNull(), n).alias("unsupported"), F.when(F.col("v").isNotNull(), F.round(F.coalesce(F.try_divide(n, F.col("v.total")), F.lit(0.0)), 4)).alias("score"))
+    return got.select(
+        "c_custkey",
+        "v.total",
+        F.when(F.col("v").isNotNull(), n).alias("unsupported"),
+        F.when(F.col("v").isNotNull(), F.round(F.coalesce(F.try_divide(n, F.col("v.total")), F.lit(0.0)), 4)).alias("score"),
+    )
 
 
 _TAGGED = """
@@ -326,7 +369,14 @@ _TAGGED = """
 def failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18-F20, A12."""
     rows = statement(spark, sf_dir, _TAGGED)
-    rows = rows.select("role", F.array_compact(F.array("claim")).alias("unsupported_claims"), F.array("missing").alias("missing_facts"), F.col("text").alias("overview"), F.array(F.lit("The")).alias("known_terms"), (F.col("turn") % 5 != 0).alias("judged"))
+    rows = rows.select(
+        "role",
+        F.array_compact(F.array("claim")).alias("unsupported_claims"),
+        F.array("missing").alias("missing_facts"),
+        F.col("text").alias("overview"),
+        F.array(F.lit("The")).alias("known_terms"),
+        (F.col("turn") % 5 != 0).alias("judged"),
+    )
     return facts.tag_frequencies(facts.failure_tags(rows, judged=F.col("judged")), ["role"])
 
 
@@ -334,20 +384,30 @@ def failure_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN '"' || p_size || '.)"' WHEN 1 THEN 'Endpoint: ' || p_name ELSE p_name END AS raw, trim(regexp_replace(trim(raw), '^[`''" ]+|[`''" ]+$', '', 'g')) AS x FROM part) GROUP BY ALL""")
 def unmatched_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F21, A22."""
-    item = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('.)"'))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Endpoint: "), F.col("p_name"))).otherwise(F.col("p_name"))
+    item = F.when(
+        F.col("p_partkey") % 3 == 0,
+        F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('.)"')),
+    ).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Endpoint: "), F.col("p_name"))).otherwise(F.col("p_name"))
     return view(spark, sf_dir, "part").groupBy(facts.unmatched_class(item).alias("kind")).agg(F.count("*").alias("n"))
 
 
 # --- the graph and its texts
 
 
-@query("SELECT DISTINCT e.repo_name, a.path AS from_path, b.path AS to_path FROM import_edges e JOIN modules a ON e.repo_name = a.repo_name AND from_module_id = a.id JOIN modules b ON e.repo_name = b.repo_name AND to_module_id = b.id", "import_edges", "modules")
+@query(
+    "SELECT DISTINCT e.repo_name, a.path AS from_path, b.path AS to_path FROM import_edges e JOIN modules a ON e.repo_name = a.repo_name AND from_module_id = a.id JOIN modules b ON e.repo_name = b.repo_name AND to_module_id = b.id",
+    "import_edges",
+    "modules",
+)
 def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct edges with both ends in the repository, as paths."""
     return graph.path_edges(view(spark, sf_dir, "import_edges"), view(spark, sf_dir, "modules"))
 
 
-@query("SELECT a.n_name AS from_repo, count(*) AS n FROM steps JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey JOIN nation a ON x.s_nationkey = a.n_nationkey JOIN nation c ON y.s_nationkey = c.n_nationkey WHERE a.n_name <> c.n_name GROUP BY ALL".replace("ON a = x", "ON steps.a = x"), "steps")
+@query(
+    "SELECT a.n_name AS from_repo, count(*) AS n FROM steps JOIN supplier x ON a = x.s_suppkey JOIN supplier y ON b = y.s_suppkey JOIN nation a ON x.s_nationkey = a.n_nationkey JOIN nation c ON y.s_nationkey = c.n_nationkey WHERE a.n_name <> c.n_name GROUP BY ALL".replace("ON a = x", "ON steps.a = x"),
+    "steps",
+)
 def cross_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges that leave their repository, by it."""
     e = view(spark, sf_dir, "steps").filter("b is not null")
@@ -362,7 +422,12 @@ def cross_scope_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert by key, the newest of several new rows staying."""
     old = view(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("state"))
-    new = view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("state"), "o_orderdate", "o_orderkey")
+    new = view(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("c_custkey"),
+        F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("state"),
+        "o_orderdate",
+        "o_orderkey",
+    )
     return graph.upsert(old, new, ["c_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "state")
 
 
@@ -381,7 +446,10 @@ def graph_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "graph")
     snapshots.write_graph({"repositories": nation, "modules": modules, "functions": functions}, path)
     again = F.col("n_nationkey") % 2 == 1
-    snapshots.write_graph({"repositories": nation.filter(again), "modules": modules.filter(again & (F.col("s_acctbal") > 0)), "functions": functions.filter(again).limit(0)}, path)
+    snapshots.write_graph(
+        {"repositories": nation.filter(again), "modules": modules.filter(again & (F.col("s_acctbal") > 0)), "functions": functions.filter(again).limit(0)},
+        path,
+    )
     tables = snapshots.read_graph(spark, path)
     nodes = reduce(DataFrame.unionByName, (tables[k].select("repo_name", F.lit(k).alias("kind"), "id") for k in ("modules", "functions")))
     return nodes.groupBy("repo_name", "kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
@@ -474,7 +542,11 @@ def raw_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-3: documents of a source as its files, within the budget."""
     docs = view(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
     out = context.raw_text(docs, [F.col("doc_id")], scope="source")
-    return out.select("source", F.md5("context").alias("digest"), F.size(F.split("context", "// ---- [0-9]+ ----\n")).cast("long").alias("n") - 1).toDF("source", "digest", "n_files")
+    return out.select(
+        "source",
+        F.md5("context").alias("digest"),
+        F.size(F.split("context", "// ---- [0-9]+ ----\n")).cast("long").alias("n") - 1,
+    ).toDF("source", "digest", "n_files")
 
 
 _OWN = "SELECT 'all' AS repo_name, concat('n', CAST(n_nationkey AS STRING)) AS id, concat('own/', CAST(n_nationkey AS STRING), '/') AS own_prefix FROM nation WHERE n_nationkey % 4 = 0"
@@ -497,7 +569,15 @@ def mount_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mount_prefixes(statement(spark, sf_dir, _OWN), statement(spark, sf_dir, _MOUNTS))
 
 
-@query("SELECT repo_name, (SELECT count(*) FROM modules m WHERE m.repo_name = r.repo_name) AS modules, (SELECT count(*) FROM classes m WHERE m.repo_name = r.repo_name) AS classes, (SELECT count(*) FROM functions m WHERE m.repo_name = r.repo_name) AS functions, (SELECT count(*) FROM endpoints m WHERE m.repo_name = r.repo_name) AS api_endpoints, (SELECT count(*) FROM db_entities m WHERE m.repo_name = r.repo_name) AS database_entities FROM repositories r", "repositories", "modules", "classes", "functions", "endpoints", "db_entities")
+@query(
+    "SELECT repo_name, (SELECT count(*) FROM modules m WHERE m.repo_name = r.repo_name) AS modules, (SELECT count(*) FROM classes m WHERE m.repo_name = r.repo_name) AS classes, (SELECT count(*) FROM functions m WHERE m.repo_name = r.repo_name) AS functions, (SELECT count(*) FROM endpoints m WHERE m.repo_name = r.repo_name) AS api_endpoints, (SELECT count(*) FROM db_entities m WHERE m.repo_name = r.repo_name) AS database_entities FROM repositories r",
+    "repositories",
+    "modules",
+    "classes",
+    "functions",
+    "endpoints",
+    "db_entities",
+)
 def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1.1: entities of each kind."""
     return graph.entity_counts({n: view(spark, sf_dir, n) for n in ("repositories", "modules", "classes", "functions", "endpoints", "db_entities")})
@@ -506,19 +586,34 @@ def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statistics
 
 
-@query("SELECT variant, model, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS sd FROM runs WHERE value IS NOT NULL GROUP BY ALL", "runs")
+@query(
+    "SELECT variant, model, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS sd FROM runs WHERE value IS NOT NULL GROUP BY ALL",
+    "runs",
+)
 def cell_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 without its interval, whose quantile SQL lacks (tests compare it with tables)."""
-    return statistics.cell_summary(view(spark, sf_dir, "runs"), "value", ["variant", "model"]).select("variant", "model", "n", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+    return statistics.cell_summary(view(spark, sf_dir, "runs"), "value", ["variant", "model"]).select(
+        "variant",
+        "model",
+        "n",
+        F.round("mean", 4).alias("mean"),
+        F.round("sd", 4).alias("sd"),
+    )
 
 
 @query("SELECT variant, count(*) AS n, round(avg(CASE WHEN tokens > 0 THEN value * 1000 / tokens END), 3) AS efficiency FROM runs GROUP BY ALL", "runs")
 def efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A29."""
-    return statistics.efficiency(view(spark, sf_dir, "runs"), "value", "tokens").groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg("efficiency"), 3).alias("efficiency"))
+    return statistics.efficiency(view(spark, sf_dir, "runs"), "value", "tokens").groupBy("variant").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("efficiency"), 3).alias("efficiency"),
+    )
 
 
-@query("SELECT 'k' AS category, sum(k)::BIGINT AS total, sum(lost)::BIGINT AS missing, count(*) AS rows, round((sum(k) - sum(lost)) / sum(k)::DOUBLE, 4) AS coverage FROM (SELECT json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS lost FROM runs)", "runs")
+@query(
+    "SELECT 'k' AS category, sum(k)::BIGINT AS total, sum(lost)::BIGINT AS missing, count(*) AS rows, round((sum(k) - sum(lost)) / sum(k)::DOUBLE, 4) AS coverage FROM (SELECT json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS lost FROM runs)",
+    "runs",
+)
 def category_json_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3."""
     runs = view(spark, sf_dir, "runs").withColumn("missing", F.when(F.col("event_id") % 3 == 0, '["k: a", "k: b", "other: c"]').otherwise("[]"))
@@ -535,10 +630,22 @@ def _level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.level_pairs(view(spark, sf_dir, "spending"), "v", "o_orderpriority", ["o_custkey"], [])
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT d.a, d.b, count(*) AS n_pairs, round(avg(d), 2) AS mean_diff, any_value(n_nonzero) AS n_nonzero, any_value(w_plus)::DOUBLE AS w_plus, any_value(w_minus)::DOUBLE AS w_minus, round(any_value((w_plus - w_minus) / (w_plus + w_minus))::DOUBLE, 6) AS rank_biserial FROM d LEFT JOIN w ON d.a = w.a AND d.b = w.b GROUP BY ALL", "spending")
+@query(
+    f"WITH {_PAIRS_SQL} SELECT d.a, d.b, count(*) AS n_pairs, round(avg(d), 2) AS mean_diff, any_value(n_nonzero) AS n_nonzero, any_value(w_plus)::DOUBLE AS w_plus, any_value(w_minus)::DOUBLE AS w_minus, round(any_value((w_plus - w_minus) / (w_plus + w_minus))::DOUBLE, 6) AS rank_biserial FROM d LEFT JOIN w ON d.a = w.a AND d.b = w.b GROUP BY ALL",
+    "spending",
+)
 def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of levels: differences, signed ranks, rank-biserial."""
-    return statistics.signed_ranks(_level_pairs(spark, sf_dir), ["a", "b"]).select("a", "b", "n_pairs", F.round("mean_diff", 2).alias("mean_diff"), "n_nonzero", "w_plus", "w_minus", F.round("rank_biserial", 6).alias("rank_biserial"))
+    return statistics.signed_ranks(_level_pairs(spark, sf_dir), ["a", "b"]).select(
+        "a",
+        "b",
+        "n_pairs",
+        F.round("mean_diff", 2).alias("mean_diff"),
+        "n_nonzero",
+        "w_plus",
+        "w_minus",
+        F.round("rank_biserial", 6).alias("rank_biserial"),
+    )
 
 
 @query(None)
@@ -577,7 +684,12 @@ def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_type, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2, round((sum(r) FILTER (f) - count(*) FILTER (f) * (count(*) FILTER (f) + 1) / 2.0)::DOUBLE, 1) AS u FROM r GROUP BY ALL""")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21 (its p is compared in tests)."""
-    return statistics.mann_whitney(view(spark, sf_dir, "events"), "value", F.col("user_id") % 2 == 0, ["event_type"]).select("event_type", "n1", "n2", F.round("u", 1).alias("u"))
+    return statistics.mann_whitney(
+        view(spark, sf_dir, "events"),
+        "value",
+        F.col("user_id") % 2 == 0,
+        ["event_type"],
+    ).select("event_type", "n1", "n2", F.round("u", 1).alias("u"))
 
 
 @query("""WITH b AS (SELECT DISTINCT n_name, p_brand, p_size % 2 AS odd FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
@@ -596,7 +708,14 @@ def graph_diff_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels against a rule on length."""
     rows = view(spark, sf_dir, "labels").join(view(spark, sf_dir, "documents"), "doc_id")
-    return statistics.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000).select("tp", "fn", "fp", "tn", F.round("sensitivity", 6).alias("sensitivity"), F.round("specificity", 6).alias("specificity"))
+    return statistics.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000).select(
+        "tp",
+        "fn",
+        "fp",
+        "tn",
+        F.round("sensitivity", 6).alias("sensitivity"),
+        F.round("specificity", 6).alias("specificity"),
+    )
 
 
 _LEVELS = ["signup", "error", "click", "view", "purchase"]
@@ -615,7 +734,10 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.histogram(view(spark, sf_dir, "part"), "p_size", 3)
 
 
-@query("WITH m AS (SELECT model, variant, avg(value) AS m, count(*) AS n FROM runs GROUP BY ALL) SELECT model, variant, round(m, 4) AS mean, n, m = max(m) OVER (PARTITION BY model) AS best FROM m", "runs")
+@query(
+    "WITH m AS (SELECT model, variant, avg(value) AS m, count(*) AS n FROM runs GROUP BY ALL) SELECT model, variant, round(m, 4) AS mean, n, m = max(m) OVER (PARTITION BY model) AS best FROM m",
+    "runs",
+)
 def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A18."""
     return statistics.best_levels(view(spark, sf_dir, "runs"), "variant", "value", ["model"]).withColumn("mean", F.round("mean", 4))
@@ -704,11 +826,23 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda t, c, to: t.groupBy("repo_name").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(c).alias("x"))))["x"].alias(to))
     routes = v("routes").withColumn("x", F.concat_ws(" ", "method", "path"))
     rows = v("repositories").select("repo_name", F.col("detected_framework").alias("framework"), "framework_version", F.col("detected_language").alias("language"))
-    for part in (names(v("external_deps"), "name", "dependencies"), names(routes, "x", "endpoints"), names(v("services"), "name", "classes"), v("config_files").groupBy("repo_name").agg(F.collect_list("path").alias("configs"))):
+    for part in (
+        names(v("external_deps"), "name", "dependencies"),
+        names(routes, "x", "endpoints"),
+        names(v("services"), "name", "classes"),
+        v("config_files").groupBy("repo_name").agg(F.collect_list("path").alias("configs")),
+    ):
         rows = rows.join(part, "repo_name", "left")
     rows = rows.withColumn("entities", F.array().cast("array<string>"))
     none = v("modules").limit(0)
-    counts = graph.entity_counts({"repositories": v("repositories"), "modules": v("modules"), "classes": v("services"), "functions": none, "endpoints": v("routes"), "db_entities": none})
+    counts = graph.entity_counts({
+        "repositories": v("repositories"),
+        "modules": v("modules"),
+        "classes": v("services"),
+        "functions": none,
+        "endpoints": v("routes"),
+        "db_entities": none,
+    })
     return context.ground_truth(rows, counts.withColumnRenamed("classes", "classes_n"), most=3)
 
 

@@ -23,7 +23,14 @@ def digests(files: DataFrame, framework: str) -> DataFrame:
     return each.groupBy("repo_name").agg(F.sha2(F.concat_ws("|", F.lit(PARSER), F.lit(framework), listed), 256).alias("digest"))
 
 
-def parsed_graph(files: DataFrame, framework: str, path: str, tries: int = 3, wait: float = 10.0, parse: Callable[[DataFrame, str], dict[str, DataFrame]] = repository.parse) -> dict[str, DataFrame]:
+def parsed_graph(
+    files: DataFrame,
+    framework: str,
+    path: str,
+    tries: int = 3,
+    wait: float = 10.0,
+    parse: Callable[[DataFrame, str], dict[str, DataFrame]] = repository.parse,
+) -> dict[str, DataFrame]:
     """The graph at path after all repositories of files are in it as they are now, read back as one snapshot.
 
     Repositories whose digest the snapshot has are left as they are; the others are parsed and replaced in one write. What

@@ -60,7 +60,16 @@ def _tried(call: Callable[[], object], retries: int, timeout: float, backoff: fl
     return None, retries, error
 
 
-def ask(prompts: DataFrame, provider: Provider, retries: int = 2, price: Callable[[str, int, int], float] | None = None, model: str = "model", prompt: str = "prompt", timeout: float = TIMEOUT, backoff: float = BACKOFF) -> DataFrame:
+def ask(
+    prompts: DataFrame,
+    provider: Provider,
+    retries: int = 2,
+    price: Callable[[str, int, int], float] | None = None,
+    model: str = "model",
+    prompt: str = "prompt",
+    timeout: float = TIMEOUT,
+    backoff: float = BACKOFF,
+) -> DataFrame:
     """prompts with the provider's answer to each. A failed call, or one beyond `timeout` seconds, is tried again after
     `backoff` seconds, twice that, and so on; after `retries` more the row has status `failed`, zeros and the error. Calls
     run in the tasks, so partitions decide how many go at once; a lost executor's rows are asked again. Write the result
@@ -75,7 +84,16 @@ def ask(prompts: DataFrame, provider: Provider, retries: int = 2, price: Callabl
                 got, k, error = _tried(lambda m=m, p=p: provider(m, p), retries, timeout, backoff)
                 if error is None:
                     text, tokens_in, tokens_out = got
-                    rows.append(("success", text, int(1000 * (time.monotonic() - began)), tokens_in, tokens_out, price(m, tokens_in, tokens_out) if price else 0.0, k, None))
+                    rows.append((
+                        "success",
+                        text,
+                        int(1000 * (time.monotonic() - began)),
+                        tokens_in,
+                        tokens_out,
+                        price(m, tokens_in, tokens_out) if price else 0.0,
+                        k,
+                        None,
+                    ))
                 else:
                     rows.append(("failed", None, 0, 0, 0, 0.0, k, error))
             names = [c.split()[0] for c in RESULT.split(", ")]
@@ -87,7 +105,15 @@ def ask(prompts: DataFrame, provider: Provider, retries: int = 2, price: Callabl
 TOKENS = "array<struct<token:string,logprob:double,top:array<struct<token:string,logprob:double>>>>"
 
 
-def ask_tokens(prompts: DataFrame, provider: TokenProvider, retries: int = 2, model: str = "model", prompt: str = "prompt", timeout: float = TIMEOUT, backoff: float = BACKOFF) -> DataFrame:
+def ask_tokens(
+    prompts: DataFrame,
+    provider: TokenProvider,
+    retries: int = 2,
+    model: str = "model",
+    prompt: str = "prompt",
+    timeout: float = TIMEOUT,
+    backoff: float = BACKOFF,
+) -> DataFrame:
     """prompts with raw_text and tokens of a raw generation: each token with its log probability and alternatives, as
     judge.criterion_score() and judge.confidence() read them. Failed calls give nulls and the error."""
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)

@@ -21,8 +21,23 @@ SKIP_DIRS = ["node_modules", ".git", "dist", "build", "coverage", ".next"]
 TEST_DIRS = ["test", "tests", "__tests__", "__mocks__", "spec", "e2e", "cypress"]
 SUFFIXES = {"express": ["", ".js", "/index.js", ".mjs", ".cjs"], "nestjs": ["", ".ts", "/index.ts"]}
 CONFIGS = {
-    "express": {"package.json": "build", ".env": "env", ".env.example": "env", "Procfile": "framework_config", "docker-compose.yml": "framework_config", "Dockerfile": "framework_config"},
-    "nestjs": {"package.json": "build", "tsconfig.json": "build", "nest-cli.json": "framework_config", ".env": "env", ".env.example": "env", "docker-compose.yml": "framework_config", "Dockerfile": "framework_config"},
+    "express": {
+        "package.json": "build",
+        ".env": "env",
+        ".env.example": "env",
+        "Procfile": "framework_config",
+        "docker-compose.yml": "framework_config",
+        "Dockerfile": "framework_config",
+    },
+    "nestjs": {
+        "package.json": "build",
+        "tsconfig.json": "build",
+        "nest-cli.json": "framework_config",
+        ".env": "env",
+        ".env.example": "env",
+        "docker-compose.yml": "framework_config",
+        "Dockerfile": "framework_config",
+    },
 }
 MOST_FILES = 3000
 #: A repository's URL at the hosting site: owner and name.
@@ -59,14 +74,25 @@ def detect(files: DataFrame) -> DataFrame:
     deps = F.from_json(F.col("content").cast("string"), "dependencies map<string,string>, devDependencies map<string,string>")
     pkg = files.filter("path = 'package.json'").select("repo_name", deps.alias("p"))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    both = pkg.select("repo_name", F.map_concat(F.map_filter(F.coalesce("p.devDependencies", none), lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("p.dependencies", none)), k)), F.coalesce("p.dependencies", none)).alias("d"))
+    both = pkg.select(
+        "repo_name",
+        F.map_concat(
+            F.map_filter(F.coalesce("p.devDependencies", none), lambda k, _: ~F.array_contains(F.map_keys(F.coalesce("p.dependencies", none)), k)),
+            F.coalesce("p.dependencies", none),
+        ).alias("d"),
+    )
     version = lambda *names: F.coalesce(*(F.try_element_at("d", F.lit(n)) for n in names))
     nest, express = version("@nestjs/core", "@nestjs/common"), version("express")
     js = both.select("repo_name", F.when(nest.isNotNull(), "nestjs").when(express.isNotNull(), "express").alias("js"), F.coalesce(nest, express).alias("version"))
     spring = files.filter(F.col("path").isin("pom.xml", "build.gradle")).groupBy("repo_name").agg(F.bool_or(F.contains(F.col("content").cast("string"), F.lit("spring-boot"))).alias("spring"))
     out = files.select("repo_name").distinct().join(js, "repo_name", "left").join(spring, "repo_name", "left")
     framework = F.coalesce("js", F.when(F.col("spring"), "spring"))
-    return out.select("repo_name", framework.alias("framework"), F.when(framework == "nestjs", "typescript").when(framework == "express", "javascript").when(framework == "spring", "java").alias("language"), "version")
+    return out.select(
+        "repo_name",
+        framework.alias("framework"),
+        F.when(framework == "nestjs", "typescript").when(framework == "express", "javascript").when(framework == "spring", "java").alias("language"),
+        "version",
+    )
 
 
 def source_files(files: DataFrame, framework: str) -> tuple[DataFrame, DataFrame]:
@@ -117,8 +143,15 @@ def _beside(path: pd.Series, imported: pd.Series) -> pd.Series:
 def resolve(wanted: DataFrame, modules: DataFrame, suffixes: list[str], candidate: Column) -> DataFrame:
     """wanted with `target_id`: the module whose path is the candidate and the first suffix that gives one. wanted has
     repo_name and a unique `wid`."""
-    probes = wanted.select("repo_name", "wid", candidate.alias("c")).select("repo_name", "wid", F.posexplode(F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat(F.col("c"), s))).alias("k", "path"))
-    hits = probes.join(modules.select("repo_name", "path", F.col("module_id").alias("target")), ["repo_name", "path"]).groupBy("wid").agg(F.min_by("target", "k").alias("target_id"))
+    probes = wanted.select("repo_name", "wid", candidate.alias("c")).select(
+        "repo_name",
+        "wid",
+        F.posexplode(F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat(F.col("c"), s))).alias("k", "path"),
+    )
+    hits = probes.join(
+        modules.select("repo_name", "path", F.col("module_id").alias("target")),
+        ["repo_name", "path"],
+    ).groupBy("wid").agg(F.min_by("target", "k").alias("target_id"))
     return wanted.join(hits, "wid", "left")
 
 
@@ -136,7 +169,12 @@ def import_edges(found: DataFrame, framework: str, aliases: DataFrame | None = N
         rest = F.expr("substring(imported, length(substring_index(pattern, '*', 1)) + 1, length(imported) - length(pattern) + 1)")
         best = Window.partitionBy("wid").orderBy(F.desc(F.when(exact, F.length("pattern") + 1).otherwise(F.length(head))), "at")
         hits = far.filter(exact | wild).withColumn("c", F.when(exact, F.col("target")).otherwise(F.replace("target", F.lit("*"), rest)))
-        hits = resolve(hits.withColumn("alias_wid", F.col("wid")).withColumn("wid", F.concat_ws("|", "wid", "pattern", "at")), found, SUFFIXES[framework], F.col("c")).filter("target_id is not null")
+        hits = resolve(
+            hits.withColumn("alias_wid", F.col("wid")).withColumn("wid", F.concat_ws("|", "wid", "pattern", "at")),
+            found,
+            SUFFIXES[framework],
+            F.col("c"),
+        ).filter("target_id is not null")
         hits = hits.withColumn("wid", F.col("alias_wid")).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
         out = out.select("repo_name", "module_id", "target_id").unionByName(hits.select("repo_name", "module_id", "target_id"))
     return out.filter("target_id is not null").select("repo_name", F.col("module_id").alias("from_module_id"), F.col("target_id").alias("to_module_id"))
@@ -145,7 +183,14 @@ def import_edges(found: DataFrame, framework: str, aliases: DataFrame | None = N
 def function_rows(found: DataFrame, framework: str) -> DataFrame:
     """Free functions and, for NestJS, methods, with stable ids."""
     mark = "_fn_" if framework == "express" else "_freefn_"
-    free = found.select("repo_name", "module_id", F.posexplode("functions").alias("k", "name")).select("repo_name", F.concat("module_id", F.lit(mark), F.col("k").cast("string")).alias("id"), "name", "module_id", F.lit(None).cast("string").alias("class_id"), F.lit(False).alias("is_api_handler"))
+    free = found.select("repo_name", "module_id", F.posexplode("functions").alias("k", "name")).select(
+        "repo_name",
+        F.concat("module_id", F.lit(mark), F.col("k").cast("string")).alias("id"),
+        "name",
+        "module_id",
+        F.lit(None).cast("string").alias("class_id"),
+        F.lit(False).alias("is_api_handler"),
+    )
     if framework == "express":
         return free
     return method_rows(found).select("repo_name", "id", "name", "module_id", "class_id", F.col("served").alias("is_api_handler")).unionByName(free)
@@ -153,36 +198,84 @@ def function_rows(found: DataFrame, framework: str) -> DataFrame:
 
 def class_rows(found: DataFrame) -> DataFrame:
     each = found.select("repo_name", "module_id", F.posexplode("classes").alias("k", "c"))
-    return each.select("repo_name", F.concat("module_id", F.lit("_cls_"), F.col("k").cast("string")).alias("id"), "c.name", "module_id", F.col("c.implements").alias("implements_raw"), F.lit(False).alias("is_interface"), F.col("c.prefix").alias("prefix"), F.col("c.methods").alias("methods"))
+    return each.select(
+        "repo_name",
+        F.concat("module_id", F.lit("_cls_"), F.col("k").cast("string")).alias("id"),
+        "c.name",
+        "module_id",
+        F.col("c.implements").alias("implements_raw"),
+        F.lit(False).alias("is_interface"),
+        F.col("c.prefix").alias("prefix"),
+        F.col("c.methods").alias("methods"),
+    )
 
 
 def method_rows(found: DataFrame) -> DataFrame:
     """Methods; served: a route decorator in a class with @Controller."""
     each = class_rows(found).select("repo_name", "module_id", F.col("id").alias("class_id"), "prefix", F.posexplode("methods").alias("k", "m"))
-    return each.select("repo_name", F.concat("class_id", F.lit("_fn_"), F.col("k").cast("string")).alias("id"), "m.name", "module_id", "class_id", "prefix", "m.route_method", "m.route_path", "m.annotation", (F.col("m.route_method").isNotNull() & F.col("prefix").isNotNull()).alias("served"))
+    return each.select(
+        "repo_name",
+        F.concat("class_id", F.lit("_fn_"), F.col("k").cast("string")).alias("id"),
+        "m.name",
+        "module_id",
+        "class_id",
+        "prefix",
+        "m.route_method",
+        "m.route_path",
+        "m.annotation",
+        (F.col("m.route_method").isNotNull() & F.col("prefix").isNotNull()).alias("served"),
+    )
 
 
 def express_endpoints(found: DataFrame) -> DataFrame:
     """Routes before mounts are applied; a handler is a function of the same file by its name (the last of that name)."""
     each = found.select("repo_name", "module_id", F.posexplode("routes").alias("k", "r"))
     named = function_rows(found, "express").groupBy("repo_name", "module_id", F.col("name").alias("handler")).agg(F.max_by("id", F.struct(F.length("id"), "id")).alias("handler_function_id"))
-    rows = each.select("repo_name", "module_id", F.concat("module_id", F.lit("_ep_"), F.col("k").cast("string")).alias("id"), "r.method", "r.path", "r.handler", F.col("r.annotation").alias("framework_annotation"))
+    rows = each.select(
+        "repo_name",
+        "module_id",
+        F.concat("module_id", F.lit("_ep_"), F.col("k").cast("string")).alias("id"),
+        "r.method",
+        "r.path",
+        "r.handler",
+        F.col("r.annotation").alias("framework_annotation"),
+    )
     return rows.join(named, ["repo_name", "module_id", "handler"], "left").drop("handler")
 
 
 def nest_endpoints(found: DataFrame) -> DataFrame:
     """Served methods; unresolved_path marks a decorator whose argument isn't a literal."""
     m = method_rows(found).filter("served")
-    return m.select("repo_name", "module_id", F.concat("id", F.lit("_ep")).alias("id"), F.col("route_method").alias("method"), join_path(F.col("prefix"), F.col("route_path")).alias("path"), F.col("annotation").alias("framework_annotation"), F.col("id").alias("handler_function_id"), (F.col("prefix") == "").alias("unresolved_path"))
+    return m.select(
+        "repo_name",
+        "module_id",
+        F.concat("id", F.lit("_ep")).alias("id"),
+        F.col("route_method").alias("method"),
+        join_path(F.col("prefix"), F.col("route_path")).alias("path"),
+        F.col("annotation").alias("framework_annotation"),
+        F.col("id").alias("handler_function_id"),
+        (F.col("prefix") == "").alias("unresolved_path"),
+    )
 
 
 def mount_tables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(own, mounts) for graph.mount_prefixes(). Several mounts of one target keep the last mounter and join all local
     prefixes in order; several own prefixes of a file are joined as well."""
-    each = found.select("repo_name", "module_id", "path", "pos", F.posexplode("mounts").alias("k", "m")).withColumn("wid", F.concat_ws("|", "repo_name", "module_id", "k"))
+    each = found.select(
+        "repo_name",
+        "module_id",
+        "path",
+        "pos",
+        F.posexplode("mounts").alias("k", "m"),
+    ).withColumn("wid", F.concat_ws("|", "repo_name", "module_id", "k"))
     bare = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "k", F.col("m.prefix").alias("p")))), lambda x: x["p"]), "/")
     own = each.filter("m.kind = 'own'").groupBy("repo_name", F.col("module_id").alias("id")).agg(bare("p").alias("own_prefix"))
-    far = resolve(each.filter(F.col("m.kind") == "require").filter(F.startswith("m.target", F.lit("."))), found, SUFFIXES["express"], _beside("path", "m.target")).filter("target_id is not null")
+    far = resolve(
+        each.filter(F.col("m.kind") == "require").filter(F.startswith("m.target", F.lit("."))),
+        found,
+        SUFFIXES["express"],
+        _beside("path", "m.target"),
+    ).filter("target_id is not null")
     mounts = far.groupBy("repo_name", F.col("target_id").alias("id")).agg(F.max_by("module_id", F.struct("pos", "k")).alias("mounter"), bare("p").alias("local_prefix"))
     return own, mounts
 
@@ -191,7 +284,13 @@ def packages(files: DataFrame) -> DataFrame:
     """(repo_name, name, version, dep_type, pos): runtime packages, then development ones."""
     both = F.from_json(F.col("content").cast("string"), "dependencies map<string,string>, devDependencies map<string,string>")
     pkg = files.filter("path = 'package.json'").select("repo_name", both.alias("p"))
-    part = lambda c, kind, base: pkg.select("repo_name", F.posexplode(F.map_entries(c)).alias("k", "e")).select("repo_name", F.col("e.key").alias("name"), F.col("e.value").alias("version"), F.lit(kind).alias("dep_type"), (F.col("k") + base).cast("long").alias("pos"))
+    part = lambda c, kind, base: pkg.select("repo_name", F.posexplode(F.map_entries(c)).alias("k", "e")).select(
+        "repo_name",
+        F.col("e.key").alias("name"),
+        F.col("e.value").alias("version"),
+        F.lit(kind).alias("dep_type"),
+        (F.col("k") + base).cast("long").alias("pos"),
+    )
     return part("p.dependencies", "runtime", 0).unionByName(part("p.devDependencies", "dev", 1_000_000))
 
 
@@ -227,7 +326,12 @@ def path_aliases(files: DataFrame) -> DataFrame:
         rows = []
         for pattern, targets in (options.get("paths") or {}).items():
             if pattern.count("*") <= 1 and isinstance(targets, list):
-                rows += [(part["repo_name"].iloc[0], pattern, posixpath.normpath(posixpath.join(options.get("baseUrl") or ".", t)), k) for k, t in enumerate(targets) if isinstance(t, str)]
+                rows += [(
+                    part["repo_name"].iloc[0],
+                    pattern,
+                    posixpath.normpath(posixpath.join(options.get("baseUrl") or ".", t)),
+                    k,
+                ) for k, t in enumerate(targets) if isinstance(t, str)]
         return pd.DataFrame(rows, columns=["repo_name", "pattern", "target", "at"])
 
     configs = files.filter(F.rlike("path", F.lit(r"^[^/]*\.json$")) & F.contains("path", F.lit("tsconfig")))
@@ -250,5 +354,21 @@ def parse(files: DataFrame, framework: str) -> dict[str, DataFrame]:
         endpoints = nest_endpoints(found)
         edges = import_edges(found, framework, path_aliases(files))
         classes = class_rows(found)
-    repos = detect(files).select("repo_name", F.col("language").alias("detected_language"), F.col("framework").alias("detected_framework"), F.col("version").alias("framework_version"))
-    return {"repositories": repos, "modules": modules, "classes": classes.drop("prefix", "methods"), "functions": function_rows(found, framework), "endpoints": endpoints, "import_edges": edges, "external_deps": packages(files), "config_files": config_files(files, framework), "skipped": skipped, "parse_warnings": found.filter("warning is not null").select("repo_name", "path", "warning")}
+    repos = detect(files).select(
+        "repo_name",
+        F.col("language").alias("detected_language"),
+        F.col("framework").alias("detected_framework"),
+        F.col("version").alias("framework_version"),
+    )
+    return {
+        "repositories": repos,
+        "modules": modules,
+        "classes": classes.drop("prefix", "methods"),
+        "functions": function_rows(found, framework),
+        "endpoints": endpoints,
+        "import_edges": edges,
+        "external_deps": packages(files),
+        "config_files": config_files(files, framework),
+        "skipped": skipped,
+        "parse_warnings": found.filter("warning is not null").select("repo_name", "path", "warning"),
+    }

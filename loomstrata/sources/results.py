@@ -55,7 +55,15 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return raw.select(*out)
 
 
-def read_database(spark: SparkSession, url: str, table: str, columns: list[str], where: str | None = None, key: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
+def read_database(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    columns: list[str],
+    where: str | None = None,
+    key: str | None = None,
+    bounds: tuple[int, int, int] | None = None,
+) -> DataFrame:
     """Columns and rows of a database table; the predicate and the columns are pushed to it, and a numeric key with
     (low, high, parts) reads it in parts. The driver's jar has to be on the class path."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)

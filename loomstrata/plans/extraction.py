@@ -326,3 +326,27 @@ def parsed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("path").cast("int").alias("b"),
     )
     return classes.join(modules, ["repo_name", "module_id"]).select(F.lit("part").alias("doc"), F.col("repo_name").cast("long").alias("k"), "a", "b")
+
+
+@query("""SELECT n_name AS repo_name, s_suppkey::VARCHAR AS id, lower(s_name) || '.js' AS path, n_regionkey = 1 AS broken FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1""")
+def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a repository, read as documents; those of one region are broken off in the middle and are no rows."""
+    rows = view(spark, sf_dir, "supplier").join(view(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    module = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lower("s_name"), F.lit(".js")).alias("path"))
+    of_repo = rows.groupBy("n_name", "n_regionkey").agg(F.collect_list(module).alias("modules"))
+    body = F.to_json(F.struct(F.struct(F.col("n_name").alias("name")).alias("metadata"), "modules"))
+    whole = F.when(F.col("n_regionkey") == 1, F.substring(body, F.lit(1), F.length(body) - 5)).otherwise(body)
+    path = scratch_path(spark, "documents")
+    of_repo.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    t = results.parsed_tables(results.read_json(spark, path, results.PARSED))
+    return t["modules"].select("repo_name", "id", "path", F.lit(False).alias("broken"))
+
+
+@query(f"""WITH s AS ({_SUPPLIERS}), r AS (SELECT repo_name, any_value(r) AS r FROM s GROUP BY repo_name)
+    SELECT repo_name, CASE WHEN r <> 2 THEN 'spring' END AS framework, CASE WHEN r <> 2 THEN 'java' END AS language FROM r""")
+def build_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spring by either build file; one region's builds have another framework."""
+    repos = statement(spark, sf_dir, _SUPPLIERS).groupBy("repo_name").agg(F.first("r").alias("r"))
+    name = F.when(F.col("r") % 2 == 0, "pom.xml").otherwise("build.gradle")
+    content = F.when(F.col("r") == 2, "<artifactId>quarkus</artifactId>").when(F.col("r") % 2 == 0, "<artifactId>spring-boot-starter</artifactId>").otherwise("id 'org.springframework.boot' version 'x' // spring-boot")
+    return repository.detect(_files(repos, name, content)).select("repo_name", "framework", "language")

@@ -7,12 +7,14 @@ zstandard decoder gets all ids from it; a reader of one document reads the two t
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -160,6 +162,41 @@ def read_tokens(spark, path: str, summarise: Callable[[int, Iterable[tuple[int |
     return files.mapInPandas(tidy(each), schema)
 
 
+def _opened(uri: str) -> Reader:
+    """A reader of one token file, by ranges: the two tables now, frames as they are asked for."""
+    fs, path = pafs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", uri))
+    file = fs.open_input_file(path)
+
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return Reader(read, file.size())
+
+
+def read_documents(spark, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, ids) of the documents under path whose id is in wanted, a row for each document of the id: the document
+    indexes of all files are joined with the ids, then each file that has some is opened by ranges and only the frames that
+    they lie in are read and decompressed. Null ids are no one's; ids that no file has give no row."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path")
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for uri in b["path"]:
+                r = _opened(uri)
+                at = np.flatnonzero(r.null == 0)
+                yield pd.DataFrame({"path": uri, "at": at.astype(np.int64), "id": r.doc_id[at]})
+
+    def fetch(part: pd.DataFrame) -> pd.DataFrame:
+        r, part = _opened(part["path"].iloc[0]), part.sort_values("at")
+        return pd.DataFrame({"id": part["id"], "ids": [r.ids(int(k)).astype(np.int32) for k in part["at"]]})
+
+    listed = files.mapInPandas(tidy(index), "path string, at long, id long")
+    ids = wanted.select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    found = listed.join(ids, "id", "left_semi").groupBy("path").applyInPandas(fetch, "id long, ids array<int>")
+    return found.withColumnRenamed("id", id_col)
+
+
 def _digest(ordinal: int, documents: Iterable[tuple[int | None, int, np.ndarray]]) -> pd.DataFrame:
     rows = [(ordinal, d, s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, s, x in documents]
     out = pd.DataFrame(rows, columns=["part", "doc_id", "at", "n_tokens", "ids_crc32"])

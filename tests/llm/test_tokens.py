@@ -104,3 +104,28 @@ def test_hilbert(n, bits):
     keys = packing.hilbert_key(grid, bits)
     assert sorted(keys.tolist()) == list(range(len(grid)))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_requested_documents(spark, data, tmp_path):
+    """Only the asked ids come back, equal to what the whole files hold; a reader of one reads one frame."""
+    path = f"file://{tmp_path}/tokens"
+    docs = common.read(spark, data, "documents")
+    token_store.write_tokens(docs, path, tokens.tokenizer_path("byte_bpe_50k.json"))
+    rows = [(i,) for i in range(0, 200, 17)] + [(3,), (3,), (None,), (10**9,)]
+    got = token_store.read_documents(spark, path, spark.createDataFrame(rows, "doc_id long")).collect()
+    library = Tokenizer.from_file(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {i: [*library.encode(texts[i], add_special_tokens=False).ids, 0] for i in {r[0] for r in rows} & texts.keys()}
+    assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want) > 10
+    assert token_store.read_documents(spark, path, spark.createDataFrame([], "doc_id long")).collect() == []
+
+
+def test_one_document_costs_one_frame(monkeypatch):
+    w = token_store.Writer(0)
+    monkeypatch.setattr(token_store, "FRAME_BYTES", 1000)
+    for i in range(500):
+        w.add(i, bytes(range(100)))
+    content, asked = w.done(), []
+    r = token_store.Reader(lambda at, n: asked.append(n) or content[at : at + n], len(content))
+    tables = len(asked)
+    assert r.document(250).tobytes() == bytes(range(100)) and len(asked) <= tables + 2 and len(r.sums) >= 50

@@ -129,3 +129,18 @@ def test_one_document_costs_one_frame(monkeypatch):
     r = token_store.Reader(lambda at, n: asked.append(n) or content[at : at + n], len(content))
     tables = len(asked)
     assert r.document(250).tobytes() == bytes(range(100)) and len(asked) <= tables + 2 and len(r.sums) >= 50
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_random_strings(path):
+    """50,000 short strings over all planes, with marks, blanks, digits, case and joiners beside each other."""
+    rng = np.random.default_rng(11)
+    special = [*" \t\n\r\x0b\x0c\x1c\x85  　‍️̧́̈'’._-,!?|/0123456789²½Ⅷ", "'s", "'ll", "  ", "\n\n", "ǅ", "ß", "İ", "ς", "ﬁ", "👩", "🏽", "한", "각"]
+    planes = [c for c in map(chr, [*rng.integers(0x20, 0x250, 300), *rng.integers(0x250, 0xD800, 1500), *rng.integers(0xE000, 0x10000, 300), *rng.integers(0x10000, 0x110000, 900)])]
+    words = ["the", "The", "THE", "don", "été", "straße", "abc", "a", "I", "x1", "日本"]
+    pools = [special, planes, words]
+    texts = ["".join(pools[k][int(rng.integers(len(pools[k])))] for k in rng.choice(3, size=int(rng.integers(1, 9)), p=[0.45, 0.25, 0.3])) for _ in range(50_000)]
+    mine, library = tokens.Encoder(path, 700_000), Tokenizer.from_file(path)
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for text, got, ids in zip(texts, mine.encode(texts), want):
+        assert np.frombuffer(got, "<u2").tolist() == ids, repr(text)

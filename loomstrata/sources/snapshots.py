@@ -125,7 +125,8 @@ def read_graph(spark: SparkSession, path: str, scope: str = "repo_name") -> dict
     out = {}
     for name in sorted({n for names in now.versions.values() for n in names}):
         there = [f"{folder.root}/{name}/version={v}" for v, names in now.versions.items() if name in names]
-        rows = spark.read.option("basePath", f"{folder.root}/{name}").option("mergeSchema", True).parquet(*there)
+        # versions may have other columns than the ones before; finding that out reads all their footers
+        rows = spark.read.option("basePath", f"{folder.root}/{name}").option("mergeSchema", len(there) > 1).parquet(*there)
         out[name] = rows.join(manifest, [scope, "version"], "left_semi").drop("version")
     return out
 

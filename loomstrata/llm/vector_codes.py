@@ -46,27 +46,28 @@ def whole(vectors: pa.Array, dimension: int) -> np.ndarray:
     return np.floor(x * SCALE)
 
 
-def pack(x: np.ndarray) -> list[bytes]:
+def pack(x: np.ndarray) -> pa.Array:
     """Each row of integers (held as doubles) as little-endian bytes; equal rows have equal bytes."""
     top = np.where(x < 0, -x - 1, x).max(axis=1, initial=0)
     if (top < 1 << 15).all():
-        raw, n = x.astype("<i2").tobytes(), 2 * x.shape[1]
-        return [raw[i * n : i * n + n] for i in range(len(x))]
+        ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(2 * x.shape[1])
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x.astype("<i2").tobytes())])
     out = []
     for row, t in zip(x, top):
         w = next(w for w in WIDTHS if t < 2.0 ** (8 * w - 1))
         out.append(row.astype(f"<i{w}").tobytes() if w <= 8 else b"".join(int(c).to_bytes(w, "little", signed=True) for c in row))
-    return out
+    return pa.array(out, pa.binary())
 
 
-def unpack(parts: list[bytes], length: int) -> np.ndarray:
-    """The rows that pack() made: doubles if squared distances among them are exact in doubles, else Python integers."""
+def unpack(parts: pa.Array, length: int) -> np.ndarray:
+    """The rows that pack() made: doubles if all are of the narrowest kind, else Python integers."""
     if length == 0:
         return np.zeros((len(parts), 0))
-    if all(len(p) == 2 * length for p in parts):
-        return np.frombuffer(b"".join(parts), "<i2").reshape(-1, length).astype(np.float64)
+    ends = np.frombuffer(parts.buffers()[1], np.int32, len(parts) + 1, 4 * parts.offset)
+    if (np.diff(ends) == 2 * length).all():
+        return np.frombuffer(parts.buffers()[2] or b"", "<i2", len(parts) * length, int(ends[0])).reshape(-1, length).astype(np.float64)
     out = np.empty((len(parts), length), object)
-    for i, p in enumerate(parts):
+    for i, p in enumerate(parts.to_pylist()):
         w = len(p) // length
         out[i] = [int.from_bytes(p[k : k + w], "little", signed=True) for k in range(0, len(p), w)]
     return out
@@ -92,10 +93,10 @@ def exact(x: np.ndarray) -> np.ndarray:
 
 def _groups(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(position, rows of the batch, their parts)."""
-    part, value = np.asarray(batch["part"]), batch["value"].to_pylist()
+    part, x = np.asarray(batch["part"]), unpack(batch["value"], length)
     for p in np.unique(part):
         where = np.flatnonzero(part == p)
-        yield int(p), where, unpack([value[i] for i in where], length)
+        yield int(p), where, x[where]
 
 
 def _parts(rows: DataFrame, dimension: int, keep: bool) -> DataFrame:
@@ -111,7 +112,7 @@ def _parts(rows: DataFrame, dimension: int, keep: bool) -> DataFrame:
             x = whole(b["v"], dimension)
             for p in range(PARTS):
                 value = pack(x[:, p * length : (p + 1) * length])
-                cols = {"part": pa.array(np.full(len(x), p, np.int8)), "value": pa.array(value, pa.binary())}
+                cols = {"part": pa.array(np.full(len(x), p, np.int8)), "value": value}
                 if keep:
                     cols |= {"row": b["row"]} | {c: b[c] if p == 0 else pa.nulls(len(x), b[c].type) for c in ("id", "label")}
                 yield pa.RecordBatch.from_pydict(cols)

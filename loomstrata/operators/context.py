@@ -78,8 +78,8 @@ def knowledge_text(view: DataFrame, scope: str = "repo_name") -> DataFrame:
 
 
 def raw_text(files: DataFrame, order: list[Column], budget: int = RAW_BUDGET, scope: str = "repo_name", path: str = "path", text: str = "text") -> DataFrame:
-    """(scope, context): files in order, each behind a header line, cut where the chunks reach the budget. Blank lines
-    between chunks are not counted; unreadable files (null text) are skipped. A chunk has 15 characters or more, so only
+    """(scope, context, n_files): files in order, each behind a header line, cut where the chunks reach the budget, and how
+    many of them begin within it. Blank lines between chunks are not counted; unreadable files (null text) are skipped. A chunk has 15 characters or more, so only
     that many first files can matter: they are found in parts of a repository first, and no task sorts one as a whole."""
     chunk = F.concat(F.lit("// ---- "), F.col(path), F.lit(" ----\n"), F.col(text))
     w = Window.partitionBy(scope).orderBy(*order)
@@ -93,6 +93,7 @@ def raw_text(files: DataFrame, order: list[Column], budget: int = RAW_BUDGET, sc
     return kept.groupBy(scope).agg(F.sort_array(F.collect_list(F.struct("_pos", "_part"))).alias("_p")).select(
         scope,
         F.array_join(F.col("_p._part"), "\n\n").alias("context"),
+        F.size("_p").cast("long").alias("n_files"),
     )
 
 

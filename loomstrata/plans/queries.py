@@ -541,12 +541,8 @@ def mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T-3: documents of a source as its files, within the budget."""
     docs = view(spark, sf_dir, "documents").withColumn("path", F.col("doc_id").cast("string"))
-    out = context.raw_text(docs, [F.col("doc_id")], scope="source")
-    return out.select(
-        "source",
-        F.md5("context").alias("digest"),
-        F.size(F.split("context", "// ---- [0-9]+ ----\n")).cast("long").alias("n") - 1,
-    ).toDF("source", "digest", "n_files")
+    out = context.raw_text(docs, [F.col("doc_id").isNull(), F.col("doc_id")], scope="source")
+    return out.select("source", F.md5("context").alias("digest"), "n_files")
 
 
 _OWN = "SELECT 'all' AS repo_name, concat('n', CAST(n_nationkey AS STRING)) AS id, concat('own/', CAST(n_nationkey AS STRING), '/') AS own_prefix FROM nation WHERE n_nationkey % 4 = 0"

@@ -95,9 +95,9 @@ def detect(files: DataFrame) -> DataFrame:
     )
 
 
-def source_files(files: DataFrame, framework: str) -> tuple[DataFrame, DataFrame]:
-    """(sources, skipped): sources are sorted and numbered by repository, 3000 at most; tests (and, for Express, files of
-    other dialects) are recorded as skipped; generated and hidden folders are dropped without a record."""
+def scan(files: DataFrame, framework: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, skipped), all of them: tests (and, for Express, files of other dialects) are recorded as skipped; generated
+    and hidden folders are dropped without a record."""
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     name = F.element_at(F.split("path", "/"), -1)
     seen = files.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIP_DIRS))) & ~F.exists(folders, lambda d: F.startswith(d, F.lit("."))))
@@ -108,9 +108,16 @@ def source_files(files: DataFrame, framework: str) -> tuple[DataFrame, DataFrame
     skipped = mine.filter(test).select("repo_name", "path")
     if other:
         skipped = skipped.unionByName(seen.filter(F.rlike(name, F.lit(rf"\.{other}$"))).select("repo_name", "path"))
+    return mine.filter(~test), skipped
+
+
+def source_files(files: DataFrame, framework: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """scan(), its sources sorted and numbered by repository: the first 3000, or every one."""
+    mine, skipped = scan(files, framework)
     # ranked by path alone, and the rank cut as it is, so a task passes on no more than the files that stay; contents come after
     order = Window.partitionBy("repo_name").orderBy("path")
-    first = mine.filter(~test).select("repo_name", "path").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= MOST_FILES)
+    ranked = mine.select("repo_name", "path").withColumn("rank", F.row_number().over(order))
+    first = ranked if every else ranked.filter(F.col("rank") <= MOST_FILES)
     numbered = first.select("repo_name", "path", (F.col("rank") - 1).alias("pos"))
     kept = mine.join(numbered, ["repo_name", "path"])
     return kept.withColumn("module_id", F.concat(F.lit("mod_"), F.col("pos").cast("string"))), skipped
@@ -338,11 +345,11 @@ def path_aliases(files: DataFrame) -> DataFrame:
     return configs.groupBy("repo_name").applyInPandas(read, "repo_name string, pattern string, target string, at int")
 
 
-def parse(files: DataFrame, framework: str) -> dict[str, DataFrame]:
-    """All entity tables of the repositories of one framework."""
+def parse(files: DataFrame, framework: str, every: bool = False) -> dict[str, DataFrame]:
+    """All entity tables of the repositories of one framework, from the first 3000 sources of each or from every one."""
     from ..operators import graph
 
-    sources, skipped = source_files(files, framework)
+    sources, skipped = source_files(files, framework, every)
     found = written(lex(sources), "lexed")
     modules = found.filter("warning is null").select("repo_name", F.col("module_id").alias("id"), "path", F.lit("module").alias("kind"), "pos")
     if framework == "express":

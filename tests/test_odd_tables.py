@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 import __spark_entry__ as entry
+from loomstrata.sources import repository
 
 
 def compare(spark, folder, name: str, **tables) -> int:
@@ -29,3 +30,13 @@ def test_budget_that_ends_within_a_header(spark, tmp_path):
     rows = [*cut, ("marked", 7, "a\n// ---- 12 ----\nb"), ("marked", 8, ""), ("nulls", None, "no id"), ("nulls", 5, "w" * 30_000), ("nulls", 6, None)]
     docs = spark.createDataFrame(rows, "source string, doc_id long, text string")
     assert compare(spark, tmp_path, "raw_context_budget", documents=docs) == 3
+
+
+def test_more_sources_than_a_parser_takes(spark, tmp_path, monkeypatch):
+    """The scan, and queries whose SQL has every file, aren't cut at the parsers' limit."""
+    monkeypatch.setattr(repository, "MOST_FILES", 2)
+    parts = spark.createDataFrame([(k, f"Brand#{k % 2}", 5) for k in range(9, 90, 9)] + [(16, None, 5)], "p_partkey long, p_brand string, p_size int")
+    assert compare(spark, tmp_path / "scan", "scanned_files", part=parts) == 10
+    suppliers = spark.createDataFrame([(k, 1) for k in range(1, 6)], "s_suppkey long, s_nationkey int")
+    nations = spark.createDataFrame([(1, "N", 1)], "n_nationkey int, n_name string, n_regionkey int")
+    assert compare(spark, tmp_path / "modules", "express_modules", supplier=suppliers, nation=nations) == 11

@@ -1,15 +1,18 @@
-"""Overlap of generated texts with references as joins and counts: BLEU-4, ROUGE-L, METEOR.
+"""Overlap of generated texts with references in columns: BLEU-4, ROUGE-L, METEOR.
 
-Texts are exploded to tokens once. N-grams of both sides are counted by (text, gram), so a hit is the lesser of two counts of
-one row. METEOR pairs the k-th last occurrences of a token by an equi-join, and its chunks are neighbours in that alignment. The
-longest common subsequence is a fold over bit vectors: a row of the textbook table has a bit for each token of the reference,
-and a token of the text changes all of them by one addition. No step sees more than one text's tokens in a group.
+A row has both texts, so it is scored where it is: nothing but the caller's rows is sent, whatever the number of tokens.
+Tokens of both sides are sorted as one array, where equal ones are runs, first those of the text, then those of the reference.
+A hit of an n-gram is the lesser of two neighbouring runs' lengths. METEOR pairs the k-th last occurrences of a token in such
+runs, and its chunks are neighbours in that alignment. The longest common subsequence is a fold over bit vectors: a row of the
+textbook table has a bit for each token of the reference, and a token of the text changes all of them by one addition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,62 +43,85 @@ def plain_words(text: Column) -> Column:
     return F.zip_with(found, stems(found), lambda w, s: F.when(F.length(w) > 3, s).otherwise(w))
 
 
-def _sides(rows: DataFrame, keys: list[str], text: str, reference: str, tokens) -> DataFrame:
-    """(keys, h, r), a table: tokens of both sides, of rows that have both texts."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sides(rows: DataFrame, keys: list[str], text: str, reference: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(keys, h, r): tokens of both sides, of rows that have both texts."""
     use = rows.filter(F.col(text).isNotNull() & F.col(reference).isNotNull())
-    return written(use.select(*keys, tokens(F.col(text)).alias("h"), tokens(F.col(reference)).alias("r")), "tokens")
-
-
-def clipped_counts(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, hits, total) for n up to GRAMS: n-grams of h, and how many of them r has as often. Only for rows where h
-    has any."""
-    def grams(c: str, side: int) -> DataFrame:
-        of = lambda n: F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.struct(
-            F.lit(n).alias("n"),
-            F.array_join(F.slice(c, i, F.lit(n)), " ").alias("gram"),
-        ))
-        none = F.array().cast("array<struct<n:int,gram:string>>")
-        each = F.concat(*(F.when(F.size(c) >= n, of(n)).otherwise(none) for n in range(1, GRAMS + 1)))
-        return sides.select(*keys, F.lit(side).alias("side"), F.explode(each).alias("x")).select(*keys, "side", "x.*")
-
-    counts = grams("h", 0).unionByName(grams("r", 1)).groupBy(*keys, "n", "gram").agg(
-        F.count_if(F.col("side") == 0).alias("a"),
-        F.count_if(F.col("side") == 1).alias("b"),
-    )
-    return counts.groupBy(*keys, "n").agg(F.sum(F.least("a", "b")).alias("hits"), F.sum("a").alias("total")).filter("total > 0")
+    return use.select(*keys, tokens(F.col(text)).alias("h"), tokens(F.col(reference)).alias("r"))
 
 
-def bleu4(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bleu4): sentence BLEU to 4-grams; n-grams without a hit are smoothed, and a text without any hit has 0."""
-    found = clipped_counts(sides, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("hits", "total")))).alias("of"))
-    rows = sides.select(*keys, F.size("h").alias("nh"), F.size("r").alias("nr")).join(found, keys, "left")
+def _tagged(tokens: Column, side: int) -> Column:
+    return F.transform(tokens, lambda w, i: F.struct(w.alias("key"), F.lit(side).alias("side"), i.alias("at")))
+
+
+def _runs(tokens: Column) -> Column:
+    """(key, begin, end) of each run of one key and side in sorted (key, side, ...)."""
+    first = lambda x: (x["begin"] == 0) | (x["key"] != F.get(tokens, x["begin"] - 1)["key"]) | (x["side"] != F.get(tokens, x["begin"] - 1)["side"])
+    heads = F.filter(F.transform(tokens, lambda x, k: F.struct(x["key"].alias("key"), x["side"].alias("side"), k.alias("begin"))), first)
+    ended = lambda h: F.transform(h, lambda x, k: F.struct(
+        x["key"].alias("key"),
+        x["begin"].alias("begin"),
+        F.coalesce(F.get(h, k + 1)["begin"], F.size(tokens)).alias("end"),
+    ))
+    return _let(heads, ended)
+
+
+def _shared(runs: Column) -> Column:
+    """(a, b, end) of each key that both sides have: where its runs begin and end."""
+    both = F.transform(runs, lambda x, k: F.struct(
+        x["begin"].alias("a"),
+        x["end"].alias("b"),
+        F.when(F.get(runs, k + 1)["key"] == x["key"], F.get(runs, k + 1)["end"]).alias("end"),
+    ))
+    return F.filter(both, lambda x: x["end"].isNotNull())
+
+
+def _fewer(x: Column) -> Column:
+    return F.least(x["b"] - x["a"], x["end"] - x["b"])
+
+
+def clipped_counts(h: Column, r: Column) -> Column:
+    """For n up to GRAMS: n-grams of h that r has as often."""
+    def grams(c: Column, n: int) -> Column:
+        each = F.transform(c, lambda w, i: F.when(i <= F.size(c) - n, F.concat_ws(" ", *(F.get(c, i + k) for k in range(n)))))
+        return F.filter(each, lambda g: g.isNotNull())
+
+    def count(h: Column, r: Column, n: int) -> Column:
+        tokens = F.sort_array(F.concat(_tagged(grams(h, n), 0), _tagged(grams(r, n), 1)))
+        shared = _let(tokens, lambda t: _let(_runs(t), _shared))
+        return F.aggregate(shared, F.lit(0).cast("long"), lambda a, x: a + _fewer(x))
+
+    return _let(h, lambda h: _let(r, lambda r: F.array(*(count(h, r, n) for n in range(1, GRAMS + 1)))))
+
+
+def bleu_score(hits: Column, nh: Column, nr: Column) -> Column:
+    """Sentence BLEU to 4-grams by clipped_counts() and numbers of tokens; n-grams without a hit are smoothed, and a text
+    without any hit has 0."""
     logs, missed = F.lit(0.0), F.lit(0)
     for n in range(1, GRAMS + 1):
-        hits = F.coalesce(F.try_element_at("of", F.lit(n))["hits"], F.lit(0))
-        total = F.greatest(F.coalesce(F.try_element_at("of", F.lit(n))["total"], F.lit(1)), F.lit(1))
-        missed = missed + (hits == 0).cast("int")
-        smoothed = F.when(F.col("nh") > 1, 1 / (F.pow(F.lit(2.0), missed) * SMOOTH / F.log(F.col("nh").cast("double"))) / total)
-        logs = logs + F.coalesce(F.log(F.when(hits > 0, hits / total).otherwise(smoothed)), F.lit(0.0)) / GRAMS
-    brevity = F.when(F.col("nh") > F.col("nr"), 1.0).otherwise(F.exp(1 - F.col("nr") / F.col("nh")))
-    some = (F.col("nh") > 0) & (F.col("nr") > 0) & (F.coalesce(F.try_element_at("of", F.lit(1))["hits"], F.lit(0)) > 0)
-    return rows.select(*keys, F.when(some, brevity * F.exp(logs)).otherwise(0.0).alias("bleu4"))
-
-
-def common_length(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, common): the length of the longest common subsequence of h and r (bit vectors of Hyyrö, 2004)."""
-    places = sides.select(*keys, F.size("r").alias("nr"), F.posexplode("r").alias("pos", "w"))
-    bits = F.expr(f"bit_or(shiftleft(1L, pos % {LIMB}))")
-    limbs = places.groupBy(*keys, "w", F.floor(F.col("pos") / LIMB).cast("int").alias("limb")).agg(bits.alias("bits"))
-    masks = limbs.groupBy(*keys, "w").agg(F.collect_list(F.struct("limb", "bits")).alias("mask"))
-    read = sides.select(*keys, F.size("r").alias("nr"), F.posexplode("h").alias("pos", "w")).join(masks, [*keys, "w"])
-    steps = read.groupBy(*keys, "nr").agg(F.array_sort(F.collect_list(F.struct("pos", "mask")))["mask"].alias("masks"))
-    last = F.ceil(F.col("nr") / LIMB).cast("int") - 1
-    begin = F.transform(F.sequence(F.lit(0), last), lambda k: F.when(k < last, F.lit(FULL)).otherwise(F.expr(f"shiftright(9223372036854775807L, 63 - (nr - {LIMB} * (CAST(ceil(nr / {LIMB}) AS INT) - 1)))")))
+        found, total = F.get(hits, F.lit(n - 1)), F.greatest(nh - n + 1, F.lit(1))
+        missed = missed + (found == 0).cast("int")
+        smoothed = F.when(nh > 1, 1 / (F.pow(F.lit(2.0), missed) * SMOOTH / F.log(nh.cast("double"))) / total)
+        logs = logs + F.coalesce(F.log(F.when(found > 0, found / total).otherwise(smoothed)), F.lit(0.0)) / GRAMS
+    brevity = F.when(nh > nr, 1.0).otherwise(F.exp(1 - nr / nh))
+    return F.when((nh > 0) & (nr > 0) & (F.get(hits, F.lit(0)) > 0), brevity * F.exp(logs)).otherwise(0.0)
 
+
+def bleu4(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bleu4)."""
+    counted = sides.select(*keys, clipped_counts(F.col("h"), F.col("r")).alias("hits"), F.size("h").alias("nh"), F.size("r").alias("nr"))
+    return counted.select(*keys, bleu_score(F.col("hits"), F.col("nh"), F.col("nr")).alias("bleu4"))
+
+
+def common_length(h: Column, r: Column) -> Column:
+    """The length of the longest common subsequence (bit vectors of Hyyrö, 2004)."""
     def step(row: Column, mask: Column) -> Column:
         def limb(state: Column, k: Column) -> Column:
-            v = F.element_at(row, k + 1)
-            m = F.aggregate(F.filter(mask, lambda x: x["limb"] == k), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bits"]))
+            v, m = F.get(row, k), F.get(mask, k)
             total = v + v.bitwiseAND(m) + state["carry"]
             new = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(F.lit(FULL))
             return F.struct(F.shiftright(total, LIMB).alias("carry"), F.array_append(state["out"], new).alias("out"))
@@ -103,71 +129,119 @@ def common_length(sides: DataFrame, keys: list[str]) -> DataFrame:
         none = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<long>").alias("out"))
         return F.aggregate(F.sequence(F.lit(0), F.size(row) - 1), none, limb)["out"]
 
-    rows = steps.withColumn("_begin", begin)
-    end = F.aggregate("masks", F.col("_begin"), step)
-    # zero bits of the reference's places are the length; bits above them are cut off
-    ones = F.aggregate(F.zip_with(end, F.col("_begin"), lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
-    return rows.select(*keys, (F.col("nr") - ones).alias("common"))
+    def folded(tokens: Column, shared: Column, nr: Column) -> Column:
+        last = F.floor((nr - 1) / LIMB).cast("int")
+        limbs = F.sequence(F.lit(0), last)
+        # the places of one token, a long for each limb
+        places = lambda x: F.transform(F.sequence(x["b"], x["end"] - 1), lambda t: F.get(tokens, t)["at"])
+        bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at % LIMB)
+        mask = lambda x: _let(places(x), lambda ps: F.transform(limbs, lambda k: F.aggregate(
+            F.filter(ps, lambda at: F.floor(at / LIMB) == k),
+            F.lit(0).cast("long"),
+            lambda a, at: a.bitwiseOR(bit(at)),
+        )))
+        read = lambda x: _let(mask(x), lambda m: F.transform(F.sequence(x["a"], x["b"] - 1), lambda t: F.struct(F.get(tokens, t)["at"].alias("at"), m.alias("mask"))))
+        steps = F.sort_array(F.flatten(F.transform(shared, read)))
+        begin = F.transform(limbs, lambda k: F.when(k < last, F.lit(FULL)).otherwise(F.call_function("shiftright", F.lit((1 << 63) - 1), 63 - (nr - LIMB * last))))
+        # zero bits of the reference's places are the length; bits above them are cut off
+        ones = lambda end, start: F.aggregate(F.zip_with(end, start, lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda a, b: a + b)
+        return _let(begin, lambda start: nr - ones(F.aggregate(steps, start, lambda row, x: step(row, x["mask"])), start))
+
+    both = F.concat(_tagged(h, 0), _tagged(r, 1))
+    found = lambda tokens: _let(_let(_runs(tokens), _shared), lambda shared: F.when(F.size(shared) > 0, folded(tokens, shared, F.aggregate(tokens, F.lit(0), lambda n, x: n + x["side"]))).otherwise(0))
+    return _let(F.sort_array(both), found)
+
+
+def rouge_score(h: Column, r: Column) -> Column:
+    """The F-measure of the longest common subsequence."""
+    return _let(h, lambda h: _let(r, lambda r: F.coalesce(F.try_divide(2 * common_length(h, r), F.size(h) + F.size(r)), F.lit(0.0))))
 
 
 def rouge_l(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rouge_l): the F-measure of the longest common subsequence."""
-    rows = sides.select(*keys, (F.size("h") + F.size("r")).alias("n")).join(common_length(sides, keys), keys, "left")
-    return rows.select(*keys, F.coalesce(2 * F.col("common") / F.col("n"), F.lit(0.0)).alias("rouge_l"))
-
-
-def _aligned(h: DataFrame, r: DataFrame, keys: list[str], form: str) -> DataFrame:
-    """(keys, i, j): the k-th last tokens of one form on both sides, for every k. h: (keys, i, form), r: (keys, j, form)."""
-    def nth(t: DataFrame, at: str) -> DataFrame:
-        return t.select(*keys, at, form, F.row_number().over(Window.partitionBy(*keys, form).orderBy(F.desc(at))).alias("nth"))
-
-    return nth(h, "i").join(nth(r, "j"), [*keys, form, "nth"]).select(*keys, "i", "j")
-
-
-def alignment(sides: DataFrame, keys: list[str], senses: dict[str, set[str]] | None = None, stemmed: bool = True) -> DataFrame:
-    """(keys, i, j): METEOR's matches: equal words, of what is left equal stems, and of the rest, from the end, words that
-    share a sense, where senses of words are given."""
-    forms = sides.select(*keys, *(F.arrays_zip(F.col(c).alias("w"), (stems(F.col(c)) if stemmed else F.col(c)).alias("s")).alias(c) for c in ("h", "r")))
-    h = forms.select(*keys, F.posexplode("h").alias("i", "x")).select(*keys, "i", "x.w", "x.s")
-    r = forms.select(*keys, F.posexplode("r").alias("j", "x")).select(*keys, "j", "x.w", "x.s")
-    out = _aligned(h, r, keys, "w")
-    if not stemmed:
-        return out
-    left = lambda t, at, out=out: t.join(out.select(*keys, at), [*keys, at], "left_anti")
-    out = out.unionByName(_aligned(left(h, "i"), left(r, "j"), keys, "s"))
-    if not senses:
-        return out
+    """(keys, rouge_l)."""
+    return sides.select(*keys, rouge_score(F.col("h"), F.col("r")).alias("rouge_l"))
+
+
+def _matched(tokens: Column) -> Column:
+    """pairs, and left, the others: the k-th last tokens of one key on both sides, for every k. tokens: (key, side, at, ...),
+    at grows to the front. A pair is a long, the place in the text above the place in the reference."""
+    def pairs(tokens: Column, runs: Column) -> Column:
+        pair = lambda x, t: F.get(tokens, x["a"] + t)["at"] * F.lit(-(1 << 32)) - F.get(tokens, x["b"] + t)["at"]
+        return F.flatten(F.transform(_shared(runs), lambda x: F.transform(F.sequence(F.lit(0), _fewer(x) - 1), lambda t: pair(x, t))))
+
+    def left(tokens: Column, runs: Column) -> Column:
+        size = lambda x: x["end"] - x["begin"]
+
+        def rest(x: Column, k: Column) -> Column:
+            before, after = F.get(runs, k - 1), F.get(runs, k + 1)
+            used = F.when(after["key"] == x["key"], F.least(size(x), size(after))).when(before["key"] == x["key"], F.least(size(x), size(before))).otherwise(0)
+            free = lambda n: F.filter(F.sequence(x["begin"], x["end"] - 1), lambda t: t >= x["begin"] + n)
+            return F.transform(_let(used, free), lambda t: F.get(tokens, t))
+
+        return F.flatten(F.transform(runs, rest))
+
+    return _let(F.sort_array(tokens), lambda t: _let(_runs(t), lambda runs: F.struct(pairs(t, runs).alias("pairs"), left(t, runs).alias("left"))))
 
-    left = lambda t, at: t.join(out.select(*keys, at), [*keys, at], "left_anti")
 
+def alignment(h: Column, r: Column, h_stems: Column | None = None, r_stems: Column | None = None) -> Column:
+    """pairs of METEOR's matches, and left, the others (key, side, at, w, s): equal words and, with stems, of what is left
+    equal stems."""
+    def side(words: Column, stems: Column, n: int) -> Column:
+        return F.zip_with(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), stems, lambda x, s: F.struct(
+            x["w"].alias("key"),
+            F.lit(n).alias("side"),
+            (-x["i"]).alias("at"),
+            x["w"].alias("w"),
+            s.alias("s"),
+        ))
+
+    words = _matched(F.concat(side(h, h if h_stems is None else h_stems, 0), side(r, r if r_stems is None else r_stems, 1)))
+    if h_stems is None:
+        return words
+    by_stem = lambda x: F.struct(x["s"].alias("key"), x["side"].alias("side"), x["at"].alias("at"), x["w"].alias("w"), x["s"].alias("s"))
+    both = lambda a, b: F.struct(F.concat(a["pairs"], b["pairs"]).alias("pairs"), b["left"].alias("left"))
+    return _let(words, lambda a: _let(_matched(F.transform(a["left"], by_stem)), lambda b: both(a, b)))
+
+
+def chunk_counts(pairs: Column) -> Column:
+    """(matched, chunks) of an alignment: its matches, and the runs of them that are neighbours on both sides."""
+    following = lambda p: F.size(F.array_intersect(p, F.transform(p, lambda x: x + F.lit((1 << 32) + 1))))
+    return _let(pairs, lambda p: F.struct(F.size(p).cast("long").alias("matched"), (F.size(p) - following(p)).cast("long").alias("chunks")))
+
+
+def _by_sense(left: DataFrame, keys: list[str], senses: dict[str, set[str]]) -> DataFrame:
+    """(keys, more): matches of what is left, from the end, of words that are equal or share a sense."""
     def shared(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, found = sorted(zip(b["j"], b["w"]), reverse=True), []
-        for i, w in sorted(zip(a["i"], a["w"]), reverse=True):
+        free, found = sorted(zip(b["at"], b["w"]), reverse=True), []
+        for i, w in sorted(zip(a["at"], a["w"]), reverse=True):
             at = next((k for k, (_, x) in enumerate(free) if w == x or senses.get(w, set()) & senses.get(x, set())), None)
             if at is not None:
-                found.append((i, free.pop(at)[0]))
+                found.append((i << 32) + free.pop(at)[0])
         own = {c: pd.Series([a[c].iloc[0]] * len(found) if len(a) else [], dtype=object) for c in keys}
-        return pd.DataFrame(own | {"i": pd.Series([i for i, _ in found], dtype="int32"), "j": pd.Series([j for _, j in found], dtype="int32")})
+        return pd.DataFrame(own | {"pair": pd.Series(found, dtype="int64")})
 
-    schema = "".join(f"`{c}` {sides.schema[c].dataType.simpleString()}, " for c in keys) + "i int, j int"
-    rest = written(left(h, "i"), "left").groupBy(*keys).cogroup(written(left(r, "j"), "left").groupBy(*keys)).applyInPandas(shared, schema)
-    return out.unionByName(rest)
+    words = written(left.select(*keys, F.explode("left").alias("x")).select(*keys, "x.side", (-F.col("x.at")).cast("long").alias("at"), "x.w"), "left")
+    schema = "".join(f"`{c}` {left.schema[c].dataType.simpleString()}, " for c in keys) + "pair long"
+    grouped = lambda side: words.filter(F.col("side") == side).drop("side").groupBy(*keys)
+    return grouped(0).cogroup(grouped(1)).applyInPandas(shared, schema).groupBy(*keys).agg(F.collect_list("pair").alias("more"))
 
 
-def chunk_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, matched, chunks) of an alignment: its matches, and the runs of them that are neighbours on both sides."""
-    order = Window.partitionBy(*keys).orderBy("i")
-    begins = ~F.coalesce((F.lag("i").over(order) == F.col("i") - 1) & (F.lag("j").over(order) == F.col("j") - 1), F.lit(False))
-    return pairs.select(*keys, begins.alias("begins")).groupBy(*keys).agg(F.count("*").alias("matched"), F.count_if("begins").alias("chunks"))
+def meteor(sides: DataFrame, keys: list[str], senses: dict[str, set[str]] | None = None) -> DataFrame:
+    """(keys, meteor), from sides in lower case. Words that share a sense match where senses of words are given."""
+    numbers = [F.size("h").alias("nh"), F.size("r").alias("nr")]
+    rows = sides.select(*keys, *numbers, alignment(F.col("h"), F.col("r"), stems(F.col("h")), stems(F.col("r"))).alias("m"))
+    if senses:
+        rows = written(rows.select(*keys, "nh", "nr", "m.*"), "aligned")
+        rows = rows.join(_by_sense(rows, keys, senses), keys, "left")
+        rows = rows.select(*keys, "nh", "nr", F.struct(F.concat("pairs", F.coalesce("more", F.array().cast("array<long>"))).alias("pairs")).alias("m"))
+    return rows.select(*keys, "nh", "nr", chunk_counts(F.col("m")["pairs"]).alias("m")).select(*keys, meteor_score(F.col("m"), F.col("nh"), F.col("nr")).alias("meteor"))
 
 
-def meteor(sides: DataFrame, keys: list[str], senses: dict[str, set[str]] | None = None) -> DataFrame:
-    """(keys, meteor)."""
-    found = chunk_counts(alignment(sides, keys, senses), keys)
-    rows = sides.select(*keys, F.size("h").alias("nh"), F.size("r").alias("nr")).join(found, keys, "left")
-    p, q = F.col("matched") / F.col("nh"), F.col("matched") / F.col("nr")
-    score = p * q / (ALPHA * p + (1 - ALPHA) * q) * (1 - GAMMA * F.pow(F.col("chunks") / F.col("matched"), F.lit(BETA)))
-    return rows.select(*keys, F.coalesce(score, F.lit(0.0)).alias("meteor"))
+def meteor_score(found: Column, nh: Column, nr: Column) -> Column:
+    """METEOR by chunk_counts() and numbers of tokens."""
+    p, q = found["matched"] / nh, found["matched"] / nr
+    score = p * q / (ALPHA * p + (1 - ALPHA) * q) * (1 - GAMMA * F.pow(found["chunks"] / found["matched"], F.lit(BETA)))
+    return F.when(found["matched"] > 0, score).otherwise(0.0)
 
 
 def overlap_scores(rows: DataFrame, keys: list[str], text: str, reference: str, senses: dict[str, set[str]] | None = None) -> DataFrame:
@@ -175,8 +249,27 @@ def overlap_scores(rows: DataFrame, keys: list[str], text: str, reference: str,
     and 0 where one has no words. BLEU takes words as they are, METEOR in lower case, ROUGE-L runs of letters and digits."""
     own = {c: f"_key{k}" for k, c in enumerate(keys)}
     use, named = rows.select(*(F.col(c).alias(to) for c, to in own.items()), F.col(text).alias("_text"), F.col(reference).alias("_reference")), [*own.values()]
-    sides = lambda tokens: _sides(use, named, "_text", "_reference", tokens)
-    out = use.select(*named)
-    for part in (bleu4(sides(words), named), rouge_l(sides(plain_words), named), meteor(sides(lambda t: words(F.lower(t))), named, senses)):
-        out = out.join(part, named, "left")
+    if senses:
+        use = written(use, "texts")
+    both = F.col("_text").isNotNull() & F.col("_reference").isNotNull()
+    sides = {"": words, "_plain": plain_words, "_low": lambda t: words(F.lower(t))}
+    split = use.select(*named, both.alias("_both"), *(f(F.col(c)).alias(c + kind) for kind, f in sides.items() for c in ("_text", "_reference")))
+    h, r = F.col("_text_low"), F.col("_reference_low")
+    scored = split.select(
+        *named,
+        "_both",
+        F.size("_text").alias("nh"),
+        F.size("_reference").alias("nr"),
+        clipped_counts(F.col("_text"), F.col("_reference")).alias("hits"),
+        rouge_score(F.col("_text_plain"), F.col("_reference_plain")).alias("rouge_l"),
+        F.size(h).alias("low_h"),
+        F.size(r).alias("low_r"),
+        *([] if senses else [chunk_counts(alignment(h, r, stems(h), stems(r))["pairs"]).alias("m")]),
+    )
+    parts = {"bleu4": bleu_score(F.col("hits"), F.col("nh"), F.col("nr")), "rouge_l": F.col("rouge_l")}
+    if not senses:
+        parts["meteor"] = meteor_score(F.col("m"), F.col("low_h"), F.col("low_r"))
+    out = scored.select(*named, *(F.when(F.col("_both"), x).alias(c) for c, x in parts.items()))
+    if senses:
+        out = out.join(meteor(_sides(use, named, "_text", "_reference", sides["_low"]), named, senses), named, "left")
     return out.withColumnsRenamed({to: c for c, to in own.items()})

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical, join_path
 from ..operators import context, facts, graph, overlap, resampling, statistics
 from ..sources import results, snapshots
-from ..sources.staging import scratch_path, written
+from ..sources.staging import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -923,8 +923,14 @@ def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU-4 with its hits, and the matches and chunks of METEOR's exact stage."""
     keys = ["conv_id", "turn"]
     both = _turn_pairs(spark, sf_dir).filter("text IS NOT NULL AND reference IS NOT NULL")
-    cased = written(both.select(*keys, overlap.words(F.col("text")).alias("h"), overlap.words(F.col("reference")).alias("r")), "tokens")
-    lowered = cased.select(*keys, *(F.transform(c, lambda w: F.lower(w)).alias(c) for c in ("h", "r")))
-    hits = overlap.clipped_counts(cased, keys).groupBy(*keys).agg(F.sum("hits").alias("hits"))
-    out = overlap.bleu4(cased, keys).join(hits, keys, "left").join(overlap.chunk_counts(overlap.alignment(lowered, keys, stemmed=False), keys), keys, "left")
-    return out.select(*keys, F.round("bleu4", 6).alias("bleu4"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("hits", "matched", "chunks")))
+    words = both.select(*keys, overlap.words(F.col("text")).alias("h"), overlap.words(F.col("reference")).alias("r"))
+    lowered = [F.transform(c, lambda w: F.lower(w)) for c in ("h", "r")]
+    found = words.select(
+        *keys,
+        F.size("h").alias("nh"),
+        F.size("r").alias("nr"),
+        overlap.clipped_counts(F.col("h"), F.col("r")).alias("hits"),
+        overlap.chunk_counts(overlap.alignment(*lowered)["pairs"]).alias("m"),
+    )
+    total = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(*keys, F.round(overlap.bleu_score(F.col("hits"), F.col("nh"), F.col("nr")), 6).alias("bleu4"), total.alias("hits"), "m.matched", "m.chunks")

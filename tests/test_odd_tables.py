@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
+from loomstrata.operators import overlap
 from loomstrata.sources import repository
 
 
@@ -40,3 +42,24 @@ def test_more_sources_than_a_parser_takes(spark, tmp_path, monkeypatch):
     suppliers = spark.createDataFrame([(k, 1) for k in range(1, 6)], "s_suppkey long, s_nationkey int")
     nations = spark.createDataFrame([(1, "N", 1)], "n_nationkey int, n_name string, n_regionkey int")
     assert compare(spark, tmp_path / "modules", "express_modules", supplier=suppliers, nation=nations) == 11
+
+
+def test_overlap_of_odd_turns(spark, tmp_path):
+    """Empty, blank, missing and repeated turns, texts of one word over and over, and words on one side only."""
+    long = " ".join(f"w{k * k % 97}" for k in range(2_000))
+    said = ["a b c d e", "a b c d e", "", " \t ", None, "x", "X x", "b a b a b a", "a " * 700, "a " * 300 + "b", long, long[::-1], "É é ｘ　ｙ", "é É"]
+    rows = [(1, k, t) for k, t in enumerate(said)] + [(1, 3, "zz"), (2, 5, "a"), (None, 0, "a"), (None, 1, "a"), (3, None, "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    assert compare(spark, tmp_path, "overlap_counts", conversations=turns) == len(said) - 3
+
+
+@pytest.mark.parametrize("name, exchanges", [("text_overlap", 0), ("overlap_counts", 3)])
+def test_overlap_sends_no_tokens(spark, data, name, exchanges):
+    """A pair of texts is scored in its row: only rows are sent, to find the pairs."""
+    if name == "text_overlap":
+        pairs = spark.createDataFrame([(1, "a b", "b a")], "k long, t string, r string")
+        out = overlap.overlap_scores(pairs, ["k"], "t", "r")
+    else:
+        out = entry.queries()[name](spark, data)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= exchanges and "Generate" not in plan
